@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ def slices(batches: Iterator[pa.RecordBatch], by: str = "text", limit: int = 4 <
         if not batch.num_rows:
             continue
         col = batch.column(by)
-        ends = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0)), dtype=np.int64)
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(col), 0)), dtype=np.int64)
         start = 0
         while start < batch.num_rows:
             base = ends[start - 1] if start else 0
@@ -65,8 +66,9 @@ def split_hash(rows: list[bytes], lower: bool = False) -> tuple[list[list[bytes]
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit mixer (the finalizer of splitmix64)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
