@@ -80,7 +80,7 @@ def curriculum_mix(docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1
     served = lambda x: F.greatest(F.lit(0), F.least(F.col("size"), F.col("whole") - x))
     r = r.withColumn("taken", (served(F.col("start")) + served(F.col("start") + F.col("source_size"))).cast("long"))
     r = r.withColumn("position", F.when(F.col("taken") > 0, _position(F.col("start") / F.col("target"), F.col("rank"), ramps)))
-    return r.orderBy(F.col("position").asc_nulls_last()).select("doc_id", "size", "source_size", "target", "taken", "position", *[F.col(f"kept_{c}").alias(c) for c in keep])
+    return r.orderBy(F.col("position").asc_nulls_last(), "hash").select("doc_id", "size", "source_size", "target", "taken", "position", *[F.col(f"kept_{c}").alias(c) for c in keep])
 
 
 ORACLE = r"""
