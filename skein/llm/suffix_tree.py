@@ -221,7 +221,9 @@ def fit(train: DataFrame, head: int = HEAD, depth: int = DEPTH) -> tuple[Tree, D
             x = parents.get(x, 0)
         for y in reversed(chain):
             depth_of[y] = depth_of[parents.get(y, 0)] + 1
-    words = dict(zip(top_words.tolist(), top_n.tolist(), strict=True))
+    moved = np.unique(w)
+    at, known = _find(top_words, moved)
+    words = dict(zip(moved[known].tolist(), top_n[at[known]].tolist(), strict=True))
     follow, kept = _grow((c, w, k), whole, parents, depth_of, n, v, words)
     tree = Tree(n, v, top_words, top_n, [], [], [], [])
     for d in range(1, depth + 1):
