@@ -4,8 +4,328 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from skein.operators import digest, graph, search
+from skein.plans.fixtures import SQL, SQL_RECURSIVE, calls, dag, edges, lines, memory, nodes, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "graph_neighborhood"
+
+
+def query(sql: str | None = None, recursive: bool = False):
+    """Registers a query under its function's name, with SQL over the fixtures' relations."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = (SQL_RECURSIVE if recursive else SQL) + sql
+        return f
+
+    return add
+
+
+CENTER = "nation:3"
+WALK = """, steps AS (SELECT DISTINCT from_id, to_id FROM edges UNION SELECT to_id, from_id FROM edges),
+walk AS (SELECT 'nation:3' AS id, 0 AS hops UNION SELECT to_id, hops + 1 FROM walk JOIN steps ON id = from_id WHERE hops < 2),
+found AS (SELECT w.id, n.kind, n.label, min(hops) AS hops FROM walk w JOIN nodes n ON n.id = w.id GROUP BY ALL)"""
+
+
+@query(WALK + " SELECT * FROM found", recursive=True)
+def graph_neighborhood(spark, d):
+    return graph.neighborhood(nodes(spark, d), edges(spark, d), CENTER, 2, directed=False)
+
+
+@query(WALK + """, deg AS (SELECT id, count(*) AS degree FROM (SELECT from_id AS id FROM edges UNION ALL SELECT to_id FROM edges) GROUP BY id)
+SELECT id, kind, label, hops, degree, greatest(0, 120 - 18 * hops) + CASE WHEN degree <= 3 THEN 20 WHEN degree <= 10 THEN 10 ELSE 0 END AS score
+FROM (SELECT f.*, coalesce(degree, 0) AS degree FROM found f LEFT JOIN deg USING (id)) ORDER BY score DESC, id LIMIT 50""", recursive=True)
+def graph_ranked_neighborhood(spark, d):
+    return graph.ranked(graph_neighborhood(spark, d), edges(spark, d), 50)
+
+
+@query(" SELECT id, kind, label FROM nodes WHERE id IN ('nation:1', 'customer:7', 'region:0')")
+def graph_nodes_by_ids(spark, d):
+    return graph.by_ids(nodes(spark, d), ["nation:1", "customer:7", "region:0", "absent:1", "nation:1"]).select("id", "kind", "label")
+
+
+@query(" SELECT id, label FROM nodes WHERE kind = 'supplier'")
+def graph_nodes_by_kind(spark, d):
+    return nodes(spark, d).filter("kind = 'supplier'").select("id", "label").orderBy("id")
+
+
+@query(" SELECT id, label FROM nodes WHERE kind = 'customer' AND segment = 'BUILDING'")
+def graph_property_filter(spark, d):
+    return graph.with_properties(nodes(spark, d).filter("kind = 'customer'"), {"segment": "BUILDING"}).select("id", "label")
+
+
+@query(" , p AS (SELECT id, label FROM nodes WHERE id > 'customer:2' ORDER BY id LIMIT 25) SELECT id, label, (SELECT max(id) FROM p) AS next_cursor FROM p")
+def graph_page_nodes(spark, d):
+    return graph.page(nodes(spark, d).select("id", "label"), "id", "customer:2", 25)
+
+
+@query(""", e AS (SELECT from_id || '|' || kind || '|' || to_id AS edge_key, from_id, to_id, kind FROM edges), p AS (SELECT * FROM e WHERE edge_key > 'nation' ORDER BY edge_key LIMIT 30)
+SELECT *, CASE WHEN (SELECT count(*) FROM e WHERE edge_key > 'nation') > 30 THEN (SELECT max(edge_key) FROM p) END AS next_cursor FROM p""")
+def graph_page_edges(spark, d):
+    e = edges(spark, d).withColumn("edge_key", F.concat_ws("|", "from_id", "kind", "to_id"))
+    return graph.page(e, "edge_key", "nation", 30)
+
+
+@query(" SELECT * FROM edges WHERE from_id = 'customer:4'")
+def graph_outgoing(spark, d):
+    return edges(spark, d).filter("from_id = 'customer:4'")
+
+
+@query(" SELECT DISTINCT * FROM edges WHERE from_id = 'nation:3' OR to_id = 'nation:3'")
+def graph_incident(spark, d):
+    return graph.incident(edges(spark, d), CENTER)
+
+
+@query(" SELECT e.* FROM edges e WHERE from_id IN (SELECT id FROM nodes WHERE kind IN ('nation', 'region')) AND to_id IN (SELECT id FROM nodes WHERE kind IN ('nation', 'region'))")
+def graph_edges_between(spark, d):
+    e = edges(spark, d)
+    return graph.between(e, nodes(spark, d).filter("kind in ('nation', 'region')")).select(*e.columns)
+
+
+@query(" SELECT * FROM edges WHERE from_id <> to_id ORDER BY from_id, kind, to_id LIMIT 1")
+def graph_sample_edge(spark, d):
+    return edges(spark, d).filter("from_id <> to_id").orderBy("from_id", "kind", "to_id").limit(1)
+
+
+@query(" SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges")
+def graph_counts(spark, d):
+    rows = nodes(spark, d).select(F.lit(1).alias("n"), F.lit(0).alias("e")).unionAll(edges(spark, d).select(F.lit(0), F.lit(1)))
+    return rows.agg(F.sum("n").alias("n_nodes"), F.sum("e").alias("n_edges"))
+
+
+@query(" SELECT kind, count(*) AS n FROM nodes GROUP BY kind")
+def graph_kind_histogram(spark, d):
+    return nodes(spark, d).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(" SELECT id, sum(o) AS out_degree, sum(i) AS in_degree, sum(o + i) AS degree FROM (SELECT from_id AS id, 1 AS o, 0 AS i FROM edges UNION ALL SELECT to_id, 0, 1 FROM edges) GROUP BY id")
+def graph_degrees(spark, d):
+    return graph.degrees(edges(spark, d))
+
+
+@query(" SELECT id, sum(o) AS out_degree, sum(i) AS in_degree, sum(o + i) AS degree FROM (SELECT from_id AS id, 1 AS o, 0 AS i FROM edges UNION ALL SELECT to_id, 0, 1 FROM edges) GROUP BY id ORDER BY degree DESC, id LIMIT 20")
+def graph_hubs(spark, d):
+    return graph.hubs(edges(spark, d), 20)
+
+
+@query(" SELECT a.kind AS from_kind, e.kind, b.kind AS to_kind, count(*) AS n FROM edges e JOIN nodes a ON a.id = from_id JOIN nodes b ON b.id = to_id GROUP BY ALL")
+def graph_ontology(spark, d):
+    return graph.ontology(nodes(spark, d), edges(spark, d))
+
+
+@query(", walk AS (SELECT 'customer:1' AS id, 0 AS hops UNION SELECT to_id, hops + 1 FROM walk JOIN edges ON id = from_id WHERE hops < 6) SELECT w.id, kind, min(hops) AS hops FROM walk w JOIN nodes n ON n.id = w.id WHERE kind IN ('region', 'nation') GROUP BY ALL", recursive=True)
+def graph_reachable_by_kind(spark, d):
+    return graph.neighborhood(nodes(spark, d), edges(spark, d), "customer:1", 6).filter("kind in ('region', 'nation')").select("id", "kind", "hops")
+
+
+@query(""", e AS (SELECT DISTINCT caller, callee FROM calls), start AS (SELECT min(caller) AS id FROM calls),
+walk AS (SELECT id, 0 AS hops, [id] AS path FROM start UNION ALL SELECT callee, hops + 1, list_append(path, callee) FROM walk JOIN e ON id = caller WHERE hops < 2 AND NOT list_contains(path, callee)),
+least AS (SELECT id, min(hops) AS hops FROM walk GROUP BY id)
+SELECT w.id, w.hops, array_to_string(min(path), '>') AS path FROM walk w JOIN least l ON l.id = w.id AND l.hops = w.hops GROUP BY ALL""", recursive=True)
+def graph_shortest_paths(spark, d):
+    c = calls(spark, d)
+    start = c.agg(F.min("caller")).first()[0]
+    found = graph.shortest_paths(c.select(F.col("caller").alias("from_id"), F.col("callee").alias("to_id")), start, 2)
+    return found.select("id", "hops", F.concat_ws(">", "path").alias("path"))
+
+
+_REACH = """, e AS (SELECT DISTINCT caller, callee FROM {0}), reach AS (SELECT caller AS a, callee AS b FROM e UNION SELECT a, callee FROM reach JOIN e ON b = caller)"""
+
+
+@query(_REACH.format("dag") + """, ids AS (SELECT caller AS id FROM e UNION SELECT callee FROM e),
+c AS (SELECT id, least(id, min(y.b)) AS component, max(CASE WHEN y.b = id THEN 1 ELSE 0 END) AS loop FROM ids LEFT JOIN (SELECT x.a, x.b FROM reach x JOIN reach z ON x.a = z.b AND x.b = z.a) y ON y.a = id GROUP BY id)
+SELECT component, count(*) AS size, max(loop) = 1 AS is_cycle FROM c GROUP BY component""", recursive=True)
+def graph_strongly_connected(spark, d):
+    return graph.strongly_connected(dag(spark, d).select(F.col("caller").alias("from_id"), F.col("callee").alias("to_id")))
+
+
+@query(_REACH.format("dag") + """, live AS (SELECT 'supplier:1' AS id UNION SELECT b FROM reach WHERE a = 'supplier:1'), ids AS (SELECT caller AS id FROM e UNION SELECT callee FROM e),
+g AS (SELECT id, (SELECT count(*) FROM e WHERE callee = id) AS i, (SELECT count(*) FROM e WHERE caller = id) AS o FROM ids WHERE id NOT IN (SELECT id FROM live))
+SELECT id, CASE WHEN i = 0 AND o = 0 THEN 'isolated' WHEN i = 0 THEN 'unreachable' WHEN o = 0 THEN 'orphaned_leaf' ELSE 'unreachable' END AS reason FROM g""", recursive=True)
+def graph_dead_code(spark, d):
+    return graph.dead_code(dag(spark, d).select(F.col("caller").alias("from_id"), F.col("callee").alias("to_id")), ["supplier:1"])
+
+
+@query(""", m AS (SELECT DISTINCT split_part(caller, '.', 1) AS a, split_part(callee, '.', 1) AS b FROM calls WHERE split_part(caller, '.', 1) <> split_part(callee, '.', 1))
+SELECT module, sum(i) AS fan_in, sum(o) AS fan_out, sum(o) / (sum(i) + sum(o)) AS instability FROM (SELECT a AS module, 1 AS o, 0 AS i FROM m UNION ALL SELECT b, 0, 1 FROM m) GROUP BY module""")
+def graph_coupling(spark, d):
+    e = calls(spark, d).select(F.col("caller").alias("from_id"), F.col("callee").alias("to_id"))
+    return graph.coupling(e, lambda c: F.substring_index(c, ".", 1))
+
+
+@query(" SELECT caller AS name FROM calls GROUP BY caller EXCEPT SELECT callee FROM calls UNION SELECT DISTINCT caller FROM dag WHERE caller NOT IN (SELECT callee FROM dag)")
+def graph_roots(spark, d):
+    c, g = calls(spark, d), dag(spark, d)
+    return c.select(F.col("caller").alias("name")).distinct().exceptAll(c.select("callee").distinct()).unionAll(g.select("caller").distinct().join(g.select(F.col("callee").alias("caller")).distinct(), "caller", "left_anti")).distinct()
+
+
+@query(""", o AS (SELECT o_orderkey, o_orderstatus AS s FROM orders WHERE o_orderkey % 5 <> 0), n AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS s FROM orders WHERE o_orderkey % 3 <> 0)
+SELECT o_orderkey, CASE WHEN o.s IS NULL THEN 'insert' WHEN n.s IS NULL THEN 'delete' ELSE 'update' END AS change FROM o FULL JOIN n USING (o_orderkey) WHERE o.s IS DISTINCT FROM n.s""")
+def projection_delta(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("s"))
+    new = o.filter("o_orderkey % 3 <> 0").withColumn("s", F.when(F.col("o_orderkey") % 7 == 0, "X").otherwise(F.col("s")))
+    return graph.delta(o.filter("o_orderkey % 5 <> 0"), new, "o_orderkey", ["s"])
+
+
+@query(" SELECT change, count(*) AS n FROM (SELECT CASE WHEN o.k IS NULL THEN 'upsert' ELSE 'tombstone' END AS change FROM (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 5 <> 0) o FULL JOIN (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 3 <> 0) n ON o.k = n.k WHERE o.k IS NULL OR n.k IS NULL) GROUP BY change")
+def projection_drift(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey")
+    c = graph.delta(o.filter("o_orderkey % 5 <> 0"), o.filter("o_orderkey % 3 <> 0"), "o_orderkey", ["o_orderkey"])
+    return c.groupBy(F.when(F.col("change") == "insert", "upsert").otherwise("tombstone").alias("change")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(" SELECT id AS from_id, m AS to_id FROM (SELECT id, min(id) OVER (PARTITION BY segment) AS m FROM nodes WHERE segment IS NOT NULL) WHERE id <> m")
+def graph_link_shared_property(spark, d):
+    return graph.link_shared(nodes(spark, d), "segment")
+
+
+@query(""", q AS (SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1)
+SELECT vec_id, round(list_sum(list_transform(range(1, len(embedding) + 1), lambda k: CAST(embedding[k] AS DOUBLE) * CAST(q[k] AS DOUBLE))), 6) AS score FROM embeddings, q WHERE len(embedding) = len(q) ORDER BY score DESC, vec_id LIMIT 10""")
+def semantic_top(spark, d):
+    v = table(spark, d, "embeddings")
+    return graph.top_similar(v, v.orderBy("vec_id").first().embedding, 10)
+
+
+@query(" SELECT token, count(*) AS n_docs, sum(tf) AS n FROM (SELECT token, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS token FROM documents) GROUP BY ALL) GROUP BY token")
+def search_inverted_index(spark, d):
+    return search.postings(table(spark, d, "documents")).groupBy("token").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("tf").alias("n"))
+
+
+@query(""", t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS t FROM documents), s AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM t),
+f AS (SELECT doc_id, len(t) AS size, w, len(list_filter(t, lambda x: x = w)) AS tf FROM t, (SELECT unnest(['the', 'license', 'version']) AS w)), df AS (SELECT w, count(*) FILTER (tf > 0) AS df FROM f GROUP BY w)
+SELECT doc_id AS id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS score FROM f JOIN df USING (w), s GROUP BY doc_id HAVING score > 0 ORDER BY score DESC, id LIMIT 20""")
+def search_bm25(spark, d):
+    return search.bm25(table(spark, d, "documents"), "the license version", 20)
+
+
+@query(""", s AS (SELECT doc_id, line_no, CASE WHEN contains(lower(line), 'apache license') THEN 64 ELSE 0 END + CASE WHEN contains(lower(line), 'apache') THEN 10 ELSE 0 END + CASE WHEN contains(lower(line), 'license') THEN 10 ELSE 0 END AS score FROM lines),
+b AS (SELECT doc_id, max(score) AS score FROM s WHERE score > 0 GROUP BY doc_id)
+SELECT b.doc_id, b.score, min(s.line_no) AS line_no, CASE WHEN b.score >= 60 THEN 'high' WHEN b.score >= 20 THEN 'medium' ELSE 'low' END AS confidence FROM b JOIN s ON s.doc_id = b.doc_id AND s.score = b.score GROUP BY ALL""")
+def search_line_scores(spark, d):
+    return search.line_scores(lines(spark, d), "Apache License")
+
+
+@query(""", c AS (SELECT doc_id, o AS ordinal, o * 500 AS begin, length(trim(substr(text, o * 500 + 1, 600))) AS n_chars FROM (SELECT doc_id, text, unnest(generate_series(0, CAST(greatest(0, ceil((length(text) - 600) / 500.0)) AS BIGINT))) AS o FROM documents))
+SELECT * FROM c WHERE n_chars > 0""")
+def kg_chunks(spark, d):
+    return search.chunks(table(spark, d, "documents"), 600, 100)
+
+
+@query(" SELECT conv_id, CAST(sum(ceil(strlen(trim(text)) / 4.0)) AS BIGINT) AS tokens FROM conversations GROUP BY conv_id")
+def memory_token_estimate(spark, d):
+    return table(spark, d, "conversations").groupBy("conv_id").agg(F.sum(search.token_estimate(F.col("text"))).alias("tokens"))
+
+
+@query(""", s AS (SELECT id, observed_at, round(0.6 * ((CASE WHEN contains(lower(text), 'the') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'and') THEN 1 ELSE 0 END) / 2.0::DOUBLE) + 0.4 * pow(0.5, greatest(0, 20000 - observed_at) / 5000.0::DOUBLE), 6) AS score FROM memory)
+SELECT id, score FROM s ORDER BY score DESC, observed_at DESC, id LIMIT 25""")
+def memory_rank(spark, d):
+    return search.rank_memory(memory(spark, d), "the and", 20000, 5000.0, 25)
+
+
+@query(""", s AS (SELECT doc_id % 50 AS file, 'd' || doc_id AS name, doc_id % 200 AS b, doc_id % 200 + n_chars % 300 AS e FROM documents), p AS (SELECT DISTINCT event_id % 50 AS file, event_id % 500 AS "at" FROM events),
+j AS (SELECT p.file, p."at", name, e - b AS size FROM p JOIN s ON p.file = s.file AND p."at" BETWEEN b AND e)
+SELECT file, "at", arg_min(name, (size, name)) AS name FROM j GROUP BY file, "at"""")
+def join_innermost_span(spark, d):
+    s = table(spark, d, "documents").select((F.col("doc_id") % 50).alias("file"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"), (F.col("doc_id") % 200).alias("begin"), (F.col("doc_id") % 200 + F.col("n_chars") % 300).alias("end"))
+    p = table(spark, d, "events").select((F.col("event_id") % 50).alias("file"), (F.col("event_id") % 500).alias("at")).distinct()
+    return search.innermost(p, s)
+
+
+@query(""", s AS (SELECT DISTINCT l_suppkey AS owner, l_partkey % 40 AS member FROM lineitem WHERE l_suppkey <= 40), n AS (SELECT owner, count(*) AS n FROM s GROUP BY owner),
+k AS (SELECT x.owner AS a, y.owner AS b, count(*) AS k FROM s x JOIN s y ON x.member = y.member AND x.owner < y.owner GROUP BY ALL)
+SELECT a, b, k / (na.n + nb.n - k) AS jaccard FROM k JOIN n na ON na.owner = a JOIN n nb ON nb.owner = b WHERE k / (na.n + nb.n - k) >= 0.5""")
+def join_overlap_pairs(spark, d):
+    s = table(spark, d, "lineitem").filter("l_suppkey <= 40").select(F.col("l_suppkey").alias("owner"), (F.col("l_partkey") % 40).alias("member"))
+    return search.overlap_pairs(s, 0.5)
+
+
+@query(""", r AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS island FROM events)
+SELECT user_id, event_type, max(n) AS longest FROM (SELECT user_id, event_type, island, count(*) AS n FROM r GROUP BY ALL) GROUP BY ALL""")
+def digest_streaks(spark, d):
+    return search.streaks(table(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type")
+
+
+_NORM = "trim(regexp_replace(line, '[\\x20\\x09-\\x0D]+', ' ', 'g'))"
+
+
+@query(f", n AS (SELECT {_NORM} AS line FROM lines) SELECT line, count(*) AS occurrences FROM n WHERE line <> '' GROUP BY line HAVING count(*) > 1 ORDER BY occurrences DESC, line LIMIT 8")
+def digest_repeated_lines(spark, d):
+    return digest.repeated_lines(lines(spark, d), 8)
+
+
+@query(f""", n AS (SELECT {_NORM} AS line FROM lines), t AS (SELECT line, regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '\\b[0-9a-f]{{7,40}}\\b', '<hash>', 'g'), '(/[A-Za-z0-9_.-]+){{2,}}', '<path>', 'g'), '\\b[0-9]+(\\.[0-9]+){{2,}}\\b', '<version>', 'g'), '[0-9]+', '<n>', 'g') AS template FROM n WHERE line <> ''),
+f AS (SELECT template, count(*) AS occurrences, count(DISTINCT line) AS distinct_lines FROM t GROUP BY template ORDER BY occurrences DESC, template LIMIT 12)
+SELECT *, CASE WHEN regexp_matches(lower(template), 'error|fail|panic|exception') THEN 'error' WHEN regexp_matches(lower(template), 'warn|deprecated') THEN 'warning' ELSE 'plain' END AS signal FROM f""")
+def digest_line_families(spark, d):
+    return digest.families(lines(spark, d), 12)
+
+
+_RUNS = ", runs AS (SELECT event_type AS metric, date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS run_no, avg(value) AS value FROM events GROUP BY ALL)"
+
+
+def _runs(spark, d):
+    e = table(spark, d, "events")
+    return e.groupBy(F.col("event_type").alias("metric"), F.unix_date(F.col("ts").cast("date")).alias("run_no")).agg(F.avg("value").alias("value"))
+
+
+@query(_RUNS + """, r AS (SELECT *, lead(value) OVER w AS previous, row_number() OVER w AS place FROM runs WINDOW w AS (PARTITION BY metric ORDER BY run_no DESC))
+SELECT metric, round(previous, 6) AS previous, round(value, 6) AS current, round(value - previous, 6) AS delta, CASE WHEN abs(previous) > 1e-9 THEN round((value - previous) / previous * 100, 6) END AS percent,
+CASE WHEN abs(value - previous) <= 1e-9 THEN 'flat' WHEN value > previous THEN 'up' ELSE 'down' END AS trend FROM r WHERE place = 1 AND previous IS NOT NULL""")
+def digest_metric_deltas(spark, d):
+    return digest.metric_deltas(_runs(spark, d))
+
+
+@query(_RUNS + " SELECT metric, round(quantile_cont(value, 0.5), 6) AS median, count(*) AS samples FROM runs GROUP BY metric")
+def gate_medians(spark, d):
+    return digest.medians(_runs(spark, d), ["metric"])
+
+
+@query(""", m AS (SELECT event_type AS workload, CASE user_id % 3 WHEN 0 THEN 'base' WHEN 1 THEN 'left' ELSE 'right' END AS backend, round(quantile_cont(value, 0.5), 6) AS median, count(*) AS samples FROM events GROUP BY ALL)
+SELECT c.backend AS candidate, c.workload, b.median AS base_median, c.median, CASE WHEN c.samples < 3 OR b.samples < 3 THEN 'insufficient' WHEN c.median <= b.median * (1 - 0.05) THEN 'beats' ELSE 'blocked' END AS verdict
+FROM m c JOIN m b ON b.backend = 'base' AND b.workload = c.workload WHERE c.backend <> 'base'""")
+def gate_promotion(spark, d):
+    backend = F.when(F.col("user_id") % 3 == 0, "base").when(F.col("user_id") % 3 == 1, "left").otherwise("right")
+    return digest.promotion_gate(table(spark, d, "events").select(F.col("event_type").alias("workload"), backend.alias("backend"), "value"), "base", 0.05)
+
+
+@query(" SELECT coalesce(a.k, r.k) AS key, CASE WHEN a.k IS NULL THEN 'repair' WHEN r.k IS NOT NULL OR 1000 - a.k < 100 THEN 'retain' ELSE 'sweep' END AS action FROM (SELECT doc_id AS k FROM documents WHERE doc_id % 4 <> 0) a FULL JOIN (SELECT DISTINCT doc_id AS k FROM labels) r ON a.k = r.k")
+def cas_garbage(spark, d):
+    a = table(spark, d, "documents").filter("doc_id % 4 <> 0").select(F.col("doc_id").alias("key"), F.col("doc_id").alias("at"))
+    return digest.collect_garbage(a, table(spark, d, "labels").select(F.col("doc_id").alias("key")), 1000, 100)
+
+
+@query(" SELECT coalesce(b.k, w.k) AS key, CASE WHEN w.k IS NOT NULL THEN w.v ELSE b.v END AS value FROM (SELECT c_custkey AS k, c_mktsegment AS v FROM customer) b FULL JOIN (SELECT c_custkey + 100 AS k, c_name AS v, c_custkey % 3 = 0 AS gone FROM customer WHERE c_custkey % 2 = 0) w ON b.k = w.k WHERE NOT coalesce(w.gone, false)")
+def overlay_resolution(spark, d):
+    c = table(spark, d, "customer")
+    w = c.filter("c_custkey % 2 = 0").select((F.col("c_custkey") + 100).alias("key"), F.col("c_name").alias("value"), (F.col("c_custkey") % 3 == 0).alias("gone"))
+    return digest.overlay(c.select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("value")), w)
+
+
+@query(" SELECT key, \"at\", size FROM (SELECT p_partkey AS key, p_partkey % 17 AS \"at\", p_size AS size, sum(p_size) OVER (ORDER BY p_partkey % 17, p_partkey ROWS UNBOUNDED PRECEDING) AS total FROM part WHERE p_size IS NOT NULL) WHERE total <= 5000")
+def cache_eviction(spark, d):
+    return digest.keep_while_fits(table(spark, d, "part").select(F.col("p_partkey").alias("key"), (F.col("p_partkey") % 17).alias("at"), F.col("p_size").alias("size")), 5000)
+
+
+@query(""", e AS (SELECT DISTINCT regexp_extract(lower(text), '[\\p{L}\\p{N}]+') AS entity, doc_id FROM documents)
+SELECT entity, count(*) AS mentions, min(doc_id) AS first_doc FROM e WHERE entity <> '' GROUP BY entity""")
+def kg_entities(spark, d):
+    first = F.regexp_extract(F.lower("text"), r"[\p{L}\p{N}]+", 0)
+    return table(spark, d, "documents").select(first.alias("entity"), "doc_id").distinct().filter("entity <> ''").groupBy("entity").agg(F.count(F.lit(1)).alias("mentions"), F.min("doc_id").alias("first_doc"))
+
+
+@query(" SELECT source, min(line_no) AS first_line, max(line_no) AS last_line, count(*) AS n_lines, count(DISTINCT doc_id) AS n_docs FROM lines JOIN documents USING (doc_id) GROUP BY source")
+def index_zone_maps(spark, d):
+    x = lines(spark, d).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    return x.groupBy("source").agg(F.min("line_no").cast("long").alias("first_line"), F.max("line_no").cast("long").alias("last_line"), F.count(F.lit(1)).alias("n_lines"), F.countDistinct("doc_id").alias("n_docs"))
+
+
+@query(" SELECT kind, id, label FROM (SELECT kind, id, label, row_number() OVER (PARTITION BY kind ORDER BY label, id) AS place FROM nodes) WHERE place <= 3")
+def graph_top_per_kind(spark, d):
+    place = F.row_number().over(Window.partitionBy("kind").orderBy("label", "id"))
+    return nodes(spark, d).select("kind", "id", "label").withColumn("place", place).filter("place <= 3").drop("place")
