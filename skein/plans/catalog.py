@@ -230,7 +230,7 @@ def memory_rank(spark, d):
 
 @query(""", s AS (SELECT doc_id % 50 AS file, 'd' || doc_id AS name, doc_id % 200 AS b, doc_id % 200 + n_chars % 300 AS e FROM documents), p AS (SELECT DISTINCT event_id % 50 AS file, event_id % 500 AS "at" FROM events),
 j AS (SELECT p.file, p."at", name, e - b AS size FROM p JOIN s ON p.file = s.file AND p."at" BETWEEN b AND e)
-SELECT file, "at", arg_min(name, (size, name)) AS name FROM j GROUP BY file, "at"""")
+SELECT file, "at", arg_min(name, (size, name)) AS name FROM j GROUP BY "at", file""")
 def join_innermost_span(spark, d):
     s = table(spark, d, "documents").select((F.col("doc_id") % 50).alias("file"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"), (F.col("doc_id") % 200).alias("begin"), (F.col("doc_id") % 200 + F.col("n_chars") % 300).alias("end"))
     p = table(spark, d, "events").select((F.col("event_id") % 50).alias("file"), (F.col("event_id") % 500).alias("at")).distinct()
