@@ -179,7 +179,8 @@ def fit(train: DataFrame, head: int = HEAD, depth: int = DEPTH) -> tuple[Tree, D
     floor = max(2, int(np.ceil(CONTEXT * n)))
     # words that may stand in contexts: at most 1 / CONTEXT, all in the head unless the head is smaller
     common = spark.sparkContext.broadcast(np.sort(_collected(counts.filter(F.col("n") >= floor), "word")[0].view(np.uint64)))
-    nexts = spark.sparkContext.broadcast(np.sort(_collected(counts.filter(F.col("n") >= max(2, int(np.ceil(NEXT * n)))), "word")[0].view(np.uint64)))
+    # words that transitions may lead to, of the head too: the others' part in P is the root's alone
+    nexts = spark.sparkContext.broadcast(np.sort(_collected(counts.filter(F.col("n") >= max(2, int(np.ceil(NEXT * n)), least)), "word")[0].view(np.uint64)))
 
     def deep(h, s):
         usual = _find(common.value, h)[1]
