@@ -40,10 +40,15 @@ def domain_of(host: Column) -> Column:
     return F.substring_index(host, ".", -2)
 
 
-def _strength(groups: DataFrame, parent: str) -> float:
-    """Pages that a parent's rate is worth for its members, by the method of moments; 1 to 1000, 10 if it can't be told."""
-    g = groups.groupBy(parent).agg(F.sum("n").alias("pn"), F.sum("bad").alias("pb")).filter("pn > 0").withColumn("p", (F.col("pb") + 0.5) / (F.col("pn") + 1))
-    j = groups.filter("n > 0").join(g, groups[parent].eqNullSafe(g[parent]))
+def _strength(groups: DataFrame, parent: str | None) -> float:
+    """Pages that a parent's rate is worth for its members, by the method of moments; 1 to 1000, 10 if it can't be told.
+    Without a parent column all groups have one parent."""
+    if parent is None:
+        whole = groups.agg(F.sum("n").alias("pn"), F.sum("bad").alias("pb")).first()
+        j = groups.filter("n > 0").withColumn("p", F.lit(((whole.pb or 0) + 0.5) / ((whole.pn or 0) + 1)))
+    else:
+        g = groups.groupBy(parent).agg(F.sum("n").alias("pn"), F.sum("bad").alias("pb")).filter("pn > 0").withColumn("p", (F.col("pb") + 0.5) / (F.col("pn") + 1))
+        j = groups.filter("n > 0").join(g, groups[parent].eqNullSafe(g[parent]))
     m = j.agg(F.sum(F.col("n") * (F.col("bad") / F.col("n") - F.col("p")) ** 2 / (F.col("p") * (1 - F.col("p")))).alias("s"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("t"), F.sum(F.col("n") * F.col("n")).alias("q")).first()
     if not m.k or m.k < 2 or m.t <= m.k:
         return 10.0
@@ -58,10 +63,10 @@ def reputations(hosts: DataFrame, z: float = 1.645) -> DataFrame:
     """
     hosts = hosts.withColumn("domain", domain_of(F.col("host")))
     domains = hosts.groupBy("domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("suffix", F.substring_index("domain", ".", -1))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("root", F.lit(1))
+    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     root = suffixes.agg(F.sum("n"), F.sum("bad")).first()
     mean = ((root[1] or 0) + 1) / ((root[0] or 0) + 2)
-    k_suffix, k_domain, k_host = _strength(suffixes, "root"), _strength(domains, "suffix"), _strength(hosts, "domain")
+    k_suffix, k_domain, k_host = _strength(suffixes, None), _strength(domains, "suffix"), _strength(hosts, "domain")
     suffixes = suffixes.select(F.col("suffix").alias("of"), ((F.col("bad") + k_suffix * mean) / (F.col("n") + k_suffix)).alias("prior"))
     domains = domains.join(suffixes, domains.suffix.eqNullSafe(suffixes["of"])).select(F.col("domain").alias("in_domain"), ((F.col("bad") + k_domain * F.col("prior")) / (F.col("n") + k_domain)).alias("prior"))
     a = F.col("bad") + k_host * F.col("prior")
