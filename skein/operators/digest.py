@@ -77,7 +77,30 @@ def overlay(base: DataFrame, writes: DataFrame) -> DataFrame:
     return j.filter(~F.coalesce("gone", F.lit(False))).select("key", F.when(F.col("written"), F.col("new")).otherwise(F.col("old")).alias("value"))
 
 
-def keep_while_fits(rows: DataFrame, budget: int, order: str = "at", size: str = "size") -> DataFrame:
-    """Rows in order until the first that would pass the budget."""
-    w = Window.orderBy(order, "key").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("total", F.sum(size).over(w)).filter(F.col("total") <= budget).drop("total")
+def stack_groups(lines: DataFrame, frame: Column, least: int = 2) -> DataFrame:
+    """doc_id, first_line, n_frames of runs of consecutive lines that are frames; any other line closes a group.
+
+    Windows are by document, over its frames only.
+    """
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no"))
+    runs = lines.filter(frame).withColumn("run", F.col("line_no") - place).groupBy("doc_id", "run")
+    return runs.agg(F.min("line_no").cast("long").alias("first_line"), F.count(F.lit(1)).alias("n_frames")).filter(F.col("n_frames") >= least).drop("run")
+
+
+def session_costs(turns: DataFrame) -> DataFrame:
+    """session_id, input_tokens, output_tokens, total_tokens, largest_turn, input_share of (session_id, turn, role, tokens).
+
+    Null tokens count as 0; of equal turns the first is the largest; the share is a percentage to 2 places, null without tokens.
+    """
+    t = F.coalesce("tokens", F.lit(0))
+    own = lambda role: F.sum(F.when(F.col("role") == role, t).otherwise(0))
+    g = turns.groupBy("session_id").agg(own("user").alias("input_tokens"), own("assistant").alias("output_tokens"), F.sum(t).alias("total_tokens"), F.min(F.struct((-t).alias("neg"), "turn")).alias("top"))
+    share = F.when(F.col("total_tokens") > 0, F.round(100.0 * F.col("input_tokens") / F.col("total_tokens"), 2))
+    return g.select("session_id", "input_tokens", "output_tokens", "total_tokens", F.col("top.turn").alias("largest_turn"), share.alias("input_share"))
+
+
+def regressions(runs: DataFrame, drop: float = 5.0) -> DataFrame:
+    """metric, run_no, previous, value of runs whose value fell by ``drop`` or more since the metric's run before."""
+    w = Window.partitionBy("metric").orderBy("run_no")
+    r = runs.withColumn("previous", F.lag("value").over(w)).filter(F.col("previous") - F.col("value") >= drop)
+    return r.select("metric", "run_no", F.round("previous", 6).alias("previous"), F.round("value", 6).alias("value"))

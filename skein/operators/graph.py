@@ -145,6 +145,38 @@ def dead_code(edges: DataFrame, entries: list[str]) -> DataFrame:
     return dead.select("id", reason.alias("reason"))
 
 
+def health(edges: DataFrame) -> DataFrame:
+    """id, overall: the mean of connectivity, reachability, centrality and freedom from cycles, to 6 places; self loops are dropped.
+
+    For graphs of bounded node count, as ``closure``.
+    """
+    e = edges.filter("from_id <> to_id").select("from_id", "to_id").distinct()
+    reach, d = closure(e), durable(degrees(e))
+    n, m = d.agg(F.count(F.lit(1)), F.coalesce(F.sum("out_degree"), F.lit(0))).first()
+    ahead = reach.groupBy(F.col("a").alias("id")).agg(F.sum((F.col("a") != F.col("b")).cast("int")).alias("f"), F.max((F.col("a") == F.col("b")).cast("int")).alias("risk"))
+    back = reach.filter("a <> b").groupBy(F.col("b").alias("id")).agg(F.count(F.lit(1)).alias("g"))
+    f, g, risk = (F.coalesce(c, F.lit(0)) for c in ("f", "g", "risk"))
+    connectivity = F.least(F.lit(1.0), F.col("degree") / F.lit(float(min(2 * max(m / max(n, 1), 1), max(m, 1)))))
+    reachability = (f + g) / F.lit(2.0 * max(n - 1, 1))
+    centrality = (f + g + 2) / F.lit(2.0 * n) if n > 1 else F.lit(1.0)
+    overall = (connectivity + reachability + centrality + 1 - risk) / 4
+    return d.join(ahead, "id", "left").join(back, "id", "left").select("id", F.round(overall, 6).alias("overall"))
+
+
+def dependency_batches(edges: DataFrame) -> DataFrame:
+    """id, batch: what can run at once, from 0, when from_id goes before to_id; null on or behind a cycle. One round a batch."""
+    left = durable(edges.select("from_id", "to_id").distinct())
+    ids = durable(left.select(F.col("from_id").alias("id")).union(left.select("to_id")).distinct())
+    out, batch = ids.limit(0).withColumn("batch", F.lit(0)), 0
+    while True:
+        ready = durable(ids.join(left.select(F.col("to_id").alias("id")), "id", "left_anti"))
+        if ready.isEmpty():
+            return out.unionAll(ids.withColumn("batch", F.lit(None).cast("int")))
+        out = out.unionAll(ready.withColumn("batch", F.lit(batch)))
+        left = durable(left.join(ready.select(F.col("id").alias("from_id")), "from_id", "left_anti").select("from_id", "to_id"))
+        ids, batch = durable(ids.join(ready, "id", "left_anti")), batch + 1
+
+
 def coupling(edges: DataFrame, module) -> DataFrame:
     """module, fan_in, fan_out, instability: distinct modules on the other end of edges between modules."""
     m = edges.select(module(F.col("from_id")).alias("a"), module(F.col("to_id")).alias("b")).filter("a <> b").distinct()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.operators import digest, graph, search
+from skein.operators import budget, digest, graph, knowledge, search
 from skein.plans.fixtures import SQL, SQL_RECURSIVE, calls, dag, edges, lines, memory, nodes, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -307,9 +307,79 @@ def overlay_resolution(spark, d):
     return digest.overlay(c.select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("value")), w)
 
 
-@query(" SELECT key, \"at\", size FROM (SELECT p_partkey AS key, p_partkey % 17 AS \"at\", p_size AS size, sum(p_size) OVER (ORDER BY p_partkey % 17, p_partkey ROWS UNBOUNDED PRECEDING) AS total FROM part WHERE p_size IS NOT NULL) WHERE total <= 5000")
+def _fold(rows: str, size: str, limit: int) -> str:
+    """SQL of an ordered fold over ``rows`` (r from 1): what fits is kept, the rest skipped."""
+    return f""", p AS ({rows}), fold AS (SELECT CAST(0 AS BIGINT) AS r, CAST(0 AS BIGINT) AS used, false AS keep UNION ALL
+SELECT p.r, CASE WHEN used + {size} <= {limit} THEN used + {size} ELSE used END, used + {size} <= {limit} FROM fold JOIN p ON p.r = fold.r + 1)"""
+
+
+@query(_fold("SELECT p_partkey AS key, p_partkey % 17 AS at_, p_size AS size, row_number() OVER (ORDER BY p_partkey % 17, p_partkey) AS r FROM part WHERE p_size IS NOT NULL", "size", 5000) + ' SELECT key, at_ AS "at", size FROM fold JOIN p USING (r) WHERE keep', recursive=True)
 def cache_eviction(spark, d):
-    return digest.keep_while_fits(table(spark, d, "part").select(F.col("p_partkey").alias("key"), (F.col("p_partkey") % 17).alias("at"), F.col("p_size").alias("size")), 5000)
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("key"), (F.col("p_partkey") % 17).alias("at"), F.col("p_size").alias("size"))
+    return budget.greedy_fill(rows, 5000, ["at", "key"])
+
+
+_TURNS = "SELECT conv_id || ':' || turn AS id, conv_id, turn, CAST(ceil(strlen(trim(text)) / 4.0) AS BIGINT) AS tokens FROM conversations"
+
+
+@query(_fold(f"SELECT *, row_number() OVER (ORDER BY conv_id, turn) AS r FROM ({_TURNS}) WHERE tokens <= 200", "tokens", 4000) + f""" SELECT id, tokens, CASE WHEN tokens > 200 THEN 'too_large' WHEN keep THEN 'include' ELSE 'over_budget' END AS decision
+FROM ({_TURNS}) LEFT JOIN (SELECT id, keep FROM fold JOIN p USING (r)) USING (id)""", recursive=True)
+def memory_handoff_plan(spark, d):
+    rows = memory(spark, d).select("id", "session_id", "observed_at", search.token_estimate(F.col("text")).alias("tokens"))
+    return budget.handoff_plan(rows, 4000, 200, ["session_id", "observed_at"])
+
+
+@query(_REACH.format("dag") + """, ids AS (SELECT caller AS id FROM e UNION SELECT callee FROM e), n AS (SELECT count(*) AS n FROM ids), m AS (SELECT count(*) AS m FROM e),
+s AS (SELECT id, (SELECT count(*) FROM e WHERE callee = id OR caller = id) AS deg, (SELECT count(*) FROM reach WHERE a = id AND b <> id) + (SELECT count(*) FROM reach WHERE b = id AND a <> id) AS fg, (SELECT count(*) FROM reach WHERE a = id AND b = id) AS risk FROM ids)
+SELECT id, round((least(1.0, deg / least(2 * greatest(m / n, 1), greatest(m, 1))) + fg / (2.0 * (n - 1)) + (fg + 2) / (2.0 * n) + 1 - risk) / 4, 6) AS overall FROM s, n, m""", recursive=True)
+def graph_health(spark, d):
+    return graph.health(dag(spark, d).select(F.col("caller").alias("from_id"), F.col("callee").alias("to_id")))
+
+
+@query(""", steps AS (SELECT caller AS id, 0 AS batch FROM dag UNION SELECT callee, batch + 1 FROM steps JOIN dag ON caller = id) SELECT id, max(batch) AS batch FROM steps GROUP BY id""", recursive=True)
+def graph_dependency_batches(spark, d):
+    return graph.dependency_batches(dag(spark, d).select(F.col("caller").alias("from_id"), F.col("callee").alias("to_id")))
+
+
+_CONCEPTS = """, t AS (SELECT list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+'), lambda x: len(x) >= 3), lambda x: lower(x))))[1:8] AS t FROM documents)"""
+
+
+@query(_CONCEPTS + " SELECT label, confidence, count(*) AS n FROM (SELECT unnest(t) AS label, CAST(0.5 AS DOUBLE) AS confidence FROM t UNION ALL SELECT 'text', 0.1 FROM t WHERE len(t) = 0) GROUP BY ALL")
+def kg_hash_entities(spark, d):
+    return knowledge.entities(table(spark, d, "documents")).groupBy("label", "confidence").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_CONCEPTS + " SELECT t[k] AS from_label, t[k + 1] AS to_label, count(*) AS n FROM (SELECT t, unnest(range(1, len(t))) AS k FROM t) GROUP BY ALL")
+def kg_hash_relations(spark, d):
+    return knowledge.relations(table(spark, d, "documents")).groupBy("from_label", "to_label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(", known AS (SELECT id FROM nodes WHERE kind <> 'region') SELECT DISTINCT * FROM (SELECT *, from_id AS missing FROM edges WHERE from_id NOT IN (FROM known) UNION ALL SELECT *, to_id FROM edges WHERE to_id NOT IN (FROM known))")
+def kg_missing_ends(spark, d):
+    return knowledge.missing_ends(edges(spark, d), nodes(spark, d).filter("kind <> 'region'"))
+
+
+@query(" SELECT count(*) AS n_rows, CAST(sum(CAST('0x' || substr(md5(from_id || '|' || kind || '|' || to_id), 1, 12) AS BIGINT)) AS VARCHAR) AS digest FROM edges")
+def projection_snapshot_hash(spark, d):
+    return knowledge.snapshot_hash(edges(spark, d), ["from_id", "kind", "to_id"])
+
+
+@query(", f AS (SELECT doc_id, line_no, line_no - row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM lines WHERE length(line) BETWEEN 1 AND 60) SELECT doc_id, min(line_no) AS first_line, count(*) AS n_frames FROM f GROUP BY doc_id, run HAVING count(*) >= 2")
+def digest_stack_groups(spark, d):
+    return digest.stack_groups(lines(spark, d), F.length("line").between(1, 60))
+
+
+@query(f", t AS (SELECT conv_id, turn, role, CAST(ceil(strlen(trim(text)) / 4.0) AS BIGINT) AS tokens FROM conversations)" + """
+SELECT conv_id AS session_id, CAST(sum(CASE WHEN role = 'user' THEN coalesce(tokens, 0) ELSE 0 END) AS BIGINT) AS input_tokens, CAST(sum(CASE WHEN role = 'assistant' THEN coalesce(tokens, 0) ELSE 0 END) AS BIGINT) AS output_tokens,
+CAST(sum(coalesce(tokens, 0)) AS BIGINT) AS total_tokens, arg_min(turn, (-coalesce(tokens, 0), turn)) AS largest_turn, CASE WHEN sum(coalesce(tokens, 0)) > 0 THEN round(100.0 * input_tokens / total_tokens, 2) END AS input_share FROM t GROUP BY conv_id""")
+def session_costs(spark, d):
+    c = table(spark, d, "conversations")
+    return digest.session_costs(c.select(F.col("conv_id").alias("session_id"), "turn", "role", search.token_estimate(F.col("text")).alias("tokens")))
+
+
+@query(_RUNS + """, r AS (SELECT *, lag(value) OVER (PARTITION BY metric ORDER BY run_no) AS previous FROM runs) SELECT metric, run_no, round(previous, 6) AS previous, round(value, 6) AS value FROM r WHERE previous - value >= 5""")
+def digest_regressions(spark, d):
+    return digest.regressions(_runs(spark, d))
 
 
 @query(""", e AS (SELECT DISTINCT regexp_extract(lower(text), '[\\p{L}\\p{N}]+') AS entity, doc_id FROM documents)
