@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.durable import durable
 
 
-def _minimum(edges: DataFrame) -> DataFrame:
-    return edges.groupBy(F.col("u").alias("at")).agg(F.min("v").alias("m"))
+#: A node's edges are dealt over so many tasks; only as many rows a node meet in one task.
+SALTS = 64
+
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """(u, v, m): each edge with the least neighbor of its u, the edges of one u spread by a hash of v."""
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    part = salted.groupBy("u", "salt").agg(F.min("v").alias("m"))
+    least = part.withColumn("m", F.min("m").over(Window.partitionBy("u")))
+    return salted.join(least, ["u", "salt"]).select("u", "v", "m")
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -27,11 +35,9 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     state = _state(e)
     while True:
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_minimum(both), F.col("u") == F.col("at")).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
-        low = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = _minimum(low)
-        small = low.join(least, F.col("u") == F.col("at")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = durable(small.unionAll(least.select(F.col("at").alias("u"), F.col("m").alias("v"))).distinct())
+        large = _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        small = _with_least(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+        e = durable(small.select(F.when(F.col("v") != F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v")).distinct())
         now = _state(e)
         if now == state:
             break
