@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.operators import budget, digest, graph, knowledge, search
+from skein.operators import budget, communities, digest, graph, knowledge, ranking, search, symbols
 from skein.plans.fixtures import SQL, SQL_RECURSIVE, calls, dag, edges, lines, memory, nodes, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -259,9 +259,24 @@ def digest_repeated_lines(spark, d):
     return digest.repeated_lines(lines(spark, d), 8)
 
 
-@query(f""", n AS (SELECT {_NORM} AS line FROM lines), t AS (SELECT line, regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '\\b[0-9a-f]{{7,40}}\\b', '<hash>', 'g'), '(/[A-Za-z0-9_.-]+){{2,}}', '<path>', 'g'), '\\b[0-9]+(\\.[0-9]+){{2,}}\\b', '<version>', 'g'), '[0-9]+', '<n>', 'g') AS template FROM n WHERE line <> ''),
-f AS (SELECT template, count(*) AS occurrences, count(DISTINCT line) AS distinct_lines FROM t GROUP BY template ORDER BY occurrences DESC, template LIMIT 12)
-SELECT *, CASE WHEN regexp_matches(lower(template), 'error|fail|panic|exception') THEN 'error' WHEN regexp_matches(lower(template), 'warn|deprecated') THEN 'warning' ELSE 'plain' END AS signal FROM f""")
+_FILL = r"""(CASE WHEN {c} = '' THEN {v} WHEN regexp_matches({c}, '[/\\]|[^./\\]\.(rs|py|ts|tsx|js|jsx|kt|zig|gd|java|md)$') THEN {o} || '<path>' || {e}
+WHEN regexp_matches({c}, '^(v[0-9]+(\.[0-9]+)+|[0-9]+(\.[0-9]+){{2,}})$') THEN {o} || '<ver>' || {e} WHEN length({c}) BETWEEN 7 AND 40 AND regexp_matches({c}, '^[0-9A-Fa-f]+$') AND regexp_matches({c}, '[A-Fa-f]') THEN {o} || '<hash>' || {e}
+WHEN regexp_matches({c}, '^[+-]*[0-9,]*\.?[0-9,]*[A-Za-z]*%?$') AND regexp_matches({c}, '^[^A-Za-z]*[0-9]') THEN {o} || '<n>' || {e} ELSE {v} END)"""
+
+
+def _fill(v: str) -> str:
+    start, end = "'^[(\\[{{\"'']+'", "'[)\\]}}\"'',;:]+$'"
+    return _FILL.format(v=v, c=f"regexp_replace(regexp_replace({v}, {start}, ''), {end}, '')", o=f"regexp_extract({v}, {start})", e=f"regexp_extract({v}, {end})").replace("{{", "{").replace("}}", "}")
+
+
+_KEY = "regexp_extract(x, '^[A-Za-z0-9_.-]+=')"
+_WORD = f"CASE WHEN regexp_matches(x, '^\\[[0-9]+\\]$') THEN '[<ts>]' WHEN {_KEY} = '' OR {_KEY} = x THEN {_fill('x')} ELSE {_KEY} || {_fill(f'substr(x, length({_KEY}) + 1)')} END"
+_ERROR = "'^(traceback|panic:|error |error\\[|failed |fatal:|caused by:|e   )| panicked at |exception|error:|test result: failed|segmentation fault|core dumped'"
+
+
+@query(f""", n AS (SELECT {_NORM} AS line FROM lines), d AS (SELECT line, count(*) AS n FROM n WHERE line <> '' GROUP BY line), w AS (SELECT line, n, array_to_string(list_transform(string_split(line, ' '), lambda x: {_WORD}), ' ') AS t FROM d),
+f AS (SELECT regexp_replace(t, '^([A-Z][A-Za-z]*) [A-Za-z0-9_-]*[A-Za-z][A-Za-z0-9_-]* <ver>( |$)', '\\1 <name> <ver>\\2') AS template, CAST(sum(n) AS BIGINT) AS occurrences, count(*) AS distinct_lines FROM w GROUP BY template ORDER BY occurrences DESC, template LIMIT 12)
+SELECT *, CASE WHEN regexp_matches(lower(trim(template)), {_ERROR}) THEN 'error' WHEN regexp_matches(lower(trim(template)), '^(warning:|warn:)| warning[ :]') THEN 'warning' ELSE 'plain' END AS signal FROM f""")
 def digest_line_families(spark, d):
     return digest.families(lines(spark, d), 12)
 
@@ -399,3 +414,92 @@ def index_zone_maps(spark, d):
 def graph_top_per_kind(spark, d):
     place = F.row_number().over(Window.partitionBy("kind").orderBy("label", "id"))
     return nodes(spark, d).select("kind", "id", "label").withColumn("place", place).filter("place <= 3").drop("place")
+
+
+_SCORED = """, k AS (SELECT from_id, to_id, CASE kind WHEN 'in_region' THEN 'semantic_relation' WHEN 'in_nation' THEN 'contains' ELSE 'placed' END AS kind FROM edges),
+both_ AS (SELECT from_id AS id, to_id AS other, kind, 8 AS way FROM k UNION ALL SELECT to_id, from_id, kind, 4 FROM k),
+s AS (SELECT id, other, way + CASE kind WHEN 'semantic_relation' THEN 368 WHEN 'contains' THEN 132 ELSE 80 END AS score FROM both_),
+f0 AS (SELECT * FROM (VALUES ('nation:3', 0), ('customer:1', 2)) v(id, seed_rank)), e0 AS (SELECT other AS id, score + 10 AS score FROM s JOIN f0 USING (id)), f1 AS (SELECT DISTINCT id FROM e0 WHERE id NOT IN (SELECT id FROM f0)),
+e1 AS (SELECT other AS id, score + 5 AS score FROM s JOIN f1 USING (id)), every AS (SELECT id, 1000000 - seed_rank AS score, 0 AS hops FROM f0 UNION ALL SELECT *, 1 FROM e0 UNION ALL SELECT *, 2 FROM e1)
+SELECT id, n.kind, n.label, any_value(seed_rank) AS seed_rank, min(hops) AS hops, CAST(max(score) AS BIGINT) AS score FROM every LEFT JOIN f0 USING (id) JOIN nodes n USING (id) GROUP BY ALL"""
+
+
+def _kinds(spark, d):
+    kind = F.when(F.col("kind") == "in_region", "semantic_relation").when(F.col("kind") == "in_nation", "contains").otherwise("placed")
+    return edges(spark, d).withColumn("kind", kind)
+
+
+@query(_SCORED + " ORDER BY seed_rank NULLS LAST, score DESC, id LIMIT 40")
+def graph_seeded_neighborhood(spark, d):
+    return ranking.seeded_neighborhood(nodes(spark, d), _kinds(spark, d), ["nation:3", "absent:0", "customer:1"], 2, 40)
+
+
+@query(", t AS (SELECT id, kind, length(label) AS tokens FROM nodes), p AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY tokens, id) AS place FROM t), q AS (SELECT *, sum(tokens) OVER (ORDER BY tokens, id ROWS UNBOUNDED PRECEDING) AS used FROM p WHERE place <= 12) SELECT id, kind, tokens FROM q WHERE used <= 400")
+def graph_output_budget(spark, d):
+    return ranking.output_budget(nodes(spark, d).select("id", "kind", F.length("label").alias("tokens")), ["tokens", "id"], 12, 400)
+
+
+@query()
+def graph_communities(spark, d):
+    """Which moves come first decides between communities of nearly equal modularity, so there is no SQL; tests use planted ones."""
+    return communities.communities(calls(spark, d).select(F.col("caller").alias("from_id"), F.col("callee").alias("to_id")))
+
+
+_PARTS = """, t AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda x: x <> '')) AS t FROM (SELECT replace(p_name, ' ', '_') || p_type AS name, p_brand AS file, p_partkey AS line FROM part))"""
+
+
+def _parts(spark, d):
+    return table(spark, d, "part").select(F.concat(F.translate("p_name", " ", "_"), "p_type").alias("name"), F.col("p_brand").alias("file"), F.col("p_partkey").alias("line"))
+
+
+@query(_PARTS + """, m AS (SELECT *, len(list_intersect(t, ['cold', 'widget', 'economy'])) AS k, lower(name) = 'cold_widgeteconomy' AS exact FROM t),
+f AS (SELECT * FROM m WHERE exact OR k >= 2 ORDER BY exact DESC, k DESC, len(t), lower(name), file, line LIMIT 60)
+SELECT name, file, line, exact, round(CASE WHEN exact THEN 1.0::DOUBLE ELSE 1.25 * (k / 3.0::DOUBLE) * (k / len(t)) / (0.25 * (k / 3.0::DOUBLE) + k / len(t)) END, 6) AS score FROM f""")
+def search_symbols(spark, d):
+    return symbols.symbol_search(_parts(spark, d), "cold_widgetEconomy", 60)
+
+
+@query(_PARTS + " SELECT line AS id, len(list_intersect(t, ['small', 'economy'])) AS shared FROM t WHERE shared > 0 ORDER BY shared DESC, id LIMIT 30")
+def search_overlap_rank(spark, d):
+    return symbols.overlap_rank(_parts(spark, d), "small economy", 30, "line", "name")
+
+
+_CLAIMS = """, c AS (SELECT DISTINCT 's' || l_suppkey AS target, CASE l_partkey % 4 WHEN 0 THEN 'file' WHEN 1 THEN 'config' WHEN 2 THEN 'symbol' ELSE 'test' END AS surface, l_partkey % 40 AS member FROM lineitem WHERE l_suppkey <= 30 AND l_orderkey % 7 = 0),
+m AS (SELECT x.target AS a, y.target AS b, count(*) FILTER (x.surface = 'file') AS files, count(*) FILTER (x.surface = 'config') AS config, count(*) FILTER (x.surface = 'symbol') AS symbols, count(*) FILTER (x.surface = 'test') AS tests FROM c x JOIN c y ON x.surface = y.surface AND x.member = y.member AND x.target < y.target GROUP BY ALL),
+p AS (SELECT *, 100 * files + 100 * config + 40 * symbols + 10 * tests AS score, CASE WHEN files > 0 OR config > 0 THEN 'fail_closed' WHEN symbols > 0 THEN 'high' WHEN tests > 0 THEN 'medium' ELSE 'low' END AS risk FROM m)"""
+
+
+def _claims(spark, d):
+    part = F.col("l_partkey") % 4
+    surface = F.when(part == 0, "file").when(part == 1, "config").when(part == 2, "symbol").otherwise("test")
+    l = table(spark, d, "lineitem").filter("l_suppkey <= 30 and l_orderkey % 7 = 0")
+    return l.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("target"), surface.alias("surface"), (F.col("l_partkey") % 40).alias("member"))
+
+
+@query(_CLAIMS + " SELECT * FROM p")
+def conflict_pairs(spark, d):
+    return symbols.conflicts(_claims(spark, d))
+
+
+@query(_CLAIMS + """, r AS (SELECT CASE WHEN length(a) <= length(b) THEN a ELSE b END AS by_, CASE WHEN length(a) <= length(b) THEN b ELSE a END AS of_ FROM p WHERE risk IN ('fail_closed', 'high')), t AS (SELECT DISTINCT target FROM c),
+o AS (SELECT target, coalesce((SELECT list_sort(list(of_)) FROM r WHERE by_ = target), []) AS blocks, coalesce((SELECT list_sort(list(by_)) FROM r WHERE of_ = target), []) AS blocked_by FROM t)
+SELECT target, array_to_string(blocks, ',') AS blocks, array_to_string(blocked_by, ',') AS blocked_by, len(blocks) + len(blocked_by) = 0 AS parallel_safe FROM o""")
+def conflict_schedule(spark, d):
+    c = _claims(spark, d)
+    out = symbols.schedule(c.select("target", F.length("target").alias("rank")).distinct(), symbols.conflicts(c))
+    return out.withColumn("blocks", F.array_join("blocks", ",")).withColumn("blocked_by", F.array_join("blocked_by", ","))
+
+
+@query(""", s AS (SELECT user_id AS session_id, date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS run_no, round(avg(value), 4) AS ratio, CAST(count(*) AS BIGINT) - 3 AS net, count(*) FILTER (event_type = 'error') AS regressions FROM events GROUP BY ALL),
+l AS (SELECT *, lag(ratio) OVER w AS r, lag(net) OVER w AS n, lag(regressions) OVER w AS g FROM s WINDOW w AS (PARTITION BY session_id ORDER BY run_no))
+SELECT session_id, run_no, 'ratio_drop' AS kind FROM l WHERE r - ratio >= 5 UNION ALL SELECT session_id, run_no, 'net_drop' FROM l WHERE (n >= 0 AND net < 0) OR (n > 0 AND net * 2 < n) UNION ALL SELECT session_id, run_no, 'regressions_rise' FROM l WHERE regressions > g""")
+def digest_cache_regressions(spark, d):
+    e = table(spark, d, "events").groupBy(F.col("user_id").alias("session_id"), F.unix_date(F.col("ts").cast("date")).alias("run_no"))
+    return digest.cache_regressions(e.agg(F.round(F.avg("value"), 4).alias("ratio"), (F.count(F.lit(1)) - 3).alias("net"), F.count_if(F.col("event_type") == "error").alias("regressions")))
+
+
+@query(""", g AS (SELECT event_type AS strategy, avg(CASE WHEN user_id % 2 = 0 THEN 1 ELSE 0 END) AS found_rate, avg(user_id % 5) AS useful_hits, avg(CASE WHEN user_id % 3 = 0 THEN 1 ELSE 0 END) AS empty_rate, avg(value) AS v FROM events GROUP BY event_type)
+SELECT strategy, row_number() OVER (ORDER BY found_rate DESC, useful_hits DESC, empty_rate, v, strategy) AS place, round(found_rate, 6) AS found_rate FROM g""")
+def gate_retrieval_strategies(spark, d):
+    runs = table(spark, d, "events").select(F.col("event_type").alias("strategy"), (F.col("user_id") % 2 == 0).alias("found"), (F.col("user_id") % 5).alias("useful_hits"), (F.col("user_id") % 3).alias("output_tokens"), F.col("value").alias("estimated_tokens"), F.lit(1).alias("tool_calls"), F.lit(1).alias("latency_ms"))
+    return digest.strategy_ranks(runs).select("strategy", "place", F.round("found_rate", 6).alias("found_rate"))
