@@ -110,3 +110,31 @@ def streaks(rows: DataFrame, by: str, order: list[str], value: str) -> DataFrame
     v = Window.partitionBy(by, value).orderBy(*order)
     r = rows.withColumn("island", F.row_number().over(w) - F.row_number().over(v))
     return r.groupBy(by, value, "island").agg(F.count(F.lit(1)).alias("n")).groupBy(by, value).agg(F.max("n").alias("longest"))
+
+
+def memory_candidates(events: DataFrame, query: str, limit: int) -> DataFrame:
+    """id, score of the events to rank: the best by BM25, then the latest of the others (with a null score).
+
+    From a limit of 8 a quarter is left for the latest. Only the query's first 16 distinct terms of two or more characters
+    count; without terms all are the latest. ``events`` has id, text, observed_at; a null time is the oldest; ties go by id.
+    """
+    terms = [w for w in dict.fromkeys(query.lower().split()) if len(w) > 1][:16]
+    share = limit - (limit // 4 if limit >= 8 else 0)
+    best = bm25(events, " ".join(terms), share, "id", "text")
+    late = events.join(best.select("id"), "id", "left_anti").orderBy(F.desc_nulls_last("observed_at"), "id").limit(limit)
+    both = best.select("id", "score", F.lit(0).alias("late"), F.lit(None).cast("long").alias("at")).unionAll(late.select("id", F.lit(None).cast("double"), F.lit(1), F.col("observed_at").cast("long")))
+    return both.orderBy("late", F.desc("score"), F.desc_nulls_last("at"), "id").limit(limit).select("id", "score")
+
+
+def retry_chunks(events: DataFrame, max_event: int, available: int) -> DataFrame:
+    """id, chunk (from 1), n_chunks, tokens of events (id, text) of more than ``max_event`` or ``available`` tokens.
+
+    A chunk has four bytes a token of the smaller bound; tokens are those of its bytes. Texts within both have no rows.
+    """
+    each = min(max_event, available)
+    if each <= 0:
+        raise ValueError("no tokens to fill")
+    size = F.octet_length(F.trim("text"))
+    n = F.ceil(size / F.lit(4 * each)).cast("int")
+    big = events.filter(F.ceil(size / 4) > each).select("id", size.alias("size"), n.alias("n_chunks"), F.explode(F.sequence(F.lit(1), n)).alias("chunk"))
+    return big.select("id", "chunk", "n_chunks", F.ceil(F.least(F.lit(4 * each), F.col("size") - 4 * each * (F.col("chunk") - 1)) / 4).cast("long").alias("tokens"))

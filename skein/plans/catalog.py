@@ -503,3 +503,17 @@ SELECT strategy, row_number() OVER (ORDER BY found_rate DESC, useful_hits DESC,
 def gate_retrieval_strategies(spark, d):
     runs = table(spark, d, "events").select(F.col("event_type").alias("strategy"), (F.col("user_id") % 2 == 0).alias("found"), (F.col("user_id") % 5).alias("useful_hits"), (F.col("user_id") % 3).alias("output_tokens"), F.col("value").alias("estimated_tokens"), F.lit(1).alias("tool_calls"), F.lit(1).alias("latency_ms"))
     return digest.strategy_ranks(runs).select("strategy", "place", F.round("found_rate", 6).alias("found_rate"))
+
+
+@query(""", t AS (SELECT conv_id || ':' || turn AS id, strlen(trim(text)) AS size FROM conversations), b AS (SELECT *, CAST(ceil(size / 200.0) AS INTEGER) AS n_chunks FROM t WHERE ceil(size / 4.0) > 50)
+SELECT id, chunk, n_chunks, CAST(ceil(least(200, size - 200 * (chunk - 1)) / 4.0) AS BIGINT) AS tokens FROM (SELECT *, unnest(range(1, n_chunks + 1)) AS chunk FROM b)""")
+def memory_retry_chunks(spark, d):
+    return search.retry_chunks(memory(spark, d), 80, 50)
+
+
+@query(""", t AS (SELECT id, observed_at, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS t FROM memory), s AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM t),
+f AS (SELECT id, len(t) AS size, w, len(list_filter(t, lambda x: x = w)) AS tf FROM t, (SELECT unnest(['the', 'and']) AS w)), df AS (SELECT w, count(*) FILTER (tf > 0) AS df FROM f GROUP BY w),
+b AS (SELECT id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS score FROM f JOIN df USING (w), s GROUP BY id HAVING score > 0 ORDER BY score DESC, id LIMIT 30),
+l AS (SELECT id, NULL AS score FROM memory WHERE id NOT IN (SELECT id FROM b) ORDER BY observed_at DESC, id LIMIT 40 - (SELECT count(*) FROM b)) SELECT * FROM b UNION ALL SELECT * FROM l""")
+def memory_candidates(spark, d):
+    return search.memory_candidates(memory(spark, d), "the a AND the", 40)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.operators import digest, ranking, symbols
 from skein.operators.communities import _weights, communities, modularity
-from skein.sources import code
+from skein.sources import code, manifest
 
 PY = '''import os
 
@@ -169,3 +169,22 @@ def test_gates(spark):
     samples = [(c, w, m + pick.random(), 10) for (c, w), m in ms.items() for _ in range(3)]
     got = digest.hop_cap_gate(spark.createDataFrame(samples, "cap int, workload string, ms double, rows int"))
     assert {tuple(r) for r in got.collect()} == {(128, "promote"), (256, "blocked"), (512, "insufficient")}
+
+
+def test_manifest(spark):
+    text = """# Decisions
+| ID | Status | Date | Decision | Source | Anchors | Supersedes | Related |
+|---|:---|---|---|---|---|---|---|
+| D1 | superseded | 2024-01-02 | old | - | a.rs, b.rs | - | |
+| D2 | accepted | 2024-02-03 | new | x.md | - | D1 | D9 |
+| D3 | proposed | 2024-13-03 | - | | | D2 | |
+| D4 | superseded | 2024-01-01 | lost | | | D4 | |
+| few | cells |
+"""
+    lines = spark.createDataFrame([(1, k, x) for k, x in enumerate(text.split("\n"))] + [(2, 0, "| D1 | x |")], "doc_id int, line_no int, line string")
+    rows = manifest.decisions(lines)
+    got = {r.id: r for r in rows.collect()}
+    assert set(got) == {"D1", "D2", "D3", "D4"} and got["D1"].anchors == ["a.rs", "b.rs"] and got["D1"].supersedes == [] and got["D1"].source is None
+    assert got["D2"].supersedes == ["D1"] and got["D2"].line_no == 4
+    assert {tuple(r) for r in manifest.faults(rows).collect()} == {("D2", "missing"), ("D3", "bad_date"), ("D3", "no_decision"), ("D3", "may_not_supersede"), ("D3", "target_not_superseded"), ("D4", "cycle")}
+    assert manifest.faults(rows.filter("id = 'x'")).count() == 0
