@@ -21,6 +21,10 @@ _CORES = [
 ]
 
 
+#: What every variable word has; others are left as they are without a further look.
+_VARIABLE = r"[0-9/\\]|\.[a-z]|[A-Fa-f]{7}"
+
+
 def _filled(word: Column) -> Column:
     """The word with its core, inside brackets, quotes and final punctuation, as a placeholder if the core is variable."""
     core = F.regexp_replace(F.regexp_replace(word, _OPEN, ""), _CLOSE, "")
@@ -43,7 +47,7 @@ def template(line: Column) -> Column:
     def one(word: Column) -> Column:
         key = F.regexp_extract(word, "^[A-Za-z0-9_.-]+=", 0)
         value = F.substring(word, F.length(key) + 1, F.length(word))
-        return F.when(word.rlike(r"^\[[0-9]+\]$"), "[<ts>]").when((key == "") | (value == ""), _filled(word)).otherwise(F.concat(key, _filled(value)))
+        return F.when(~word.rlike(_VARIABLE), word).when(word.rlike(r"^\[[0-9]+\]$"), "[<ts>]").when((key == "") | (value == ""), _filled(word)).otherwise(F.concat(key, _filled(value)))
 
     out = F.array_join(F.transform(F.split(normalize(line), " "), one), " ")
     return F.regexp_replace(out, r"^([A-Z][A-Za-z]*) [A-Za-z0-9_-]*[A-Za-z][A-Za-z0-9_-]* <ver>( |$)", "$1 <name> <ver>$2")

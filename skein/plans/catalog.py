@@ -270,7 +270,7 @@ def _fill(v: str) -> str:
 
 
 _KEY = "regexp_extract(x, '^[A-Za-z0-9_.-]+=')"
-_WORD = f"CASE WHEN regexp_matches(x, '^\\[[0-9]+\\]$') THEN '[<ts>]' WHEN {_KEY} = '' OR {_KEY} = x THEN {_fill('x')} ELSE {_KEY} || {_fill(f'substr(x, length({_KEY}) + 1)')} END"
+_WORD = f"CASE WHEN NOT regexp_matches(x, '[0-9/\\\\]|\\.[a-z]|[A-Fa-f]{{7}}') THEN x WHEN regexp_matches(x, '^\\[[0-9]+\\]$') THEN '[<ts>]' WHEN {_KEY} = '' OR {_KEY} = x THEN {_fill('x')} ELSE {_KEY} || {_fill(f'substr(x, length({_KEY}) + 1)')} END"
 _ERROR = "'^(traceback|panic:|error |error\\[|failed |fatal:|caused by:|e   )| panicked at |exception|error:|test result: failed|segmentation fault|core dumped'"
 
 
