@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.operators import budget, communities, digest, graph, knowledge, ranking, search, symbols
+from skein.operators import budget, digest, graph, knowledge, ranking, search, symbols
 from skein.plans.fixtures import SQL, SQL_RECURSIVE, calls, dag, edges, lines, memory, nodes, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -439,12 +439,6 @@ def graph_output_budget(spark, d):
     return ranking.output_budget(nodes(spark, d).select("id", "kind", F.length("label").alias("tokens")), ["tokens", "id"], 12, 400)
 
 
-@query()
-def graph_communities(spark, d):
-    """Which moves come first decides between communities of nearly equal modularity, so there is no SQL; tests use planted ones."""
-    return communities.communities(calls(spark, d).select(F.col("caller").alias("from_id"), F.col("callee").alias("to_id")))
-
-
 _PARTS = """, t AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda x: x <> '')) AS t FROM (SELECT replace(p_name, ' ', '_') || p_type AS name, p_brand AS file, p_partkey AS line FROM part))"""
 
 
