@@ -6,9 +6,10 @@ discounted probabilities of its frequent next words, and leaves the rest to its
 distribution of single words; so every state's distribution sums to one over the root's words. A word is scored in the
 state of the longest kept suffix of the words before it.
 
-Frequencies are shares of all training words, so the tree has at most 1/``CONTEXT`` states a depth and 1/``NEXT``
-transitions a depth however large the corpus is. Root counts of frequent words are broadcast up to a stated number; those of all
-other words, most of the vocabulary, are joined. Every count covers the whole training corpus.
+A context needs a least number of occurrences, whatever the corpus holds, so the tree grows with the corpus. It is a written
+table keyed by hash; grown, pruned and looked up by joins. Its most frequent entries are broadcast up to a stated number, and so
+are the root counts of frequent words; all others are joined. Bitmaps of fixed size spare rows that no join can match, and
+decide nothing: one that is full spares fewer. Every count covers the whole training corpus.
 """
 
 from __future__ import annotations
@@ -18,17 +19,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.durable import durable
+from skein.functions.durable import durable, stored
 from skein.llm.text import held_out, mix, pair, slices, texts, word_hashes
 
-DEPTH, CONTEXT, NEXT, DISCOUNT = 3, 1e-4, 2e-6, 0.5
+#: Words of a context at most, occurrences that a context and a transition need, and the discount of each count.
+DEPTH, CONTEXT, NEXT, DISCOUNT = 3, 5, 2, 0.5
 #: Cost of a transition in the divergence test, in nats of count times divergence.
 COST = 2.0
 #: Words whose root counts are broadcast, at most.
 HEAD = 1_000_000
+#: Entries of the tree (states and transitions) that are broadcast, at most.
+HOT = 2_000_000
+#: Bitmaps have 1 << BITS bits.
+BITS = 27
 #: The end token, a word that no text holds.
 END = np.uint64(0x6A09E667F3BCC909)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -47,15 +53,14 @@ def tokens(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def contexts(h: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
-    """Hash of the ``depth`` words before each token; 0 where the text has fewer before it."""
+    """Hash of the ``depth`` words before each token, that of all but its last word paired with the last; 0 where the text has fewer."""
     out = np.zeros(len(h), np.uint64)
     if len(h) <= depth:
         return out
-    with np.errstate(over="ignore"):
-        key = np.full(len(h) - depth, depth, np.uint64)
-        for k in range(depth):
-            key = mix(key * _ODD + h[k : k + len(key)])
-    out[depth:] = key | np.uint64(1)
+    key = np.zeros(len(h) - depth, np.uint64)
+    for k in range(depth):
+        key = _pairs(key, h[k : k + len(key)])
+    out[depth:] = key
     far = np.arange(len(h)) - np.repeat(starts[:-1], np.diff(starts))
     out[far < depth] = 0
     return out
@@ -101,9 +106,37 @@ def _collected(frame: DataFrame, *names: str) -> list[np.ndarray]:
     return [np.asarray(t.column(x).combine_chunks()) if t.num_rows else np.empty(0, np.int64) for x in names]
 
 
+def _bitmap(frame: DataFrame, name: str) -> np.ndarray:
+    """A bitmap of the top bits of column ``name``; of fixed size."""
+    at = F.shiftrightunsigned(F.col(name), 64 - BITS)
+    rows = frame.select(F.shiftright(at, 6).alias("block"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned({name}, {64 - BITS}) & 63 as int))").alias("bit"))
+    block, bits = _collected(rows.groupBy("block").agg(F.bit_or("bit").alias("bits")), "block", "bits")
+    out = np.zeros(1 << (BITS - 6), np.uint64)
+    out[block] = bits.view(np.uint64)
+    return out
+
+
+def _may(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys >> np.uint64(64 - BITS)
+    return (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)) == 1
+
+
+def _least(frame: DataFrame, most: int) -> int:
+    """The least power of two such that at most ``most`` rows have an n of it or above."""
+    sizes = {r.size: r.k for r in frame.groupBy(F.floor(F.log2("n")).alias("size")).agg(F.count(F.lit(1)).alias("k")).collect()}
+    least, held = 1 << 62, 0
+    for size in sorted(sizes, reverse=True):
+        held += sizes[size]
+        if held > most:
+            break
+        least = 1 << size
+    return least
+
+
 @dataclass
 class Tree:
-    """head: frequent words and their counts, sorted; per depth the states, their backoff weights, transitions and masses."""
+    """head: frequent words and their counts, sorted; per depth the frequent states and their log10 backoff weights, and the
+    frequent transitions with the log10 of how far their P exceeds the root's; bits: a bitmap of all other entries' keys."""
 
     n: int
     v: int
@@ -112,135 +145,157 @@ class Tree:
     states: list[np.ndarray]
     back: list[np.ndarray]
     moves: list[np.ndarray]
-    mass: list[np.ndarray]
+    over: list[np.ndarray]
+    bits: np.ndarray
 
     def parts(self, h: np.ndarray, starts: np.ndarray):
-        """Per token: root count (0 outside the head), whether it is in the head, log10 of the root's part in P, and log10 P
-        without the root's part for tokens outside the head."""
+        """Per token: whether it is in the head, log10 of the root's P (add-one of count 0 outside the head), log10 P, log10 of how far
+        P exceeds the root's, and the open look-ups: token, slot (twice the depth, one more for a transition), key (0 if known), value.
+        All look-ups of a token that has an open one are listed; its P is without them."""
         place, known = _find(self.head, h)
         count = np.where(known, self.counts[place] if len(self.counts) else 0, 0)
-        root = (count + 1) / (self.n + self.v + 1)
-        p, left = root.copy(), np.ones(len(h))
-        for d, (states, back, moves, mass) in enumerate(zip(self.states, self.back, self.moves, self.mass, strict=True), 1):
-            if not len(states):
-                continue
-            c = contexts(h, starts, d)
-            at, hit = _find(states, c)
-            where = np.flatnonzero(hit)
-            b = back[at[where]]
-            to, there = _find(moves, _pairs(c[where], h[where]))
-            m = np.where(there, mass[to] if len(mass) else 0.0, 0.0)
-            p[where] = m + b * p[where]
-            left[where] *= b
-        return known, np.log10(root), np.log10(p), np.log10(left)
-
-
-def _grow(next_counts: tuple[np.ndarray, np.ndarray, np.ndarray], whole: dict[int, int], parents: dict[int, int], depth_of: dict[int, int], n: int, v: int, words: dict[int, int]) -> tuple:
-    """Keeps the states that pass the divergence test, with their suffixes."""
-    follow: dict[int, dict[int, int]] = {}
-    for c, w, k in zip(*(x.tolist() for x in next_counts), strict=True):
-        follow.setdefault(c, {})[w] = k
-    kept: set[int] = set()
-
-    def probability(c: int, w: int) -> float:
-        """Under the whole tree below: the state's own discounted estimate over its suffix's."""
-        if c == 0:
-            return (words.get(w, 0) + 1) / (n + v + 1)
-        total, mine = whole[c], follow.get(c, {})
-        held = sum(mine.values()) - DISCOUNT * len(mine)
-        own = max(mine.get(w, 0) - DISCOUNT, 0) / total if w in mine else 0.0
-        return own + (1 - held / total) * probability(parents[c], w)
-
-    for c in sorted(follow, key=lambda x: (depth_of[x], x)):
-        mine = follow[c]
-        gain = sum(k * np.log((k / whole[c]) / probability(parents[c], w)) for w, k in mine.items())
-        if gain > COST * len(mine):
-            while c:
-                kept.add(c)
-                c = parents[c]
-    return follow, kept
+        root = np.log10((count + 1) / (self.n + self.v + 1))
+        more, alive, unsure, tried = np.zeros(len(h)), np.arange(len(h)), np.zeros(len(h), bool), []
+        for d, (states, back, moves, over) in enumerate(zip(self.states, self.back, self.moves, self.over, strict=True), 1):
+            c = contexts(h, starts, d)[alive]
+            state = c ^ _ODD
+            at, hit = _find(states, state)
+            late = ~hit & (c != 0) & _may(self.bits, state)
+            on = hit | late  # a kept state's suffixes are kept, so no longer context can be where this one isn't
+            alive, c, state, at, hit, late = (x[on] for x in (alive, c, state, at, hit, late))
+            weight = np.where(hit, back[at] if len(back) else 0.0, 0.0)
+            key = _pairs(c, h[alive])
+            to, there = _find(moves, key)
+            open_ = ~there & _may(self.bits, key)
+            value = np.where(there, over[to] if len(over) else 0.0, 0.0)
+            more[alive] = np.where(there, value, more[alive] + weight)
+            unsure[alive] |= late | open_
+            zero = np.uint64(0)
+            tried.append((alive, np.full(len(c), 2 * d), np.where(late, state, zero), weight, hit | late))
+            tried.append((alive, np.full(len(c), 2 * d + 1), np.where(open_, key, zero), value, there | open_))
+        left = [[x[unsure[token] & some] for x in (token, slot, key, value)] for token, slot, key, value, some in tried]
+        token, slot, key, value = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (zip(*left, strict=True) if left else [()] * 4))
+        order = np.argsort(token, kind="stable")
+        more[unsure] = 0.0
+        return known, root, root + more, more, (token[order], slot[order], key[order], value[order])
+
+
+def _paired(rows: DataFrame) -> DataFrame:
+    """context, word, n with the context that both make up and that of the word alone."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c, w = (np.asarray(b.column(x)).view(np.uint64) for x in ("context", "word"))
+            yield pa.RecordBatch.from_arrays([*b.columns, _signed(_pairs(c, w)), _signed(_pairs(np.zeros(len(w), np.uint64), w))], ["context", "word", "n", "longer", "alone"])
 
-def fit(train: DataFrame, head: int = HEAD, depth: int = DEPTH) -> tuple[Tree, DataFrame]:
-    """The tree of the texts in ``train`` (doc_id, text), and the root counts (word, n) of all words."""
+    return rows.select("context", "word", "n").mapInArrow(run, "context long, word long, n long, longer long, alone long")
+
+
+def _kept(states: DataFrame, depth: int) -> DataFrame:
+    """The contexts of (context, above, depth, passes) that pass, with their suffixes."""
+    found = states.filter(F.col("passes") & (F.col("depth") == depth)).select("context", "above", "depth")
+    level = found
+    for d in range(depth - 1, 0, -1):
+        below = level.select(F.col("above").alias("context")).distinct().withColumn("needed", F.lit(True))
+        level = states.filter(F.col("depth") == d).join(below, "context", "left").filter(F.col("passes") | F.col("needed")).select("context", "above", "depth")
+        found = found.unionAll(level)
+    return found.select("context")
+
+
+def _follows(train: DataFrame, d: int, states: DataFrame, words: np.ndarray, below: DataFrame | None) -> DataFrame:
+    """context, word, n of the words that follow contexts of ``d`` words ``NEXT`` times or more.
+
+    What follows a context so often follows its suffix so often, so the bitmaps lose none.
+    """
+    broadcast = train.sparkSession.sparkContext.broadcast
+    frequent, words = broadcast(_bitmap(states, "context")), broadcast(words)
+    shorter = broadcast(None if below is None else _bitmap(below, "longer"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, limit=8 << 20):
+            h, starts = tokens(texts(b))
+            c = contexts(h, starts, d)
+            on = np.flatnonzero((c != 0) & _may(words.value, h) & _may(frequent.value, c))
+            if shorter.value is not None:
+                on = on[_may(shorter.value, _pairs(contexts(h, starts, d - 1)[on], h[on]))]
+            c, w = c[on], h[on]
+            _, at, k = np.unique(_pairs(c, w), return_index=True, return_counts=True)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([_signed(c[at]), _signed(w[at]), pa.array(k.astype(np.int32))], ["context", "word", "k"])
+
+    return train.mapInArrow(run, "context long, word long, k int").groupBy("context", "word").agg(F.sum("k").alias("n")).filter(F.col("n") >= NEXT)
+
+
+def grow(train: DataFrame, counts: DataFrame, n: int, v: int, depth: int) -> DataFrame:
+    """The tree's table: key, slot, n, value of its states (log10 backoff weight) and transitions (log10 of P over the root's)."""
+    inner = F.col("word") != int(END.view(np.int64))  # the end stands in no context
+    roots = counts.select("word", ((F.col("n") + 1) / F.lit(float(n + v + 1))).alias("root"))
+    words = _bitmap(counts.filter(F.col("n") >= NEXT), "word")
+    first = counts.filter((F.col("n") >= CONTEXT) & inner).withColumn("context", F.lit(0).cast("long"))
+    states = durable(_paired(first).select(F.col("longer").alias("context"), F.lit(0).cast("long").alias("above"), F.col("n").alias("whole")))
+    below, every, nodes = None, None, None
+    for d in range(1, depth + 1):
+        moves = _paired(stored(_follows(train, d, states, words, below), f"follows-{d}"))
+        fans = moves.groupBy("context").agg(F.count(F.lit(1)).alias("fan"), F.sum("n").alias("held"))
+        states = durable(states.join(fans, "context").withColumn("back", F.greatest(F.lit(1e-12), 1 - (F.col("held") - DISCOUNT * F.col("fan")) / F.col("whole"))))
+        level = moves.join(states.select("context", "above", "whole", "back"), "context").join(roots, "word")
+        if below is None:
+            level = level.withColumn("under", F.col("root")).withColumn("suffix", F.col("alone"))
+        else:
+            lower = below.select(F.col("context").alias("above"), "word", F.col("p").alias("under"), F.col("longer").alias("suffix"))
+            level = level.join(lower, ["above", "word"])
+        p = (F.col("n") - DISCOUNT) / F.col("whole") + F.col("back") * F.col("under")
+        below = stored(level.select("context", "word", "n", "whole", "root", "under", "longer", "suffix", p.alias("p")), f"level-{d}")
+        gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("whole") / F.col("under")))
+        gains = below.groupBy("context").agg((gain > COST * F.count(F.lit(1))).alias("passes"))
+        node = states.join(gains, "context").select("context", "above", "whole", "back", "passes", F.lit(d).alias("depth"))
+        arc = below.select("context", F.col("longer").alias("key"), F.lit(2 * d + 1).alias("slot"), "n", F.log10(F.col("p") / F.col("root")).alias("value"))
+        nodes, every = (node, arc) if nodes is None else (nodes.unionAll(node), every.unionAll(arc))
+        states = below.filter((F.col("n") >= CONTEXT) & inner).select(F.col("longer").alias("context"), F.col("suffix").alias("above"), F.col("n").alias("whole"))
+    nodes = durable(nodes)
+    kept = durable(_kept(nodes, depth))
+    held = nodes.join(kept, "context").select(F.col("context").bitwiseXOR(F.lit(int(_ODD.view(np.int64)))).alias("key"), (F.col("depth") * 2).alias("slot"), F.col("whole").alias("n"), F.log10("back").alias("value"))
+    return stored(held.unionAll(every.join(kept, "context").select("key", "slot", "n", "value")), "suffix-tree")
+
+
+def plant(train: DataFrame, head: int = HEAD, depth: int = DEPTH, hot: int = HOT) -> tuple[Tree, DataFrame, DataFrame]:
+    """The tree's frequent part, the root counts (word, n) of words outside the head, and the rest of the tree's table."""
     counts = durable(_counted(train, lambda h, s: [(h,)], ["word"]))
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    sizes = {r.size: r.k for r in counts.groupBy(F.floor(F.log2("n")).alias("size")).agg(F.count(F.lit(1)).alias("k")).collect()}
-    least, held = 1 << 62, 0
-    for size in sorted(sizes, reverse=True):
-        held += sizes[size]
-        if held > head:
-            break
-        least = 1 << size
+    least = _least(counts, head)
     top_words, top_n = _collected(counts.filter(F.col("n") >= least), "word", "n")
     order = np.argsort(top_words.view(np.uint64))
     top_words, top_n = top_words.view(np.uint64)[order], top_n[order]
-    spark = train.sparkSession
-    floor = max(2, int(np.ceil(CONTEXT * n)))
-    # words that may stand in contexts: at most 1 / CONTEXT, all in the head unless the head is smaller
-    common = spark.sparkContext.broadcast(np.sort(_collected(counts.filter(F.col("n") >= floor), "word")[0].view(np.uint64)))
-    # words that transitions may lead to, of the head too: the others' part in P is the root's alone
-    nexts = spark.sparkContext.broadcast(np.sort(_collected(counts.filter(F.col("n") >= max(2, int(np.ceil(NEXT * n)), least)), "word")[0].view(np.uint64)))
-
-    def deep(h, s):
-        usual = _find(common.value, h)[1]
-        run = np.zeros(len(h), np.int64)  # common words in a row before each token, up to depth
-        for d in range(1, depth + 1):
-            run[d:] += (run[d:] == d - 1) & usual[: max(len(h) - d, 0)]
-            c = contexts(h, s, d)
-            yield (c[(run >= d) & (c != 0)],)
-
-    seen = _counted(train, deep, ["context"]).filter(F.col("n") >= floor)
-    ctx, ctx_n = _collected(seen, "context", "n")
-    whole = dict(zip(ctx.view(np.uint64).tolist(), ctx_n.tolist(), strict=True))
-    frequent = spark.sparkContext.broadcast(np.sort(ctx.view(np.uint64)))
-
-    def follows(h, s):
-        usual = _find(nexts.value, h)[1]
-        cs = [contexts(h, s, d) for d in range(1, depth + 1)]
-        for d, c in enumerate(cs):
-            at = np.flatnonzero(usual & _find(frequent.value, c)[1] & (c != 0))
-            above = cs[d - 1][at] if d else np.zeros(len(at), np.uint64)
-            yield c[at], h[at], above
+    table = grow(train, counts, n, v, depth)
+    often = _least(table, hot)
+    key, slot, value = _collected(table.filter(F.col("n") >= often), "key", "slot", "value")
+    key = key.view(np.uint64)
+    order = np.argsort(key)
+    key, slot, value = key[order], slot[order], value[order]
+    cold = table.filter(F.col("n") < often)
+    pick = lambda x, odd: [x[slot == 2 * d + odd] for d in range(1, depth + 1)]
+    tree = Tree(n, v, top_words, top_n, pick(key, 0), pick(value, 0), pick(key, 1), pick(value, 1), _bitmap(cold, "key"))
+    return tree, counts.filter(F.col("n") < least), cold
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, limit=8 << 20):
-            for c, w, above in follows(*tokens(texts(b))):
-                _, at, k = np.unique(_pairs(c, w), return_index=True, return_counts=True)
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([_signed(c[at]), _signed(w[at]), _signed(above[at]), pa.array(k.astype(np.int64))], ["context", "word", "above", "n"])
-
-    moves = train.mapInArrow(run, "context long, word long, above long, n long").groupBy("context", "word", "above").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(2, int(np.ceil(NEXT * n))))
-    c, w, above, k = _collected(moves, "context", "word", "above", "n")
-    c, w, above = (x.view(np.uint64) for x in (c, w, above))
-    parents = dict(zip(c.tolist(), above.tolist(), strict=True))
-    depth_of: dict[int, int] = {0: 0}
-    for x in parents:
-        chain = []
-        while x not in depth_of:
-            chain.append(x)
-            x = parents.get(x, 0)
-        for y in reversed(chain):
-            depth_of[y] = depth_of[parents.get(y, 0)] + 1
-    moved = np.unique(w)
-    at, known = _find(top_words, moved)
-    words = dict(zip(moved[known].tolist(), top_n[at[known]].tolist(), strict=True))
-    follow, kept = _grow((c, w, k), whole, parents, depth_of, n, v, words)
-    tree = Tree(n, v, top_words, top_n, [], [], [], [])
+
+def fit(train: DataFrame, head: int = HEAD, depth: int = DEPTH) -> tuple[Tree, DataFrame]:
+    """The tree of the texts in ``train`` (doc_id, text), and the root counts (word, n) of words outside the head."""
+    return plant(train, head, depth)[:2]
+
+
+def _looked_up(scored: DataFrame, cold: DataFrame, depth: int) -> DataFrame:
+    """of, late: sums over a row's open tokens of the log10 of how far P exceeds the root's."""
+    asked = scored.filter(F.size("opened") > 0).select("row", F.inline("opened"))
+    found = asked.filter("key <> 0").join(cold.select("key", F.col("value").alias("found")), "key").select("row", "token", "slot", F.col("found").alias("value"))
+    every = asked.filter("key = 0").select("row", "token", "slot", "value").unionAll(found)
+    slots = [F.max(F.when(F.col("slot") == k, F.col("value"))).alias(f"s{k}") for k in range(2, 2 * depth + 2)]
+    total: Column = F.lit(0.0)
     for d in range(1, depth + 1):
-        states = np.array(sorted(x for x in kept if depth_of[x] == d), np.uint64)
-        back = np.array([1 - (sum(follow[x].values()) - DISCOUNT * len(follow[x])) / whole[x] for x in states.tolist()])
-        to = [(x, y, (j - DISCOUNT) / whole[x]) for x in states.tolist() for y, j in follow[x].items()]
-        keys = _pairs(np.array([t[0] for t in to], np.uint64), np.array([t[1] for t in to], np.uint64))
-        order = np.argsort(keys)
-        tree.states.append(states)
-        tree.back.append(np.maximum(back, 1e-12))
-        tree.moves.append(keys[order])
-        tree.mass.append(np.array([t[2] for t in to])[order])
-    return tree, counts.filter(F.col("n") < least)
-
-
-def score_texts(docs: DataFrame, hold: tuple[int, int] = (7, 2), head: int = HEAD, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        total = F.coalesce(F.when(F.col(f"s{2 * d}").isNotNull(), F.col(f"s{2 * d + 1}")), total + F.coalesce(F.col(f"s{2 * d}"), F.lit(0.0)))
+    return every.groupBy("row", "token").agg(*slots).select(F.col("row").alias("of_row"), total.alias("more")).groupBy("of_row").agg(F.sum("more").alias("late"))
+
+
+def score_texts(docs: DataFrame, hold: tuple[int, int] = (7, 2), head: int = HEAD, depth: int = DEPTH, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     Learns from all rows but those with crc32(id) mod hold[0] = hold[1]. base_score is the add-one score of single words,
@@ -249,27 +304,31 @@ def score_texts(docs: DataFrame, hold: tuple[int, int] = (7, 2), head: int = HEA
     every token has probability 1 by the stated formula. Words are known by 64-bit hashes.
     """
     rows = pair(docs, id_col, text_col).withColumn("held_out", held_out("doc_id", *hold))
-    tree, rare = fit(rows.filter("not held_out").select("doc_id", "text"), head, depth)
+    tree, rare, cold = plant(rows.filter("not held_out").select("doc_id", "text"), head, depth, hot)
     shared = docs.sparkSession.sparkContext.broadcast(tree)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
         for b in slices(batches):
             h, starts = tokens(texts(b))
-            known, root, p, left = t.parts(h, starts)
+            known, root, p, more, (token, slot, key, value) = t.parts(h, starts)
             add = lambda x: np.add.reduceat(x, starts[:-1])  # noqa: E731  every text has a token
             tail = np.flatnonzero(~known)
             of = np.searchsorted(starts, tail, "right") - 1
             cuts = np.searchsorted(of, np.arange(b.num_rows + 1))
             rest = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), _signed(h[tail]))
-            cols = [pa.array(np.diff(starts)), pa.array(add(known.astype(np.int64))), pa.array(add(np.where(known, root, 0.0))), pa.array(add(np.where(known, p, left))), rest]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), *cols], ["doc_id", "held_out", "n_tokens", "n_head", "base", "full", "rest"])
+            ends = np.searchsorted(token, starts)
+            opened = pa.StructArray.from_arrays([pa.array(token.astype(np.int32)), pa.array(slot.astype(np.int8)), _signed(key.astype(np.uint64)), pa.array(value.astype(np.float64))], ["token", "slot", "key", "value"])
+            opened = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), opened)
+            cols = [pa.array(np.diff(starts)), pa.array(add(known.astype(np.int64))), pa.array(add(np.where(known, root, 0.0))), pa.array(add(np.where(known, p, more))), rest, opened]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), *cols], ["doc_id", "held_out", "n_tokens", "n_head", "base", "full", "rest", "opened"])
 
-    scored = durable(rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_head long, base double, full double, rest array<long>"))
+    scored = durable(rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_head long, base double, full double, rest array<long>, opened array<struct<token:int,slot:byte,key:long,value:double>>"))
     scored = scored.withColumn("row", F.monotonically_increasing_id())
     rest = scored.filter(F.size("rest") > 0).select("row", F.explode("rest").alias("word")).groupBy("row", "word").agg(F.count(F.lit(1)).alias("k"))
     counted = rest.join(rare.withColumnRenamed("n", "c"), "word", "left")
     per_row = counted.groupBy(F.col("row").alias("of")).agg(F.sum(F.col("k") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(tree.n + tree.v + 1)))).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("n_rare"))
-    out = scored.drop("rest").join(per_row, F.col("row") == F.col("of"), "left")
+    out = scored.drop("rest", "opened").join(per_row, F.col("row") == F.col("of"), "left")
+    out = out.join(_looked_up(scored, cold, depth), F.col("row") == F.col("of_row"), "left")
     more = F.coalesce("more", F.lit(0.0))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_head") + F.coalesce("n_rare", F.lit(0))).alias("n_known"), F.lit(tree.n).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("full") + more).alias("score"))
+    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_head") + F.coalesce("n_rare", F.lit(0))).alias("n_known"), F.lit(tree.n).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("full") + more + F.coalesce("late", F.lit(0.0))).alias("score"))

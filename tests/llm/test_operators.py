@@ -310,6 +310,57 @@ def test_lm_distributions_sum_to_one(spark, docs):
         assert total + 1 / (tree.n + tree.v + 1) == pytest.approx(1, abs=1e-4)
     assert END in tree.head
 
+def test_lm_tree_grows_with_the_corpus(spark):
+    """A context of a few occurrences is a state however many other words there are, held in memory or joined."""
+    from skein.llm.suffix_tree import score_texts
+
+    phrase = "red fox ran home"
+    texts = [f"{phrase} x{k}" for k in range(12)] + [" ".join(f"f{k % 2}{j}" for j in range(5000)) for k in range(40)]
+    rows = [(k, x) for k, x in enumerate(texts)] + [(10_000, phrase), (10_001, "home ran fox red")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [{r.doc_id: r for r in score_texts(docs, hold=(1 << 40, 1), hot=hot).collect()} for hot in (1_000_000, 40, 0)]
+    for got in found:
+        assert got[10_000].base_score == pytest.approx(got[10_001].base_score)
+        assert got[10_000].score > got[10_001].score + 6
+        assert {k: r.score for k, r in got.items()} == pytest.approx({k: r.score for k, r in found[0].items()})
+
+
+def test_lm_matches_brute_force(spark, docs, rows):
+    """Scores against the tree grown in plain dictionaries, with all, some and none of it broadcast."""
+    from skein.llm.suffix_tree import CONTEXT, COST, DISCOUNT, NEXT, score_texts
+
+    lower = lambda t: [w.lower() for w in words(t)] + ["end"]
+    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
+    train = [lower(t) for i, t, _ in rows if not held(i)]
+    root = Counter(w for t in train for w in t)
+    n, v = sum(root.values()), len(root)
+    whole, follow = Counter(), defaultdict(Counter)
+    for t in train:
+        for k, w in enumerate(t):
+            for d in range(1, min(k, 3) + 1):
+                whole[tuple(t[k - d : k])] += 1
+                follow[tuple(t[k - d : k])][w] += 1
+    follow = {c: {w: k for w, k in f.items() if k >= NEXT} for c, f in follow.items() if whole[c] >= CONTEXT}
+    follow = {c: f for c, f in follow.items() if f}
+
+    def p(c, w, tree):
+        if not c:
+            return (root[w] + 1) / (n + v + 1)
+        if c not in tree:
+            return p(c[1:], w, tree)
+        f = tree[c]
+        back = max(1e-12, 1 - (sum(f.values()) - DISCOUNT * len(f)) / whole[c])
+        return max(f.get(w, 0) - DISCOUNT, 0) / whole[c] + back * p(c[1:], w, tree)
+
+    kept = {}
+    for c, f in follow.items():
+        if sum(k * math.log(k / whole[c] / p(c[1:], w, follow)) for w, k in f.items()) > COST * len(f):
+            for d in range(len(c)):
+                kept[c[d:]] = follow[c[d:]]
+    want = sorted(sum(math.log10(p(tuple(t[max(k - 3, 0) : k]), w, kept)) for k, w in enumerate(t)) for t in (lower(t) for _, t, _ in rows))
+    for options in ({}, {"hot": 300, "head": 50}, {"hot": 0}):
+        assert sorted(r.score for r in score_texts(docs, **options).collect()) == pytest.approx(want, rel=1e-6, abs=1e-6)
+
 
 def test_quality_counts(docs, rows, labels, empty):
     from skein.llm.quality import judge_quality
