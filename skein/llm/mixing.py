@@ -3,7 +3,7 @@
 Each source has a share of the budget and a ramp, its weight as a line over training time from 0 to 1. The
 integral of the ramp, scaled to the source's target, is the source's cumulative demand for words. Documents of
 a source stand in the order of a hash of their ids; the inverse of the demand at a document's first word is its
-training position. The mix is range-sorted by that position.
+training position, in its first serving and, further along the demand, in its second. The mix is range-sorted by position.
 
 A source's running sums are taken in two steps, so that no task holds a source: sums of narrow hash buckets,
 running sums over buckets, then running sums within each bucket.
@@ -52,15 +52,8 @@ def _position(done, rank, ramps) -> F.Column:
     return F.when(a == b, done).otherwise((F.sqrt(a * a + 2 * (b - a) * done) - a) / (b - a))
 
 
-def curriculum_mix(docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, cap: float = 2.0, ramps: tuple = RAMPS, keep: tuple = (), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target, taken, position of every row, in order of position.
-
-    The first ``floor(target)`` words of a source's documents, in hash order and then once more from the start, are
-    taken; so the last document may be taken in part, and no word more than ``cap`` times (2 at most are served).
-    position: training time in 0..1 of the first taken word; null (and last) for documents of which nothing is taken.
-    Null texts have size 0; null sources are one source, the last; a null id hashes as the empty text. Repeated rows
-    count each; equal hashes go by id, then size. An empty table gives no rows. Columns in ``keep`` come along.
-    """
+def _planned(docs: DataFrame, weights: tuple, share: float, cap: float, ramps: tuple, keep: tuple, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """Every row with what its two servings take (once, twice) and where they stand (at_once, at_twice; null if nothing)."""
     if cap > 2:
         raise ValueError("a document is taken twice at most")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("hash"), *[F.col(c).alias(f"kept_{c}") for c in keep])
@@ -77,12 +70,39 @@ def curriculum_mix(docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1
     rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
     r = rows.join(plan, rows.source.eqNullSafe(plan.of) & (rows.bucket == plan["at"]))
     r = r.withColumn("start", F.col("ahead") + F.col("inner")).withColumn("whole", F.floor("target"))
-    served = lambda x: F.greatest(F.lit(0), F.least(F.col("size"), F.col("whole") - x))
-    r = r.withColumn("taken", (served(F.col("start")) + served(F.col("start") + F.col("source_size"))).cast("long"))
-    r = r.withColumn("position", F.when(F.col("taken") > 0, _position(F.col("start") / F.col("target"), F.col("rank"), ramps)))
+    for name, x in (("once", F.col("start")), ("twice", F.col("start") + F.col("source_size"))):
+        r = r.withColumn(name, F.greatest(F.lit(0), F.least(F.col("size"), F.col("whole") - x)).cast("long"))
+        r = r.withColumn(f"at_{name}", F.when(F.col(name) > 0, _position(x / F.col("target"), F.col("rank"), ramps)))
+    return r
+
+
+def curriculum_mix(docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, cap: float = 2.0, ramps: tuple = RAMPS, keep: tuple = (), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """doc_id, size, source_size, target, taken, position of every row, in order of position.
+
+    The first ``floor(target)`` words of a source's documents, in hash order and then once more from the start, are
+    taken; so the last document may be taken in part, and no word more than ``cap`` times (2 at most are served).
+    position: training time in 0..1 of the first taken word; null (and last) for documents of which nothing is taken.
+    Null texts have size 0; null sources are one source, the last; a null id hashes as the empty text. Repeated rows
+    count each; equal hashes go by id, then size. An empty table gives no rows. Columns in ``keep`` come along.
+    Both servings are counted in taken; ``curriculum_servings`` has a row for each.
+    """
+    r = _planned(docs, weights, share, cap, ramps, keep, id_col, text_col, source_col)
+    r = r.withColumn("taken", F.col("once") + F.col("twice")).withColumn("position", F.col("at_once"))
     return r.orderBy(F.col("position").asc_nulls_last(), "hash").select("doc_id", "size", "source_size", "target", "taken", "position", *[F.col(f"kept_{c}").alias(c) for c in keep])
 
 
+def curriculum_servings(docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, cap: float = 2.0, ramps: tuple = RAMPS, keep: tuple = (), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """doc_id, size, source_size, target, serving, taken, position: ``curriculum_mix`` with a row a serving, in order of position.
+
+    Every row has its first serving (of 0 words, without a position, if nothing is taken), and its second where that takes words.
+    """
+    r = _planned(docs, weights, share, cap, ramps, keep, id_col, text_col, source_col)
+    one = lambda k, name: F.struct(F.lit(k).alias("serving"), F.col(name).alias("taken"), F.col(f"at_{name}").alias("position"))
+    r = r.withColumn("served", F.explode(F.when(F.col("twice") > 0, F.array(one(1, "once"), one(2, "twice"))).otherwise(F.array(one(1, "once")))))
+    kept = [F.col(f"kept_{c}").alias(c) for c in keep]
+    return r.select("doc_id", "size", "source_size", "target", "served.*", "hash", *kept).orderBy(F.col("position").asc_nulls_last(), "hash", "serving").drop("hash")
+
+
 ORACLE = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS rank FROM d GROUP BY source),

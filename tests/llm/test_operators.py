@@ -247,6 +247,27 @@ def test_mixing(docs, rows, empty):
     assert curriculum_mix(empty).count() == 0
 
 
+def test_mixing_places_second_servings(docs, rows):
+    """Read in order of position, a source's words taken up to any time are what its ramp demands, in both servings."""
+    from skein.llm.mixing import RAMPS, curriculum_mix, curriculum_servings
+
+    got = curriculum_servings(docs, keep=("source",)).collect()
+    assert sum(r.serving == 1 for r in got) == len(rows) and sum(r.serving == 2 for r in got) > 0
+    assert sum(r.taken for r in got) == sum(r.taken for r in curriculum_mix(docs).collect())
+    order = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or ""))
+    done, second = Counter(), Counter()
+    for r in got:
+        if r.taken:
+            a, b = RAMPS[order.index(r.source) % 3]
+            t = r.position
+            demand = r.target * (a * t + (b - a) * t * t / 2) / ((a + b) / 2)
+            assert 0 <= t <= 1 and demand == pytest.approx(done[r.source], abs=1e-3)
+            done[r.source] += r.taken
+            second[r.source] += r.serving == 2
+    at = [r.position for r in got if r.position is not None]
+    assert at == sorted(at) and sum(second.values()) > 0
+
+
 def test_url_rules(spark):
     from skein.llm.url_filter import RULES, filter_urls, page_outcomes
 
