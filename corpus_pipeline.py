@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from skein.functions.durable import stored
 from skein.llm.decontaminate import decontaminate
 from skein.llm.jaccard_join import keep_first
-from skein.llm.mixing import curriculum_mix
+from skein.llm.mixing import curriculum_servings
 from skein.llm.secrets import redact
 from skein.llm.toxicity import reject_toxic
 
@@ -33,8 +33,8 @@ def _secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with the words that the mix takes of it and its training position, in that order."""
-    return curriculum_mix(docs)
+    """Every document with its masked text, once a serving, with the words taken and its training position, in that order."""
+    return curriculum_servings(docs, keep=("text", "lang", "source", "n_chars"))
 
 
 STAGES = [

@@ -432,3 +432,17 @@ def test_pipeline(spark):
             assert 0 < held.count() <= docs.count()
     ids = {r.doc_id for r in out.collect()}
     assert ids == {r.doc_id for r in corpus_pipeline.run(spark, DIR).collect()} == {r.doc_id for r in held.collect()}
+
+
+def test_pipeline_returns_the_masked_texts(spark):
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    texts = ['key AKIAABCDEFGHIJKL12 stays "secret" here', "plain words alone", "more words of another source"]
+    docs = spark.createDataFrame([(k, x, "en", "ab"[k % 2], len(x)) for k, x in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    masked = stages["secrets"](spark, docs, DIR)
+    got = stages["mixing"](spark, masked, DIR).collect()
+    want = {r.doc_id: tuple(r) for r in masked.select("doc_id", "text", "lang", "source", "n_chars").collect()}
+    assert want[0][1] != texts[0] and {r.doc_id for r in got} == set(want)
+    assert all((r.doc_id, r.text, r.lang, r.source, r.n_chars) == want[r.doc_id] for r in got)
+    assert sum(r.serving == 2 for r in got) > 0
