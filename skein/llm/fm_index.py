@@ -1,5 +1,7 @@
 """A compressed FM-index over short sequences of integers: Burrows-Wheeler transform in a wavelet matrix.
 
+All that stays is the matrix's bits with their ranks, and a few counts a symbol. Suffixes are sorted by as many symbols
+as the longest pattern has, which leaves the ranges of all patterns up to that length whole.
 Built and searched with whole-array operations: a search runs for many patterns in step.
 """
 
@@ -25,65 +27,74 @@ class Bits:
 
 
 class FMIndex:
-    """Index of sequences, each at most ``2 ** rounds`` symbols long; symbols are 1 and up.
+    """Index of sequences for patterns of at most ``longest`` symbols; symbols are 1 to ``top``.
 
     A separator stands after each sequence; separators differ from each other in the suffix order, by sequence number,
-    so the order is whole, and are one symbol, 0, in the transform.
+    and are one symbol, 0, in the transform. ``owners``: a number of each sequence, kept in suffix order.
     """
 
-    def __init__(self, flat: np.ndarray, sizes: np.ndarray, rounds: int = 5):
-        n_seq, top = len(sizes), int(flat.max(initial=0))
-        ends = np.cumsum(sizes)
-        place = np.arange(len(flat)) + np.repeat(np.arange(n_seq), sizes)
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray, owners: np.ndarray, longest: int):
+        n_seq, self.top = len(sizes), int(flat.max(initial=0))
         text = np.zeros(len(flat) + n_seq, np.int64)
-        text[place] = flat
-        stops = ends + np.arange(n_seq)
-        self.place, n = place, len(text)
+        text[np.arange(len(flat)) + np.repeat(np.arange(n_seq), sizes)] = flat
+        stops, n = np.cumsum(sizes) + np.arange(n_seq), len(text)
         rank = text + n_seq
         rank[stops] = np.arange(n_seq)
-        self.gram = None  # ranks by the first 2 ** TABLE symbols, the table that searches start from
         step = 1
-        for k in range(rounds):
+        while step < longest:
             after = np.zeros(n, np.int64)
             after[: n - step] = rank[step:] + 1
-            _, rank = np.unique(rank * np.int64(n + n_seq + top + 2) + after, return_inverse=True)
+            _, rank = np.unique(rank * np.int64(n + n_seq + self.top + 2) + after, return_inverse=True)
             step *= 2
-            if k == TABLE - 1:
-                self.gram = rank
         order = np.argsort(rank, kind="stable")
-        self.order = order
-        self.where = np.empty(n, np.int64)
-        self.where[order] = np.arange(n)
+        self.owners = owners[np.repeat(np.arange(n_seq), sizes + 1)][order]
         bwt = text[order - 1]
-        counts = np.bincount(text, minlength=top + 2)
+        counts = np.bincount(text, minlength=self.top + 2)
         self.first = np.cumsum(counts) - counts
-        self.levels = max(1, top.bit_length())
-        self.bits = []
+        self.last = self.first + counts
+        self.bits, base, symbols = [], np.zeros(self.top + 2, np.int64), np.arange(self.top + 2)
+        self.levels = max(1, self.top.bit_length())
         for level in range(self.levels - 1, -1, -1):
             ones = (bwt >> level & 1).astype(bool)
-            self.bits.append(Bits(ones))
+            bits = Bits(ones)
+            self.bits.append(bits)
             bwt = np.concatenate([bwt[~ones], bwt[ones]])
-        edge = np.flatnonzero(np.concatenate([[True], self.gram[order][1:] != self.gram[order][:-1], [True]]))
-        self.edges = edge
-
-    def rank(self, symbols: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Occurrences of each symbol in the transform before lo, and before hi, from the position of the symbol's class on."""
-        base = np.zeros(len(symbols), np.int64)
-        for level, bits in zip(range(self.levels - 1, -1, -1), self.bits, strict=True):
-            one = (symbols >> level & 1).astype(bool)
-            a, b, c = bits.ones(lo), bits.ones(hi), bits.ones(base)
-            lo, hi, base = np.where(one, bits.zeros + a, lo - a), np.where(one, bits.zeros + b, hi - b), np.where(one, bits.zeros + c, base - c)
-        return lo - base, hi - base
-
-    def start(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ranges of the 2 ** TABLE symbols at places of the text, from the table."""
-        k = np.searchsorted(self.edges, self.where[at], "right") - 1
-        return self.edges[k], self.edges[k + 1]
+            up = bits.ones(base)
+            base = np.where(symbols >> level & 1, bits.zeros + up, base - up)
+        self.base = base  # where each symbol's run starts at the matrix's foot
 
     def back(self, symbols: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward search: ranges of each pattern with a symbol put before it."""
-        a, b = self.rank(symbols, lo, hi)
-        return self.first[symbols] + a, self.first[symbols] + b
-
-
-TABLE = 3
+        a, b = lo, hi
+        for level, bits in zip(range(self.levels - 1, -1, -1), self.bits, strict=True):
+            one = (symbols >> level & 1).astype(bool)
+            x, y = bits.ones(a), bits.ones(b)
+            a, b = np.where(one, bits.zeros + x, a - x), np.where(one, bits.zeros + y, b - y)
+        move = self.first[symbols] - self.base[symbols]
+        return a + move, b + move
+
+    def statistics(self, symbols: np.ndarray, ends: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Matching statistics of a stream: for the places ``ends`` (one past a match's last symbol), how many symbols before it
+        match the index, ``limit`` at most, and the range of their occurrences. Symbols that the index lacks are 0."""
+        size, lo, hi = np.zeros(len(ends), np.int64), np.zeros(len(ends), np.int64), np.zeros(len(ends), np.int64)
+        on = np.arange(len(ends))
+        for k in range(1, limit + 1):
+            on = on[ends[on] >= k]
+            s = symbols[ends[on] - k]
+            on, s = on[s > 0], s[s > 0]
+            a, b = (self.first[s], self.last[s]) if k == 1 else self.back(s, lo[on], hi[on])
+            found = b > a
+            on = on[found]
+            lo[on], hi[on], size[on] = a[found], b[found], k
+        return size, lo, hi
+
+    def least_owner(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """The least owner in each range; ranges must be of patterns of one length, so they are equal or apart."""
+        order = np.argsort(lo, kind="stable")
+        cut = np.flatnonzero(np.concatenate([[True], lo[order][1:] != lo[order][:-1]]))
+        bounds = np.empty(2 * len(cut), np.int64)
+        bounds[0::2], bounds[1::2] = lo[order][cut], hi[order][cut]
+        least = np.minimum.reduceat(np.append(self.owners, np.iinfo(np.int64).max), bounds)[0::2]
+        out = np.empty(len(lo), np.int64)
+        out[order] = np.repeat(least, np.diff(np.append(cut, len(order))))
+        return out

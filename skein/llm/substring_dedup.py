@@ -3,15 +3,17 @@
 Documents are cut in overlapping segments, each the longest run of windows that share a minimizer (the least hash of the
 ``GRAM``-word grams in a window). Equal windows have equal minimizers, so if segments are dealt to shards by minimizer,
 every window meets all its equals in one shard, and a shard needs no other shard. Each shard has a compressed FM-index
-of its distinct segments. The shard's segments stream past it: backward search over the wavelet matrix gives, at
-each place, the matching statistic up to the window's length and the range of all occurrences; where these include a smaller
-document, the interval is reported.
-
-Kept small on the way to the shards:
-- minimizers that only one text holds are left out, by a bitmap of bounded size (it lets some more through, and drops none);
-- equal segments are one row, with their least and greatest document, before they move;
-- windows under a minimizer that very many segments share are dealt one by one, by their own hash, so that no shard
-  gets a group that grows with the corpus. There are at most ``HOT_SHARE`` such minimizers.
+of its distinct segments, each owned by its least document. The segments stream past it: backward search over the wavelet
+matrix gives the matching statistic at each place, up to the window's length, and the range of all occurrences; where
+the whole window is found and the least owner in its range is smaller than the document, the interval is reported.
+
+What moves is kept small:
+- minimizers that only one document holds are left out, by a bitmap of bounded size (it lets some more through, and drops none);
+- a batch sends each shard one row, with equal segments once;
+- windows under a minimizer that very many segments share are dealt one by one, by their own hash, with their least
+  and greatest document only; the shard's finding goes back to the documents as a table by window, so that no task gets a
+  group of places that grows with the corpus. There are at most ``HOT_SHARE`` such minimizers;
+- texts without a finding never move.
 """
 
 from __future__ import annotations
@@ -21,31 +23,38 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.durable import durable
-from skein.llm.fm_index import TABLE, FMIndex
+from skein.functions.durable import release, stored
+from skein.llm.fm_index import FMIndex
+from skein.llm.packing import Reader, pack, pack_sorted
 from skein.llm.text import grams, inside, mix, slices, split_hash, texts
 
 WINDOW, GRAM = 13, 4
-#: log2 of the bitmap's slots: 8 MB.
-SLOTS = 26
+#: log2 of the bitmap's slots: 8 MB; it is gathered in so many ranges.
+SLOTS, RANGES = 26, 64
 #: A minimizer is hot above so many occurrences, and above this part of all occurrences.
 HOT, HOT_SHARE = 1000, 50_000
-#: Words of distinct segments that a shard's index holds on average.
-SHARD_WORDS = 1_000_000
+#: Words of segments that a shard gets on average.
+SHARD_WORDS = 2_000_000
+#: Findings on hot windows that are broadcast at most; beyond it they are joined.
+BROADCAST = 1_000_000
 #: Bytes of a word's hash that segments carry.
-WORD_BYTES = 6
+WORD_BYTES = 5
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_WORD = np.uint64((1 << 8 * WORD_BYTES) - 1)
+_BATCH = 8 << 20
+_ID = np.uint64(1 << 63)
 
 
-def minimizers(hashes: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one minimizer: their first window, their number of windows, the minimizer; and its hash."""
+def minimizers(hashes: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with one minimizer: their first window, their number of windows, and the minimizer's hash."""
     size = len(hashes) - window + 1
+    none = np.empty(0, np.int64)
     if size <= 0:
-        none = np.empty(0, np.int64)
-        return none, none, none, np.empty(0, np.uint64)
+        return none, none, np.empty(0, np.uint64)
     g = grams(hashes, GRAM)
     best, at = g[:size].copy(), np.arange(size)
     for k in range(1, window - GRAM + 1):
@@ -55,58 +64,80 @@ def minimizers(hashes: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.
         at[less] = less + k
     whole = np.flatnonzero(inside(starts, window, len(hashes)))
     if not len(whole):
-        return whole, whole, whole, np.empty(0, np.uint64)
-    new = np.flatnonzero(np.concatenate([[True], at[whole][1:] != at[whole][:-1]]))
+        return none, none, np.empty(0, np.uint64)
+    new = np.flatnonzero(np.concatenate([[True], (at[whole][1:] != at[whole][:-1]) | (np.diff(whole) != 1)]))
     first = whole[new]
-    return first, np.diff(np.append(new, len(whole))), at[first], best[first]
+    return first, np.diff(np.append(new, len(whole))), best[first]
 
 
 def _slot(anchor: np.ndarray) -> np.ndarray:
-    return (anchor >> np.uint64(64 - SLOTS)).astype(np.int64)
+    return anchor >> np.uint64(64 - SLOTS)
 
 
 def _shared(rows: DataFrame, window: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Slots of the minimizers that two texts hold, and the hot minimizers, sorted; and the number of all occurrences."""
+    """A bitmap of the slots whose minimizers two rows hold, the hot slots, sorted; and the occurrences in all shared slots."""
+    wide = 1 << (SLOTS - RANGES.bit_length() + 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, limit=8 << 20):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, limit=_BATCH):
             _, h, starts = split_hash(texts(b))
-            first, _, _, anchor = minimizers(h, starts, window)
+            first, _, anchor = minimizers(h, starts, window)
             if not len(first):
                 continue
-            keys = np.asarray(b.column("text_key"))[np.searchsorted(starts, first, "right") - 1]
-            order = np.argsort(anchor, kind="stable")
-            anchor, keys = anchor[order], keys[order]
-            cut = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-            cols = [anchor[cut].view(np.int64), np.minimum.reduceat(keys, cut), np.maximum.reduceat(keys, cut), np.diff(np.append(cut, len(keys)))]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["anchor", "lo", "hi", "n"])
-
-    found = rows.mapInArrow(run, "anchor long, lo long, hi long, n long").groupBy("anchor").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
-    found = durable(found.filter("lo < hi").select("anchor", "n"))
-    total = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    slots = found.select(F.shiftrightunsigned("anchor", 64 - SLOTS).cast("int").alias("slot")).distinct().toArrow()
-    hot = found.filter(F.col("n") > max(HOT, total // HOT_SHARE)).select("anchor").toArrow()
-    bitmap = np.zeros(1 << SLOTS, bool)
-    bitmap[np.asarray(slots.column(0).combine_chunks())] = True
-    return np.packbits(bitmap), np.sort(np.asarray(hot.column(0).combine_chunks()).view(np.uint64)), total
+            doc = np.searchsorted(starts, first, "right") - 1
+            slot = _slot(anchor)
+            order = np.argsort(slot, kind="stable")  # documents stay in order within a slot
+            slot, doc = slot[order], doc[order]
+            cut = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
+            end = np.append(cut[1:], len(slot))
+            two = doc[cut] != doc[end - 1]
+            slot = slot[cut]
+            edges = np.searchsorted(slot, np.arange(RANGES + 1, dtype=np.uint64) * np.uint64(wide))
+            part = [k for k in range(RANGES) if edges[k] < edges[k + 1]]
+            blobs = [pack_sorted(slot[edges[k] : edges[k + 1]]) + pack((2 * (end - cut) + two)[edges[k] : edges[k + 1]]) for k in part]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, rows_of = {}, {}
+        for b in batches:
+            for part, blob in zip(b.column("part").to_pylist(), b.column("blob").to_pylist(), strict=True):
+                if part not in n:
+                    n[part], rows_of[part] = np.zeros(wide, np.int64), np.zeros(wide, np.uint8)
+                r = Reader(blob)
+                at, told = (r.take_sorted() - np.uint64(part * wide)).astype(np.int64), r.take().astype(np.int64)
+                n[part][at] += told >> 1
+                rows_of[part][at] = np.minimum(rows_of[part][at] + 1 + (told & 1), 2)
+        for part in n:
+            shared = rows_of[part] > 1
+            many = np.flatnonzero(shared & (n[part] > HOT))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([part], pa.int32()), pa.array([np.packbits(shared).tobytes()], pa.binary()), pa.array([int(n[part][shared].sum())]), pa.array([(many + part * wide).tolist()], pa.list_(pa.int64())), pa.array([n[part][many].tolist()], pa.list_(pa.int64()))],
+                ["part", "bits", "total", "slots", "counts"],
+            )
+
+    counted = rows.mapInArrow(count, "part int, blob binary").repartitionById(RANGES, F.col("part"))
+    found = stored(counted.mapInArrow(merge, "part int, bits binary, total long, slots array<long>, counts array<long>"), "slots")
+    total = found.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
+    bitmap = np.zeros(1 << (SLOTS - 3), np.uint8)
+    for r in found.select("part", "bits").collect():
+        bitmap[r.part * wide // 8 : (r.part + 1) * wide // 8] = np.frombuffer(bytes(r.bits), np.uint8)
+    hot = found.select(F.inline(F.arrays_zip("slots", "counts"))).filter(F.col("counts") > max(HOT, total // HOT_SHARE)).select("slots").collect()
+    release(found)
+    return bitmap, np.sort(np.array([r.slots for r in hot], np.uint64)), total
 
 
 def segments(hashes: np.ndarray, starts: np.ndarray, window: int, bitmap: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, ...]:
-    """First word, number of words, routing hash of the segments that may share a window with another text."""
-    first, n, _, anchor = minimizers(hashes, starts, window)
-    slot = _slot(anchor)
+    """First word, number of words, routing hash, and whether it is a hot window, of the segments that may share a window with another text."""
+    first, n, anchor = minimizers(hashes, starts, window)
+    slot = _slot(anchor).astype(np.int64)
     keep = (bitmap[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool) if len(first) else np.zeros(0, bool)
-    first, n, anchor = first[keep], n[keep], anchor[keep]
-    if not len(hot) or not len(first):
-        return first, n + window - 1, anchor
-    is_hot = hot[np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)] == anchor
+    first, n, anchor, slot = first[keep], n[keep], anchor[keep], slot[keep].astype(np.uint64)
+    is_hot = hot[np.minimum(np.searchsorted(hot, slot), len(hot) - 1)] == slot if len(hot) else np.zeros(len(first), bool)
     f, m = first[is_hot], n[is_hot]
     single = np.repeat(f, m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-    key = np.full(len(single), 1, np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(window):
-            key = mix(key * _ODD + hashes[single + k])
-    return np.concatenate([first[~is_hot], single]), np.concatenate([n[~is_hot] + window - 1, np.full(len(single), window)]), np.concatenate([anchor[~is_hot], key])
+    size = np.full(len(single), window)
+    key = _keys(hashes, single, size)
+    return np.concatenate([first[~is_hot], single]), np.concatenate([n[~is_hot] + window - 1, size]), np.concatenate([anchor[~is_hot], key]), np.arange(len(first) - len(f) + len(single)) >= len(first) - len(f)
 
 
 def _gather(first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -114,144 +145,271 @@ def _gather(first: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def _keys(hashes: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the segments' words."""
+    """64-bit hashes of the segments' words, as far as segments carry them."""
+    if not len(first):
+        return np.empty(0, np.uint64)
     at = _gather(first, size)
     cut = np.cumsum(size) - size
     with np.errstate(over="ignore"):
         place = (np.arange(len(at)) - np.repeat(cut, size) + 1).astype(np.uint64) * _ODD
-        return mix(np.add.reduceat(mix(hashes[at] + place), cut) + size.astype(np.uint64))
+        return mix(np.add.reduceat(mix((hashes[at] & _WORD) + place), cut) + size.astype(np.uint64))
 
 
-def _search(keys, sizes, flat, low, high, window: int):
-    """Of a shard's distinct segments, the runs of windows with their least document where it is below the segment's greatest."""
+def _search(sizes, flat, low, high, window: int) -> tuple[np.ndarray, ...]:
+    """Of a shard's distinct segments, the runs of windows with a least owner below the segment's greatest document: segment,
+    first word, word after the last, owner."""
     vocabulary, symbols = np.unique(flat, return_inverse=True)
-    index = FMIndex(symbols + 1, sizes)
-    owners = low[np.repeat(np.arange(len(sizes)), sizes + 1)][index.order]
+    symbols = symbols + 1
+    index = FMIndex(symbols, sizes, low, window)
     n = sizes - window + 1
-    begin = np.cumsum(sizes) - sizes
-    at = _gather(begin, n)
+    at = _gather(np.cumsum(sizes) - sizes, n)
     of = np.repeat(np.arange(len(sizes)), n)
-    start = index.place[at + window - (1 << TABLE)]
-    lo, hi = index.start(start)
-    for k in range(window - (1 << TABLE) - 1, -1, -1):
-        lo, hi = index.back((symbols + 1)[at + k], lo, hi)
-    order = np.argsort(lo, kind="stable")
-    cut = np.flatnonzero(np.concatenate([[True], lo[order][1:] != lo[order][:-1]]))
-    # ranges of one length don't overlap: the least owner of each, in order
-    bounds = np.empty(2 * len(cut), np.int64)
-    bounds[0::2], bounds[1::2] = lo[order][cut], hi[order][cut]
-    least = np.minimum.reduceat(np.append(owners, np.iinfo(np.int64).max), bounds)[0::2]
-    owner = np.empty(len(at), np.int64)
-    owner[order] = np.repeat(least, np.diff(np.append(cut, len(order))))
+    size, lo, hi = index.statistics(symbols, at + window, window)
+    whole = size >= window
+    of, at, lo, hi = of[whole], at[whole], lo[whole], hi[whole]
+    owner = index.least_owner(lo, hi)
     told = np.flatnonzero(owner < high[of])
-    if not len(told):
-        return None
-    offset = at - begin[of]
-    new = np.flatnonzero(np.concatenate([[True], (of[told][1:] != of[told][:-1]) | (owner[told][1:] != owner[told][:-1]) | (np.diff(offset[told]) != 1)]))
-    length = np.diff(np.append(new, len(told)))
-    t = told[new]
-    return keys[of[t]], offset[t], offset[t] + length + window - 1, owner[t]
-
-
-def repeated_spans(docs: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """(doc_id, text_key, begin, end): word spans of each document covered by windows that a smaller document holds too.
-
-    ``docs``: doc_id, text, text_key (a hash of the text). Spans of one document may overlap.
+    of, owner, offset = of[told], owner[told], at[told] - (np.cumsum(sizes) - sizes)[of[told]]
+    new = np.flatnonzero(np.concatenate([[len(of) > 0], (of[1:] != of[:-1]) | (owner[1:] != owner[:-1]) | (np.diff(offset) != 1)])) if len(of) else np.empty(0, np.int64)
+    length = np.diff(np.append(new, len(of)))
+    return of[new], offset[new], offset[new] + length + window - 1, owner[new]
+
+
+def _blob(h, ids, keys, starts, first, size, key, order) -> bytes:
+    """Segments ``order`` (by key) of a batch: sizes and words of the distinct ones, and the places of each: document, text, first word."""
+    cut = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+    one = order[cut]
+    words = np.ascontiguousarray(h[_gather(first[one], size[one])].view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES]).tobytes()
+    doc = np.searchsorted(starts, first[order], "right") - 1
+    held, code = np.unique(doc, return_inverse=True)
+    return b"".join([pack(size[one]), words, pack(np.diff(np.append(cut, len(order)))), pack(ids[held].view(np.uint64) ^ _ID), pack(keys[held].view(np.uint64)), pack(code), pack(first[order] - starts[doc])])
+
+
+def _hot_blob(h, ids, starts, first, size, key, order) -> bytes:
+    """Hot windows: as _blob, with the least and the greatest document in place of the places."""
+    cut = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+    one = order[cut]
+    words = np.ascontiguousarray(h[_gather(first[one], size[one])].view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES]).tobytes()
+    doc = ids[np.searchsorted(starts, first[order], "right") - 1]
+    low, high = np.minimum.reduceat(doc, cut), np.maximum.reduceat(doc, cut)
+    return b"".join([pack(size[one]), words, pack(low.view(np.uint64) ^ _ID), pack(high.view(np.uint64) ^ _ID)])
+
+
+def _words(r: Reader, size: np.ndarray) -> np.ndarray:
+    n = int(size.sum())
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :WORD_BYTES] = np.frombuffer(r.raw, np.uint8, n * WORD_BYTES, r.at).reshape(-1, WORD_BYTES)
+    r.at += n * WORD_BYTES
+    return out.view(np.uint64).ravel()
+
+
+def _shard(blobs: list[tuple[bytes, bool]], window: int) -> Iterator[pa.RecordBatch]:
+    """A shard's findings: (doc_id, text_key, spans), and (key, owner) of hot windows that stand in a document above the owner's."""
+    sizes, flats, seg_low, seg_high, held = [], [], [], [], []
+    base = 0
+    for raw, is_hot in blobs:
+        r = Reader(raw)
+        size = r.take().astype(np.int64)
+        flats.append(_words(r, size))
+        sizes.append(size)
+        if is_hot:
+            seg_low.append((r.take() ^ _ID).view(np.int64))
+            seg_high.append((r.take() ^ _ID).view(np.int64))
+        else:
+            n, ids, keys, code, at = r.take().astype(np.int64), (r.take() ^ _ID).view(np.int64), r.take().view(np.int64), r.take().astype(np.int64), r.take().astype(np.int64)
+            cut = np.cumsum(n) - n
+            seg_low.append(np.minimum.reduceat(ids[code], cut))
+            seg_high.append(np.maximum.reduceat(ids[code], cut))
+            held.append((np.repeat(np.arange(base, base + len(n)), n), ids[code], keys[code], at))
+        base += len(size)
+    size, flat, low, high = (np.concatenate(x) for x in (sizes, flats, seg_low, seg_high))
+    hot = np.repeat([x for _, x in blobs], [len(x) for x in sizes])
+    first = np.cumsum(size) - size
+    key, one, same = np.unique(_keys(flat, first, size), return_index=True, return_inverse=True)
+    least, most = np.full(len(key), np.iinfo(np.int64).max), np.full(len(key), np.iinfo(np.int64).min)
+    np.minimum.at(least, same, low)
+    np.maximum.at(most, same, high)
+    seg, begin, end, owner = _search(size[one], flat[_gather(first[one], size[one])], least, most, window)
+    if not len(seg):
+        return
+    if held:
+        of, doc, text, at = (np.concatenate(x) for x in zip(*held, strict=True))
+        of = same[of]
+        order = np.argsort(of, kind="stable")
+        of, doc, text, at = of[order], doc[order], text[order], at[order]
+        lo, hi = np.searchsorted(of, seg, "left"), np.searchsorted(of, seg, "right")
+        run, place = np.repeat(np.arange(len(seg)), hi - lo), _gather(lo, hi - lo)
+        keep = owner[run] < doc[place]
+        run, place = run[keep], place[keep]
+        doc, text, b, e = doc[place], text[place], at[place] + begin[run], at[place] + end[run]
+        if len(doc):
+            yield _grouped(doc, text, b, e)
+    told = np.unique(seg[np.isin(seg, same[hot])])
+    if len(told):
+        best = np.full(len(key), np.iinfo(np.int64).max)
+        np.minimum.at(best, seg, owner)
+        none = pa.nulls(len(told), pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([pa.array(best[told]), pa.array(key[told].view(np.int64)), none], ["doc_id", "text_key", "spans"])
+
+
+def _grouped(doc, text, begin, end) -> pa.RecordBatch:
+    """(doc_id, text_key, spans): one row for each document's text, its spans as begin, end, begin, end..., joined where they meet."""
+    order = np.lexsort((begin, text, doc))
+    doc, text, begin, end = doc[order], text[order], begin[order], end[order]
+    row = np.cumsum(np.concatenate([[0], (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])]))
+    shift = row * (int(end.max(initial=0)) + 1)
+    reach = np.maximum.accumulate(end + shift)
+    new = np.flatnonzero(np.concatenate([[True], begin[1:] + shift[1:] > reach[:-1]]))
+    stop = np.append(new[1:], len(row)) - 1
+    flat = np.empty(2 * len(new), np.int32)
+    flat[0::2], flat[1::2] = begin[new], reach[stop] - shift[stop]
+    one = np.flatnonzero(np.concatenate([[True], row[new][1:] != row[new][:-1]]))
+    spans = pa.ListArray.from_arrays(pa.array(np.append(2 * one, len(flat)).astype(np.int32)), pa.array(flat))
+    return pa.RecordBatch.from_arrays([pa.array(doc[new][one]), pa.array(text[new][one]), spans], ["doc_id", "text_key", "spans"])
+
+
+_SPANS = "doc_id long, text_key long, spans array<int>"
+
+
+def repeated_spans(docs: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, broadcast_rows: int = BROADCAST) -> DataFrame:
+    """(doc_id, text_key, spans): word spans (begin, end, begin, end, ...) of each document covered by windows that a smaller document
+    holds too. A document may have several rows.
+
+    ``docs``: doc_id, text, text_key (a hash of the text).
     """
-    if window < (1 << TABLE) or window > 16:
-        raise ValueError("windows of 8 to 16 words")
+    if window <= GRAM:
+        raise ValueError(f"windows of more than {GRAM} words")
     spark = docs.sparkSession
-    bitmap, hot, _ = _shared(docs, window)
+    owned = docs.filter("doc_id is not null").select("doc_id", "text_key", "text")
+    bitmap, hot, total = _shared(owned, window)
     bitmap, hot = spark.sparkContext.broadcast(bitmap), spark.sparkContext.broadcast(hot)
+    words = total * (window + (window - GRAM) // 2)
+    n_shards = max(words // shard_words + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, limit=8 << 20):
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, limit=_BATCH):
             _, h, starts = split_hash(texts(b))
-            first, size, anchor = segments(h, starts, window, bitmap.value, hot.value)
+            first, size, route, is_hot = segments(h, starts, window, bitmap.value, hot.value)
             if not len(first):
                 continue
-            ids = np.asarray(b.column("doc_id"))[np.searchsorted(starts, first, "right") - 1]
-            key = _keys(h, first, size)
-            order = np.argsort(key, kind="stable")
-            cut = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
-            low, high = np.minimum.reduceat(ids[order], cut), np.maximum.reduceat(ids[order], cut)
-            one = order[cut]
-            raw = np.ascontiguousarray(h[_gather(first[one], size[one])].view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES]).tobytes()
-            ends = np.concatenate([[0], np.cumsum(size[one])]) * WORD_BYTES
-            words = pa.Array.from_buffers(pa.binary(), len(one), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(raw)])
-            yield pa.RecordBatch.from_arrays([pa.array(key[one].view(np.int64)), pa.array(anchor[one].view(np.int64)), words, pa.array(low), pa.array(high)], ["key", "anchor", "words", "low", "high"])
+            ids, keys = np.asarray(b.column("doc_id")), np.asarray(b.column("text_key"))
+            key, shard = _keys(h, first, size), (mix(route) % np.uint64(n_shards)).astype(np.int64)
+            parts, blobs, heat = [], [], []
+            for kind in (False, True):
+                mine = np.flatnonzero(is_hot == kind)
+                if not len(mine):
+                    continue
+                order = mine[np.lexsort((key[mine], shard[mine]))]
+                cut = np.flatnonzero(np.concatenate([[True], shard[order][1:] != shard[order][:-1]]))
+                for s, e in zip(cut, np.append(cut[1:], len(order)), strict=True):
+                    parts.append(int(shard[order[s]]))
+                    heat.append(kind)
+                    blobs.append(_hot_blob(h, ids, starts, first, size, key, order[s:e]) if kind else _blob(h, ids, keys, starts, first, size, key, order[s:e]))
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(heat), pa.array(blobs, pa.binary())], ["shard", "hot", "blob"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs = [x for b in batches for x in zip(b.column("blob").to_pylist(), b.column("hot").to_pylist(), strict=True)]
+        if blobs:
+            yield from _shard(blobs, window)
+
+    dealt = owned.mapInArrow(deal, "shard int, hot boolean, blob binary").repartitionById(n_shards, F.col("shard"))
+    found = stored(dealt.mapInArrow(search, _SPANS), "spans")
+    spans = found.filter("spans is not null")
+    back = found.filter("spans is null").groupBy(F.col("text_key").alias("key")).agg(F.min("doc_id").alias("owner"))
+    if not len(hot.value):
+        return spans
+    n_back = back.count()
+    if not n_back:
+        return spans
+    known = None
+    if n_back <= broadcast_rows:
+        t = back.toArrow()
+        key = np.asarray(t.column("key").combine_chunks()).view(np.uint64)
+        order = np.argsort(key)
+        known = spark.sparkContext.broadcast((key[order], np.asarray(t.column("owner").combine_chunks())[order]))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, limit=8 << 20):
+        for b in slices(batches, limit=_BATCH):
             _, h, starts = split_hash(texts(b))
-            first, size, _ = segments(h, starts, window, bitmap.value, hot.value)
-            if len(first):
-                doc = np.searchsorted(starts, first, "right") - 1
-                cols = [_keys(h, first, size).view(np.int64), np.asarray(b.column("doc_id"))[doc], np.asarray(b.column("text_key"))[doc], (first - starts[doc]).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "doc_id", "text_key", "at"])
-
-    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if t is None or not t.num_rows:
-            return
-        raw = [x for x in t.column("words").to_pylist()]
-        flat = np.zeros((sum(map(len, raw)) // WORD_BYTES, 8), np.uint8)
-        flat[:, :WORD_BYTES] = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, WORD_BYTES)
-        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // WORD_BYTES
-        key, low, high = (np.asarray(t.column(c).combine_chunks()) for c in ("key", "low", "high"))
-        found = _search(key, sizes, flat.view(np.uint64).ravel(), low, high, window)
-        if found:
-            key, begin, end, owner = found
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(owner)], ["key", "begin", "end", "owner"])
+            first, _, key, is_hot = segments(h, starts, window, bitmap.value, hot.value)
+            first, key = first[is_hot], key[is_hot]
+            doc = np.searchsorted(starts, first, "right") - 1
+            ids, keys = np.asarray(b.column("doc_id"))[doc], np.asarray(b.column("text_key"))[doc]
+            if known is None:
+                if len(first):
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids), pa.array(keys), pa.array((first - starts[doc]).astype(np.int32))], ["key", "doc_id", "text_key", "at"])
+                continue
+            wanted, owner = known.value
+            at = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
+            hit = (wanted[at] == key) & (owner[at] < ids)
+            if hit.any():
+                begin = (first - starts[doc])[hit]
+                yield _grouped(ids[hit], keys[hit], begin, begin + window)
 
-    owned = docs.filter("doc_id is not null").select("doc_id", "text_key", "text")
-    unlike = owned.mapInArrow(distinct, "key long, anchor long, words binary, low long, high long").groupBy("key", "anchor", "words").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    unlike = durable(unlike)
-    n_shards = int((unlike.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()[0] // WORD_BYTES) // shard_words) + 1
-    n_shards = max(n_shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    runs = unlike.repartition(n_shards, "anchor").drop("anchor").mapInArrow(shard, "key long, begin int, end int, owner long")
-    at = owned.mapInArrow(places, "key long, doc_id long, text_key long, at int")
-    hits = at.join(runs, "key").filter(F.col("owner") < F.col("doc_id"))
-    return hits.select("doc_id", "text_key", (F.col("at") + F.col("begin")).alias("begin"), (F.col("at") + F.col("end")).alias("end"))
+    if known is not None:
+        return spans.unionAll(owned.mapInArrow(places, _SPANS))
+    at = owned.mapInArrow(places, "key long, doc_id long, text_key long, at int").join(back, "key").filter("owner < doc_id")
+    return spans.unionAll(at.select("doc_id", "text_key", F.array(F.col("at"), F.col("at") + window).alias("spans")))
 
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, broadcast_rows: int = BROADCAST) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row (and kept, the remaining words, if ``with_text``).
 
     A word goes if a window of ``window`` words over it also starts in a document of smaller id, judged on the input.
     Null and short texts lose nothing. A null id is smaller than none, and none is smaller than it. Rows with one id
-    don't take words from each other; repeated rows have equal results. Words are compared by 48 bits of their hashes in
-    runs of ``window``, texts by 64 bits and length.
+    don't take words from each other; repeated rows have equal results. An empty table gives no rows. Windows are compared
+    by 40 bits of each word's hash.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("text_key", F.xxhash64("text"))
-    spans = repeated_spans(rows, window, shard_words)
-    ids = rows.filter("doc_id is not null").select("doc_id", "text_key", F.octet_length("text").alias("size"))
-    least = ids.groupBy("text_key", "size").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
-    copies = ids.join(least, ["text_key", "size"]).filter("doc_id > least").select("doc_id", "text_key", F.lit(0).alias("begin"), F.lit(2**31 - 1).alias("end"))
-    marks = spans.unionAll(copies).groupBy(F.col("doc_id").alias("of"), F.col("text_key").alias("of_key")).agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    marked = rows.join(marks, (F.col("doc_id") == F.col("of")) & (F.col("text_key") == F.col("of_key")), "left").select("doc_id", "text", F.col("spans.begin").alias("begins"), F.col("spans.end").alias("ends"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    marks = repeated_spans(rows, window, shard_words, broadcast_rows).groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    marks = stored(marks, "marks")
+    marked = np.zeros(1 << (SLOTS - 3), np.uint8)
+    key = F.xxhash64("doc_id", "text_key")
+    place = F.shiftrightunsigned(key, 64 - SLOTS)
+    for r in marks.groupBy(F.shiftright(place, 3).cast("int").alias("byte")).agg(F.bit_or(F.expr(f"shiftleft(1, cast(shiftrightunsigned(xxhash64(doc_id, text_key), {64 - SLOTS}) & 7 as int))")).alias("bits")).toArrow().to_batches():
+        marked[np.asarray(r.column("byte"))] = np.asarray(r.column("bits")).astype(np.uint8)
+    marked = docs.sparkSession.sparkContext.broadcast(marked)
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * with_text
+
+    def told(b: pa.RecordBatch, rows: list[bytes], spans: list) -> pa.RecordBatch:
+        words, gone, sha, left = [], [], [], []
+        for text, span in zip(rows, spans, strict=True):
+            w = text.split()
+            words.append(len(w))
+            if span is not None:
+                cover, span = np.zeros(len(w) + 1, np.int64), np.asarray(span)
+                np.add.at(cover, span[0::2], 1)
+                np.add.at(cover, span[1::2], -1)
+                w = [x for x, k in zip(w, (np.cumsum(cover)[:-1] == 0).tolist(), strict=True) if k]
+            gone.append(words[-1] - len(w))
+            kept = b" ".join(w)
+            sha.append(hashlib.sha256(kept).hexdigest())
+            left.append(kept.decode())
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(words, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha)] + [pa.array(left)] * with_text, names)
+
+    def may(b: pa.RecordBatch) -> pa.Array:
+        at = np.asarray(b.column("place"))
+        return pa.array((marked.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            b = b.filter(pc.invert(may(b)))
+            if b.num_rows:
+                yield told(b, texts(b), [None] * b.num_rows)
+
+    def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            words, gone, sha, left = [], [], [], []
-            for text, begin, end in zip(texts(b), b.column("begins").to_pylist(), b.column("ends").to_pylist(), strict=True):
-                w = text.split()
-                words.append(len(w))
-                if begin and len(w) >= window:
-                    cover = np.zeros(len(w) + 1, np.int64)
-                    np.add.at(cover, begin, 1)
-                    np.add.at(cover, np.minimum(end, len(w)), -1)
-                    keep = np.cumsum(cover)[:-1] == 0
-                    w = [x for x, k in zip(w, keep.tolist(), strict=True) if k]
-                gone.append(words[-1] - len(w))
-                kept = b" ".join(w)
-                sha.append(hashlib.sha256(kept).hexdigest())
-                left.append(kept.decode())
-            cols = [b.column("doc_id"), pa.array(words, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha)]
-            yield pa.RecordBatch.from_arrays(cols + [pa.array(left)] * with_text, ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * with_text)
-
-    return marked.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
+            yield b.filter(may(b)).select(["doc_id", "text_key", "text"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            yield told(b, texts(b), b.column("spans").to_pylist())
+
+    placed = rows.withColumn("place", place)
+    held = placed.mapInArrow(moved, "doc_id long, text_key long, text string").join(marks.select(F.col("doc_id").alias("of"), F.col("text_key").alias("of_key"), "spans"), (F.col("doc_id") == F.col("of")) & (F.col("text_key") == F.col("of_key")), "left")
+    return placed.mapInArrow(clean, schema).unionAll(held.select("doc_id", "text", "spans").mapInArrow(cut, schema))
 
 
 ORACLE = r"""

@@ -86,30 +86,62 @@ def test_substring_dedup(docs, rows, empty):
                 gone |= {*range(k, k + 13)}
         kept = b" ".join(x for k, x in enumerate(w) if k not in gone)
         want.append((i, len(w), len(gone), hashlib.sha256(kept).hexdigest()))
-    for hot in (1000, 1):
+    for hot, options in ((1000, {}), (1, {}), (1, {"broadcast_rows": 0})):
         S.HOT, was = hot, S.HOT
         try:
-            assert ordered(map(tuple, S.dedup_substrings(docs, shard_words=5000).collect())) == ordered(want)
+            assert ordered(map(tuple, S.dedup_substrings(docs, shard_words=5000, **options).collect())) == ordered(want)
         finally:
             S.HOT = was
     assert S.dedup_substrings(empty).count() == 0
 
 
-def test_fm_index_counts():
+def test_hot_passages_go_back_by_window(spark):
+    """A passage in a third of all rows, whole copies and clean rows; the passage's first holder keeps it."""
+    from skein.llm import substring_dedup as S
+
+    line = " ".join(f"l{k}" for k in range(20))
+    made = [(k, f"a{k} b{k} " + (line if k % 3 == 0 else "") + f" c{k} d{k}" + (f" again{k % 5}" * 14 if k % 7 == 0 else "")) for k in range(1, 200)]
+    d = spark.createDataFrame(made, "doc_id long, text string")
+    S.HOT, was = 10, S.HOT
+    try:
+        got = {r.doc_id: r.n_removed for r in S.dedup_substrings(d).collect()}
+    finally:
+        S.HOT = was
+    first, want = {}, {}
+    for i, t in made:
+        w, gone = t.split(), set()
+        for k in range(len(w) - 12):
+            if first.setdefault(tuple(w[k : k + 13]), i) < i:
+                gone |= {*range(k, k + 13)}
+        want[i] = len(gone)
+    assert got == want and sum(x > 0 for x in want.values()) > 60
+
+
+def test_fm_index_gives_matching_statistics():
     import numpy as np
 
-    from skein.llm.fm_index import TABLE, FMIndex
+    from skein.llm.fm_index import FMIndex
 
     rng = np.random.default_rng(1)
     sizes = rng.integers(10, 25, 200)
-    flat = rng.integers(1, 4, sizes.sum())
-    index = FMIndex(flat, sizes)
+    flat = rng.integers(1, 6, sizes.sum())
+    owners = rng.integers(0, 50, 200)
     starts = np.cumsum(sizes) - sizes
-    seen = Counter(tuple(flat[s + k : s + k + 10].tolist()) for s, n in zip(starts, sizes) for k in range(n - 9))
-    lo, hi = index.start(index.place[starts + 10 - (1 << TABLE)])
-    for k in (1, 0):
-        lo, hi = index.back(flat[starts + k], lo, hi)
-    assert (hi - lo).tolist() == [seen[tuple(flat[s : s + 10].tolist())] for s in starts]
+    seen = defaultdict(list)
+    for s, n, owner in zip(starts, sizes, owners):
+        for a in range(n):
+            for b in range(a + 1, min(a + 13, n) + 1):
+                seen[tuple(flat[s + a : s + b].tolist())].append(owner)
+    index = FMIndex(flat, sizes, owners, 13)
+    stream = rng.integers(0, 6, 400)
+    stream[100:120], stream[200:222] = flat[:20], flat[40:62]
+    ends = np.arange(1, 401)
+    size, lo, hi = index.statistics(stream, ends, 13)
+    for e, n, a, b in zip(ends, size, lo, hi):
+        best = max((k for k in range(1, min(13, e) + 1) if tuple(stream[e - k : e].tolist()) in seen), default=0)
+        assert n == best and b - a == (len(seen[tuple(stream[e - n : e].tolist())]) if n else 0)
+    same = size == 4
+    assert index.least_owner(lo[same], hi[same]).tolist() == [min(seen[tuple(stream[e - 4 : e].tolist())]) for e in ends[same]]
 
 
 def shingle_sets(rows):
