@@ -10,6 +10,12 @@ from __future__ import annotations
 import numpy as np
 
 
+#: The k lowest bits set, for k from 0 to 63.
+_BELOW = np.array([(1 << k) - 1 for k in range(64)], np.uint64)
+#: Patterns that are searched in step.
+STEP = 32768
+
+
 class Bits:
     """A bit vector with ranks: 64 bits to a word, and the number of ones before each word."""
 
@@ -22,8 +28,8 @@ class Bits:
     def ones(self, at: np.ndarray) -> np.ndarray:
         """Ones among the first ``at`` bits."""
         word = at >> 6
-        low = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-        return self.before[word] + np.bitwise_count(self.words[word] & low)
+        low = _BELOW.take(at & 63)
+        return self.before.take(word) + np.bitwise_count(self.words.take(word) & low)
 
 
 class FMIndex:
@@ -65,17 +71,23 @@ class FMIndex:
 
     def back(self, symbols: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward search: ranges of each pattern with a symbol put before it."""
-        a, b = lo, hi
+        at = np.concatenate([lo, hi])
+        both = np.concatenate([symbols, symbols]).astype(np.int32)
         for level, bits in zip(range(self.levels - 1, -1, -1), self.bits, strict=True):
-            one = (symbols >> level & 1).astype(bool)
-            x, y = bits.ones(a), bits.ones(b)
-            a, b = np.where(one, bits.zeros + x, a - x), np.where(one, bits.zeros + y, b - y)
+            up = bits.ones(at)
+            at = np.where(both >> level & 1, bits.zeros + up, at - up)
         move = self.first[symbols] - self.base[symbols]
-        return a + move, b + move
+        return at[: len(lo)] + move, at[len(lo) :] + move
 
-    def statistics(self, symbols: np.ndarray, ends: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def statistics(self, symbols: np.ndarray, ends: np.ndarray, limit: int, least: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Matching statistics of a stream: for the places ``ends`` (one past a match's last symbol), how many symbols before it
-        match the index, ``limit`` at most, and the range of their occurrences. Symbols that the index lacks are 0."""
+        match the index in ``least`` places or more, ``limit`` symbols at most, and the range of these places. Symbols that the index
+        lacks are 0."""
+        parts = [self._statistics(symbols, ends[k : k + STEP], limit, least) for k in range(0, len(ends), STEP)]
+        size, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else np.zeros((3, 0), np.int64)
+        return size, lo, hi
+
+    def _statistics(self, symbols: np.ndarray, ends: np.ndarray, limit: int, least: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         size, lo, hi = np.zeros(len(ends), np.int64), np.zeros(len(ends), np.int64), np.zeros(len(ends), np.int64)
         on = np.arange(len(ends))
         for k in range(1, limit + 1):
@@ -83,7 +95,7 @@ class FMIndex:
             s = symbols[ends[on] - k]
             on, s = on[s > 0], s[s > 0]
             a, b = (self.first[s], self.last[s]) if k == 1 else self.back(s, lo[on], hi[on])
-            found = b > a
+            found = b - a >= least
             on = on[found]
             lo[on], hi[on], size[on] = a[found], b[found], k
         return size, lo, hi

@@ -164,10 +164,12 @@ def _search(sizes, flat, low, high, window: int) -> tuple[np.ndarray, ...]:
     n = sizes - window + 1
     at = _gather(np.cumsum(sizes) - sizes, n)
     of = np.repeat(np.arange(len(sizes)), n)
-    size, lo, hi = index.statistics(symbols, at + window, window)
+    # a match in one place alone is the segment itself
+    size, lo, hi = index.statistics(symbols, at + window, window, least=2)
     whole = size >= window
-    of, at, lo, hi = of[whole], at[whole], lo[whole], hi[whole]
-    owner = index.least_owner(lo, hi)
+    owner = low[of]
+    if whole.any():
+        owner[whole] = index.least_owner(lo[whole], hi[whole])
     told = np.flatnonzero(owner < high[of])
     of, owner, offset = of[told], owner[told], at[told] - (np.cumsum(sizes) - sizes)[of[told]]
     new = np.flatnonzero(np.concatenate([[len(of) > 0], (of[1:] != of[:-1]) | (owner[1:] != owner[:-1]) | (np.diff(offset) != 1)])) if len(of) else np.empty(0, np.int64)
