@@ -7,9 +7,14 @@ distribution of single words; so every state's distribution sums to one over the
 state of the longest kept suffix of the words before it.
 
 A context needs a least number of occurrences, whatever the corpus holds, so the tree grows with the corpus. It is a written
-table keyed by hash; grown, pruned and looked up by joins. Its most frequent entries are broadcast up to a stated number, and so
-are the root counts of frequent words; all others are joined. Bitmaps of fixed size spare rows that no join can match, and
-decide nothing: one that is full spares fewer. Every count covers the whole training corpus.
+table of (key, value): a state's value is the log10 of what it leaves to its suffix, a transition's how far its probability
+exceeds its suffix's, less the state's value. Since suffixes of kept states are kept, and a state's transitions are its
+suffix's too, a word's log10 probability is the root's plus the values of all entries found, so scores are sums of
+look-ups in any order. The most frequent entries are broadcast up to a stated number; the texts ask for all others in
+packed batches dealt by key, and get sums by document back.
+
+Bitmaps of fixed size spare look-ups that nothing can answer, and decide nothing: one that is full spares fewer. Every count
+covers the whole training corpus. Batches are counted before they move and go as one row a part (``packing``).
 """
 
 from __future__ import annotations
@@ -19,49 +24,59 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.durable import durable, stored
-from skein.llm.text import held_out, mix, pair, slices, texts, word_hashes
+from skein.functions.durable import release, stored
+from skein.llm.packing import Reader, pack, pack_sorted
+from skein.llm.text import held_out, mix, slices, texts, word_hashes
 
 #: Words of a context at most, occurrences that a context and a transition need, and the discount of each count.
 DEPTH, CONTEXT, NEXT, DISCOUNT = 3, 5, 2, 0.5
 #: Cost of a transition in the divergence test, in nats of count times divergence.
 COST = 2.0
-#: Words whose root counts are broadcast, at most.
-HEAD = 1_000_000
-#: Entries of the tree (states and transitions) that are broadcast, at most.
-HOT = 2_000_000
+#: Words whose root counts are broadcast, and entries of the tree, at most.
+HEAD, HOT = 1_000_000, 500_000
 #: Bitmaps have 1 << BITS bits.
 BITS = 27
+#: Tokens, and entries of the tree, that a part gets on average.
+PART_TOKENS, PART_ENTRIES = 4_000_000, 1_000_000
+#: Parts of the word counts at least.
+PARTS = 64
 #: The end token, a word that no text holds.
 END = np.uint64(0x6A09E667F3BCC909)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_BATCH = 24 << 20
+#: Transitions know words by 48 bits of their hashes.
+_CODE = np.uint64(16)
 
 
 def tokens(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each text's lower-cased words with an end after each text, and where each text starts."""
-    words = [x.lower().split() for x in rows]
-    starts = np.zeros(len(rows) + 1, np.int64)
-    np.cumsum([len(x) + 1 for x in words], out=starts[1:])
-    out = np.empty(int(starts[-1]), np.uint64)
-    for k, x in enumerate(words):
-        out[starts[k] : starts[k + 1] - 1] = word_hashes(x)
-    out[starts[1:] - 1] = END
-    return out, starts
+    out, sizes = [], np.zeros(len(rows) + 1, np.int64)
+    for k, x in enumerate(rows):
+        words = x.lower().split()
+        out.append(word_hashes(words))
+        out.append(np.array([END]))
+        sizes[k + 1] = len(words) + 1
+    return np.concatenate(out) if out else np.empty(0, np.uint64), np.cumsum(sizes)
 
 
-def contexts(h: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
+def _pairs(context: np.ndarray, code: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(context * _ODD + code)
+
+
+def contexts(code: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
     """Hash of the ``depth`` words before each token, that of all but its last word paired with the last; 0 where the text has fewer."""
-    out = np.zeros(len(h), np.uint64)
-    if len(h) <= depth:
+    out = np.zeros(len(code), np.uint64)
+    if len(code) <= depth or not depth:
         return out
-    key = np.zeros(len(h) - depth, np.uint64)
+    key = np.zeros(len(code) - depth, np.uint64)
     for k in range(depth):
-        key = _pairs(key, h[k : k + len(key)])
+        key = _pairs(key, code[k : k + len(key)])
     out[depth:] = key
-    far = np.arange(len(h)) - np.repeat(starts[:-1], np.diff(starts))
+    far = np.arange(len(code)) - np.repeat(starts[:-1], np.diff(starts))
     out[far < depth] = 0
     return out
 
@@ -73,32 +88,68 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return place, keys[place] == wanted
 
 
-def _pairs(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return mix(context * _ODD + word)
-
-
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _counted(rows: DataFrame, keys_of, names: list[str]) -> DataFrame:
-    """Sums over the corpus of the keys that ``keys_of`` (hashes, starts) lists; batches are summed first."""
+def _part(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Parts of equal ranges of 64-bit keys, ascending with them."""
+    return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, limit=8 << 20):
-            for keys in keys_of(*tokens(texts(b))):
-                if not len(keys[0]):
-                    continue
-                if len(keys) == 1:
-                    found, n = np.unique(keys[0], return_counts=True)
-                    parts = [found]
-                else:
-                    _, at, n = np.unique(_pairs(*keys), return_index=True, return_counts=True)
-                    parts = [k[at] for k in keys]
-                yield pa.RecordBatch.from_arrays([*map(_signed, parts), pa.array(n.astype(np.int64))], [*names, "n"])
 
-    return rows.mapInArrow(run, ", ".join(f"{x} long" for x in names) + ", n long").groupBy(*names).agg(F.sum("n").alias("n"))
+def _edges(keys: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
+    """(part, from, to) of ascending keys, without empty parts."""
+    if not len(keys):
+        return []
+    part = _part(keys, parts)
+    cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    return list(zip(part[cut].tolist(), cut.tolist(), np.append(cut[1:], len(keys)).tolist(), strict=True))
+
+
+def _blobs(found: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int32()), pa.array([b for _, b in found], pa.binary())], ["part", "blob"])
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> dict[int, list[bytes]]:
+    out: dict[int, list[bytes]] = {}
+    for b in batches:
+        for part, blob in zip(b.column("part").to_pylist(), b.column("blob").to_pylist(), strict=True):
+            out.setdefault(part, []).append(blob)
+    return out
+
+
+def _dealt(blobs: DataFrame, parts: int) -> DataFrame:
+    return blobs.repartitionById(parts, F.col("part"))
+
+
+def _totals(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    return keys[cut], np.add.reduceat(n, cut) if len(keys) else n
+
+
+def word_counts(train: DataFrame) -> DataFrame:
+    """word, n, and on one row of each 48-bit code its key as a context of one word and the code's count (key, whole; else null)."""
+    parts = max(PARTS, int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, limit=_BATCH):
+            found, n = np.unique(tokens(texts(b))[0], return_counts=True)
+            yield _blobs([(p, pack_sorted(found[s:e]) + pack(n[s:e])) for p, s, e in _edges(found, parts)])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for blobs in _read(batches).values():
+            readers = [Reader(x) for x in blobs]
+            held = [(r.take_sorted(), r.take().astype(np.int64)) for r in readers]
+            word, n = _totals(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            code = word >> _CODE
+            first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+            key, whole, empty = np.zeros(len(word), np.uint64), np.zeros(len(word), np.int64), np.ones(len(word), bool)
+            key[first], whole[first], empty[first] = _pairs(np.zeros(len(first), np.uint64), code[first]), np.add.reduceat(n, first), False
+            yield pa.RecordBatch.from_arrays([_signed(word), pa.array(n), pa.array(key.view(np.int64), mask=empty), pa.array(whole, mask=empty)], ["word", "n", "key", "whole"])
+
+    return stored(_dealt(train.mapInArrow(count, "part int, blob binary"), parts).mapInArrow(merge, "word long, n long, key long, whole long"), "words")
 
 
 def _collected(frame: DataFrame, *names: str) -> list[np.ndarray]:
@@ -109,7 +160,7 @@ def _collected(frame: DataFrame, *names: str) -> list[np.ndarray]:
 def _bitmap(frame: DataFrame, name: str) -> np.ndarray:
     """A bitmap of the top bits of column ``name``; of fixed size."""
     at = F.shiftrightunsigned(F.col(name), 64 - BITS)
-    rows = frame.select(F.shiftright(at, 6).alias("block"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned({name}, {64 - BITS}) & 63 as int))").alias("bit"))
+    rows = frame.select(F.shiftright(at, 6).cast("int").alias("block"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned({name}, {64 - BITS}) & 63 as int))").alias("bit"))
     block, bits = _collected(rows.groupBy("block").agg(F.bit_or("bit").alias("bits")), "block", "bits")
     out = np.zeros(1 << (BITS - 6), np.uint64)
     out[block] = bits.view(np.uint64)
@@ -118,7 +169,7 @@ def _bitmap(frame: DataFrame, name: str) -> np.ndarray:
 
 def _may(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     at = keys >> np.uint64(64 - BITS)
-    return (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)) == 1
+    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)) == 1
 
 
 def _least(frame: DataFrame, most: int) -> int:
@@ -135,132 +186,164 @@ def _least(frame: DataFrame, most: int) -> int:
 
 @dataclass
 class Tree:
-    """head: frequent words and their counts, sorted; per depth the frequent states and their log10 backoff weights, and the
-    frequent transitions with the log10 of how far their P exceeds the root's; bits: a bitmap of all other entries' keys."""
+    """head: frequent words and their counts, sorted; keys and values of the frequent entries, sorted; bits: a bitmap of all
+    entries' keys, and of those that aren't here (cold)."""
 
     n: int
     v: int
+    depth: int
     head: np.ndarray
     counts: np.ndarray
-    states: list[np.ndarray]
-    back: list[np.ndarray]
-    moves: list[np.ndarray]
-    over: list[np.ndarray]
+    keys: np.ndarray
+    values: np.ndarray
     bits: np.ndarray
-
-    def parts(self, h: np.ndarray, starts: np.ndarray):
-        """Per token: whether it is in the head, log10 of the root's P (add-one of count 0 outside the head), log10 P, log10 of how far
-        P exceeds the root's, and the open look-ups: token, slot (twice the depth, one more for a transition), key (0 if known), value.
-        All look-ups of a token that has an open one are listed; its P is without them."""
+    cold: np.ndarray
+
+    def asked(self, h: np.ndarray, starts: np.ndarray):
+        """(tokens, keys) of all look-ups that an entry may answer, context by context."""
+        code, alive = h >> _CODE, np.arange(len(h))
+        for d in range(1, self.depth + 1):
+            c = contexts(code, starts, d)[alive]
+            on = (c != 0) & _may(self.bits, c ^ _ODD)
+            alive, c = alive[on], c[on]  # a kept state's suffixes are kept, so no longer context can be where this one isn't
+            yield alive, c ^ _ODD
+            key = _pairs(c, code[alive])
+            on = _may(self.bits, key)
+            yield alive[on], key[on]
+
+    def root(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each token is in the head, and log10 of its P at the root (of count 0 outside the head)."""
         place, known = _find(self.head, h)
         count = np.where(known, self.counts[place] if len(self.counts) else 0, 0)
-        root = np.log10((count + 1) / (self.n + self.v + 1))
-        more, alive, unsure, tried = np.zeros(len(h)), np.arange(len(h)), np.zeros(len(h), bool), []
-        for d, (states, back, moves, over) in enumerate(zip(self.states, self.back, self.moves, self.over, strict=True), 1):
-            c = contexts(h, starts, d)[alive]
-            state = c ^ _ODD
-            at, hit = _find(states, state)
-            late = ~hit & (c != 0) & _may(self.bits, state)
-            on = hit | late  # a kept state's suffixes are kept, so no longer context can be where this one isn't
-            alive, c, state, at, hit, late = (x[on] for x in (alive, c, state, at, hit, late))
-            weight = np.where(hit, back[at] if len(back) else 0.0, 0.0)
-            key = _pairs(c, h[alive])
-            to, there = _find(moves, key)
-            open_ = ~there & _may(self.bits, key)
-            value = np.where(there, over[to] if len(over) else 0.0, 0.0)
-            more[alive] = np.where(there, value, more[alive] + weight)
-            unsure[alive] |= late | open_
-            zero = np.uint64(0)
-            tried.append((alive, np.full(len(c), 2 * d), np.where(late, state, zero), weight, hit | late))
-            tried.append((alive, np.full(len(c), 2 * d + 1), np.where(open_, key, zero), value, there | open_))
-        left = [[x[unsure[token] & some] for x in (token, slot, key, value)] for token, slot, key, value, some in tried]
-        token, slot, key, value = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (zip(*left, strict=True) if left else [()] * 4))
-        order = np.argsort(token, kind="stable")
-        more[unsure] = 0.0
-        return known, root, root + more, more, (token[order], slot[order], key[order], value[order])
-
-
-def _paired(rows: DataFrame) -> DataFrame:
-    """context, word, n with the context that both make up and that of the word alone."""
+        return known, np.log10((count + 1) / (self.n + self.v + 1))
+
+    def more(self, h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Per token, the sum of the frequent entries' values."""
+        out = np.zeros(len(h))
+        for at, key in self.asked(h, starts):
+            place, hit = _find(self.keys, key)
+            out[at[hit]] += self.values[place[hit]]  # a token asks once a step
+        return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            c, w = (np.asarray(b.column(x)).view(np.uint64) for x in ("context", "word"))
-            yield pa.RecordBatch.from_arrays([*b.columns, _signed(_pairs(c, w)), _signed(_pairs(np.zeros(len(w), np.uint64), w))], ["context", "word", "n", "longer", "alone"])
+    def open(self, h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(token, key) of the look-ups that only the written tables can answer: words outside the head, and cold entries."""
+        rest = np.flatnonzero(~_find(self.head, h)[1])
+        at, keys = [rest], [mix(h[rest] ^ _ODD)]
+        for token, key in self.asked(h, starts):
+            on = _may(self.cold, key)
+            token, key = token[on], key[on]
+            on = ~_find(self.keys, key)[1]
+            at.append(token[on])
+            keys.append(key[on])
+        return np.concatenate(at), np.concatenate(keys)
+
+
+def _gathered(train: DataFrame, d: int, parts: int, frequent: np.ndarray, words: np.ndarray, shorter: np.ndarray | None) -> DataFrame:
+    """context, above (its suffix), whole, back, moves (key, suffix, n, ends) of the contexts of ``d`` words that occur ``CONTEXT``
+    times, with the words that follow ``NEXT`` times. What follows a context so often follows its suffix so often, so the
+    bitmaps lose none."""
+    broadcast = train.sparkSession.sparkContext.broadcast
+    frequent, words, shorter = broadcast(frequent), broadcast(words), broadcast(shorter)
 
-    return rows.select("context", "word", "n").mapInArrow(run, "context long, word long, n long, longer long, alone long")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, limit=_BATCH):
+            h, starts = tokens(texts(b))
+            code = h >> _CODE
+            c = contexts(code, starts, d)
+            on = np.flatnonzero(c != 0)
+            on = on[_may(frequent.value, c[on])]
+            if not len(on):
+                continue
+            above = contexts(code, starts, d - 1)
+            _, at, n = np.unique(_pairs(c[on], code[on]), return_index=True, return_counts=True)
+            at = on[at]
+            order = np.argsort(c[at], kind="stable")
+            at, n = at[order], n[order]
+            cut = np.flatnonzero(np.concatenate([[True], c[at][1:] != c[at][:-1]]))
+            whole = np.add.reduceat(n, cut)
+            keep = _may(words.value, h[at])
+            if shorter.value is not None:
+                keep &= _may(shorter.value, _pairs(above[at], code[at]))
+            fan = np.add.reduceat(keep.astype(np.int64), cut)
+            ends = np.concatenate([[0], np.cumsum(fan)])
+            key, over, followed, held = c[at][cut], above[at][cut], code[at][keep], n[keep]
+            yield _blobs([(p, b"".join([pack_sorted(key[s:e]), pack(over[s:e]), pack(whole[s:e]), pack(fan[s:e]), pack(followed[ends[s] : ends[e]]), pack(held[ends[s] : ends[e]])])) for p, s, e in _edges(key, parts)])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for blobs in _read(batches).values():
+            held = []
+            for x in blobs:
+                r = Reader(x)
+                held.append((r.take_sorted(), r.take(), *(r.take() for _ in range(4))))
+            c, above, whole, fan, code, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            at = np.repeat(c, fan.astype(np.int64))
+            names, first, same = np.unique(c, return_index=True, return_inverse=True)
+            total = np.bincount(same, whole.astype(np.float64), len(names)).astype(np.int64)
+            keys, one, of = np.unique(_pairs(at, code), return_index=True, return_inverse=True)
+            count = np.bincount(of, n.astype(np.float64), len(keys)).astype(np.int64)
+            state = np.searchsorted(names, at[one]) if len(names) else one
+            keep = (count >= NEXT) & (total[state] >= CONTEXT)
+            keys, one, count, state = keys[keep], one[keep], count[keep], state[keep]
+            order = np.argsort(state, kind="stable")
+            keys, one, count, state = keys[order], one[order], count[order], state[order]
+            if not len(keys):
+                continue
+            cut = np.flatnonzero(np.concatenate([[True], state[1:] != state[:-1]]))
+            fans, sums, who = np.diff(np.append(cut, len(state))), np.add.reduceat(count, cut), state[cut]
+            back = np.maximum(1e-12, 1 - (sums - DISCOUNT * fans) / total[who])
+            suffix = _pairs(above[first][state], code[one])
+            moves = pa.StructArray.from_arrays([_signed(keys), _signed(suffix), pa.array(count), pa.array(code[one] == END >> _CODE)], ["key", "suffix", "n", "ends"])
+            moves = pa.ListArray.from_arrays(pa.array(np.append(cut, len(state)).astype(np.int32)), moves)
+            yield pa.RecordBatch.from_arrays([_signed(names[who]), _signed(above[first][who]), pa.array(total[who]), pa.array(back), moves], ["context", "above", "whole", "back", "moves"])
+
+    schema = "context long, above long, whole long, back double, moves array<struct<key:long,suffix:long,n:long,ends:boolean>>"
+    return stored(_dealt(train.mapInArrow(count, "part int, blob binary"), parts).mapInArrow(merge, schema), f"contexts-{d}")
 
 
 def _kept(states: DataFrame, depth: int) -> DataFrame:
     """The contexts of (context, above, depth, passes) that pass, with their suffixes."""
-    found = states.filter(F.col("passes") & (F.col("depth") == depth)).select("context", "above", "depth")
-    level = found
+    level = found = states.filter(F.col("passes") & (F.col("depth") == depth)).select("context", "above")
     for d in range(depth - 1, 0, -1):
         below = level.select(F.col("above").alias("context")).distinct().withColumn("needed", F.lit(True))
-        level = states.filter(F.col("depth") == d).join(below, "context", "left").filter(F.col("passes") | F.col("needed")).select("context", "above", "depth")
+        level = states.filter(F.col("depth") == d).join(below, "context", "left").filter(F.col("passes") | F.col("needed")).select("context", "above")
         found = found.unionAll(level)
     return found.select("context")
 
 
-def _follows(train: DataFrame, d: int, states: DataFrame, words: np.ndarray, below: DataFrame | None) -> DataFrame:
-    """context, word, n of the words that follow contexts of ``d`` words ``NEXT`` times or more.
-
-    What follows a context so often follows its suffix so often, so the bitmaps lose none.
-    """
-    broadcast = train.sparkSession.sparkContext.broadcast
-    frequent, words = broadcast(_bitmap(states, "context")), broadcast(words)
-    shorter = broadcast(None if below is None else _bitmap(below, "longer"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, limit=8 << 20):
-            h, starts = tokens(texts(b))
-            c = contexts(h, starts, d)
-            on = np.flatnonzero((c != 0) & _may(words.value, h) & _may(frequent.value, c))
-            if shorter.value is not None:
-                on = on[_may(shorter.value, _pairs(contexts(h, starts, d - 1)[on], h[on]))]
-            c, w = c[on], h[on]
-            _, at, k = np.unique(_pairs(c, w), return_index=True, return_counts=True)
-            if len(at):
-                yield pa.RecordBatch.from_arrays([_signed(c[at]), _signed(w[at]), pa.array(k.astype(np.int32))], ["context", "word", "k"])
-
-    return train.mapInArrow(run, "context long, word long, k int").groupBy("context", "word").agg(F.sum("k").alias("n")).filter(F.col("n") >= NEXT)
-
-
 def grow(train: DataFrame, counts: DataFrame, n: int, v: int, depth: int) -> DataFrame:
-    """The tree's table: key, slot, n, value of its states (log10 backoff weight) and transitions (log10 of P over the root's)."""
-    inner = F.col("word") != int(END.view(np.int64))  # the end stands in no context
-    roots = counts.select("word", ((F.col("n") + 1) / F.lit(float(n + v + 1))).alias("root"))
+    """The tree's table: key, n, value of its states and transitions."""
+    parts = max(n // PART_TOKENS + 1, int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    below = counts.filter((F.col("whole") >= NEXT)).select("key", ((F.col("whole") + 1) / F.lit(float(n + v + 1))).alias("p"))
     words = _bitmap(counts.filter(F.col("n") >= NEXT), "word")
-    first = counts.filter((F.col("n") >= CONTEXT) & inner).withColumn("context", F.lit(0).cast("long"))
-    states = durable(_paired(first).select(F.col("longer").alias("context"), F.lit(0).cast("long").alias("above"), F.col("n").alias("whole")))
-    below, every, nodes = None, None, None
+    end = int(_pairs(np.zeros(1, np.uint64), np.array([END >> _CODE]))[0].view(np.int64))
+    frequent, shorter = _bitmap(counts.filter((F.col("whole") >= CONTEXT) & (F.col("key") != end)), "key"), None
+    nodes, levels = [], []
     for d in range(1, depth + 1):
-        moves = _paired(stored(_follows(train, d, states, words, below), f"follows-{d}"))
-        fans = moves.groupBy("context").agg(F.count(F.lit(1)).alias("fan"), F.sum("n").alias("held"))
-        states = durable(states.join(fans, "context").withColumn("back", F.greatest(F.lit(1e-12), 1 - (F.col("held") - DISCOUNT * F.col("fan")) / F.col("whole"))))
-        level = moves.join(states.select("context", "above", "whole", "back"), "context").join(roots, "word")
-        if below is None:
-            level = level.withColumn("under", F.col("root")).withColumn("suffix", F.col("alone"))
-        else:
-            lower = below.select(F.col("context").alias("above"), "word", F.col("p").alias("under"), F.col("longer").alias("suffix"))
-            level = level.join(lower, ["above", "word"])
+        raw = _gathered(train, d, parts, frequent, words, shorter)
+        moves = raw.select("context", "whole", "back", F.inline("moves")).join(below.select(F.col("key").alias("suffix"), F.col("p").alias("under")), "suffix")
         p = (F.col("n") - DISCOUNT) / F.col("whole") + F.col("back") * F.col("under")
-        below = stored(level.select("context", "word", "n", "whole", "root", "under", "longer", "suffix", p.alias("p")), f"level-{d}")
-        gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("whole") / F.col("under")))
-        gains = below.groupBy("context").agg((gain > COST * F.count(F.lit(1))).alias("passes"))
-        node = states.join(gains, "context").select("context", "above", "whole", "back", "passes", F.lit(d).alias("depth"))
-        arc = below.select("context", F.col("longer").alias("key"), F.lit(2 * d + 1).alias("slot"), "n", F.log10(F.col("p") / F.col("root")).alias("value"))
-        nodes, every = (node, arc) if nodes is None else (nodes.unionAll(node), every.unionAll(arc))
-        states = below.filter((F.col("n") >= CONTEXT) & inner).select(F.col("longer").alias("context"), F.col("suffix").alias("above"), F.col("n").alias("whole"))
-    nodes = durable(nodes)
-    kept = durable(_kept(nodes, depth))
-    held = nodes.join(kept, "context").select(F.col("context").bitwiseXOR(F.lit(int(_ODD.view(np.int64)))).alias("key"), (F.col("depth") * 2).alias("slot"), F.col("whole").alias("n"), F.log10("back").alias("value"))
-    return stored(held.unionAll(every.join(kept, "context").select("key", "slot", "n", "value")), "suffix-tree")
-
-
-def plant(train: DataFrame, head: int = HEAD, depth: int = DEPTH, hot: int = HOT) -> tuple[Tree, DataFrame, DataFrame]:
-    """The tree's frequent part, the root counts (word, n) of words outside the head, and the rest of the tree's table."""
-    counts = durable(_counted(train, lambda h, s: [(h,)], ["word"]))
+        gain = F.col("n") * F.log(F.col("n") / F.col("whole") / F.col("under"))
+        level = stored(moves.select("context", "key", "n", "ends", p.alias("p"), gain.cast("float").alias("gain"), (F.log10(p / F.col("under")) - F.log10("back")).alias("value")), f"level-{d}")
+        gains = level.groupBy("context").agg((F.sum("gain") > COST * F.count(F.lit(1))).alias("passes"))
+        nodes.append(stored(raw.select("context", "above", "whole", "back").join(gains, "context").withColumn("depth", F.lit(d)), f"nodes-{d}"))
+        release(raw)
+        levels.append(level)
+        below = level.select("key", "p")
+        if d < depth:
+            frequent, shorter = _bitmap(level.filter((F.col("n") >= CONTEXT) & ~F.col("ends")), "key"), _bitmap(level, "key")
+    every, arcs = nodes[0], levels[0].select("context", "key", "n", "value")
+    for node, level in zip(nodes[1:], levels[1:], strict=True):
+        every, arcs = every.unionAll(node), arcs.unionAll(level.select("context", "key", "n", "value"))
+    kept = stored(_kept(every, depth), "kept")
+    states = every.join(kept, "context").select(F.col("context").bitwiseXOR(F.lit(int(_ODD.view(np.int64)))).alias("key"), F.col("whole").alias("n"), F.log10("back").alias("value"))
+    tree = stored(states.unionAll(arcs.join(kept, "context", "left_semi").select("key", "n", "value")), "suffix-tree")
+    release(kept, *nodes, *levels)
+    return tree
+
+
+def plant(train: DataFrame, head: int = HEAD, depth: int = DEPTH, hot: int = HOT) -> tuple[Tree, DataFrame, int]:
+    """The tree's frequent part; key, value, word (1 or 0) of all that the written tables hold beside it; and the number of these rows."""
+    counts = word_counts(train)
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     least = _least(counts, head)
     top_words, top_n = _collected(counts.filter(F.col("n") >= least), "word", "n")
@@ -268,31 +351,73 @@ def plant(train: DataFrame, head: int = HEAD, depth: int = DEPTH, hot: int = HOT
     top_words, top_n = top_words.view(np.uint64)[order], top_n[order]
     table = grow(train, counts, n, v, depth)
     often = _least(table, hot)
-    key, slot, value = _collected(table.filter(F.col("n") >= often), "key", "slot", "value")
+    key, value = _collected(table.filter(F.col("n") >= often), "key", "value")
     key = key.view(np.uint64)
     order = np.argsort(key)
-    key, slot, value = key[order], slot[order], value[order]
     cold = table.filter(F.col("n") < often)
-    pick = lambda x, odd: [x[slot == 2 * d + odd] for d in range(1, depth + 1)]
-    tree = Tree(n, v, top_words, top_n, pick(key, 0), pick(value, 0), pick(key, 1), pick(value, 1), _bitmap(cold, "key"))
-    return tree, counts.filter(F.col("n") < least), cold
+    rare = counts.filter(F.col("n") < least)
+    tree = Tree(n, v, depth, top_words, top_n, key[order], value[order], _bitmap(table, "key"), _bitmap(cold, "key"))
 
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            word, k = np.asarray(b.column("word")).view(np.uint64), np.asarray(b.column("n"))
+            yield pa.RecordBatch.from_arrays([_signed(mix(word ^ _ODD)), pa.array(np.log10(k + 1.0)), pa.array(np.ones(len(k), np.int8))], ["key", "value", "word"])
 
-def fit(train: DataFrame, head: int = HEAD, depth: int = DEPTH) -> tuple[Tree, DataFrame]:
-    """The tree of the texts in ``train`` (doc_id, text), and the root counts (word, n) of words outside the head."""
-    return plant(train, head, depth)[:2]
+    rest = rare.select("word", "n").mapInArrow(named, "key long, value double, word byte").unionAll(cold.select("key", F.col("value").cast("double"), F.lit(0).cast("byte").alias("word")))
+    return tree, rest, rare.count() + cold.count()
 
 
-def _looked_up(scored: DataFrame, cold: DataFrame, depth: int) -> DataFrame:
-    """of, late: sums over a row's open tokens of the log10 of how far P exceeds the root's."""
-    asked = scored.filter(F.size("opened") > 0).select("row", F.inline("opened"))
-    found = asked.filter("key <> 0").join(cold.select("key", F.col("value").alias("found")), "key").select("row", "token", "slot", F.col("found").alias("value"))
-    every = asked.filter("key = 0").select("row", "token", "slot", "value").unionAll(found)
-    slots = [F.max(F.when(F.col("slot") == k, F.col("value"))).alias(f"s{k}") for k in range(2, 2 * depth + 2)]
-    total: Column = F.lit(0.0)
-    for d in range(1, depth + 1):
-        total = F.coalesce(F.when(F.col(f"s{2 * d}").isNotNull(), F.col(f"s{2 * d + 1}")), total + F.coalesce(F.col(f"s{2 * d}"), F.lit(0.0)))
-    return every.groupBy("row", "token").agg(*slots).select(F.col("row").alias("of_row"), total.alias("more")).groupBy("of_row").agg(F.sum("more").alias("late"))
+def _answered(rows: DataFrame, rest: DataFrame, n_rest: int, shared) -> DataFrame:
+    """of_id, of_text, base, more, known: the sums of what the written tables answer, for each of the documents that asks."""
+    parts = max(n_rest // PART_ENTRIES + shared.value.n // (4 * PART_TOKENS) + 1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key, value, word = np.asarray(b.column("key")).view(np.uint64), np.asarray(b.column("value")), np.asarray(b.column("word"))
+            order = np.argsort(key)
+            key, value, word = key[order], value[order], word[order]
+            yield _blobs([(p, b"E" + pack_sorted(key[s:e]) + pack(value[s:e].view(np.uint64)) + pack(word[s:e])) for p, s, e in _edges(key, parts)])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, limit=_BATCH):
+            h, starts = tokens(texts(b))
+            token, key = shared.value.open(h, starts)
+            if not len(key):
+                continue
+            order = np.argsort(key, kind="stable")
+            key, doc = key[order], np.searchsorted(starts, token[order], "right") - 1
+            ids, names = np.asarray(b.column("doc")).view(np.uint64), np.asarray(b.column("text_key")).view(np.uint64)
+            told, seen = [], np.zeros(b.num_rows, bool)
+            for p, s, e in _edges(key, parts):
+                held, code = np.unique(doc[s:e], return_inverse=True)
+                cut = np.flatnonzero(np.concatenate([[True], key[s:e][1:] != key[s:e][:-1]]))
+                told.append((p, b"".join([b"A", pack_sorted(key[s:e][cut]), pack(np.diff(np.append(cut, e - s))), pack(code), pack(ids[held]), pack(names[held]), pack(~seen[held])])))
+                seen[held] = True
+            yield _blobs(told)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for blobs in _read(batches).values():
+            table = [(r.take_sorted(), r.take().view(np.float64), r.take()) for x in blobs if x[:1] == b"E" for r in [Reader(x[1:])]]
+            keys, values, words = (np.concatenate(x) for x in zip(*table, strict=True)) if table else (np.empty(0, np.uint64), np.empty(0), np.empty(0, np.uint64))
+            order = np.argsort(keys)
+            keys, values, words = keys[order], values[order], words[order].astype(np.float64)
+            for x in blobs:
+                if x[:1] != b"A":
+                    continue
+                r = Reader(x[1:])
+                key, n, code, ids, names, first = r.take_sorted(), r.take().astype(np.int64), r.take().astype(np.int64), r.take(), r.take(), r.take()
+                place, hit = _find(keys, key)
+                value = np.repeat(np.where(hit, values[place] if len(values) else 0.0, 0.0), n)
+                word = np.repeat(np.where(hit, words[place] if len(words) else 0.0, 0.0), n)
+                total = lambda w: np.bincount(code, w, len(ids))  # noqa: E731, B023
+                cols = [_signed(ids), _signed(names), pa.array(total(value * word)), pa.array(total(value)), pa.array(total(word)), pa.array(first.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, ["of_id", "of_text", "base", "more", "known", "times"])
+
+    asked = rows.mapInArrow(ask, "part int, blob binary").unionAll(rest.mapInArrow(entries, "part int, blob binary"))
+    sums = _dealt(asked, parts).mapInArrow(answer, "of_id long, of_text long, base double, more double, known double, times int")
+    # rows repeated in id and text ask once each and are told their common sum
+    each = sums.groupBy("of_id", "of_text").agg(*[F.sum(x).alias(x) for x in ("base", "more", "known", "times")])
+    return each.select("of_id", "of_text", *[(F.col(x) / F.col("times")).alias(f"late_{x}") for x in ("base", "more", "known")])
 
 
 def score_texts(docs: DataFrame, hold: tuple[int, int] = (7, 2), head: int = HEAD, depth: int = DEPTH, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -301,34 +426,26 @@ def score_texts(docs: DataFrame, hold: tuple[int, int] = (7, 2), head: int = HEA
     Learns from all rows but those with crc32(id) mod hold[0] = hold[1]. base_score is the add-one score of single words,
     score the tree's log10 probability; both count the end of the text as a token. A null text is empty, and has its end
     alone. Repeated rows count and are scored each; a null id counts as the empty text in the hash. Without training rows
-    every token has probability 1 by the stated formula. Words are known by 64-bit hashes.
+    every token has probability 1 by the stated formula. Words are known by 64-bit hashes, in the tree by 48 bits of these.
+    An empty table gives no rows; other columns play no part.
     """
-    rows = pair(docs, id_col, text_col).withColumn("held_out", held_out("doc_id", *hold))
-    tree, rare, cold = plant(rows.filter("not held_out").select("doc_id", "text"), head, depth, hot)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumn("held_out", held_out("doc_id", *hold)).withColumn("doc", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long"))).withColumn("text_key", F.xxhash64("text"))
+    tree, rest, n_rest = plant(rows.filter("not held_out").select("text"), head, depth, hot)
     shared = docs.sparkSession.sparkContext.broadcast(tree)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
         for b in slices(batches):
             h, starts = tokens(texts(b))
-            known, root, p, more, (token, slot, key, value) = t.parts(h, starts)
+            known, root = t.root(h)
             add = lambda x: np.add.reduceat(x, starts[:-1])  # noqa: E731  every text has a token
-            tail = np.flatnonzero(~known)
-            of = np.searchsorted(starts, tail, "right") - 1
-            cuts = np.searchsorted(of, np.arange(b.num_rows + 1))
-            rest = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), _signed(h[tail]))
-            ends = np.searchsorted(token, starts)
-            opened = pa.StructArray.from_arrays([pa.array(token.astype(np.int32)), pa.array(slot.astype(np.int8)), _signed(key.astype(np.uint64)), pa.array(value.astype(np.float64))], ["token", "slot", "key", "value"])
-            opened = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), opened)
-            cols = [pa.array(np.diff(starts)), pa.array(add(known.astype(np.int64))), pa.array(add(np.where(known, root, 0.0))), pa.array(add(np.where(known, p, more))), rest, opened]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), *cols], ["doc_id", "held_out", "n_tokens", "n_head", "base", "full", "rest", "opened"])
-
-    scored = durable(rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_head long, base double, full double, rest array<long>, opened array<struct<token:int,slot:byte,key:long,value:double>>"))
-    scored = scored.withColumn("row", F.monotonically_increasing_id())
-    rest = scored.filter(F.size("rest") > 0).select("row", F.explode("rest").alias("word")).groupBy("row", "word").agg(F.count(F.lit(1)).alias("k"))
-    counted = rest.join(rare.withColumnRenamed("n", "c"), "word", "left")
-    per_row = counted.groupBy(F.col("row").alias("of")).agg(F.sum(F.col("k") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(tree.n + tree.v + 1)))).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("n_rare"))
-    out = scored.drop("rest", "opened").join(per_row, F.col("row") == F.col("of"), "left")
-    out = out.join(_looked_up(scored, cold, depth), F.col("row") == F.col("of_row"), "left")
-    more = F.coalesce("more", F.lit(0.0))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_head") + F.coalesce("n_rare", F.lit(0))).alias("n_known"), F.lit(tree.n).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("full") + more + F.coalesce("late", F.lit(0.0))).alias("score"))
+            base = add(root)
+            cols = [pa.array(np.diff(starts)), pa.array(add(known.astype(np.int64))), pa.array(base), pa.array(base + add(t.more(h, starts)))]
+            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in ("doc_id", "held_out", "doc", "text_key")), *cols], ["doc_id", "held_out", "doc", "text_key", "n_tokens", "n_head", "base", "full"])
+
+    out = rows.mapInArrow(run, "doc_id long, held_out boolean, doc long, text_key long, n_tokens long, n_head long, base double, full double")
+    late = _answered(rows.select("doc", "text_key", "text"), rest, n_rest, shared)
+    out = out.join(late, (F.col("doc") == F.col("of_id")) & (F.col("text_key") == F.col("of_text")), "left")
+    late = {x: F.coalesce(F.col(f"late_{x}"), F.lit(0.0)) for x in ("base", "more", "known")}
+    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_head") + F.round(late["known"]).cast("long")).alias("n_known"), F.lit(tree.n).cast("long").alias("train_tokens"), (F.col("base") + late["base"]).alias("base_score"), (F.col("full") + late["more"]).alias("score"))

@@ -350,19 +350,20 @@ def test_lm_scores(docs, rows, empty):
 def test_lm_distributions_sum_to_one(spark, docs):
     import numpy as np
 
-    from skein.llm.suffix_tree import END, fit, word_hashes
+    from skein.llm.suffix_tree import END, plant, word_hashes
 
-    tree, rare = fit(docs.select("doc_id", "text"))
-    assert rare.count() == 0 and sum(map(len, tree.states)) > 0
+    tree, rest, n_rest = plant(docs.select("text").na.fill(""), hot=1 << 40)
+    assert n_rest == rest.count() == 0 and len(tree.keys) > 0
     for text in (b"the", b"a a", b"de la"):
         context = word_hashes(text.split())
         total = 0.0
         for w in tree.head:
             h = np.concatenate([context, [w]]).astype(np.uint64)
-            total += 10 ** tree.parts(h, np.array([0, len(h)]))[2][-1]
+            total += 10 ** (tree.root(h)[1] + tree.more(h, np.array([0, len(h)])))[-1]
         assert total + 1 / (tree.n + tree.v + 1) == pytest.approx(1, abs=1e-4)
     assert END in tree.head
 
+
 def test_lm_tree_grows_with_the_corpus(spark):
     """A context of a few occurrences is a state however many other words there are, held in memory or joined."""
     from skein.llm.suffix_tree import score_texts
