@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -37,3 +43,72 @@ class Reader:
 
     def take_sorted(self) -> np.ndarray:
         return np.cumsum(self.take(), dtype=np.uint64)
+
+
+#: A bitmap is gathered in ranges of 1 << RANGE slots.
+RANGE = 21
+
+
+@dataclass
+class Bitmap:
+    """Whether a slot, the top ``bits`` bits of a 64-bit key, holds a key."""
+
+    bits: int
+    words: np.ndarray
+
+    def may(self, keys: np.ndarray) -> np.ndarray:
+        at = keys >> np.uint64(64 - self.bits)
+        return (self.words.take((at >> np.uint64(6)).view(np.int64)) >> (at & np.uint64(63)) & np.uint64(1)).view(np.int64) == 1
+
+
+def bitmap(frame: DataFrame, name: str, most: int = 27) -> Bitmap:
+    """A bitmap of the keys in column ``name``, of 16 slots a key and 1 << ``most`` slots at most. Each task sends its slots as one
+    row a range, so a range's task and the driver get no more than the bitmap holds."""
+    bits = min(most, max(20, (16 * frame.count()).bit_length()))
+    ranges = 1 << max(0, bits - RANGE)
+    wide = (1 << bits) // ranges
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.unique(np.asarray(b.column(0)).view(np.uint64) >> np.uint64(64 - bits))
+            edges = np.searchsorted(at, np.arange(ranges + 1, dtype=np.uint64) * np.uint64(wide))
+            part = [k for k in range(ranges) if edges[k] < edges[k + 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([pack_sorted(at[edges[k] : edges[k + 1]]) for k in part], pa.binary())], ["part", "blob"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for part, blob in zip(b.column("part").to_pylist(), b.column("blob").to_pylist(), strict=True):
+                held.setdefault(part, np.zeros(wide, bool))[(Reader(blob).take_sorted() - np.uint64(part * wide)).view(np.int64)] = True
+        for part, on in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary())], ["part", "bits"])
+
+    found = frame.select(name).mapInArrow(slots, "part int, blob binary").repartitionById(ranges, F.col("part")).mapInArrow(merge, "part int, bits binary")
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r in found.collect():
+        out[r.part * wide // 8 : (r.part + 1) * wide // 8] = np.frombuffer(bytes(r.bits), np.uint8)
+    return Bitmap(bits, out.view(np.uint64))
+
+
+class Table:
+    """Looks up sorted distinct 64-bit keys by their top bits: a slot's keys stand side by side, and there are few to a slot."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.bits = keys, max(8, (2 * len(keys)).bit_length())
+        self.first = np.searchsorted(keys, np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)).astype(np.int32)
+        self.first = np.append(self.first, np.int32(len(keys)))
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each key, and whether it is there."""
+        slot = (wanted >> np.uint64(64 - self.bits)).view(np.int64)
+        place = self.first.take(slot).astype(np.int64)
+        stop = self.first.take(slot + 1)
+        hit = np.zeros(len(wanted), bool)
+        on = np.flatnonzero(place < stop)
+        while len(on):
+            same = self.keys.take(place[on]) == wanted[on]
+            hit[on[same]] = True
+            on = on[~same]
+            place[on] += 1
+            on = on[place[on] < stop[on]]
+        return np.where(hit, place, 0), hit

@@ -34,7 +34,7 @@ from skein.llm.text import grams, inside, mix, slices, split_hash, texts
 
 WINDOW, GRAM = 13, 4
 #: log2 of the bitmap's slots: 8 MB; it is gathered in so many ranges.
-SLOTS, RANGES = 26, 64
+SLOTS, RANGES = 26, 16
 #: A minimizer is hot above so many occurrences, and above this part of all occurrences.
 HOT, HOT_SHARE = 1000, 50_000
 #: Words of segments that a shard gets on average.

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.durable import release, stored
-from skein.llm.packing import Reader, pack, pack_sorted
+from skein.llm.packing import Bitmap, Reader, Table, bitmap, pack, pack_sorted
 from skein.llm.text import held_out, mix, slices, texts, word_hashes
 
 #: Words of a context at most, occurrences that a context and a transition need, and the discount of each count.
@@ -36,13 +36,9 @@ DEPTH, CONTEXT, NEXT, DISCOUNT = 3, 5, 2, 0.5
 #: Cost of a transition in the divergence test, in nats of count times divergence.
 COST = 2.0
 #: Words whose root counts are broadcast, and entries of the tree, at most.
-HEAD, HOT = 1_000_000, 500_000
-#: Bitmaps have 1 << BITS bits.
-BITS = 27
+HEAD, HOT = 500_000, 500_000
 #: Tokens, and entries of the tree, that a part gets on average.
 PART_TOKENS, PART_ENTRIES = 4_000_000, 1_000_000
-#: Parts of the word counts at least.
-PARTS = 64
 #: The end token, a word that no text holds.
 END = np.uint64(0x6A09E667F3BCC909)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -131,7 +127,7 @@ def _totals(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def word_counts(train: DataFrame) -> DataFrame:
     """word, n, and on one row of each 48-bit code its key as a context of one word and the code's count (key, whole; else null)."""
-    parts = max(PARTS, int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, limit=_BATCH):
@@ -157,21 +153,6 @@ def _collected(frame: DataFrame, *names: str) -> list[np.ndarray]:
     return [np.asarray(t.column(x).combine_chunks()) if t.num_rows else np.empty(0, np.int64) for x in names]
 
 
-def _bitmap(frame: DataFrame, name: str) -> np.ndarray:
-    """A bitmap of the top bits of column ``name``; of fixed size."""
-    at = F.shiftrightunsigned(F.col(name), 64 - BITS)
-    rows = frame.select(F.shiftright(at, 6).cast("int").alias("block"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned({name}, {64 - BITS}) & 63 as int))").alias("bit"))
-    block, bits = _collected(rows.groupBy("block").agg(F.bit_or("bit").alias("bits")), "block", "bits")
-    out = np.zeros(1 << (BITS - 6), np.uint64)
-    out[block] = bits.view(np.uint64)
-    return out
-
-
-def _may(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys >> np.uint64(64 - BITS)
-    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)) == 1
-
-
 def _least(frame: DataFrame, most: int) -> int:
     """The least power of two such that at most ``most`` rows have an n of it or above."""
     sizes = {r.size: r.k for r in frame.groupBy(F.floor(F.log2("n")).alias("size")).agg(F.count(F.lit(1)).alias("k")).collect()}
@@ -186,59 +167,54 @@ def _least(frame: DataFrame, most: int) -> int:
 
 @dataclass
 class Tree:
-    """head: frequent words and their counts, sorted; keys and values of the frequent entries, sorted; bits: a bitmap of all
-    entries' keys, and of those that aren't here (cold)."""
+    """head: frequent words, with their counts; keys of the frequent entries, with their values; bitmaps of all entries' keys, and
+    of those that aren't here (cold)."""
 
     n: int
     v: int
     depth: int
-    head: np.ndarray
+    head: Table
     counts: np.ndarray
-    keys: np.ndarray
+    keys: Table
     values: np.ndarray
-    bits: np.ndarray
-    cold: np.ndarray
+    bits: Bitmap
+    cold: Bitmap
 
     def asked(self, h: np.ndarray, starts: np.ndarray):
         """(tokens, keys) of all look-ups that an entry may answer, context by context."""
         code, alive = h >> _CODE, np.arange(len(h))
         for d in range(1, self.depth + 1):
             c = contexts(code, starts, d)[alive]
-            on = (c != 0) & _may(self.bits, c ^ _ODD)
+            on = (c != 0) & self.bits.may(c ^ _ODD)
             alive, c = alive[on], c[on]  # a kept state's suffixes are kept, so no longer context can be where this one isn't
             yield alive, c ^ _ODD
             key = _pairs(c, code[alive])
-            on = _may(self.bits, key)
+            on = self.bits.may(key)
             yield alive[on], key[on]
 
     def root(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each token is in the head, and log10 of its P at the root (of count 0 outside the head)."""
-        place, known = _find(self.head, h)
+        place, known = self.head.find(h)
         count = np.where(known, self.counts[place] if len(self.counts) else 0, 0)
         return known, np.log10((count + 1) / (self.n + self.v + 1))
 
-    def more(self, h: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Per token, the sum of the frequent entries' values."""
-        out = np.zeros(len(h))
-        for at, key in self.asked(h, starts):
-            place, hit = _find(self.keys, key)
-            out[at[hit]] += self.values[place[hit]]  # a token asks once a step
-        return out
-
-    def open(self, h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(token, key) of the look-ups that only the written tables can answer: words outside the head, and cold entries."""
-        rest = np.flatnonzero(~_find(self.head, h)[1])
+    def scores(self, h: np.ndarray, starts: np.ndarray):
+        """Per token: whether it is in the head, log10 of its P at the root, the sum of the frequent entries' values; and (token, key)
+        of the look-ups that only the written tables can answer: words outside the head, and cold entries."""
+        known, root = self.root(h)
+        more, rest = np.zeros(len(h)), np.flatnonzero(~known)
         at, keys = [rest], [mix(h[rest] ^ _ODD)]
         for token, key in self.asked(h, starts):
-            on = _may(self.cold, key)
-            token, key = token[on], key[on]
-            on = ~_find(self.keys, key)[1]
+            place, hit = self.keys.find(key)
+            more[token[hit]] += self.values[place[hit]]  # a token asks once a step
+            on = np.flatnonzero(~hit)
+            on = on[self.cold.may(key[on])]
             at.append(token[on])
             keys.append(key[on])
-        return np.concatenate(at), np.concatenate(keys)
+        return known, root, more, np.concatenate(at), np.concatenate(keys)
 
 
-def _gathered(train: DataFrame, d: int, parts: int, frequent: np.ndarray, words: np.ndarray, shorter: np.ndarray | None) -> DataFrame:
+def _gathered(train: DataFrame, d: int, parts: int, frequent: Bitmap, words: Bitmap, shorter: Bitmap | None) -> DataFrame:
     """context, above (its suffix), whole, back, moves (key, suffix, n, ends) of the contexts of ``d`` words that occur ``CONTEXT``
     times, with the words that follow ``NEXT`` times. What follows a context so often follows its suffix so often, so the
     bitmaps lose none."""
@@ -251,7 +227,7 @@ def _gathered(train: DataFrame, d: int, parts: int, frequent: np.ndarray, words:
             code = h >> _CODE
             c = contexts(code, starts, d)
             on = np.flatnonzero(c != 0)
-            on = on[_may(frequent.value, c[on])]
+            on = on[frequent.value.may(c[on])]
             if not len(on):
                 continue
             above = contexts(code, starts, d - 1)
@@ -261,9 +237,9 @@ def _gathered(train: DataFrame, d: int, parts: int, frequent: np.ndarray, words:
             at, n = at[order], n[order]
             cut = np.flatnonzero(np.concatenate([[True], c[at][1:] != c[at][:-1]]))
             whole = np.add.reduceat(n, cut)
-            keep = _may(words.value, h[at])
+            keep = words.value.may(h[at])
             if shorter.value is not None:
-                keep &= _may(shorter.value, _pairs(above[at], code[at]))
+                keep &= shorter.value.may(_pairs(above[at], code[at]))
             fan = np.add.reduceat(keep.astype(np.int64), cut)
             ends = np.concatenate([[0], np.cumsum(fan)])
             key, over, followed, held = c[at][cut], above[at][cut], code[at][keep], n[keep]
@@ -297,7 +273,10 @@ def _gathered(train: DataFrame, d: int, parts: int, frequent: np.ndarray, words:
             yield pa.RecordBatch.from_arrays([_signed(names[who]), _signed(above[first][who]), pa.array(total[who]), pa.array(back), moves], ["context", "above", "whole", "back", "moves"])
 
     schema = "context long, above long, whole long, back double, moves array<struct<key:long,suffix:long,n:long,ends:boolean>>"
-    return stored(_dealt(train.mapInArrow(count, "part int, blob binary"), parts).mapInArrow(merge, schema), f"contexts-{d}")
+    out = stored(_dealt(train.mapInArrow(count, "part int, blob binary"), parts).mapInArrow(merge, schema), f"contexts-{d}")
+    for x in (frequent, words, shorter):
+        x.destroy()
+    return out
 
 
 def _kept(states: DataFrame, depth: int) -> DataFrame:
@@ -314,9 +293,9 @@ def grow(train: DataFrame, counts: DataFrame, n: int, v: int, depth: int) -> Dat
     """The tree's table: key, n, value of its states and transitions."""
     parts = max(n // PART_TOKENS + 1, int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     below = counts.filter((F.col("whole") >= NEXT)).select("key", ((F.col("whole") + 1) / F.lit(float(n + v + 1))).alias("p"))
-    words = _bitmap(counts.filter(F.col("n") >= NEXT), "word")
+    words = bitmap(counts.filter(F.col("n") >= NEXT), "word")
     end = int(_pairs(np.zeros(1, np.uint64), np.array([END >> _CODE]))[0].view(np.int64))
-    frequent, shorter = _bitmap(counts.filter((F.col("whole") >= CONTEXT) & (F.col("key") != end)), "key"), None
+    frequent, shorter = bitmap(counts.filter((F.col("whole") >= CONTEXT) & (F.col("key") != end)), "key"), None
     nodes, levels = [], []
     for d in range(1, depth + 1):
         raw = _gathered(train, d, parts, frequent, words, shorter)
@@ -330,7 +309,7 @@ def grow(train: DataFrame, counts: DataFrame, n: int, v: int, depth: int) -> Dat
         levels.append(level)
         below = level.select("key", "p")
         if d < depth:
-            frequent, shorter = _bitmap(level.filter((F.col("n") >= CONTEXT) & ~F.col("ends")), "key"), _bitmap(level, "key")
+            frequent, shorter = bitmap(level.filter((F.col("n") >= CONTEXT) & ~F.col("ends")), "key"), bitmap(level, "key")
     every, arcs = nodes[0], levels[0].select("context", "key", "n", "value")
     for node, level in zip(nodes[1:], levels[1:], strict=True):
         every, arcs = every.unionAll(node), arcs.unionAll(level.select("context", "key", "n", "value"))
@@ -356,7 +335,7 @@ def plant(train: DataFrame, head: int = HEAD, depth: int = DEPTH, hot: int = HOT
     order = np.argsort(key)
     cold = table.filter(F.col("n") < often)
     rare = counts.filter(F.col("n") < least)
-    tree = Tree(n, v, depth, top_words, top_n, key[order], value[order], _bitmap(table, "key"), _bitmap(cold, "key"))
+    tree = Tree(n, v, depth, Table(top_words), top_n, Table(key[order]), value[order], bitmap(table, "key"), bitmap(cold, "key"))
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -367,9 +346,21 @@ def plant(train: DataFrame, head: int = HEAD, depth: int = DEPTH, hot: int = HOT
     return tree, rest, rare.count() + cold.count()
 
 
-def _answered(rows: DataFrame, rest: DataFrame, n_rest: int, shared) -> DataFrame:
-    """of_id, of_text, base, more, known: the sums of what the written tables answer, for each of the documents that asks."""
-    parts = max(n_rest // PART_ENTRIES + shared.value.n // (4 * PART_TOKENS) + 1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def score_texts(docs: DataFrame, hold: tuple[int, int] = (7, 2), head: int = HEAD, depth: int = DEPTH, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
+
+    Learns from all rows but those with crc32(id) mod hold[0] = hold[1]. base_score is the add-one score of single words,
+    score the tree's log10 probability; both count the end of the text as a token. A null text is empty, and has its end
+    alone. Repeated rows count and are scored each; a null id counts as the empty text in the hash. Without training rows
+    every token has probability 1 by the stated formula. Words are known by 64-bit hashes, in the tree by 48 bits of these.
+    An empty table gives no rows; other columns play no part.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    train = rows.filter(~held_out("doc_id", *hold)).select("text")
+    tree, rest, n_rest = plant(train, head, depth, hot)
+    shared = spark.sparkContext.broadcast(tree)
+    parts = max(n_rest // PART_ENTRIES + tree.n // (4 * PART_TOKENS) + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -379,73 +370,48 @@ def _answered(rows: DataFrame, rest: DataFrame, n_rest: int, shared) -> DataFram
             yield _blobs([(p, b"E" + pack_sorted(key[s:e]) + pack(value[s:e].view(np.uint64)) + pack(word[s:e])) for p, s, e in _edges(key, parts)])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Look-ups as distinct keys, how often each is asked, and by which of the batch's documents; and all that is known here."""
         for b in slices(batches, limit=_BATCH):
             h, starts = tokens(texts(b))
-            token, key = shared.value.open(h, starts)
-            if not len(key):
-                continue
+            known, root, more, token, key = shared.value.scores(h, starts)
+            add = lambda x: np.add.reduceat(x, starts[:-1])  # noqa: E731, B023  every text has a token
+            ids, names, base = np.asarray(b.column("doc")).view(np.uint64), np.asarray(b.column("text_key")).view(np.uint64), add(root)
             order = np.argsort(key, kind="stable")
             key, doc = key[order], np.searchsorted(starts, token[order], "right") - 1
-            ids, names = np.asarray(b.column("doc")).view(np.uint64), np.asarray(b.column("text_key")).view(np.uint64)
-            told, seen = [], np.zeros(b.num_rows, bool)
+            told = [(int(mix(names[:1])[0] % np.uint64(parts)), b"".join([b"D", pack(ids), pack(names), pack(np.asarray(b.column("unnamed"))), pack(np.diff(starts)), pack(add(known.astype(np.int64))), pack(base.view(np.uint64)), pack((base + add(more)).view(np.uint64))]))]
             for p, s, e in _edges(key, parts):
                 held, code = np.unique(doc[s:e], return_inverse=True)
                 cut = np.flatnonzero(np.concatenate([[True], key[s:e][1:] != key[s:e][:-1]]))
-                told.append((p, b"".join([b"A", pack_sorted(key[s:e][cut]), pack(np.diff(np.append(cut, e - s))), pack(code), pack(ids[held]), pack(names[held]), pack(~seen[held])])))
-                seen[held] = True
+                told.append((p, b"".join([b"A", pack_sorted(key[s:e][cut]), pack(np.diff(np.append(cut, e - s))), pack(code), pack(ids[held]), pack(names[held])])))
             yield _blobs(told)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names_of = ["doc", "text_key", "unnamed", "times", "tokens", "known", "base", "full"]
         for blobs in _read(batches).values():
-            table = [(r.take_sorted(), r.take().view(np.float64), r.take()) for x in blobs if x[:1] == b"E" for r in [Reader(x[1:])]]
-            keys, values, words = (np.concatenate(x) for x in zip(*table, strict=True)) if table else (np.empty(0, np.uint64), np.empty(0), np.empty(0, np.uint64))
-            order = np.argsort(keys)
-            keys, values, words = keys[order], values[order], words[order].astype(np.float64)
+            kinds: dict[bytes, list[Reader]] = {}
             for x in blobs:
-                if x[:1] != b"A":
-                    continue
-                r = Reader(x[1:])
-                key, n, code, ids, names, first = r.take_sorted(), r.take().astype(np.int64), r.take().astype(np.int64), r.take(), r.take(), r.take()
-                place, hit = _find(keys, key)
-                value = np.repeat(np.where(hit, values[place] if len(values) else 0.0, 0.0), n)
-                word = np.repeat(np.where(hit, words[place] if len(words) else 0.0, 0.0), n)
+                kinds.setdefault(x[:1], []).append(Reader(x[1:]))
+            held = [(r.take_sorted(), r.take().view(np.float64), r.take()) for r in kinds.get(b"E", [])] or [(np.empty(0, np.uint64), np.empty(0), np.empty(0, np.uint64))]
+            keys, values, words = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(keys)
+            keys, values, words = Table(keys[order]), np.append(values[order], 0.0), np.append(words[order].astype(np.float64), 0.0)
+            for r in kinds.get(b"A", []):
+                key, n, code, ids, names = r.take_sorted(), r.take().astype(np.int64), r.take().astype(np.int64), r.take(), r.take()
+                place, hit = keys.find(key)
+                place = np.repeat(np.where(hit, place, -1), n)
                 total = lambda w: np.bincount(code, w, len(ids))  # noqa: E731, B023
-                cols = [_signed(ids), _signed(names), pa.array(total(value * word)), pa.array(total(value)), pa.array(total(word)), pa.array(first.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(cols, ["of_id", "of_text", "base", "more", "known", "times"])
-
-    asked = rows.mapInArrow(ask, "part int, blob binary").unionAll(rest.mapInArrow(entries, "part int, blob binary"))
-    sums = _dealt(asked, parts).mapInArrow(answer, "of_id long, of_text long, base double, more double, known double, times int")
-    # rows repeated in id and text ask once each and are told their common sum
-    each = sums.groupBy("of_id", "of_text").agg(*[F.sum(x).alias(x) for x in ("base", "more", "known", "times")])
-    return each.select("of_id", "of_text", *[(F.col(x) / F.col("times")).alias(f"late_{x}") for x in ("base", "more", "known")])
-
-
-def score_texts(docs: DataFrame, hold: tuple[int, int] = (7, 2), head: int = HEAD, depth: int = DEPTH, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
-
-    Learns from all rows but those with crc32(id) mod hold[0] = hold[1]. base_score is the add-one score of single words,
-    score the tree's log10 probability; both count the end of the text as a token. A null text is empty, and has its end
-    alone. Repeated rows count and are scored each; a null id counts as the empty text in the hash. Without training rows
-    every token has probability 1 by the stated formula. Words are known by 64-bit hashes, in the tree by 48 bits of these.
-    An empty table gives no rows; other columns play no part.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("held_out", held_out("doc_id", *hold)).withColumn("doc", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long"))).withColumn("text_key", F.xxhash64("text"))
-    tree, rest, n_rest = plant(rows.filter("not held_out").select("text"), head, depth, hot)
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = shared.value
-        for b in slices(batches):
-            h, starts = tokens(texts(b))
-            known, root = t.root(h)
-            add = lambda x: np.add.reduceat(x, starts[:-1])  # noqa: E731  every text has a token
-            base = add(root)
-            cols = [pa.array(np.diff(starts)), pa.array(add(known.astype(np.int64))), pa.array(base), pa.array(base + add(t.more(h, starts)))]
-            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in ("doc_id", "held_out", "doc", "text_key")), *cols], ["doc_id", "held_out", "doc", "text_key", "n_tokens", "n_head", "base", "full"])
-
-    out = rows.mapInArrow(run, "doc_id long, held_out boolean, doc long, text_key long, n_tokens long, n_head long, base double, full double")
-    late = _answered(rows.select("doc", "text_key", "text"), rest, n_rest, shared)
-    out = out.join(late, (F.col("doc") == F.col("of_id")) & (F.col("text_key") == F.col("of_text")), "left")
-    late = {x: F.coalesce(F.col(f"late_{x}"), F.lit(0.0)) for x in ("base", "more", "known")}
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_head") + F.round(late["known"]).cast("long")).alias("n_known"), F.lit(tree.n).cast("long").alias("train_tokens"), (F.col("base") + late["base"]).alias("base_score"), (F.col("full") + late["more"]).alias("score"))
+                value, word = values[place], words[place]
+                zero = np.zeros(len(ids), np.int64)
+                yield pa.RecordBatch.from_arrays([_signed(ids), _signed(names), pa.array(zero), pa.array(zero), pa.array(zero), pa.array(total(word)), pa.array(total(value * word)), pa.array(total(value))], names_of)
+            for r in kinds.get(b"D", []):
+                ids, names, unnamed, size, known, base, full = (r.take() for _ in range(7))
+                yield pa.RecordBatch.from_arrays([_signed(ids), _signed(names), _signed(unnamed), pa.array(np.ones(len(ids), np.int64)), _signed(size), pa.array(known.astype(np.float64)), pa.array(base.view(np.float64)), pa.array(full.view(np.float64))], names_of)
+
+    keyed = rows.select(F.coalesce("doc_id", F.lit(0)).alias("doc"), F.col("doc_id").isNull().cast("long").alias("unnamed"), F.xxhash64("text", F.col("doc_id").isNull()).alias("text_key"), "text")
+    asked = keyed.mapInArrow(ask, "part int, blob binary").unionAll(rest.mapInArrow(entries, "part int, blob binary"))
+    sums = _dealt(asked, parts).mapInArrow(answer, "doc long, text_key long, unnamed long, times long, tokens long, known double, base double, full double")
+    # rows repeated in id and text are told their common sums, one by one
+    each = sums.groupBy("doc", "text_key").agg(F.max("unnamed").alias("unnamed"), *[F.sum(x).alias(x) for x in ("times", "tokens", "known", "base", "full")])
+    each = each.withColumn("doc_id", F.when(F.col("unnamed") == 0, F.col("doc"))).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    whole = lambda x: F.round(F.col(x) / F.col("times")).cast("long")
+    return each.select("doc_id", held_out("doc_id", *hold).alias("held_out"), whole("tokens").alias("n_tokens"), whole("known").alias("n_known"), F.lit(tree.n).cast("long").alias("train_tokens"), (F.col("base") / F.col("times")).alias("base_score"), (F.col("full") / F.col("times")).alias("score"))

@@ -353,15 +353,16 @@ def test_lm_distributions_sum_to_one(spark, docs):
     from skein.llm.suffix_tree import END, plant, word_hashes
 
     tree, rest, n_rest = plant(docs.select("text").na.fill(""), hot=1 << 40)
-    assert n_rest == rest.count() == 0 and len(tree.keys) > 0
+    assert n_rest == rest.count() == 0 and len(tree.keys.keys) > 0
     for text in (b"the", b"a a", b"de la"):
         context = word_hashes(text.split())
         total = 0.0
-        for w in tree.head:
+        for w in tree.head.keys:
             h = np.concatenate([context, [w]]).astype(np.uint64)
-            total += 10 ** (tree.root(h)[1] + tree.more(h, np.array([0, len(h)])))[-1]
+            _, root, more, _, _ = tree.scores(h, np.array([0, len(h)]))
+            total += 10 ** (root + more)[-1]
         assert total + 1 / (tree.n + tree.v + 1) == pytest.approx(1, abs=1e-4)
-    assert END in tree.head
+    assert END in tree.head.keys
 
 
 def test_lm_tree_grows_with_the_corpus(spark):
