@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.text import doc_of, inside, mix, pair, slices, texts, word_hashes
-from skein.llm.toxicity import words_of
+from skein.llm.text import doc_of, hash_words, inside, mix, pair, slices, texts
+from skein.llm.toxicity import CLEAN, words_of
 
 MASKS = ("11001111", "11101011")
 #: A stretch of so many aligned words may have so many substitutions; items of fewer words must match in whole, and
@@ -43,10 +43,8 @@ def seeds(hashes: np.ndarray, mask: str, n: int) -> np.ndarray:
 
 
 def flatten(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    words = [words_of(x) for x in rows]
-    starts = np.zeros(len(rows) + 1, np.int64)
-    np.cumsum([len(x) for x in words], out=starts[1:])
-    return word_hashes([w for x in words for w in x]), starts
+    """Hashes of the texts' words, and where each text starts."""
+    return hash_words([x.translate(CLEAN) for x in rows])
 
 
 @dataclass

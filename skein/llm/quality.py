@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from skein.llm.text import doc_of, grams, inside, mix, pair, slices, split_hash, texts
+from skein.llm.text import doc_of, grams, hash_words, inside, mix, pair, slices, texts
 from skein.llm.training import labelled_texts
 
 #: Bits of a feature's hash; two tables, of words with word pairs and of byte 3-grams.
@@ -48,7 +48,7 @@ def repeated(hashes: np.ndarray, starts: np.ndarray, n: int = WINDOW) -> np.ndar
 
 def counts(rows: list[bytes]) -> tuple[dict[str, np.ndarray], tuple]:
     """The rules' counts of each text, and the words' hashes with their starts."""
-    _, hashes, starts = split_hash(rows)
+    hashes, starts = hash_words(rows)
     flat = np.frombuffer(b"".join(rows), np.uint8)
     ends = np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int64)
     dup = []

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from skein.functions.durable import release, stored
 from skein.llm.fm_index import FMIndex
 from skein.llm.packing import Reader, pack, pack_sorted
-from skein.llm.text import grams, inside, mix, slices, split_hash, texts
+from skein.llm.text import grams, hash_words, inside, mix, slices, texts
 
 WINDOW, GRAM = 13, 4
 #: log2 of the bitmap's slots: 8 MB; it is gathered in so many ranges.
@@ -80,7 +80,7 @@ def _shared(rows: DataFrame, window: int) -> tuple[np.ndarray, np.ndarray, int]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, limit=_BATCH):
-            _, h, starts = split_hash(texts(b))
+            h, starts = hash_words(texts(b))
             first, _, anchor = minimizers(h, starts, window)
             if not len(first):
                 continue
@@ -290,7 +290,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, shard_words: int = SHA
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, limit=_BATCH):
-            _, h, starts = split_hash(texts(b))
+            h, starts = hash_words(texts(b))
             first, size, route, is_hot = segments(h, starts, window, bitmap.value, hot.value)
             if not len(first):
                 continue
@@ -332,7 +332,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, shard_words: int = SHA
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, limit=_BATCH):
-            _, h, starts = split_hash(texts(b))
+            h, starts = hash_words(texts(b))
             first, _, key, is_hot = segments(h, starts, window, bitmap.value, hot.value)
             first, key = first[is_hot], key[is_hot]
             doc = np.searchsorted(starts, first, "right") - 1

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.durable import release, stored
 from skein.llm.packing import Bitmap, Reader, Table, bitmap, pack, pack_sorted
-from skein.llm.text import held_out, mix, slices, texts, word_hashes
+from skein.llm.text import hash_words, held_out, mix, slices, texts
 
 #: Words of a context at most, occurrences that a context and a transition need, and the discount of each count.
 DEPTH, CONTEXT, NEXT, DISCOUNT = 3, 5, 2, 0.5
@@ -49,32 +49,27 @@ _CODE = np.uint64(16)
 
 def tokens(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each text's lower-cased words with an end after each text, and where each text starts."""
-    out, sizes = [], np.zeros(len(rows) + 1, np.int64)
-    for k, x in enumerate(rows):
-        words = x.lower().split()
-        out.append(word_hashes(words))
-        out.append(np.array([END]))
-        sizes[k + 1] = len(words) + 1
-    return np.concatenate(out) if out else np.empty(0, np.uint64), np.cumsum(sizes)
+    hashes, starts = hash_words(rows, lower=True)
+    out = np.full(len(hashes) + len(rows), END)
+    out[np.arange(len(hashes)) + np.repeat(np.arange(len(rows)), np.diff(starts))] = hashes
+    return out, starts + np.arange(len(starts))
 
 
 def _pairs(context: np.ndarray, code: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return mix(context * _ODD + code)
-
-
-def contexts(code: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
-    """Hash of the ``depth`` words before each token, that of all but its last word paired with the last; 0 where the text has fewer."""
-    out = np.zeros(len(code), np.uint64)
-    if len(code) <= depth or not depth:
-        return out
-    key = np.zeros(len(code) - depth, np.uint64)
-    for k in range(depth):
-        key = _pairs(key, code[k : k + len(key)])
-    out[depth:] = key
+    return mix(context * _ODD + code)
+
+
+def contexts(code: np.ndarray, starts: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For 0 to ``depth`` words: the hash of so many words before each token (0 where the text has fewer), and of these with the token.
+    A context's hash is that of its words but the last, paired with the last: the token before has it."""
     far = np.arange(len(code)) - np.repeat(starts[:-1], np.diff(starts))
-    out[far < depth] = 0
-    return out
+    context = np.zeros(len(code), np.uint64)
+    for d in range(depth + 1):
+        if d:
+            context = np.concatenate([context[:1] * np.uint64(0), key[:-1]])  # noqa: F821
+            context[far < d] = 0
+        key = _pairs(context, code)
+        yield context, key
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,15 +177,17 @@ class Tree:
 
     def asked(self, h: np.ndarray, starts: np.ndarray):
         """(tokens, keys) of all look-ups that an entry may answer, context by context."""
-        code, alive = h >> _CODE, np.arange(len(h))
-        for d in range(1, self.depth + 1):
-            c = contexts(code, starts, d)[alive]
-            on = (c != 0) & self.bits.may(c ^ _ODD)
-            alive, c = alive[on], c[on]  # a kept state's suffixes are kept, so no longer context can be where this one isn't
-            yield alive, c ^ _ODD
-            key = _pairs(c, code[alive])
-            on = self.bits.may(key)
-            yield alive[on], key[on]
+        alive = np.arange(len(h))
+        steps = contexts(h >> _CODE, starts, self.depth)
+        next(steps)
+        for c, key in steps:
+            state = c[alive] ^ _ODD
+            on = (state != _ODD) & self.bits.may(state)
+            alive = alive[on]  # a kept state's suffixes are kept, so no longer context can be where this one isn't
+            yield alive, state[on]
+            arc = key[alive]
+            on = self.bits.may(arc)
+            yield alive[on], arc[on]
 
     def root(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each token is in the head, and log10 of its P at the root (of count 0 outside the head)."""
@@ -225,13 +222,12 @@ def _gathered(train: DataFrame, d: int, parts: int, frequent: Bitmap, words: Bit
         for b in slices(batches, limit=_BATCH):
             h, starts = tokens(texts(b))
             code = h >> _CODE
-            c = contexts(code, starts, d)
+            *_, (above, suffix), (c, key) = contexts(code, starts, d)
             on = np.flatnonzero(c != 0)
             on = on[frequent.value.may(c[on])]
             if not len(on):
                 continue
-            above = contexts(code, starts, d - 1)
-            _, at, n = np.unique(_pairs(c[on], code[on]), return_index=True, return_counts=True)
+            _, at, n = np.unique(key[on], return_index=True, return_counts=True)
             at = on[at]
             order = np.argsort(c[at], kind="stable")
             at, n = at[order], n[order]
@@ -239,7 +235,7 @@ def _gathered(train: DataFrame, d: int, parts: int, frequent: Bitmap, words: Bit
             whole = np.add.reduceat(n, cut)
             keep = words.value.may(h[at])
             if shorter.value is not None:
-                keep &= shorter.value.may(_pairs(above[at], code[at]))
+                keep &= shorter.value.may(suffix[at])
             fan = np.add.reduceat(keep.astype(np.int64), cut)
             ends = np.concatenate([[0], np.cumsum(fan)])
             key, over, followed, held = c[at][cut], above[at][cut], code[at][keep], n[keep]

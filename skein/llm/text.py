@@ -11,7 +11,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,23 +48,66 @@ def texts(batch: pa.RecordBatch, by: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(by).cast(pa.binary()).to_pylist()]
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+#: Words are hashed in pieces of so many bytes, cut at spaces.
+PIECE = 1 << 17
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, 9, 10, 11, 12, 13]] = True
+_LOWER = np.array([c + 32 if 65 <= c < 91 else c for c in range(256)], np.uint8)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
-def split_hash(rows: list[bytes], lower: bool = False) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-    """The words of each text, the 64-bit hashes of all words in a row, and where each text starts in them (n + 1)."""
-    words = [(x.lower() if lower else x).split() for x in rows]
-    starts = np.zeros(len(rows) + 1, np.int64)
-    np.cumsum([len(x) for x in words], out=starts[1:])
-    hashes = np.empty(int(starts[-1]), np.uint64)
-    for k, x in enumerate(words):
-        hashes[starts[k] : starts[k + 1]] = word_hashes(x)
-    return words, hashes, starts
+class _Powers:
+    """The powers of the base and of its inverse, as many as the longest piece needed."""
+
+    up = down = np.ones(1, np.uint64)
+
+    @classmethod
+    def to(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            cls.up, cls.down = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, x)]), dtype=np.uint64) for x in (_BASE, _BACK))
+        return cls.up, cls.down
+
+
+def hash_words(rows: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hashes of all texts' words in a row, and where each text starts in them (n + 1). ``lower``: A-Z as a-z.
+
+    A word's hash is mixed from its bytes' polynomial, so whole pieces of text are hashed at once from running sums.
+    """
+    flat = np.frombuffer(b" ".join(rows) + b" ", np.uint8)
+    ends = np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows)) + 1)
+    hashes, at, s = [], [], 0
+    while s < len(flat):
+        size, last = 0, -1
+        while last < 0:  # again only if a word is longer than a piece
+            size += PIECE
+            part = flat[s : s + size]
+            space = _SPACE[part]
+            last = len(part) - 1 - int(space[::-1].argmax()) if space.any() else -1
+        part = _LOWER[part[: last + 1]] if lower else part[: last + 1]
+        edge = np.flatnonzero(np.diff(space[: last + 1], prepend=True))
+        begin, end = edge[0::2], edge[1::2]
+        if len(begin):
+            up, down = _Powers.to(len(part) + 1)
+            total = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=total[1:])
+            hashes.append(mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64)))
+            at.append(begin + s)
+        s += last + 1
+    at = np.concatenate(at) if at else np.empty(0, np.int64)
+    return np.concatenate(hashes) if hashes else np.empty(0, np.uint64), np.concatenate([[0], np.searchsorted(at, ends)])
+
+
+_MIX = 1 << 15
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit mixer (the finalizer of splitmix64)."""
+    if x.ndim and len(x) > _MIX:  # in pieces that stay in the cache
+        out = np.empty_like(x)
+        for s in range(0, len(x), _MIX):
+            out[s : s + _MIX] = mix(x[s : s + _MIX])
+        return out
     with np.errstate(over="ignore"):
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)

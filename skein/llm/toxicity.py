@@ -19,19 +19,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from skein.llm.text import held_out, inside, mix, pair, slices, texts, word_hashes
+from skein.llm.text import hash_words, held_out, inside, mix, pair, slices, texts
 from skein.llm.training import labelled_texts
 
 ORDER, SHARED, DISCOUNT, RUN = 5, 2, 1.0, 2
 #: A worker's table of words is emptied when it holds so many.
 TABLE = 1_000_000
 #: A-Z to lower case, other ASCII but digits to spaces, longer characters as they are.
-_CLEAN = bytes(c + 32 if 65 <= c < 91 else c if c >= 128 or 97 <= c < 123 or 48 <= c < 58 else 32 for c in range(256))
+CLEAN = bytes(c + 32 if 65 <= c < 91 else c if c >= 128 or 97 <= c < 123 or 48 <= c < 58 else 32 for c in range(256))
 
 
 def words_of(text: bytes) -> list[bytes]:
     """Runs of letters and digits, A-Z lower-cased."""
-    return text.translate(_CLEAN).split()
+    return text.translate(CLEAN).split()
 
 
 def _weights(rows: list[bytes]) -> dict[bytes, float]:
@@ -41,7 +41,7 @@ def _weights(rows: list[bytes]) -> dict[bytes, float]:
     if not flat:
         return {}
     starts = np.concatenate([[0], np.cumsum([len(x) for x in words])])
-    h = word_hashes(flat)
+    h = hash_words([b" ".join(flat)])[0]
     first = np.ones(len(flat), bool)
     if len(flat) > 1:
         with np.errstate(over="ignore"):

@@ -117,6 +117,25 @@ def test_hot_passages_go_back_by_window(spark):
     assert got == want and sum(x > 0 for x in want.values()) > 60
 
 
+def test_word_hashes_tell_words_apart(rows):
+    """Every text's words, over pieces of any size, with words longer than a piece."""
+    from skein.llm import text as T
+
+    odd = [b"", b" ", b"a" * 300 + b" b", b"\n x\ty ", b"\x0b\x0c\r", "é ü é".encode(), b"Ab aB ab"]
+    made = [*odd, *((t or "").encode() for _, t, _ in rows)]
+    for piece in (16, 1 << 17):
+        T.PIECE, was = piece, T.PIECE
+        try:
+            for lower in (False, True):
+                hashes, starts = T.hash_words(made, lower)
+                flat = [w.lower() if lower else w for t in made for w in t.split()]
+                assert starts.tolist() == [0, *itertools.accumulate(len(t.split()) for t in made)]
+                assert len(set(hashes.tolist())) == len(set(flat)) == len(set(zip(hashes.tolist(), flat)))
+        finally:
+            T.PIECE = was
+    assert T.hash_words([])[0].size == 0
+
+
 def test_fm_index_gives_matching_statistics():
     import numpy as np
 
@@ -350,12 +369,13 @@ def test_lm_scores(docs, rows, empty):
 def test_lm_distributions_sum_to_one(spark, docs):
     import numpy as np
 
-    from skein.llm.suffix_tree import END, plant, word_hashes
+    from skein.llm.suffix_tree import END, plant
+    from skein.llm.text import hash_words
 
     tree, rest, n_rest = plant(docs.select("text").na.fill(""), hot=1 << 40)
     assert n_rest == rest.count() == 0 and len(tree.keys.keys) > 0
     for text in (b"the", b"a a", b"de la"):
-        context = word_hashes(text.split())
+        context = hash_words([text])[0]
         total = 0.0
         for w in tree.head.keys:
             h = np.concatenate([context, [w]]).astype(np.uint64)
