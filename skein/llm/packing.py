@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Whole numbers from 0, byte plane by byte plane without the planes that are all zero (the shuffle's codec does the rest)."""
-    planes = np.ascontiguousarray(values.astype(np.uint64)).view(np.uint8).reshape(-1, 8).T
+    """Whole numbers from 0 (or the bits of doubles), byte plane by byte plane without the planes that are all zero (the shuffle's codec does the rest)."""
+    x = values.view(np.uint64) if values.dtype == np.float64 else values.astype(np.uint64)
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T
     used = [k for k in range(8) if planes[k].any()]
     return np.uint64(len(values)).tobytes() + bytes([sum(1 << k for k in used)]) + b"".join(planes[k].tobytes() for k in used)
 
@@ -24,6 +25,13 @@ def pack_sorted(values: np.ndarray) -> bytes:
     return pack(np.concatenate([x[:1], x[1:] - x[:-1]]))
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the keys that ascends, and where each distinct key starts in it. Equal keys are in any order."""
+    order = np.argsort(keys)
+    k = keys[order]
+    return order, np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.empty(0, np.int64)
+
+
 class Reader:
     """Reads one blob's arrays in the order in which they were joined."""
 
@@ -41,6 +49,12 @@ class Reader:
                 self.at += n
         return out.view(np.uint64).ravel()
 
+    def floats(self) -> np.ndarray:
+        return self.take().view(np.float64)
+
+    def counts(self) -> np.ndarray:
+        return self.take().view(np.int64)
+
     def take_sorted(self) -> np.ndarray:
         return np.cumsum(self.take(), dtype=np.uint64)
 
@@ -61,16 +75,16 @@ class Bitmap:
         return (self.words.take((at >> np.uint64(6)).view(np.int64)) >> (at & np.uint64(63)) & np.uint64(1)).view(np.int64) == 1
 
 
-def bitmap(frame: DataFrame, name: str, most: int = 27) -> Bitmap:
-    """A bitmap of the keys in column ``name``, of 16 slots a key and 1 << ``most`` slots at most. Each task sends its slots as one
-    row a range, so a range's task and the driver get no more than the bitmap holds."""
-    bits = min(most, max(20, (16 * frame.count()).bit_length()))
+def bitmap(frame: DataFrame, keys_of: Callable[[pa.RecordBatch], np.ndarray], n: int, most: int = 27) -> Bitmap:
+    """A bitmap of the ``n`` keys or fewer that ``keys_of`` finds in batches, of 16 slots a key and 1 << ``most`` slots at most. Each
+    task sends its slots as one row a range, so a range's task and the driver get no more than the bitmap holds."""
+    bits = min(most, max(20, (16 * n).bit_length()))
     ranges = 1 << max(0, bits - RANGE)
     wide = (1 << bits) // ranges
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = np.unique(np.asarray(b.column(0)).view(np.uint64) >> np.uint64(64 - bits))
+            at = np.unique(keys_of(b) >> np.uint64(64 - bits))
             edges = np.searchsorted(at, np.arange(ranges + 1, dtype=np.uint64) * np.uint64(wide))
             part = [k for k in range(ranges) if edges[k] < edges[k + 1]]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([pack_sorted(at[edges[k] : edges[k + 1]]) for k in part], pa.binary())], ["part", "blob"])
@@ -83,7 +97,7 @@ def bitmap(frame: DataFrame, name: str, most: int = 27) -> Bitmap:
         for part, on in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary())], ["part", "bits"])
 
-    found = frame.select(name).mapInArrow(slots, "part int, blob binary").repartitionById(ranges, F.col("part")).mapInArrow(merge, "part int, bits binary")
+    found = frame.mapInArrow(slots, "part int, blob binary").repartitionById(ranges, F.col("part")).mapInArrow(merge, "part int, bits binary")
     out = np.zeros((1 << bits) // 8, np.uint8)
     for r in found.collect():
         out[r.part * wide // 8 : (r.part + 1) * wide // 8] = np.frombuffer(bytes(r.bits), np.uint8)

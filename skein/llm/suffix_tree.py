@@ -19,7 +19,7 @@ covers the whole training corpus. Batches are counted before they move and go as
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.durable import release, stored
-from skein.llm.packing import Bitmap, Reader, Table, bitmap, pack, pack_sorted
+from skein.llm.packing import Bitmap, Reader, Table, bitmap, distinct, pack, pack_sorted
 from skein.llm.text import hash_words, held_out, mix, slices, texts
 
 #: Words of a context at most, occurrences that a context and a transition need, and the discount of each count.
@@ -42,7 +42,7 @@ PART_TOKENS, PART_ENTRIES = 4_000_000, 1_000_000
 #: The end token, a word that no text holds.
 END = np.uint64(0x6A09E667F3BCC909)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_BATCH = 24 << 20
+_BATCH = 12 << 20
 #: Transitions know words by 48 bits of their hashes.
 _CODE = np.uint64(16)
 
@@ -55,6 +55,10 @@ def tokens(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, starts + np.arange(len(starts))
 
 
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
+
+
 def _pairs(context: np.ndarray, code: np.ndarray) -> np.ndarray:
     return mix(context * _ODD + code)
 
@@ -72,17 +76,6 @@ def contexts(code: np.ndarray, starts: np.ndarray, depth: int) -> Iterator[tuple
         yield context, key
 
 
-def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return place, keys[place] == wanted
-
-
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
-
-
 def _part(keys: np.ndarray, parts: int) -> np.ndarray:
     """Parts of equal ranges of 64-bit keys, ascending with them."""
     return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
@@ -97,67 +90,120 @@ def _edges(keys: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
     return list(zip(part[cut].tolist(), cut.tolist(), np.append(cut[1:], len(keys)).tolist(), strict=True))
 
 
-def _blobs(found: list[tuple[int, bytes]]) -> pa.RecordBatch:
+def _dealt(keys: np.ndarray, parts: int, tag: bytes, *others: np.ndarray) -> list[tuple[int, bytes]]:
+    """Blobs of the keys, ascending, and of what belongs to them, by the keys' parts."""
+    order = np.argsort(keys)
+    keys, others = keys[order], [x[order] for x in others]
+    return [(p, b"".join([tag, pack_sorted(keys[s:e]), *(pack(x[s:e]) for x in others)])) for p, s, e in _edges(keys, parts)]
+
+
+_BLOB = "part int, blob binary"
+
+
+def _rows(found: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int32()), pa.array([b for _, b in found], pa.binary())], ["part", "blob"])
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> dict[int, list[bytes]]:
-    out: dict[int, list[bytes]] = {}
-    for b in batches:
-        for part, blob in zip(b.column("part").to_pylist(), b.column("blob").to_pylist(), strict=True):
-            out.setdefault(part, []).append(blob)
-    return out
+def _spread(frame: DataFrame, deal: Callable[[Reader], list[tuple[int, bytes]]]) -> DataFrame:
+    """(part, blob) rows of what ``deal`` makes of each blob of a table."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for blob in b.column("blob").to_pylist():
+                yield _rows(deal(Reader(blob)))
 
-def _dealt(blobs: DataFrame, parts: int) -> DataFrame:
-    return blobs.repartitionById(parts, F.col("part"))
+    return frame.select("blob").mapInArrow(run, _BLOB)
 
 
-def _totals(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, n = keys[order], n[order]
-    cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-    return keys[cut], np.add.reduceat(n, cut) if len(keys) else n
+def _joined(sources: list[DataFrame], parts: int, merge: Callable[[dict[bytes, list[Reader]]], list[np.ndarray] | None], name: str) -> DataFrame:
+    """A table of one blob a part (n, blob), of the arrays that ``merge`` makes of a part's blobs, listed by their tags."""
+    every = sources[0]
+    for x in sources[1:]:
+        every = every.unionAll(x)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, dict[bytes, list[Reader]]] = {}
+        for b in batches:
+            for part, blob in zip(b.column("part").to_pylist(), b.column("blob").to_pylist(), strict=True):
+                held.setdefault(part, {}).setdefault(blob[:1], []).append(Reader(blob[1:]))
+        for kinds in held.values():
+            out = merge(kinds)
+            if out is not None and len(out[0]):
+                yield pa.RecordBatch.from_arrays([pa.array([len(out[0])]), pa.array([b"".join(map(pack, out))], pa.binary())], ["n", "blob"])
 
-def word_counts(train: DataFrame) -> DataFrame:
-    """word, n, and on one row of each 48-bit code its key as a context of one word and the code's count (key, whole; else null)."""
-    parts = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored(every.repartitionById(parts, F.col("part")).mapInArrow(run, "n long, blob binary"), name)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, limit=_BATCH):
-            found, n = np.unique(tokens(texts(b))[0], return_counts=True)
-            yield _blobs([(p, pack_sorted(found[s:e]) + pack(n[s:e])) for p, s, e in _edges(found, parts)])
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for blobs in _read(batches).values():
-            readers = [Reader(x) for x in blobs]
-            held = [(r.take_sorted(), r.take().astype(np.int64)) for r in readers]
-            word, n = _totals(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            code = word >> _CODE
-            first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-            key, whole, empty = np.zeros(len(word), np.uint64), np.zeros(len(word), np.int64), np.ones(len(word), bool)
-            key[first], whole[first], empty[first] = _pairs(np.zeros(len(first), np.uint64), code[first]), np.add.reduceat(n, first), False
-            yield pa.RecordBatch.from_arrays([_signed(word), pa.array(n), pa.array(key.view(np.int64), mask=empty), pa.array(whole, mask=empty)], ["word", "n", "key", "whole"])
+def _taken(readers: list[Reader] | None, *kinds: type) -> list[np.ndarray]:
+    """The arrays of all blobs of one tag, end to end; the first is the ascending keys, the others as numpy types."""
+    found = [(r.take_sorted(), *(r.take().view(k) for k in kinds)) for r in readers or ()]
+    return [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.empty(0, k) for k in (np.uint64, *kinds)]
+
 
-    return stored(_dealt(train.mapInArrow(count, "part int, blob binary"), parts).mapInArrow(merge, "word long, n long, key long, whole long"), "words")
+def _rowcount(table: DataFrame) -> int:
+    return table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
-def _collected(frame: DataFrame, *names: str) -> list[np.ndarray]:
-    t = frame.select(*names).toArrow()
-    return [np.asarray(t.column(x).combine_chunks()) if t.num_rows else np.empty(0, np.int64) for x in names]
+def _bitmap(table: DataFrame, keys_of: Callable[[Reader], np.ndarray], n: int) -> Bitmap:
+    return bitmap(table.select("blob"), lambda b: np.concatenate([np.empty(0, np.uint64), *(keys_of(Reader(x)) for x in b.column("blob").to_pylist())]), n)
 
 
-def _least(frame: DataFrame, most: int) -> int:
-    """The least power of two such that at most ``most`` rows have an n of it or above."""
-    sizes = {r.size: r.k for r in frame.groupBy(F.floor(F.log2("n")).alias("size")).agg(F.count(F.lit(1)).alias("k")).collect()}
+def _above(table: DataFrame, at: int, names: int, most: int) -> tuple[int, list[np.ndarray]]:
+    """Of a table's first ``names`` arrays, the elements whose count (array ``at``) is at least a power of two that at most ``most``
+    have; and this power."""
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for blob in b.column("blob").to_pylist():
+                r = Reader(blob)
+                n = [r.take() for _ in range(names)][at].astype(np.float64)
+                size, k = np.unique(np.floor(np.log2(n)).astype(np.int32), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(size), pa.array(k)], ["size", "k"])
+
+    found = {r.size: r.k for r in table.select("blob").mapInArrow(sizes, "size int, k long").groupBy("size").agg(F.sum("k").alias("k")).collect()}
     least, held = 1 << 62, 0
-    for size in sorted(sizes, reverse=True):
-        held += sizes[size]
+    for size in sorted(found, reverse=True):
+        held += found[size]
         if held > most:
             break
         least = 1 << size
-    return least
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for blob in b.column("blob").to_pylist():
+                r = Reader(blob)
+                held = [r.take() for _ in range(names)]
+                on = held[at] >= least
+                yield pa.RecordBatch.from_arrays([pa.array([b"".join(pack(x[on]) for x in held)], pa.binary())], ["blob"])
+
+    rows = [Reader(bytes(r.blob)) for r in table.select("blob").mapInArrow(chosen, "blob binary").collect()]
+    parts = [[r.take() for _ in range(names)] for r in rows]
+    return least, [np.concatenate([np.empty(0, np.uint64), *x]) for x in zip(*parts, strict=True)] if parts else [np.empty(0, np.uint64)] * names
+
+
+def word_counts(train: DataFrame) -> DataFrame:
+    """A table of word and n by ranges of words; words of one 48-bit code, the first ones, lie in one part."""
+    parts = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, limit=_BATCH):
+            found, n = np.unique(tokens(texts(b))[0], return_counts=True)
+            yield _rows(_dealt(found, parts, b"W", n))
+
+    def merge(kinds: dict[bytes, list[Reader]]) -> list[np.ndarray]:
+        word, n = _taken(kinds[b"W"], np.int64)
+        order, cut = distinct(word)
+        return [word[order][cut], np.add.reduceat(n[order], cut)]
+
+    return _joined([train.mapInArrow(count, _BLOB)], parts, merge, "words")
+
+
+def _codes(r: Reader) -> tuple[np.ndarray, np.ndarray]:
+    """Of a part of the word counts: each code as a context of one word, and its count."""
+    word, n = r.take(), r.counts()
+    code = word >> _CODE
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    return _pairs(np.zeros(len(first), np.uint64), code[first]), np.add.reduceat(n, first)
 
 
 @dataclass
@@ -212,134 +258,210 @@ class Tree:
 
 
 def _gathered(train: DataFrame, d: int, parts: int, frequent: Bitmap, words: Bitmap, shorter: Bitmap | None) -> DataFrame:
-    """context, above (its suffix), whole, back, moves (key, suffix, n, ends) of the contexts of ``d`` words that occur ``CONTEXT``
-    times, with the words that follow ``NEXT`` times. What follows a context so often follows its suffix so often, so the
-    bitmaps lose none."""
+    """A table by ranges of contexts: the contexts of ``d`` words that occur ``CONTEXT`` times (context, above: its suffix, whole, back,
+    fan), and the words that follow ``NEXT`` times (key, suffix, n, whether it is the end). What follows a context so often follows
+    its suffix so often, so the bitmaps lose none."""
     broadcast = train.sparkSession.sparkContext.broadcast
     frequent, words, shorter = broadcast(frequent), broadcast(words), broadcast(shorter)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, limit=_BATCH):
             h, starts = tokens(texts(b))
-            code = h >> _CODE
-            *_, (above, suffix), (c, key) = contexts(code, starts, d)
+            code, last = h >> _CODE, None
+            for step in contexts(code, starts, d):
+                (above, suffix), last = last or step, step
+            c, key = last
             on = np.flatnonzero(c != 0)
             on = on[frequent.value.may(c[on])]
             if not len(on):
                 continue
-            _, at, n = np.unique(key[on], return_index=True, return_counts=True)
-            at = on[at]
-            order = np.argsort(c[at], kind="stable")
+            order, cut = distinct(key[on])
+            at, n = on[order][cut], np.diff(np.append(cut, len(on)))
+            order, cut = distinct(c[at])
             at, n = at[order], n[order]
-            cut = np.flatnonzero(np.concatenate([[True], c[at][1:] != c[at][:-1]]))
             whole = np.add.reduceat(n, cut)
             keep = words.value.may(h[at])
             if shorter.value is not None:
                 keep &= shorter.value.may(suffix[at])
             fan = np.add.reduceat(keep.astype(np.int64), cut)
             ends = np.concatenate([[0], np.cumsum(fan)])
-            key, over, followed, held = c[at][cut], above[at][cut], code[at][keep], n[keep]
-            yield _blobs([(p, b"".join([pack_sorted(key[s:e]), pack(over[s:e]), pack(whole[s:e]), pack(fan[s:e]), pack(followed[ends[s] : ends[e]]), pack(held[ends[s] : ends[e]])])) for p, s, e in _edges(key, parts)])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for blobs in _read(batches).values():
-            held = []
-            for x in blobs:
-                r = Reader(x)
-                held.append((r.take_sorted(), r.take(), *(r.take() for _ in range(4))))
-            c, above, whole, fan, code, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            at = np.repeat(c, fan.astype(np.int64))
-            names, first, same = np.unique(c, return_index=True, return_inverse=True)
-            total = np.bincount(same, whole.astype(np.float64), len(names)).astype(np.int64)
-            keys, one, of = np.unique(_pairs(at, code), return_index=True, return_inverse=True)
-            count = np.bincount(of, n.astype(np.float64), len(keys)).astype(np.int64)
-            state = np.searchsorted(names, at[one]) if len(names) else one
-            keep = (count >= NEXT) & (total[state] >= CONTEXT)
-            keys, one, count, state = keys[keep], one[keep], count[keep], state[keep]
-            order = np.argsort(state, kind="stable")
-            keys, one, count, state = keys[order], one[order], count[order], state[order]
-            if not len(keys):
-                continue
-            cut = np.flatnonzero(np.concatenate([[True], state[1:] != state[:-1]]))
-            fans, sums, who = np.diff(np.append(cut, len(state))), np.add.reduceat(count, cut), state[cut]
-            back = np.maximum(1e-12, 1 - (sums - DISCOUNT * fans) / total[who])
-            suffix = _pairs(above[first][state], code[one])
-            moves = pa.StructArray.from_arrays([_signed(keys), _signed(suffix), pa.array(count), pa.array(code[one] == END >> _CODE)], ["key", "suffix", "n", "ends"])
-            moves = pa.ListArray.from_arrays(pa.array(np.append(cut, len(state)).astype(np.int32)), moves)
-            yield pa.RecordBatch.from_arrays([_signed(names[who]), _signed(above[first][who]), pa.array(total[who]), pa.array(back), moves], ["context", "above", "whole", "back", "moves"])
-
-    schema = "context long, above long, whole long, back double, moves array<struct<key:long,suffix:long,n:long,ends:boolean>>"
-    out = stored(_dealt(train.mapInArrow(count, "part int, blob binary"), parts).mapInArrow(merge, schema), f"contexts-{d}")
+            name, over, followed, held = c[at][cut], above[at][cut], code[at][keep], n[keep]
+            yield _rows([(p, b"".join([b"C", pack_sorted(name[s:e]), pack(over[s:e]), pack(whole[s:e]), pack(fan[s:e]), pack(followed[ends[s] : ends[e]]), pack(held[ends[s] : ends[e]])])) for p, s, e in _edges(name, parts)])
+
+    def merge(kinds: dict[bytes, list[Reader]]) -> list[np.ndarray] | None:
+        held = [(r.take_sorted(), r.take(), r.counts(), r.counts(), r.take(), r.counts()) for r in kinds[b"C"]]
+        c, above, whole, fan, code, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        at, over = np.repeat(c, fan), np.repeat(above, fan)
+        order, cut = distinct(c)
+        names, total = c[order][cut], np.add.reduceat(whole[order], cut)
+        if not len(at):
+            return None
+        order, cut = distinct(_pairs(at, code))
+        count, one = np.add.reduceat(n[order], cut), order[cut]
+        state = np.searchsorted(names, at[one])
+        keep = (count >= NEXT) & (total[state] >= CONTEXT)
+        count, one, state = count[keep], one[keep], state[keep]
+        if not len(one):
+            return None
+        order, cut = distinct(state)
+        count, one, state = count[order], one[order], state[order]
+        fans, who = np.diff(np.append(cut, len(state))), state[cut]
+        back = np.maximum(1e-12, 1 - (np.add.reduceat(count, cut) - DISCOUNT * fans) / total[who])
+        return [names[who], over[one[cut]], total[who], back, fans, _pairs(at[one], code[one]), _pairs(over[one], code[one]), count, code[one] == END >> _CODE]
+
+    out = _joined([train.mapInArrow(count, _BLOB)], parts, merge, f"contexts-{d}")
     for x in (frequent, words, shorter):
         x.destroy()
     return out
 
 
-def _kept(states: DataFrame, depth: int) -> DataFrame:
-    """The contexts of (context, above, depth, passes) that pass, with their suffixes."""
-    level = found = states.filter(F.col("passes") & (F.col("depth") == depth)).select("context", "above")
-    for d in range(depth - 1, 0, -1):
-        below = level.select(F.col("above").alias("context")).distinct().withColumn("needed", F.lit(True))
-        level = states.filter(F.col("depth") == d).join(below, "context", "left").filter(F.col("passes") | F.col("needed")).select("context", "above")
-        found = found.unionAll(level)
-    return found.select("context")
+def _level(raw: DataFrame, lower: DataFrame, parts: int, d: int) -> DataFrame:
+    """A table of context, key, n, ends, p, gain, value of the transitions: each meets its suffix's P, dealt by that one's key."""
+
+    def ask(r: Reader) -> list[tuple[int, bytes]]:
+        name, _, whole, back, fan, key, suffix, n, ends = r.take(), r.take(), r.counts(), r.floats(), r.counts(), r.take(), r.take(), r.counts(), r.take()
+        return _dealt(suffix, parts, b"Q", key, np.repeat(name, fan), n, ends, np.repeat(whole, fan), np.repeat(back, fan))
+
+    def merge(kinds: dict[bytes, list[Reader]]) -> list[np.ndarray]:
+        suffix, key, context, n, ends, whole, back = _taken(kinds.get(b"Q"), np.uint64, np.uint64, np.int64, np.uint64, np.int64, np.float64)
+        keys, ps = _taken(kinds.get(b"P"), np.float64)
+        order = np.argsort(keys)
+        place, hit = Table(keys[order]).find(suffix)
+        suffix, key, context, n, ends, whole, back = (x[hit] for x in (suffix, key, context, n, ends, whole, back))
+        under = ps[order][place[hit]] if len(ps) else np.empty(0)
+        p = (n - DISCOUNT) / whole + back * under
+        return [context, key, n, ends, p, n * np.log(n / whole / under), np.log10(p / under) - np.log10(back)]
+
+    return _joined([_spread(raw, ask), lower], parts, merge, f"level-{d}")
+
+
+def _nodes(raw: DataFrame, level: DataFrame, parts: int, d: int) -> DataFrame:
+    """A table of context, above, whole, back, passes."""
+
+    def gains(r: Reader) -> list[tuple[int, bytes]]:
+        context, _, _, _, _, gain = r.take(), r.take(), r.take(), r.take(), r.take(), r.floats()
+        order, cut = distinct(context)
+        return _dealt(context[order][cut], parts, b"G", np.add.reduceat(gain[order], cut), np.diff(np.append(cut, len(order)))) if len(order) else []
+
+    def merge(kinds: dict[bytes, list[Reader]]) -> list[np.ndarray]:
+        names, above, whole, back = _taken(kinds.get(b"N"), np.uint64, np.int64, np.float64)
+        context, gain, n = _taken(kinds.get(b"G"), np.float64, np.int64)
+        place, _ = Table(names).find(context)
+        passes = np.bincount(place, gain, len(names)) > COST * np.bincount(place, n, len(names))
+        return [names, above, whole, back, passes]
+
+    return _joined([_spread(level, gains), _spread(raw, lambda r: _dealt(r.take(), parts, b"N", r.take(), r.take(), r.floats()))], parts, merge, f"nodes-{d}")
+
+
+def _needed(nodes: DataFrame, longer: DataFrame | None, parts: int, d: int) -> DataFrame:
+    """A table of context, above, whole, back of the nodes that pass or are the suffix of one in ``longer``."""
+
+    def merge(kinds: dict[bytes, list[Reader]]) -> list[np.ndarray] | None:
+        names, above, whole, back, passes = _taken(kinds.get(b"N"), np.uint64, np.int64, np.float64, np.uint64)
+        keep = passes > 0
+        keep[np.searchsorted(names, np.unique(_taken(kinds.get(b"S"))[0]))] = True
+        return [x[keep] for x in (names, above, whole, back)]
+
+    sources = [_spread(nodes, lambda r: _dealt(r.take(), parts, b"N", r.take(), r.take(), r.floats(), r.take()))]
+    if longer is not None:
+        sources.append(_spread(longer, lambda r: (r.take(), _dealt(np.unique(r.take()), parts, b"S"))[1]))
+    return _joined(sources, parts, merge, f"kept-{d}")
 
 
 def grow(train: DataFrame, counts: DataFrame, n: int, v: int, depth: int) -> DataFrame:
-    """The tree's table: key, n, value of its states and transitions."""
+    """The tree: a table of key, n, value of its states and transitions."""
     parts = max(n // PART_TOKENS + 1, int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    below = counts.filter((F.col("whole") >= NEXT)).select("key", ((F.col("whole") + 1) / F.lit(float(n + v + 1))).alias("p"))
-    words = bitmap(counts.filter(F.col("n") >= NEXT), "word")
-    end = int(_pairs(np.zeros(1, np.uint64), np.array([END >> _CODE]))[0].view(np.int64))
-    frequent, shorter = bitmap(counts.filter((F.col("whole") >= CONTEXT) & (F.col("key") != end)), "key"), None
-    nodes, levels = [], []
+    end = _pairs(np.zeros(1, np.uint64), np.array([END >> _CODE]))
+
+    def roots(r: Reader) -> list[tuple[int, bytes]]:
+        key, whole = _codes(r)
+        on = whole >= NEXT
+        return _dealt(key[on], parts, b"P", (whole[on] + 1) / float(n + v + 1))
+
+    def often(r: Reader, least: int) -> np.ndarray:
+        key, whole = _codes(r)
+        return key[(whole >= least) & (key != end)]
+
+    def moves(r: Reader) -> tuple[np.ndarray, ...]:
+        return r.take(), r.take(), r.counts(), r.take(), r.floats(), r.floats(), r.floats()
+
+    def follow(r: Reader) -> np.ndarray:
+        _, key, k, ends, *_ = moves(r)
+        return key[(k >= CONTEXT) & (ends == 0)]
+
+    def spell(r: Reader) -> np.ndarray:
+        word, k = r.take(), r.counts()
+        return word[k >= NEXT]
+
+    words, frequent, shorter = _bitmap(counts, spell, v), _bitmap(counts, lambda r: often(r, CONTEXT), v), None
+    lower, nodes, levels = _spread(counts, roots), [], []
     for d in range(1, depth + 1):
         raw = _gathered(train, d, parts, frequent, words, shorter)
-        moves = raw.select("context", "whole", "back", F.inline("moves")).join(below.select(F.col("key").alias("suffix"), F.col("p").alias("under")), "suffix")
-        p = (F.col("n") - DISCOUNT) / F.col("whole") + F.col("back") * F.col("under")
-        gain = F.col("n") * F.log(F.col("n") / F.col("whole") / F.col("under"))
-        level = stored(moves.select("context", "key", "n", "ends", p.alias("p"), gain.cast("float").alias("gain"), (F.log10(p / F.col("under")) - F.log10("back")).alias("value")), f"level-{d}")
-        gains = level.groupBy("context").agg((F.sum("gain") > COST * F.count(F.lit(1))).alias("passes"))
-        nodes.append(stored(raw.select("context", "above", "whole", "back").join(gains, "context").withColumn("depth", F.lit(d)), f"nodes-{d}"))
+        level = _level(raw, lower, parts, d)
+        nodes.append(_nodes(raw, level, parts, d))
         release(raw)
         levels.append(level)
-        below = level.select("key", "p")
+        lower = _spread(level, lambda r: (lambda m: _dealt(m[1], parts, b"P", m[4]))(moves(r)))
         if d < depth:
-            frequent, shorter = bitmap(level.filter((F.col("n") >= CONTEXT) & ~F.col("ends")), "key"), bitmap(level, "key")
-    every, arcs = nodes[0], levels[0].select("context", "key", "n", "value")
-    for node, level in zip(nodes[1:], levels[1:], strict=True):
-        every, arcs = every.unionAll(node), arcs.unionAll(level.select("context", "key", "n", "value"))
-    kept = stored(_kept(every, depth), "kept")
-    states = every.join(kept, "context").select(F.col("context").bitwiseXOR(F.lit(int(_ODD.view(np.int64)))).alias("key"), F.col("whole").alias("n"), F.log10("back").alias("value"))
-    tree = stored(states.unionAll(arcs.join(kept, "context", "left_semi").select("key", "n", "value")), "suffix-tree")
-    release(kept, *nodes, *levels)
+            size = _rowcount(level)
+            frequent, shorter = _bitmap(level, follow, size), _bitmap(level, lambda r: moves(r)[1], size)
+    kept = [None] * depth
+    for d in range(depth, 0, -1):
+        kept[d - 1] = _needed(nodes[d - 1], kept[d] if d < depth else None, parts, d)
+
+    def merge(kinds: dict[bytes, list[Reader]]) -> list[np.ndarray]:
+        names, whole, back = _taken(kinds.get(b"K"), np.int64, np.float64)
+        context, key, k, value = _taken(kinds.get(b"M"), np.uint64, np.int64, np.float64)
+        on = np.isin(context, names)
+        return [np.concatenate([names ^ _ODD, key[on]]), np.concatenate([whole, k[on]]), np.concatenate([np.log10(back), value[on]])]
+
+    arcs = [_spread(x, lambda r: (lambda m: _dealt(m[0], parts, b"M", m[1], m[2], m[6]))(moves(r))) for x in levels]
+    states = [_spread(x, lambda r: (lambda name, _, whole, back: _dealt(name, parts, b"K", whole, back))(r.take(), r.take(), r.take(), r.floats())) for x in kept]
+    tree = _joined(arcs + states, parts, merge, "suffix-tree")
+    release(*kept, *nodes, *levels)
     return tree
 
 
-def plant(train: DataFrame, head: int = HEAD, depth: int = DEPTH, hot: int = HOT) -> tuple[Tree, DataFrame, int]:
-    """The tree's frequent part; key, value, word (1 or 0) of all that the written tables hold beside it; and the number of these rows."""
+def plant(train: DataFrame, head: int = HEAD, depth: int = DEPTH, hot: int = HOT) -> tuple[Tree, Callable[[int], DataFrame], int]:
+    """The tree's frequent part; all that the written tables hold beside it (words outside the head, cold entries), as blobs of key,
+    value, word (1 or 0) dealt over a number of parts; and the number of these entries."""
     counts = word_counts(train)
-    n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    least = _least(counts, head)
-    top_words, top_n = _collected(counts.filter(F.col("n") >= least), "word", "n")
-    order = np.argsort(top_words.view(np.uint64))
-    top_words, top_n = top_words.view(np.uint64)[order], top_n[order]
-    table = grow(train, counts, n, v, depth)
-    often = _least(table, hot)
-    key, value = _collected(table.filter(F.col("n") >= often), "key", "value")
-    key = key.view(np.uint64)
-    order = np.argsort(key)
-    cold = table.filter(F.col("n") < often)
-    rare = counts.filter(F.col("n") < least)
-    tree = Tree(n, v, depth, Table(top_words), top_n, Table(key[order]), value[order], bitmap(table, "key"), bitmap(cold, "key"))
-
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            word, k = np.asarray(b.column("word")).view(np.uint64), np.asarray(b.column("n"))
-            yield pa.RecordBatch.from_arrays([_signed(mix(word ^ _ODD)), pa.array(np.log10(k + 1.0)), pa.array(np.ones(len(k), np.int8))], ["key", "value", "word"])
+            n = [int((r.take(), r.counts())[1].sum()) for r in map(Reader, b.column("blob").to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64())], ["n"])
+
+    v, n = _rowcount(counts), counts.select("blob").mapInArrow(sums, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    least, (word, count) = _above(counts, 1, 2, head)
+    order = np.argsort(word)
+    table = grow(train, counts, n, v, depth)
+    often, (key, _, value) = _above(table, 1, 3, hot)
+    by_key, size = np.argsort(key), _rowcount(table)
+
+    def every(r: Reader) -> np.ndarray:
+        return r.take()
+
+    def chilled(r: Reader) -> tuple[np.ndarray, np.ndarray]:
+        key, n, value = r.take(), r.counts(), r.floats()
+        return key[n < often], value[n < often]
 
-    rest = rare.select("word", "n").mapInArrow(named, "key long, value double, word byte").unionAll(cold.select("key", F.col("value").cast("double"), F.lit(0).cast("byte").alias("word")))
-    return tree, rest, rare.count() + cold.count()
+    def rare(r: Reader) -> tuple[np.ndarray, np.ndarray]:
+        word, n = r.take(), r.counts()
+        return mix(word[n < least] ^ _ODD), np.log10(n[n < least] + 1.0)
+
+    def rest(parts: int) -> DataFrame:
+        def entries(of, is_word: int):
+            def deal(r: Reader) -> list[tuple[int, bytes]]:
+                key, value = of(r)
+                return _dealt(key, parts, b"E", value, np.full(len(key), is_word))
+
+            return deal
+
+        return _spread(counts, entries(rare, 1)).unionAll(_spread(table, entries(chilled, 0)))
+
+    tree = Tree(n, v, depth, Table(word[order]), count[order].view(np.int64), Table(key[by_key]), value[by_key].view(np.float64), _bitmap(table, every, size), _bitmap(table, lambda r: chilled(r)[0], size))
+    return tree, rest, v - len(word) + size - len(key)
 
 
 def score_texts(docs: DataFrame, hold: tuple[int, int] = (7, 2), head: int = HEAD, depth: int = DEPTH, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -358,13 +480,6 @@ def score_texts(docs: DataFrame, hold: tuple[int, int] = (7, 2), head: int = HEA
     shared = spark.sparkContext.broadcast(tree)
     parts = max(n_rest // PART_ENTRIES + tree.n // (4 * PART_TOKENS) + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            key, value, word = np.asarray(b.column("key")).view(np.uint64), np.asarray(b.column("value")), np.asarray(b.column("word"))
-            order = np.argsort(key)
-            key, value, word = key[order], value[order], word[order]
-            yield _blobs([(p, b"E" + pack_sorted(key[s:e]) + pack(value[s:e].view(np.uint64)) + pack(word[s:e])) for p, s, e in _edges(key, parts)])
-
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Look-ups as distinct keys, how often each is asked, and by which of the batch's documents; and all that is known here."""
         for b in slices(batches, limit=_BATCH):
@@ -372,23 +487,23 @@ def score_texts(docs: DataFrame, hold: tuple[int, int] = (7, 2), head: int = HEA
             known, root, more, token, key = shared.value.scores(h, starts)
             add = lambda x: np.add.reduceat(x, starts[:-1])  # noqa: E731, B023  every text has a token
             ids, names, base = np.asarray(b.column("doc")).view(np.uint64), np.asarray(b.column("text_key")).view(np.uint64), add(root)
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             key, doc = key[order], np.searchsorted(starts, token[order], "right") - 1
-            told = [(int(mix(names[:1])[0] % np.uint64(parts)), b"".join([b"D", pack(ids), pack(names), pack(np.asarray(b.column("unnamed"))), pack(np.diff(starts)), pack(add(known.astype(np.int64))), pack(base.view(np.uint64)), pack((base + add(more)).view(np.uint64))]))]
+            told = [(int(mix(names[:1])[0] % np.uint64(parts)), b"".join([b"D", pack(ids), pack(names), pack(np.asarray(b.column("unnamed"))), pack(np.diff(starts)), pack(add(known.astype(np.int64))), pack(base), pack(base + add(more))]))]
             for p, s, e in _edges(key, parts):
                 held, code = np.unique(doc[s:e], return_inverse=True)
                 cut = np.flatnonzero(np.concatenate([[True], key[s:e][1:] != key[s:e][:-1]]))
                 told.append((p, b"".join([b"A", pack_sorted(key[s:e][cut]), pack(np.diff(np.append(cut, e - s))), pack(code), pack(ids[held]), pack(names[held])])))
-            yield _blobs(told)
+            yield _rows(told)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names_of = ["doc", "text_key", "unnamed", "times", "tokens", "known", "base", "full"]
-        for blobs in _read(batches).values():
-            kinds: dict[bytes, list[Reader]] = {}
-            for x in blobs:
-                kinds.setdefault(x[:1], []).append(Reader(x[1:]))
-            held = [(r.take_sorted(), r.take().view(np.float64), r.take()) for r in kinds.get(b"E", [])] or [(np.empty(0, np.uint64), np.empty(0), np.empty(0, np.uint64))]
-            keys, values, words = (np.concatenate(x) for x in zip(*held, strict=True))
+        parts_of: dict[int, dict[bytes, list[Reader]]] = {}
+        for b in batches:
+            for part, blob in zip(b.column("part").to_pylist(), b.column("blob").to_pylist(), strict=True):
+                parts_of.setdefault(part, {}).setdefault(blob[:1], []).append(Reader(blob[1:]))
+        for kinds in parts_of.values():
+            keys, values, words = _taken(kinds.get(b"E"), np.float64, np.int64)
             order = np.argsort(keys)
             keys, values, words = Table(keys[order]), np.append(values[order], 0.0), np.append(words[order].astype(np.float64), 0.0)
             for r in kinds.get(b"A", []):
@@ -404,8 +519,8 @@ def score_texts(docs: DataFrame, hold: tuple[int, int] = (7, 2), head: int = HEA
                 yield pa.RecordBatch.from_arrays([_signed(ids), _signed(names), _signed(unnamed), pa.array(np.ones(len(ids), np.int64)), _signed(size), pa.array(known.astype(np.float64)), pa.array(base.view(np.float64)), pa.array(full.view(np.float64))], names_of)
 
     keyed = rows.select(F.coalesce("doc_id", F.lit(0)).alias("doc"), F.col("doc_id").isNull().cast("long").alias("unnamed"), F.xxhash64("text", F.col("doc_id").isNull()).alias("text_key"), "text")
-    asked = keyed.mapInArrow(ask, "part int, blob binary").unionAll(rest.mapInArrow(entries, "part int, blob binary"))
-    sums = _dealt(asked, parts).mapInArrow(answer, "doc long, text_key long, unnamed long, times long, tokens long, known double, base double, full double")
+    asked = keyed.mapInArrow(ask, _BLOB).unionAll(rest(parts))
+    sums = asked.repartitionById(parts, F.col("part")).mapInArrow(answer, "doc long, text_key long, unnamed long, times long, tokens long, known double, base double, full double")
     # rows repeated in id and text are told their common sums, one by one
     each = sums.groupBy("doc", "text_key").agg(F.max("unnamed").alias("unnamed"), *[F.sum(x).alias(x) for x in ("times", "tokens", "known", "base", "full")])
     each = each.withColumn("doc_id", F.when(F.col("unnamed") == 0, F.col("doc"))).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
