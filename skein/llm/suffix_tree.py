@@ -37,7 +37,7 @@ DEPTH, CONTEXT, NEXT, DISCOUNT = 3, 5, 2, 0.5
 COST = 2.0
 #: Words whose root counts are broadcast, and entries of the tree, at most.
 HEAD, HOT = 500_000, 500_000
-#: Tokens, and entries of the tree, that a part gets on average.
+#: Tokens, and entries of the tree, that a part gets on average. Parts follow the data alone: each part sends each other a row.
 PART_TOKENS, PART_ENTRIES = 4_000_000, 1_000_000
 #: The end token, a word that no text holds.
 END = np.uint64(0x6A09E667F3BCC909)
@@ -370,7 +370,7 @@ def _needed(nodes: DataFrame, longer: DataFrame | None, parts: int, d: int) -> D
 
 def grow(train: DataFrame, counts: DataFrame, n: int, v: int, depth: int) -> DataFrame:
     """The tree: a table of key, n, value of its states and transitions."""
-    parts = max(n // PART_TOKENS + 1, int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = n // PART_TOKENS + 1
     end = _pairs(np.zeros(1, np.uint64), np.array([END >> _CODE]))
 
     def roots(r: Reader) -> list[tuple[int, bytes]]:
@@ -478,7 +478,7 @@ def score_texts(docs: DataFrame, hold: tuple[int, int] = (7, 2), head: int = HEA
     train = rows.filter(~held_out("doc_id", *hold)).select("text")
     tree, rest, n_rest = plant(train, head, depth, hot)
     shared = spark.sparkContext.broadcast(tree)
-    parts = max(n_rest // PART_ENTRIES + tree.n // (4 * PART_TOKENS) + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = n_rest // PART_ENTRIES + tree.n // (2 * PART_TOKENS) + 1
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Look-ups as distinct keys, how often each is asked, and by which of the batch's documents; and all that is known here."""
