@@ -38,11 +38,11 @@ COST = 2.0
 #: Words whose root counts are broadcast, and entries of the tree, at most.
 HEAD, HOT = 500_000, 500_000
 #: Tokens, and entries of the tree, that a part gets on average. Parts follow the data alone: each part sends each other a row.
-PART_TOKENS, PART_ENTRIES = 4_000_000, 1_000_000
+PART_TOKENS, PART_ENTRIES = 2_000_000, 1_000_000
 #: The end token, a word that no text holds.
 END = np.uint64(0x6A09E667F3BCC909)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_BATCH = 12 << 20
+_BATCH = 6 << 20
 #: Transitions know words by 48 bits of their hashes.
 _CODE = np.uint64(16)
 
@@ -291,9 +291,11 @@ def _gathered(train: DataFrame, d: int, parts: int, frequent: Bitmap, words: Bit
     def merge(kinds: dict[bytes, list[Reader]]) -> list[np.ndarray] | None:
         held = [(r.take_sorted(), r.take(), r.counts(), r.counts(), r.take(), r.counts()) for r in kinds[b"C"]]
         c, above, whole, fan, code, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        del held
         at, over = np.repeat(c, fan), np.repeat(above, fan)
         order, cut = distinct(c)
         names, total = c[order][cut], np.add.reduceat(whole[order], cut)
+        del c, above, whole, fan
         if not len(at):
             return None
         order, cut = distinct(_pairs(at, code))
@@ -478,7 +480,7 @@ def score_texts(docs: DataFrame, hold: tuple[int, int] = (7, 2), head: int = HEA
     train = rows.filter(~held_out("doc_id", *hold)).select("text")
     tree, rest, n_rest = plant(train, head, depth, hot)
     shared = spark.sparkContext.broadcast(tree)
-    parts = n_rest // PART_ENTRIES + tree.n // (2 * PART_TOKENS) + 1
+    parts = n_rest // PART_ENTRIES + tree.n // (4 * PART_TOKENS) + 1
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Look-ups as distinct keys, how often each is asked, and by which of the batch's documents; and all that is known here."""
