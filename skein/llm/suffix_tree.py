@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.durable import release, stored
-from skein.llm.packing import Bitmap, Reader, Table, bitmap, distinct, pack, pack_sorted
+from skein.llm.packing import Bitmap, Reader, Table, bitmap, distinct, pack, pack_sorted, trim
 from skein.llm.text import hash_words, held_out, mix, slices, texts
 
 #: Words of a context at most, occurrences that a context and a transition need, and the discount of each count.
@@ -39,6 +39,8 @@ COST = 2.0
 HEAD, HOT = 500_000, 500_000
 #: Tokens, and entries of the tree, that a part gets on average. Parts follow the data alone: each part sends each other a row.
 PART_TOKENS, PART_ENTRIES = 2_000_000, 1_000_000
+#: A part's contexts are summed in so many ranges, one after the other.
+PIECES = 4
 #: The end token, a word that no text holds.
 END = np.uint64(0x6A09E667F3BCC909)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -126,8 +128,9 @@ def _joined(sources: list[DataFrame], parts: int, merge: Callable[[dict[bytes, l
         for b in batches:
             for part, blob in zip(b.column("part").to_pylist(), b.column("blob").to_pylist(), strict=True):
                 held.setdefault(part, {}).setdefault(blob[:1], []).append(Reader(blob[1:]))
-        for kinds in held.values():
-            out = merge(kinds)
+        while held:
+            out = merge(held.popitem()[1])
+            trim()
             if out is not None and len(out[0]):
                 yield pa.RecordBatch.from_arrays([pa.array([len(out[0])]), pa.array([b"".join(map(pack, out))], pa.binary())], ["n", "blob"])
 
@@ -257,6 +260,29 @@ class Tree:
         return known, root, more, np.concatenate(at), np.concatenate(keys)
 
 
+def _states(c, above, whole, fan, code, n) -> list[np.ndarray] | None:
+    """Of contexts with their counts in several batches, and of what follows them: context, above, whole, back, fan; key, suffix, n, ends."""
+    if not len(code):
+        return None
+    at, over = np.repeat(c, fan), np.repeat(above, fan)
+    order, cut = distinct(c)
+    names, total = c[order][cut], np.add.reduceat(whole[order], cut)
+    order, cut = distinct(_pairs(at, code))
+    count, one = np.add.reduceat(n[order], cut), order[cut]
+    keep = count >= NEXT
+    count, one = count[keep], one[keep]
+    state = np.searchsorted(names, at[one])
+    keep = total[state] >= CONTEXT
+    count, one, state = count[keep], one[keep], state[keep]
+    if not len(one):
+        return None
+    order, cut = distinct(state)
+    count, one, state = count[order], one[order], state[order]
+    fans, who = np.diff(np.append(cut, len(state))), state[cut]
+    back = np.maximum(1e-12, 1 - (np.add.reduceat(count, cut) - DISCOUNT * fans) / total[who])
+    return [names[who], over[one[cut]], total[who], back, fans, _pairs(at[one], code[one]), _pairs(over[one], code[one]), count, code[one] == END >> _CODE]
+
+
 def _gathered(train: DataFrame, d: int, parts: int, frequent: Bitmap, words: Bitmap, shorter: Bitmap | None) -> DataFrame:
     """A table by ranges of contexts: the contexts of ``d`` words that occur ``CONTEXT`` times (context, above: its suffix, whole, back,
     fan), and the words that follow ``NEXT`` times (key, suffix, n, whether it is the end). What follows a context so often follows
@@ -285,31 +311,24 @@ def _gathered(train: DataFrame, d: int, parts: int, frequent: Bitmap, words: Bit
                 keep &= shorter.value.may(suffix[at])
             fan = np.add.reduceat(keep.astype(np.int64), cut)
             ends = np.concatenate([[0], np.cumsum(fan)])
+            del order, on, suffix, key, last, h
             name, over, followed, held = c[at][cut], above[at][cut], code[at][keep], n[keep]
             yield _rows([(p, b"".join([b"C", pack_sorted(name[s:e]), pack(over[s:e]), pack(whole[s:e]), pack(fan[s:e]), pack(followed[ends[s] : ends[e]]), pack(held[ends[s] : ends[e]])])) for p, s, e in _edges(name, parts)])
 
     def merge(kinds: dict[bytes, list[Reader]]) -> list[np.ndarray] | None:
-        held = [(r.take_sorted(), r.take(), r.counts(), r.counts(), r.take(), r.counts()) for r in kinds[b"C"]]
-        c, above, whole, fan, code, n = (np.concatenate(x) for x in zip(*held, strict=True))
-        del held
-        at, over = np.repeat(c, fan), np.repeat(above, fan)
-        order, cut = distinct(c)
-        names, total = c[order][cut], np.add.reduceat(whole[order], cut)
-        del c, above, whole, fan
-        if not len(at):
-            return None
-        order, cut = distinct(_pairs(at, code))
-        count, one = np.add.reduceat(n[order], cut), order[cut]
-        state = np.searchsorted(names, at[one])
-        keep = (count >= NEXT) & (total[state] >= CONTEXT)
-        count, one, state = count[keep], one[keep], state[keep]
-        if not len(one):
-            return None
-        order, cut = distinct(state)
-        count, one, state = count[order], one[order], state[order]
-        fans, who = np.diff(np.append(cut, len(state))), state[cut]
-        back = np.maximum(1e-12, 1 - (np.add.reduceat(count, cut) - DISCOUNT * fans) / total[who])
-        return [names[who], over[one[cut]], total[who], back, fans, _pairs(at[one], code[one]), _pairs(over[one], code[one]), count, code[one] == END >> _CODE]
+        held = [(r.take_sorted(), r.take(), r.counts(), r.counts(), r.take(), r.counts()) for r in kinds.pop(b"C")]
+        low, high = min(int(x[0][0]) for x in held), max(int(x[0][-1]) for x in held)
+        cuts = [low + (high - low) * k // PIECES for k in range(1, PIECES)]
+        edges = [np.array([0, *np.searchsorted(x[0], np.array(cuts, np.uint64)), len(x[0])]) for x in held]
+        moves = [np.concatenate([[0], np.cumsum(x[3])]) for x in held]
+        out = []
+        for k in range(PIECES):
+            spans = [(int(e[k]), int(e[k + 1])) for e in edges]
+            some = [[a[s:e] for a in x[:4]] + [a[m[s] : m[e]] for a in x[4:]] for x, m, (s, e) in zip(held, moves, spans, strict=True)]
+            found = _states(*(np.concatenate(x) for x in zip(*some, strict=True)))
+            if found:
+                out.append(found)
+        return [np.concatenate(x) for x in zip(*out, strict=True)] if out else None
 
     out = _joined([train.mapInArrow(count, _BLOB)], parts, merge, f"contexts-{d}")
     for x in (frequent, words, shorter):
@@ -496,6 +515,7 @@ def score_texts(docs: DataFrame, hold: tuple[int, int] = (7, 2), head: int = HEA
                 held, code = np.unique(doc[s:e], return_inverse=True)
                 cut = np.flatnonzero(np.concatenate([[True], key[s:e][1:] != key[s:e][:-1]]))
                 told.append((p, b"".join([b"A", pack_sorted(key[s:e][cut]), pack(np.diff(np.append(cut, e - s))), pack(code), pack(ids[held]), pack(names[held])])))
+            trim()
             yield _rows(told)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
