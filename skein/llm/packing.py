@@ -84,7 +84,7 @@ class Bitmap:
         return (self.words.take((at >> np.uint64(6)).view(np.int64)) >> (at & np.uint64(63)) & np.uint64(1)).view(np.int64) == 1
 
 
-def bitmap(frame: DataFrame, keys_of: Callable[[pa.RecordBatch], np.ndarray], n: int, most: int = 27) -> Bitmap:
+def bitmap(frame: DataFrame, keys_of: Callable[[pa.RecordBatch], np.ndarray], n: int, most: int = 26) -> Bitmap:
     """A bitmap of the ``n`` keys or fewer that ``keys_of`` finds in batches, of 16 slots a key and 1 << ``most`` slots at most. Each
     task sends its slots as one row a range, so a range's task and the driver get no more than the bitmap holds."""
     bits = min(most, max(20, (16 * n).bit_length()))

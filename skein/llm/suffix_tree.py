@@ -44,7 +44,7 @@ PIECES = 4
 #: The end token, a word that no text holds.
 END = np.uint64(0x6A09E667F3BCC909)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_BATCH = 6 << 20
+_BATCH = 4 << 20
 #: Transitions know words by 48 bits of their hashes.
 _CODE = np.uint64(16)
 
@@ -313,6 +313,7 @@ def _gathered(train: DataFrame, d: int, parts: int, frequent: Bitmap, words: Bit
             ends = np.concatenate([[0], np.cumsum(fan)])
             del order, on, suffix, key, last, h
             name, over, followed, held = c[at][cut], above[at][cut], code[at][keep], n[keep]
+            trim()
             yield _rows([(p, b"".join([b"C", pack_sorted(name[s:e]), pack(over[s:e]), pack(whole[s:e]), pack(fan[s:e]), pack(followed[ends[s] : ends[e]]), pack(held[ends[s] : ends[e]])])) for p, s, e in _edges(name, parts)])
 
     def merge(kinds: dict[bytes, list[Reader]]) -> list[np.ndarray] | None:
