@@ -20,11 +20,36 @@ KINDS = (
     ("hex", r"[0-9a-f]{32,}", 0, 32),
     ("issued", r"(?:gh[pousr]_|github_pat_|glpat-|sk_live_|rk_live_|xox[abprs]-|AIza)[A-Za-z0-9_-]{16,}", 0, 20),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 24),
-    ("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\x20\x09-\x0D]*", 0, 31),
+    ("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\x20\x09-\x0D]*", 0, 31),
 )
 BASE = ("assign", "access", "hex")
 #: Live spans that are broadcast to their texts, at most.
 BROADCAST_SPANS = 500_000
+#: A copied value is left out before the join above so many documents, and above this part of all candidates.
+BUSY, BUSY_SHARE = 1000, 100_000
+#: Folds over a text's matches go by runs of so many, so that their cost doesn't grow with the square of the matches.
+RUN = 64
+
+
+def _bind(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _runs(array: Column, body) -> Column:
+    """``body`` (run of elements) of each run of an array; an empty array has none."""
+    last = F.floor((F.size(array) - 1) / RUN).cast("int")
+    return F.when(F.size(array) > 0, F.transform(F.sequence(F.lit(0), last), lambda c: body(F.slice(array, c * RUN + 1, RUN)))).otherwise(F.array())
+
+
+def _total(array: Column) -> Column:
+    return F.aggregate(array, F.lit(0), lambda acc, x: acc + x)
+
+
+def _ahead(lengths: Column) -> Column:
+    """Of each run of lengths, the sum of all before it."""
+    sums = _runs(lengths, _total)
+    return _bind(sums, lambda t: F.transform(t, lambda _, k: _total(F.slice(t, 1, k))))
 
 
 def spans(text: Column, rank: int) -> Column:
@@ -36,12 +61,17 @@ def spans(text: Column, rank: int) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     steps = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("size"), m.alias("match")))
-    steps = F.filter(steps, lambda s: s["match"].isNotNull())
-    placed = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out")),
-        lambda acc, s: F.struct((acc["at"] + s["gap"] + s["size"]).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + s["gap"]).alias("start"), (acc["at"] + s["gap"] + s["size"]).alias("end"), s["match"].alias("match")))).alias("out")),
-    )["out"]
+
+    def place(steps: Column, lengths: Column, ahead: Column) -> Column:
+        def one(s: Column, k: Column) -> Column:
+            run = F.floor(k / RUN).cast("int")
+            start = F.element_at(ahead, run + 1) + _total(F.slice(lengths, run * RUN + 1, k % RUN)) + s["gap"]
+            return F.struct(start.alias("start"), (start + s["size"]).alias("end"), s["match"].alias("match"))
+
+        return F.transform(steps, one)
+
+    whole = F.filter(steps, lambda s: s["match"].isNotNull())
+    placed = _bind(whole, lambda st: _bind(F.transform(st, lambda s: s["gap"] + s["size"]), lambda n: _bind(_ahead(n), lambda ahead: place(st, n, ahead))))
     value = lambda m: F.regexp_extract(m, pattern, group) if group else m
     kept = F.filter(placed, lambda p: F.length(value(p["match"])) >= least)
     named = F.transform(kept, lambda p: F.struct(p["start"].alias("start"), F.lit(rank).alias("rank"), p["end"].alias("end"), F.lit(kind).alias("kind"), F.sha2(value(p["match"]).cast("binary"), 256).alias("hash")))
@@ -73,12 +103,17 @@ def scan_secrets(docs: DataFrame, max_owners: int = 2, max_repos: int = 64, id_c
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(owner_col).cast("string").alias("owner"), F.col(repo_col).cast("string").alias("repo"), F.xxhash64(text).alias("text_key"), *[spans(text, k).alias(kind) for k, (kind, *_) in enumerate(KINDS)])
     rows = durable(rows.select("doc_id", "owner", "repo", "text_key", F.array_sort(F.concat(*BASE)).alias("base"), F.array_sort(F.concat(*[k for k, *_ in KINDS])).alias("every")))
     found = rows.filter(F.size("every") > 0).select("doc_id", "text_key", "owner", "repo", F.explode("every").alias("s")).select("*", F.col("s.hash").alias("hash"))
-    judged = found.select("doc_id", "text_key", "s", "hash").distinct().join(ownership(found), "hash").withColumn("live", (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos))
-    per_doc = judged.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.when(F.col("live"), F.col("s")))).alias("live"), F.count(F.when(~F.col("live"), 1)).alias("n_copied"))
-    a, b = rows.select("doc_id", "text_key", "base").alias("a"), per_doc.alias("b")
+    owners = durable(ownership(found).withColumn("is_live", (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)))
+    total = rows.agg(F.coalesce(F.sum(F.size("every")), F.lit(0))).first()[0]
+    busy = owners.filter(~F.col("is_live") & (F.col("n_repos") > max(BUSY, total // BUSY_SHARE))).select("hash")
+    spread = found.join(F.broadcast(busy), "hash", "left_anti")  # BUSY_SHARE values at most
+    judged = spread.select("doc_id", "text_key", "s", "hash").distinct().join(owners.filter("is_live").select("hash"), "hash", "left_semi")
+    per_doc = judged.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list("s")).alias("live"))
+    a, b = rows.select("doc_id", "text_key", "base", "every").alias("a"), per_doc.alias("b")
     out = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_key") == F.col("b.text_key")), "left")
     none = F.array().cast(rows.schema["base"].dataType)
-    return out.select("a.doc_id", "a.text_key", "base", F.coalesce("live", none).alias("live"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"))
+    live = F.coalesce("live", none)
+    return out.select("a.doc_id", "a.text_key", "base", live.alias("live"), (F.size("every") - F.size(live)).alias("n_copied"))
 
 
 def digest(scanned: DataFrame) -> DataFrame:
@@ -91,30 +126,38 @@ def digest(scanned: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "<secret>", max_owners: int = 2, max_repos: int = 64, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", chars_col: str | None = None) -> DataFrame:
     """The rows of ``docs``, whole, with every live span replaced by ``mark`` (overlapping spans by one).
 
-    Rows without live spans are unchanged, null texts too; ``chars_col``, if any, is set to the new length where a text changed.
+    Rows without live spans are unchanged, null texts too; columns of any name come along; ``chars_col``, if any, is set to the new length where a text changed.
     """
     scanned = scan_secrets(docs, max_owners, max_repos, id_col, text_col, owner_col, repo_col)
     live = durable(scanned.filter(F.size("live") > 0).select(F.col("doc_id").alias("live_id"), F.col("text_key").alias("live_text"), "live").dropDuplicates(["live_id", "live_text"]))
     live = F.broadcast(live) if live.agg(F.coalesce(F.sum(F.size("live")), F.lit(0))).first()[0] <= BROADCAST_SPANS else live
-    text = docs[text_col].cast("string")
-    key = F.xxhash64(F.coalesce(text, F.lit("")))
-    rows = docs.join(live, docs[id_col].cast("long").eqNullSafe(F.col("live_id")) & (key == F.col("live_text")), "left")
-    done = F.aggregate(
-        "live",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
-        ),
-    )
-    new = F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
-    out = rows.withColumn("redacted_text", F.when(F.col("live").isNotNull(), new))
+    # the input's columns go as one, so that none of their names meets ours
+    text = F.col(f"`{text_col}`").cast("string")
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("row_id"), text.alias("row_text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("row_key"))
+    rows = held.join(live, F.col("row_id").eqNullSafe(F.col("live_id")) & (F.col("row_key") == F.col("live_text")), "left")
+
+    def masked(acc: Column, run: Column, part: Column) -> Column:
+        """A run's piece of the text: live spans replaced, spans that begin in an earlier one only prolong it."""
+        return F.aggregate(
+            run,
+            F.struct(acc["at"].alias("at"), F.lit("").alias("out")),
+            lambda a, s: F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], F.concat(a["out"], F.substring(part, a["at"] - acc["at"] + 1, s["start"] - a["at"]), F.lit(mark))).otherwise(a["out"]).alias("out")),
+        )
+
+    def step(acc: Column, run: Column) -> Column:
+        part = F.substring(F.col("row_text"), acc["at"] + 1, F.array_max(F.transform(run, lambda s: s["end"])) - acc["at"])
+        return _bind(part, lambda t: _bind(masked(acc, run, t), lambda done: F.struct(done["at"].alias("at"), F.concat(acc["out"], done["out"]).alias("out"))))
+
+    done = F.aggregate(_runs(F.col("live"), lambda run: run), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
+    new = _bind(done, lambda d: F.concat(d["out"], F.substring(F.col("row_text"), d["at"] + 1, F.length("row_text"))))
+    out = rows.select("row", F.when(F.col("live").isNotNull(), new).alias("masked"))
     columns = []
     for c in docs.columns:
+        was = F.col("row").getField(c)
         if c == text_col:
-            columns.append(F.coalesce("redacted_text", docs[c]).alias(c))
+            columns.append(F.coalesce("masked", was).alias(c))
         elif c == chars_col:
-            columns.append(F.when(F.col("redacted_text").isNotNull(), F.length("redacted_text").cast(docs.schema[c].dataType)).otherwise(docs[c]).alias(c))
+            columns.append(F.when(F.col("masked").isNotNull(), F.length("masked").cast(docs.schema[c].dataType)).otherwise(was).alias(c))
         else:
-            columns.append(docs[c])
+            columns.append(was.alias(c))
     return out.select(*columns)

@@ -267,6 +267,48 @@ def test_widely_copied_secrets_are_not_live(spark):
     assert live == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 9: 1}
 
 
+def test_secrets_in_texts_with_thousands_of_matches(spark):
+    """Patterns on megabyte texts, and places after many matches; time doesn't grow with their square."""
+    import time
+
+    from skein.llm.secrets import KINDS, digest, redact, scan_secrets
+
+    dump = " ".join(f"{k:032x}" for k in range(20_000))
+    texts = [dump, "-----BEGIN " + "A " * 5000, "-----BEGIN RSA PRIVATE KEY-----" + "ab " * 300_000, "password=" + "a" * 1_000_000, "eyJ" + "a" * 500_000, "AKIA" * 200_000, "x" * 1_000_000]
+    d = spark.createDataFrame([(k, x, f"s{k}", "", "") for k, x in enumerate(texts)], SCHEMA)
+    began = time.time()
+    got = {r.doc_id: r for r in digest(scan_secrets(d)).collect()}
+    assert time.time() - began < 120
+    assert got[0].spans.split(",")[-1] == f"hex:{33 * 19_999}:{33 * 20_000 - 1}" and got[0].n_hex == 20_000
+    assert got[1].spans == "" and got[2].spans.startswith("pem:0:") and got[3].n_assign == 1 and got[5].n_access == 1
+    assert len(KINDS) == 6 and {r.doc_id: r.text for r in redact(d).collect()}[0] == " ".join(["<secret>"] * 20_000)
+
+
+def test_columns_of_any_name_come_along(spark):
+    from skein.llm.jaccard_join import keep_first
+    from skein.llm.secrets import redact
+
+    names = ["live", "live_text", "live_id", "lost_id", "lost_text", "row", "masked", "redacted_text", "hash"]
+    text = "password = hunter2hunter2 and so on"
+    d = spark.createDataFrame([(1, text, "a", *names), (2, text, "a", *names), (3, None, "a", *names)], "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    for out, n in ((redact(d), 3), (keep_first(d), 2)):
+        assert out.columns == d.columns
+        rows = out.collect()
+        assert len(rows) == n and all(r[c] == c for r in rows for c in names)
+    assert "hunter2" not in {r.doc_id: r.text for r in redact(d).collect()}[1]
+
+
+def test_keep_first_keeps_blank_rows(spark):
+    from skein.llm.jaccard_join import jaccard_classes, keep_first
+
+    schema = "doc_id long, text string, source string"
+    rows = [(1, None, "a"), (1, None, "a"), (2, "", "a"), (2, "", "a"), (3, "some words here", "a")]
+    for more in ([], [(3, "some words here", "a")], [(3, "some words here", "a"), (None, "some words here", "a"), (None, "some words here", "a")]):
+        assert keep_first(spark.createDataFrame(rows + more, schema)).count() == 5
+    assert keep_first(spark.createDataFrame([(None, "x y", "a")] * 3, schema)).count() == 1
+    assert jaccard_classes(spark.createDataFrame([], schema)).count() == 0
+
+
 def test_mixing(docs, rows, empty):
     from skein.llm.mixing import curriculum_mix
 
