@@ -197,6 +197,27 @@ def test_jaccard_classes(docs, rows, options):
     assert ordered(map(tuple, got)) == ordered(want)
 
 
+@pytest.mark.parametrize("options", [{}, {"large": 50}, {"large": 50, "steps": 2}])
+def test_jaccard_recall_in_hot_buckets(spark, options):
+    """Pairs just above the threshold whose sets share a passage with all others, and a large group of near copies."""
+    from skein.llm.jaccard_join import RECALL, jaccard_classes
+
+    passage = [f"p{k}" for k in range(60)]
+    rows = []
+    for k in range(600):
+        own = [f"w{k}x{j}" for j in range(60)]
+        rows.append((2 * k, " ".join(passage + own)))
+        rows.append((2 * k + 1, " ".join(passage + own[:30] + [f"new{k}"] + own[31:] + [f"more{k}y{j}" for j in range(14)])))
+    crowd = [f"c{j}" for j in range(200)]
+    rows += [(10_000 + k, " ".join(crowd[:j] + [f"z{k}"] + crowd[j + 1 :])) for k in range(300) for j in [(7 * k) % 190]]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows[:2])]
+    assert 0.8 <= len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.85
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), **options).collect()}
+    met = sum(got[2 * k + 1] == (2 * k, 1) for k in range(600))
+    assert met >= RECALL * 600 - 3 * (RECALL * (1 - RECALL) * 600) ** 0.5 or (options.get("steps") == 2 and met >= 0.95 * 600)
+    assert all(got[10_000 + k] == (10_000, 299) for k in range(300))
+
+
 def test_jaccard_keeps_one_of_each_class(docs, rows, empty):
     from skein.llm.jaccard_join import jaccard_classes, keep_first
 
