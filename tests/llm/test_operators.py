@@ -230,11 +230,66 @@ def test_jaccard_keeps_one_of_each_class(docs, rows, empty):
 
 
 def test_masks_lose_nothing():
-    from skein.llm.decontaminate import MASKS, STRETCH, SUBSTITUTIONS
+    from skein.llm.decontaminate import MASKS, SHORT_MASKS, SHORTEST, STRETCH, tolerance
 
-    spots = [{o + k for k, c in enumerate(m) if c == "1"} for m in MASKS for o in range(STRETCH - len(m) + 1)]
-    for bad in itertools.combinations(range(STRETCH), SUBSTITUTIONS):
-        assert any(not spot & {*bad} for spot in spots)
+    for n in range(SHORTEST, STRETCH + 1):
+        need, allowed = tolerance(n)
+        spots = [{o + k for k, c in enumerate(m) if c == "1"} for m in (MASKS if n >= STRETCH else SHORT_MASKS) for o in range(need - len(m) + 1)]
+        for bad in itertools.combinations(range(need), allowed):
+            assert any(not spot & {*bad} for spot in spots)
+
+
+def leak_rows(texts, items):
+    """(text number, item id, word in the text, word in the item, words, equal words), word by word."""
+    out = []
+    for d, a in enumerate(texts):
+        for item, b in items.items():
+            need, allowed = (13, 2) if len(b) >= 13 else (len(b), int(len(b) >= 8))
+            every = []
+            for shift in range(-len(b) + need, len(a) - need + 1) if len(b) >= 5 else ():
+                lo, hi = max(0, -shift), min(len(b), len(a) - shift)
+                same = [a[k + shift] == b[k] for k in range(lo, hi)]
+                covered = sorted({k for s in range(len(same) - need + 1) if sum(same[s : s + need]) >= need - allowed for k in range(s, s + need)})
+                starts = [s for s in range(len(same) - need + 1) if sum(same[s : s + need]) >= need - allowed]
+                runs = []
+                for s in starts:
+                    if runs and s <= runs[-1][1]:
+                        runs[-1][1] = s + need
+                    else:
+                        runs.append([s, s + need])
+                assert sum(e - s for s, e in runs) == len(covered)
+                every += [(-sum(same[s:e]), s + lo + shift, s + lo, e - s) for s, e in runs]
+            taken = []
+            for equal, at, of, n in sorted(every):
+                if all(at + n <= s or e <= at for s, e in taken):
+                    taken.append((at, at + n))
+                    out.append((d, item, at, of, n, -equal))
+    return out
+
+
+def test_leaks_match_brute_force(spark):
+    """Items of all lengths with substitutions at every place, items shared in two pieces, repeated words, items without an id."""
+    from skein.llm.decontaminate import find_leaks
+
+    items = {n: [f"i{n}w{k}" for k in range(n)] for n in (3, 5, 7, 8, 9, 10, 11, 12, 13, 14, 60)}
+    items |= {200: ["same"] * 20, 300: "a b a b a b a b a b a b a b a b".split()}
+    texts = [["same"] * 40, "x a b a b a b a b a b a b a b y".split(), items[60][:13] + ["other"] * 30 + items[60][-13:], items[60] * 2, []]
+    for n in (5, 7, 8, 9, 10, 11, 12, 13, 14):
+        texts += [["before", *items[n][:k], "gone", *items[n][k + 1 :], "after"] for k in range(n)] + [["x", *items[n]]]
+    for k, j in itertools.combinations(range(14), 2):
+        texts.append([w if m not in (k, j) else "gone" for m, w in enumerate(items[14])])
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(None if i == 12 else i, " ".join(w).upper()) for i, w in items.items()] + [(900, " ".join(items[60])), (901, None)], "item_id long, text string")
+    want = ordered((d, None if i == 12 else i, *rest) for d, i, *rest in leak_rows(texts, items))
+    for block in (32 << 20, 100):
+        assert ordered(map(tuple, find_leaks(docs, bench, block_bytes=block).collect())) == want
+
+
+def test_words_that_recur_thousands_of_times(spark):
+    from skein.llm.decontaminate import block_of
+
+    text = b"same " * 6000
+    assert block_of([(1, text)]).leaks([text]) == [[(1, 0, 0, 6000, 6000)]]
 
 
 def test_leaks(spark, docs, rows, empty):
@@ -251,8 +306,8 @@ def test_leaks(spark, docs, rows, empty):
         a = words_of((t or "").encode())
         for item, text in items:
             b = words_of((text or "").encode())
-            need = min(13, len(b))
-            if need >= 8 and any(sum(x != y for x, y in zip(a[p : p + need], b[q : q + need])) <= 2 * need // 13 for p in range(len(a) - need + 1) for q in range(len(b) - need + 1)):
+            need, allowed = (13, 2) if len(b) >= 13 else (len(b), int(len(b) >= 8))
+            if need >= 5 and any(sum(x != y for x, y in zip(a[p : p + need], b[q : q + need])) <= allowed for p in range(len(a) - need + 1) for q in range(len(b) - need + 1)):
                 want.add((i, item))
     for block in (32 << 20, 300):
         got = [(r.doc_id, r.item_id) for r in find_leaks(docs.unionAll(more), bench, block_bytes=block).collect()]
