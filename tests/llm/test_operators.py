@@ -457,11 +457,100 @@ def test_url_rules(spark):
     assert filter_urls(pages, page_outcomes(pages, labels.limit(0))).count() == len(urls)
 
 
+def test_reputation_matches_brute_force(spark):
+    """Counts, strengths, priors and the posterior's quantile in plain Python; verdicts by host, joined in both ways."""
+    from skein.llm.url_filter import RULES, filter_urls, page_outcomes, reputations
+
+    def domain(h):
+        parts = h.split(".")
+        if re.fullmatch("[0-9.]+", h):
+            return h, parts[-1]
+        two = len(parts) > 1 and parts[-2] in ("co", "com", "org") and len(parts[-1]) == 2
+        return ".".join(parts[-3 if two else -2 :]), ".".join(parts[-2 if two else -1 :])
+
+    names = [f"h{k}.d{k % 7}.{('org', 'info', 'co.uk', 'biz')[k % 4]}" for k in range(60)] + ["10.0.0.1", "u@h1.d1.info:80"]
+    urls, label = [], {}
+    for k, h in enumerate(names):
+        for j in range(k % 13):
+            doc = 100 * k + j
+            urls.append(f"http://{h}/en/{doc}")
+            if (k + j) % 5:
+                label[doc] = int((k * 7 + j) % 11 > (9 if k % 7 < 3 else 2))
+        urls.append(f"http://{h}/about")
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame(list(label.items()) + [(None, 0)], "doc_id long, quality int")
+    n, bad = Counter(), Counter()
+    for u in urls:
+        site = re.sub(r":[0-9]*$", "", u.split("/")[2].split("@")[-1])
+        doc = u.split("/")[-1]
+        if doc.isdigit() and int(doc) in label:
+            n[site] += 1
+            bad[site] += label[int(doc)] == 0
+        n[site] += 0
+    up = [{h: domain(h)[0] for h in n}, {domain(h)[0]: domain(h)[1] for h in n}]
+    level = [(n, bad)]
+    for m in up:
+        a, b = Counter(), Counter()
+        for k in level[-1][0]:
+            a[m[k]] += level[-1][0][k]
+            b[m[k]] += level[-1][1][k]
+        level.append((a, b))
+
+    def strength(groups, parent):
+        pn, pb = Counter(), Counter()
+        for g in groups[0]:
+            pn[parent(g)] += groups[0][g]
+            pb[parent(g)] += groups[1][g]
+        s = k = t = q = 0
+        for g, m in groups[0].items():
+            if m:
+                p = (pb[parent(g)] + 0.5) / (pn[parent(g)] + 1)
+                s, k, t, q = s + m * (groups[1][g] / m - p) ** 2 / (p * (1 - p)), k + 1, t + m, q + m * m
+        if k < 2 or t <= k:
+            return 10.0
+        rho = (s - (k - 1)) / max(t - q / t - (k - 1), 1e-9)
+        return min(1000.0, max(1.0, 1 / rho - 1)) if rho > 0 else 1000.0
+
+    ks = strength(level[2], lambda g: 0), strength(level[1], up[1].get), strength(level[0], up[0].get)
+    prior = {None: (sum(bad.values()) + 1) / (sum(n.values()) + 2)}
+    for (gn, gb), k, parent in ((level[2], ks[0], lambda g: None), (level[1], ks[1], up[1].get)):
+        prior |= {("x", g) if parent(g) is None else ("d", g): (gb[g] + k * prior[None if parent(g) is None else ("x", parent(g))]) / (gn[g] + k) for g in gn}
+    want = {}
+    for h in n:
+        m = prior["d", up[0][h]]
+        a, b = bad[h] + ks[2] * m, n[h] - bad[h] + ks[2] * (1 - m)
+        steps = 20_000
+        grid = [(k + 0.5) / steps for k in range(steps)]
+        mass = [math.exp((a - 1) * math.log(x) + (b - 1) * math.log(1 - x) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)) / steps for x in grid]
+        low = next(x for x, c in zip(grid, itertools.accumulate(mass)) if c >= 0.05)
+        want[h] = (a / (a + b), low)
+    for few in (200_000, 3):
+        got = {r.page_id: r for r in filter_urls(pages, page_outcomes(pages, labels), broadcast_hosts=few).collect()}
+        assert len(got) == len(urls)
+        for k, u in enumerate(urls):
+            rate, low = want[re.sub(r":[0-9]*$", "", u.split("/")[2].split("@")[-1])]
+            assert got[k].host_rate == pytest.approx(rate) and got[k].host_low == pytest.approx(low, abs=2e-3)
+            if got[k].rule is None:
+                assert got[k].verdict == ("block" if got[k].host_low > 0.25 else "allow")
+        assert len({r.verdict for r in got.values()}) == 2
+
+
+def test_url_columns_match_sql(spark):
+    import duckdb
+
+    from skein.llm.queries import op4_url_filter
+    from skein.llm.url_filter import EXACT
+
+    pages = f"'{DIR}/pages.parquet'"
+    want = duckdb.sql(EXACT.replace("FROM pages", f"FROM {pages}")).fetchall()
+    assert ordered(tuple(r)[:4] for r in op4_url_filter(spark, DIR).collect()) == ordered(want)
+
+
 def test_reputation_shrinks(spark):
     from skein.llm.url_filter import reputations
 
-    hosts = spark.createDataFrame([("bad.x.com", 200, 190), ("one.x.com", 1, 1), ("good.y.com", 300, 3), ("new.y.com", 0, 0)], "host string, n long, bad long")
-    r = {x.host: x for x in reputations(hosts).collect()}
+    hosts = spark.createDataFrame([("bad.x.com", 200, 190), ("one.x.com", 1, 1), ("good.y.com", 300, 3), ("new.y.com", 0, 0)], "site string, n long, bad long")
+    r = {x.site: x for x in reputations(hosts).collect()}
     assert r["bad.x.com"].low > 0.8 and r["good.y.com"].rate < 0.05
     assert r["one.x.com"].low < r["bad.x.com"].low and r["new.y.com"].low < r["one.x.com"].low
 
