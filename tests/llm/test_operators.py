@@ -680,6 +680,76 @@ def test_toxicity(spark, rows, docs, labels, empty):
     assert {r.score for r in score_toxicity(docs, labels.limit(0)).collect()} == {0.0}
 
 
+def test_training_texts_are_bounded_and_repeatable(spark):
+    from skein.llm.training import labelled_texts
+
+    rows = [(1, f"text {k}") for k in range(500)] + [(2, "one"), (3, "x" * 400), (4, "four"), (None, "none")]
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 0), (4, None), (None, 1)], "doc_id long, toxic int")
+    found = [labelled_texts(spark.createDataFrame(r, "doc_id long, text string").repartition(n), labels, "toxic", 10, max_bytes=300) for r, n in ((rows, 1), (rows[::-1], 7))]
+    assert found[0] == found[1] and [(i, y) for i, _, y in found[0]] == [(1, 1), (2, 0)]
+    assert len(labelled_texts(spark.createDataFrame(rows, "doc_id long, text string"), labels, "toxic", 10, total_bytes=400)) == 2
+
+
+def test_pipeline_matches_brute_force(spark):
+    """Documents after each stage: the toxic by their scores, all else by plain Python."""
+    import corpus_pipeline
+
+    from skein.llm.secrets import digest, scan_secrets
+    from skein.llm.toxicity import score_toxicity, words_of
+
+    docs, labels = (spark.read.parquet(f"{DIR.replace("0.001", "0.01")}/{x}.parquet") for x in ("documents", "labels"))
+    toxic = {r.doc_id for r in score_toxicity(docs, labels).collect() if r.predicted}
+    held = {r.doc_id: r for r in docs.collect() if r.doc_id not in toxic}
+    sets = dict(zip(held, shingle_sets([(i, r.text, None) for i, r in held.items()])))
+    name = {i: i for i in held}
+
+    def find(i):
+        while name[i] != i:
+            i = name[i]
+        return i
+
+    for a, b in itertools.combinations(held, 2):
+        common = len(sets[a] & sets[b])
+        if common and 5 * common >= 4 * (len(sets[a]) + len(sets[b]) - common):
+            a, b = sorted((find(a), find(b)))
+            name[b] = a
+    held = {i: r for i, r in held.items() if find(i) == i}
+    items = [words_of(r.text.encode()) for r in spark.read.parquet(f"{DIR.replace("0.001", "0.01")}/benchmark.parquet").collect()]
+    short = {}
+    for n, b in enumerate(items):
+        for q in range(len(b) - 3):
+            short.setdefault(tuple(b[q : q + 4]), []).append((n, q))
+
+    def leaks(text):  # 13 words with 2 substitutions hold 4 equal words in a row
+        a = words_of((text or "").encode())
+        for n, shift in {(n, p - q) for p in range(len(a) - 3) for n, q in short.get(tuple(a[p : p + 4]), ())}:
+            b = items[n]
+            same = [a[k + shift] == b[k] for k in range(max(0, -shift), min(len(b), len(a) - shift))]
+            if any(sum(same[s : s + 13]) >= 11 for s in range(len(same) - 12)):
+                return True
+        return False
+
+    assert all(len(b) >= 13 for b in items)
+    held = {i: r for i, r in held.items() if not leaks(r.text)}
+    clean = spark.createDataFrame([*held.values()], docs.schema)
+    live = {r.doc_id: r.spans for r in digest(scan_secrets(clean)).collect() if r.n_live}
+    got = corpus_pipeline.run(spark, DIR.replace("0.001", "0.01")).collect()
+    assert {r.doc_id for r in got} == set(held) and 0 < len(toxic) < docs.count() and live
+    size = Counter()
+    for r in got:
+        assert (r.text == held[r.doc_id].text) == (r.doc_id not in live) and (r.lang, r.source) == (held[r.doc_id].lang, held[r.doc_id].source)
+        assert r.size == len(words(r.text)) and r.n_chars == len(r.text or "")
+        size[r.source] += r.size * (r.serving == 1)
+    taken = Counter()
+    for r in got:
+        assert r.source_size == size[r.source]
+        taken[r.source] += r.taken
+    target = {r.source: r.target for r in got}
+    assert all(target[s] - 1 <= taken[s] <= target[s] for s in size) and sum(target.values()) == pytest.approx(1.5 * sum(size.values()))
+    at = [r.position for r in got if r.position is not None]
+    assert at == sorted(at)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
