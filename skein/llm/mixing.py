@@ -77,18 +77,19 @@ def _planned(docs: DataFrame, weights: tuple, share: float, cap: float, ramps: t
 
 
 def curriculum_mix(docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, cap: float = 2.0, ramps: tuple = RAMPS, keep: tuple = (), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target, taken, position of every row, in order of position.
+    """doc_id, size, source_size, target, taken, position, position_2 of every row, in order of position.
 
     The first ``floor(target)`` words of a source's documents, in hash order and then once more from the start, are
     taken; so the last document may be taken in part, and no word more than ``cap`` times (2 at most are served).
     position: training time in 0..1 of the first taken word; null (and last) for documents of which nothing is taken.
+    position_2: that of the second serving's first word; null for documents that are not served twice.
     Null texts have size 0; null sources are one source, the last; a null id hashes as the empty text. Repeated rows
     count each; equal hashes go by id, then size. An empty table gives no rows. Columns in ``keep`` come along.
     Both servings are counted in taken; ``curriculum_servings`` has a row for each.
     """
     r = _planned(docs, weights, share, cap, ramps, keep, id_col, text_col, source_col)
-    r = r.withColumn("taken", F.col("once") + F.col("twice")).withColumn("position", F.col("at_once"))
-    return r.orderBy(F.col("position").asc_nulls_last(), "hash").select("doc_id", "size", "source_size", "target", "taken", "position", *[F.col(f"kept_{c}").alias(c) for c in keep])
+    r = r.withColumn("taken", F.col("once") + F.col("twice")).withColumn("position", F.col("at_once")).withColumn("position_2", F.col("at_twice"))
+    return r.orderBy(F.col("position").asc_nulls_last(), "hash").select("doc_id", "size", "source_size", "target", "taken", "position", "position_2", *[F.col(f"kept_{c}").alias(c) for c in keep])
 
 
 def curriculum_servings(docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, cap: float = 2.0, ramps: tuple = RAMPS, keep: tuple = (), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -112,7 +113,8 @@ l AS (SELECT *, (goal - coalesce(sum(cap) OVER b, 0)) / (all_weight - coalesce(s
 f AS (SELECT *, min(CASE WHEN cap / weight >= level THEN place END) OVER () AS first FROM l),
 t AS (SELECT source, source_size, rank, CASE WHEN first IS NULL OR place < first THEN cap ELSE max(CASE WHEN place = first THEN level END) OVER () * weight END AS target FROM f),
 c AS (SELECT doc_id, source, size, CAST(coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM d),
-k AS (SELECT doc_id, size, source_size, target, rank, start, CAST(greatest(0, least(size, floor(target) - start)) + greatest(0, least(size, floor(target) - start - source_size)) AS BIGINT) AS taken FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, taken, CASE WHEN taken > 0 THEN CASE rank % 3 WHEN 0 THEN (sqrt(2.25::DOUBLE - 2.0::DOUBLE * (start / target)) - 1.5::DOUBLE) / (-1.0::DOUBLE) WHEN 1 THEN (sqrt(0.25::DOUBLE + 2.0::DOUBLE * (start / target)) - 0.5::DOUBLE) / 1.0::DOUBLE ELSE start / target END END AS position
+k AS (SELECT doc_id, size, source_size, target, rank, start, CAST(greatest(0, least(size, floor(target) - start)) + greatest(0, least(size, floor(target) - start - source_size)) AS BIGINT) AS taken, least(size, floor(target) - start - source_size) AS twice FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, taken, CASE WHEN taken > 0 THEN CASE rank % 3 WHEN 0 THEN (sqrt(2.25::DOUBLE - 2.0::DOUBLE * (start / target)) - 1.5::DOUBLE) / (-1.0::DOUBLE) WHEN 1 THEN (sqrt(0.25::DOUBLE + 2.0::DOUBLE * (start / target)) - 0.5::DOUBLE) / 1.0::DOUBLE ELSE start / target END END AS position,
+  CASE WHEN twice > 0 THEN CASE rank % 3 WHEN 0 THEN (sqrt(2.25::DOUBLE - 2.0::DOUBLE * ((start + source_size) / target)) - 1.5::DOUBLE) / (-1.0::DOUBLE) WHEN 1 THEN (sqrt(0.25::DOUBLE + 2.0::DOUBLE * ((start + source_size) / target)) - 0.5::DOUBLE) / 1.0::DOUBLE ELSE (start + source_size) / target END END AS position_2
 FROM k
 """
