@@ -45,7 +45,7 @@ class Counter:
         out, batch, held = [], [], 0
         for x in new:
             batch.append(x)
-            held += len(x)
+            held += len(x) if x.isascii() else len(x.encode())
             if held >= self.batch_bytes:
                 out += [len(e) for e in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
                 batch, held = [], 0
