@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.functions.durable import stored
+from skein.functions.durable import release, stored
 from skein.llm.decontaminate import decontaminate
 from skein.llm.jaccard_join import keep_first
 from skein.llm.mixing import curriculum_servings
@@ -45,14 +45,17 @@ STAGES = [
     ("mixing", _mixing),
 ]
 
-#: The first stages learn a model and compare sets, which SQL doesn't express; tests/llm holds run() against brute force.
+#: The first stages learn a model and compare sets, which SQL doesn't express; tests/llm holds run() against plain Python that is
+#: told only which documents are toxic.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if (name, stage) != STAGES[-1]:
-            docs = stored(docs, f"pipeline-{name}")
-    return docs
+    kept = None
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if kept is not None:
+            release(kept)
+        kept = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
