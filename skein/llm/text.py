@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,6 +28,15 @@ def pair(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Lets the session's Arrow batches hold so many rows at most: whole texts and packed rows are wide, and Arrow's memory lies
+    beside the heap, in every worker twice. A setting of the session, as its frames are run later."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
+
+
 def slices(batches: Iterator[pa.RecordBatch], by: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts record batches so that column ``by`` holds about ``limit`` bytes in each (one row at least)."""
     for batch in batches:
