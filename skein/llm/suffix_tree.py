@@ -38,7 +38,7 @@ COST = 2.0
 #: Words whose root counts are broadcast, and entries of the tree, at most.
 HEAD, HOT = 500_000, 500_000
 #: Tokens, and entries of the tree, that a part gets on average. Parts follow the data alone: each part sends each other a row.
-PART_TOKENS, PART_ENTRIES = 2_000_000, 1_000_000
+PART_TOKENS, PART_ENTRIES = 2_000_000, 500_000
 #: A part's contexts are summed in so many ranges, one after the other.
 PIECES = 4
 #: The end token, a word that no text holds.
@@ -507,7 +507,7 @@ def score_texts(docs: DataFrame, hold: tuple[int, int] = (7, 2), head: int = HEA
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Look-ups as distinct keys, how often each is asked, and by which of the batch's documents; and all that is known here."""
-        for b in slices(batches, limit=_BATCH):
+        for b in slices(batches, limit=_BATCH // 2):
             h, starts = tokens(texts(b))
             known, root, more, token, key = shared.value.scores(h, starts)
             add = lambda x: np.add.reduceat(x, starts[:-1])  # noqa: E731, B023  every text has a token
