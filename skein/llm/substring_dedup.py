@@ -8,7 +8,8 @@ matrix gives the matching statistic at each place, up to the window's length, an
 the whole window is found and the least owner in its range is smaller than the document, the interval is reported.
 
 What moves is kept small:
-- minimizers that only one document holds are left out, by a bitmap of bounded size (it lets some more through, and drops none);
+- minimizers that only one document holds are left out: their hashes alone are counted first, and each document is told
+  which of its segments others share. A bitmap of bounded size spares most hashes that way (one that is full spares none);
 - a batch sends each shard one row, with equal segments once;
 - windows under a minimizer that very many segments share are dealt one by one, by their own hash, with their least
   and greatest document only; the shard's finding goes back to the documents as a table by window, so that no task gets a
@@ -29,16 +30,16 @@ from pyspark.sql import functions as F
 
 from skein.functions.durable import release, stored
 from skein.llm.fm_index import FMIndex
-from skein.llm.packing import Reader, pack, pack_sorted
+from skein.llm.packing import Reader, distinct, pack, pack_sorted
 from skein.llm.text import grams, hash_words, inside, mix, slices, texts
 
-WINDOW, GRAM = 13, 4
+WINDOW, GRAM = 13, 6
 #: log2 of the bitmap's slots: 8 MB; it is gathered in so many ranges.
 SLOTS, RANGES = 26, 16
 #: A minimizer is hot above so many occurrences, and above this part of all occurrences.
 HOT, HOT_SHARE = 1000, 50_000
-#: Words of segments that a shard gets on average.
-SHARD_WORDS = 2_000_000
+#: Words of segments that a shard gets on average, and minimizers that a part of their count gets.
+SHARD_WORDS, PART = 2_000_000, 2_000_000
 #: Findings on hot windows that are broadcast at most; beyond it they are joined.
 BROADCAST = 1_000_000
 #: Bytes of a word's hash that segments carry.
@@ -126,18 +127,97 @@ def _shared(rows: DataFrame, window: int) -> tuple[np.ndarray, np.ndarray, int]:
     return bitmap, np.sort(np.array([r.slots for r in hot], np.uint64)), total
 
 
-def segments(hashes: np.ndarray, starts: np.ndarray, window: int, bitmap: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, ...]:
-    """First word, number of words, routing hash, and whether it is a hot window, of the segments that may share a window with another text."""
-    first, n, anchor = minimizers(hashes, starts, window)
+def _told(anchor: np.ndarray, bitmap: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether two documents may hold each minimizer; and whether it is hot."""
     slot = _slot(anchor).astype(np.int64)
-    keep = (bitmap[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool) if len(first) else np.zeros(0, bool)
-    first, n, anchor, slot = first[keep], n[keep], anchor[keep], slot[keep].astype(np.uint64)
-    is_hot = hot[np.minimum(np.searchsorted(hot, slot), len(hot) - 1)] == slot if len(hot) else np.zeros(len(first), bool)
-    f, m = first[is_hot], n[is_hot]
-    single = np.repeat(f, m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-    size = np.full(len(single), window)
-    key = _keys(hashes, single, size)
-    return np.concatenate([first[~is_hot], single]), np.concatenate([n[~is_hot] + window - 1, size]), np.concatenate([anchor[~is_hot], key]), np.arange(len(first) - len(f) + len(single)) >= len(first) - len(f)
+    keep = (bitmap[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool)
+    slot = slot.astype(np.uint64)
+    is_hot = hot[np.minimum(np.searchsorted(hot, slot), len(hot) - 1)] == slot if len(hot) else np.zeros(len(slot), bool)
+    return keep, is_hot & keep
+
+
+def _in_turn(first: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each segment's document and its place among the document's segments."""
+    doc = np.searchsorted(starts, first, "right") - 1
+    return doc, np.arange(len(first)) - np.searchsorted(first, starts[:-1])[doc]
+
+
+def hot_windows(hashes: np.ndarray, starts: np.ndarray, window: int, bitmap: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First word and hash of the windows under hot minimizers."""
+    first, n, anchor = minimizers(hashes, starts, window)
+    _, is_hot = _told(anchor, bitmap, hot)
+    single = _gather(first[is_hot], n[is_hot])
+    return single, _keys(hashes, single, np.full(len(single), window))
+
+
+def _shared_segments(owned: DataFrame, window: int, bitmap, hot, total: int) -> DataFrame:
+    """doc_id, text_key, ords: the numbers of the segments whose minimizer another document holds too, but for hot ones."""
+    parts = max(total // PART + 1, int(owned.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4 + 1)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, limit=_BATCH):
+            h, starts = hash_words(texts(b))
+            first, _, anchor = minimizers(h, starts, window)
+            keep, is_hot = _told(anchor, bitmap.value, hot.value)
+            doc, turn = _in_turn(first, starts)
+            on = np.flatnonzero(keep & ~is_hot)
+            if not len(on):
+                continue
+            on = on[np.argsort(anchor[on])]
+            anchor, doc, turn = anchor[on], doc[on], turn[on]
+            part = ((anchor >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+            cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            ids, keys = np.asarray(b.column("doc_id")).view(np.uint64) ^ _ID, np.asarray(b.column("text_key")).view(np.uint64)
+            blobs = []
+            for s, e in zip(cut, np.append(cut[1:], len(on)), strict=True):
+                held, code = np.unique(doc[s:e], return_inverse=True)
+                blobs.append(pack_sorted(anchor[s:e]) + pack(code) + pack(turn[s:e]) + pack(ids[held]) + pack(keys[held]))
+            yield pa.RecordBatch.from_arrays([pa.array(part[cut].astype(np.int32)), pa.array(blobs, pa.binary())], ["part", "blob"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for b in batches:
+            for r in map(Reader, b.column("blob").to_pylist()):
+                anchor, code, turn, ids, keys = r.take_sorted(), r.counts(), r.counts(), r.take(), r.take()
+                held.append((anchor, ids[code], keys[code], turn))
+        if not held:
+            return
+        anchor, ids, keys, turn = (np.concatenate(x) for x in zip(*held, strict=True))
+        del held
+        order, cut = distinct(anchor)
+        two = np.minimum.reduceat(ids[order], cut) < np.maximum.reduceat(ids[order], cut)
+        on = order[np.repeat(two, np.diff(np.append(cut, len(order))))]
+        on = on[np.lexsort((keys[on], ids[on]))]
+        ids, keys, turn = ids[on], keys[on], turn[on]
+        if not len(on):
+            return
+        cut = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])]))
+        ords = pa.ListArray.from_arrays(pa.array(np.append(cut, len(on)).astype(np.int32)), pa.array(turn.astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([pa.array((ids[cut] ^ _ID).view(np.int64)), pa.array(keys[cut].view(np.int64)), ords], ["doc_id", "text_key", "ords"])
+
+    counted = owned.mapInArrow(count, "part int, blob binary").repartitionById(parts, F.col("part"))
+    told = counted.mapInArrow(merge, "doc_id long, text_key long, ords array<int>")
+    return stored(told.groupBy(F.col("doc_id").alias("of"), F.col("text_key").alias("of_key")).agg(F.flatten(F.collect_list("ords")).alias("ords")), "shared")
+
+
+#: Of a row (doc_id, text_key), its slot in a bitmap of rows.
+_PLACE = f"shiftrightunsigned(xxhash64(doc_id, text_key), {64 - SLOTS})"
+
+
+def _rows_of(marks: DataFrame, doc_id: str, text_key: str):
+    """A broadcast bitmap of the rows that a table names, and a filter of Arrow batches with a column ``place`` by it."""
+    bits = np.zeros(1 << (SLOTS - 3), np.uint8)
+    place = F.shiftrightunsigned(F.xxhash64(doc_id, text_key), 64 - SLOTS)
+    told = marks.groupBy(F.shiftright(place, 3).cast("int").alias("byte")).agg(F.bit_or(F.expr(f"shiftleft(1, cast(shiftrightunsigned(xxhash64({doc_id}, {text_key}), {64 - SLOTS}) & 7 as int))")).alias("bits"))
+    for r in told.toArrow().to_batches():
+        bits[np.asarray(r.column("byte"))] = np.asarray(r.column("bits")).astype(np.uint8)
+    shared = marks.sparkSession.sparkContext.broadcast(bits)
+
+    def may(b: pa.RecordBatch) -> pa.Array:
+        at = np.asarray(b.column("place"))
+        return pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+
+    return may
 
 
 def _gather(first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -187,7 +267,7 @@ def _blob(h, ids, keys, starts, first, size, key, order) -> bytes:
     return b"".join([pack(size[one]), words, pack(np.diff(np.append(cut, len(order)))), pack(ids[held].view(np.uint64) ^ _ID), pack(keys[held].view(np.uint64)), pack(code), pack(first[order] - starts[doc])])
 
 
-def _hot_blob(h, ids, starts, first, size, key, order) -> bytes:
+def _hot_blob(h, ids, keys, starts, first, size, key, order) -> bytes:
     """Hot windows: as _blob, with the least and the greatest document in place of the places."""
     cut = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
     one = order[cut]
@@ -285,37 +365,56 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, shard_words: int = SHA
     owned = docs.filter("doc_id is not null").select("doc_id", "text_key", "text")
     bitmap, hot, total = _shared(owned, window)
     bitmap, hot = spark.sparkContext.broadcast(bitmap), spark.sparkContext.broadcast(hot)
-    words = total * (window + (window - GRAM) // 2)
-    n_shards = max(words // shard_words + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shared = _shared_segments(owned, window, bitmap, hot, total)
+    n_kept = shared.agg(F.coalesce(F.sum(F.size("ords")), F.lit(0))).first()[0]
+    n_shards = max(n_kept * (window + (window - GRAM) // 2) // shard_words + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    may = _rows_of(shared, "of", "of_key")
+
+    def sharing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            yield b.filter(may(b)).select(["doc_id", "text_key", "text"])
+
+    def dealt(b: pa.RecordBatch, h, starts, first, size, key, route, blob) -> pa.RecordBatch:
+        shard = (mix(route) % np.uint64(n_shards)).astype(np.int64)
+        order = np.lexsort((key, shard))
+        cut = np.flatnonzero(np.concatenate([[True], shard[order][1:] != shard[order][:-1]]))
+        ids, keys = np.asarray(b.column("doc_id")), np.asarray(b.column("text_key"))
+        blobs = [blob(h, ids, keys, starts, first, size, key, order[s:e]) for s, e in zip(cut, np.append(cut[1:], len(order)), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(shard[order[cut]].astype(np.int32)), pa.array([blob is _hot_blob] * len(cut)), pa.array(blobs, pa.binary())], ["shard", "hot", "blob"])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, limit=_BATCH):
             h, starts = hash_words(texts(b))
-            first, size, route, is_hot = segments(h, starts, window, bitmap.value, hot.value)
-            if not len(first):
-                continue
-            ids, keys = np.asarray(b.column("doc_id")), np.asarray(b.column("text_key"))
-            key, shard = _keys(h, first, size), (mix(route) % np.uint64(n_shards)).astype(np.int64)
-            parts, blobs, heat = [], [], []
-            for kind in (False, True):
-                mine = np.flatnonzero(is_hot == kind)
-                if not len(mine):
-                    continue
-                order = mine[np.lexsort((key[mine], shard[mine]))]
-                cut = np.flatnonzero(np.concatenate([[True], shard[order][1:] != shard[order][:-1]]))
-                for s, e in zip(cut, np.append(cut[1:], len(order)), strict=True):
-                    parts.append(int(shard[order[s]]))
-                    heat.append(kind)
-                    blobs.append(_hot_blob(h, ids, starts, first, size, key, order[s:e]) if kind else _blob(h, ids, keys, starts, first, size, key, order[s:e]))
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(heat), pa.array(blobs, pa.binary())], ["shard", "hot", "blob"])
+            first, n, anchor = minimizers(h, starts, window)
+            doc, turn = _in_turn(first, starts)
+            ords = b.column("ords")
+            of = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(ords.offsets)))
+            wide = int(turn.max(initial=0)) + 1
+            told = np.asarray(ords.flatten()).astype(np.int64)
+            on = np.isin(doc * wide + turn, (of * wide + told)[told < wide])
+            if on.any():
+                size = n[on] + window - 1
+                yield dealt(b, h, starts, first[on], size, _keys(h, first[on], size), anchor[on], _blob)
+
+    def deal_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, limit=_BATCH):
+            h, starts = hash_words(texts(b))
+            first, key = hot_windows(h, starts, window, bitmap.value, hot.value)
+            if len(first):
+                yield dealt(b, h, starts, first, np.full(len(first), window), key, key, _hot_blob)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = [x for b in batches for x in zip(b.column("blob").to_pylist(), b.column("hot").to_pylist(), strict=True)]
         if blobs:
             yield from _shard(blobs, window)
 
-    dealt = owned.mapInArrow(deal, "shard int, hot boolean, blob binary").repartitionById(n_shards, F.col("shard"))
-    found = stored(dealt.mapInArrow(search, _SPANS), "spans")
+    schema = "shard int, hot boolean, blob binary"
+    held = owned.withColumn("place", F.expr(_PLACE)).mapInArrow(sharing, "doc_id long, text_key long, text string")
+    blobs = held.join(shared, (F.col("doc_id") == F.col("of")) & (F.col("text_key") == F.col("of_key"))).select("doc_id", "text_key", "text", "ords").mapInArrow(deal, schema)
+    if len(hot.value):
+        blobs = blobs.unionAll(owned.mapInArrow(deal_hot, schema))
+    found = stored(blobs.repartitionById(n_shards, F.col("shard")).mapInArrow(search, _SPANS), "spans")
+    release(shared)
     spans = found.filter("spans is not null")
     back = found.filter("spans is null").groupBy(F.col("text_key").alias("key")).agg(F.min("doc_id").alias("owner"))
     if not len(hot.value):
@@ -333,8 +432,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, shard_words: int = SHA
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, limit=_BATCH):
             h, starts = hash_words(texts(b))
-            first, _, key, is_hot = segments(h, starts, window, bitmap.value, hot.value)
-            first, key = first[is_hot], key[is_hot]
+            first, key = hot_windows(h, starts, window, bitmap.value, hot.value)
             doc = np.searchsorted(starts, first, "right") - 1
             ids, keys = np.asarray(b.column("doc_id"))[doc], np.asarray(b.column("text_key"))[doc]
             if known is None:
@@ -366,12 +464,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, shard_words: int = S
     rows = rows.withColumn("text_key", F.xxhash64("text"))
     marks = repeated_spans(rows, window, shard_words, broadcast_rows).groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     marks = stored(marks, "marks")
-    marked = np.zeros(1 << (SLOTS - 3), np.uint8)
-    key = F.xxhash64("doc_id", "text_key")
-    place = F.shiftrightunsigned(key, 64 - SLOTS)
-    for r in marks.groupBy(F.shiftright(place, 3).cast("int").alias("byte")).agg(F.bit_or(F.expr(f"shiftleft(1, cast(shiftrightunsigned(xxhash64(doc_id, text_key), {64 - SLOTS}) & 7 as int))")).alias("bits")).toArrow().to_batches():
-        marked[np.asarray(r.column("byte"))] = np.asarray(r.column("bits")).astype(np.uint8)
-    marked = docs.sparkSession.sparkContext.broadcast(marked)
+    may = _rows_of(marks, "doc_id", "text_key")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * with_text
 
@@ -391,10 +484,6 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, shard_words: int = S
             left.append(kept.decode())
         return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(words, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha)] + [pa.array(left)] * with_text, names)
 
-    def may(b: pa.RecordBatch) -> pa.Array:
-        at = np.asarray(b.column("place"))
-        return pa.array((marked.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
-
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             b = b.filter(pc.invert(may(b)))
@@ -409,7 +498,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, shard_words: int = S
         for b in slices(batches):
             yield told(b, texts(b), b.column("spans").to_pylist())
 
-    placed = rows.withColumn("place", place)
+    placed = rows.withColumn("place", F.expr(_PLACE))
     held = placed.mapInArrow(moved, "doc_id long, text_key long, text string").join(marks.select(F.col("doc_id").alias("of"), F.col("text_key").alias("of_key"), "spans"), (F.col("doc_id") == F.col("of")) & (F.col("text_key") == F.col("of_key")), "left")
     return placed.mapInArrow(clean, schema).unionAll(held.select("doc_id", "text", "spans").mapInArrow(cut, schema))
 
