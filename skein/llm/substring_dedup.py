@@ -285,8 +285,8 @@ def _words(r: Reader, size: np.ndarray) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def _shard(blobs: list[tuple[bytes, bool]], window: int) -> Iterator[pa.RecordBatch]:
-    """A shard's findings: (doc_id, text_key, spans), and (key, owner) of hot windows that stand in a document above the owner's."""
+def _shard(blobs: list[tuple[bytes, bool]], window: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """A shard's findings: spans packed by parts of the documents, and (key, owner) of hot windows that stand in a document above the owner's."""
     sizes, flats, seg_low, seg_high, held = [], [], [], [], []
     base = 0
     for raw, is_hot in blobs:
@@ -325,13 +325,14 @@ def _shard(blobs: list[tuple[bytes, bool]], window: int) -> Iterator[pa.RecordBa
         run, place = run[keep], place[keep]
         doc, text, b, e = doc[place], text[place], at[place] + begin[run], at[place] + end[run]
         if len(doc):
-            yield _grouped(doc, text, b, e)
+            found = _packed(doc, text, b, e, parts)
+            yield pa.RecordBatch.from_arrays([*found.columns, *[pa.nulls(found.num_rows, pa.int64())] * 2], ["part", "blob", "key", "owner"])
     told = np.unique(seg[np.isin(seg, same[hot])])
     if len(told):
         best = np.full(len(key), np.iinfo(np.int64).max)
         np.minimum.at(best, seg, owner)
-        none = pa.nulls(len(told), pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([pa.array(best[told]), pa.array(key[told].view(np.int64)), none], ["doc_id", "text_key", "spans"])
+        none = [pa.nulls(len(told), pa.int32()), pa.nulls(len(told), pa.binary())]
+        yield pa.RecordBatch.from_arrays([*none, pa.array(key[told].view(np.int64)), pa.array(best[told])], ["part", "blob", "key", "owner"])
 
 
 def _grouped(doc, text, begin, end) -> pa.RecordBatch:
@@ -350,12 +351,31 @@ def _grouped(doc, text, begin, end) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(doc[new][one]), pa.array(text[new][one]), spans], ["doc_id", "text_key", "spans"])
 
 
-_SPANS = "doc_id long, text_key long, spans array<int>"
+def _packed(doc, text, begin, end, parts: int) -> pa.RecordBatch:
+    """(part, blob) rows of spans, by parts of the documents."""
+    part = (mix(doc.view(np.uint64) ^ mix(text.view(np.uint64))) % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((doc, part))
+    cut = np.flatnonzero(np.concatenate([[True], part[order][1:] != part[order][:-1]]))
+    blobs = [b"".join([pack(doc[x].view(np.uint64) ^ _ID), pack(text[x].view(np.uint64)), pack(begin[x]), pack(end[x] - begin[x])]) for x in np.split(order, cut[1:])]
+    return pa.RecordBatch.from_arrays([pa.array(part[order[cut]].astype(np.int32)), pa.array(blobs, pa.binary())], ["part", "blob"])
+
+
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = []
+    for b in batches:
+        for r in map(Reader, b.column("blob").to_pylist()):
+            doc, text, begin = (r.take() ^ _ID).view(np.int64), r.take().view(np.int64), r.counts()
+            found.append((doc, text, begin, begin + r.counts()))
+    if found:
+        yield _grouped(*(np.concatenate(x) for x in zip(*found, strict=True)))
+
+
+_SPANS, _PACKED = "doc_id long, text_key long, spans array<int>", "part int, blob binary"
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, broadcast_rows: int = BROADCAST) -> DataFrame:
     """(doc_id, text_key, spans): word spans (begin, end, begin, end, ...) of each document covered by windows that a smaller document
-    holds too. A document may have several rows.
+    holds too.
 
     ``docs``: doc_id, text, text_key (a hash of the text).
     """
@@ -368,6 +388,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, shard_words: int = SHA
     shared = _shared_segments(owned, window, bitmap, hot, total)
     n_kept = shared.agg(F.coalesce(F.sum(F.size("ords")), F.lit(0))).first()[0]
     n_shards = max(n_kept * (window + (window - GRAM) // 2) // shard_words + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = n_shards // 4 + 1
     may = _rows_of(shared, "of", "of_key")
 
     def sharing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,22 +427,26 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, shard_words: int = SHA
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = [x for b in batches for x in zip(b.column("blob").to_pylist(), b.column("hot").to_pylist(), strict=True)]
         if blobs:
-            yield from _shard(blobs, window)
+            yield from _shard(blobs, window, parts)
 
     schema = "shard int, hot boolean, blob binary"
     held = owned.withColumn("place", F.expr(_PLACE)).mapInArrow(sharing, "doc_id long, text_key long, text string")
     blobs = held.join(shared, (F.col("doc_id") == F.col("of")) & (F.col("text_key") == F.col("of_key"))).select("doc_id", "text_key", "text", "ords").mapInArrow(deal, schema)
     if len(hot.value):
         blobs = blobs.unionAll(owned.mapInArrow(deal_hot, schema))
-    found = stored(blobs.repartitionById(n_shards, F.col("shard")).mapInArrow(search, _SPANS), "spans")
+    found = stored(blobs.repartitionById(n_shards, F.col("shard")).mapInArrow(search, _PACKED + ", key long, owner long"), "spans")
     release(shared)
-    spans = found.filter("spans is not null")
-    back = found.filter("spans is null").groupBy(F.col("text_key").alias("key")).agg(F.min("doc_id").alias("owner"))
+    spans = found.filter("blob is not null").select("part", "blob")
+
+    def gathered(spans: DataFrame) -> DataFrame:
+        return spans.repartitionById(parts, F.col("part")).mapInArrow(_by_document, _SPANS)
+
+    back = found.filter("blob is null").groupBy("key").agg(F.min("owner").alias("owner"))
     if not len(hot.value):
-        return spans
+        return gathered(spans)
     n_back = back.count()
     if not n_back:
-        return spans
+        return gathered(spans)
     known = None
     if n_back <= broadcast_rows:
         t = back.toArrow()
@@ -444,12 +469,19 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, shard_words: int = SHA
             hit = (wanted[at] == key) & (owner[at] < ids)
             if hit.any():
                 begin = (first - starts[doc])[hit]
-                yield _grouped(ids[hit], keys[hit], begin, begin + window)
+                yield _packed(ids[hit], keys[hit], begin, begin + window, parts)
 
     if known is not None:
-        return spans.unionAll(owned.mapInArrow(places, _SPANS))
+        return gathered(spans.unionAll(owned.mapInArrow(places, _PACKED)))
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                begin = np.asarray(b.column("at")).astype(np.int64)
+                yield _packed(np.asarray(b.column("doc_id")), np.asarray(b.column("text_key")), begin, begin + window, parts)
+
     at = owned.mapInArrow(places, "key long, doc_id long, text_key long, at int").join(back, "key").filter("owner < doc_id")
-    return spans.unionAll(at.select("doc_id", "text_key", F.array(F.col("at"), F.col("at") + window).alias("spans")))
+    return gathered(spans.unionAll(at.select("doc_id", "text_key", "at").mapInArrow(told, _PACKED)))
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, broadcast_rows: int = BROADCAST) -> DataFrame:
@@ -462,8 +494,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, shard_words: int = S
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("text_key", F.xxhash64("text"))
-    marks = repeated_spans(rows, window, shard_words, broadcast_rows).groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    marks = stored(marks, "marks")
+    marks = stored(repeated_spans(rows, window, shard_words, broadcast_rows), "marks")
     may = _rows_of(marks, "doc_id", "text_key")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * with_text
