@@ -11,6 +11,15 @@ from pyspark.sql import functions as F
 
 from skein.functions.durable import durable
 
+#: Rows of a frontier or an id set that are broadcast at most.
+BROADCAST = 200_000
+
+
+def _sized(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Rows to join with, broadcast if they are few, and their number."""
+    n = rows.count()
+    return (F.broadcast(rows) if n <= BROADCAST else rows), n
+
 
 def by_ids(nodes: DataFrame, ids: list[str]) -> DataFrame:
     """Point lookups of the distinct ids, in order of id."""
@@ -66,19 +75,26 @@ def ontology(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def walk(edges: DataFrame, seeds: DataFrame, depth: int, directed: bool = True) -> DataFrame:
-    """id, hops of what is reached from the seeds (id) in at most ``depth`` steps; the seeds have 0."""
+    """id, hops of what is reached from the seeds (id) in at most ``depth`` steps; the seeds have 0.
+
+    A small frontier is broadcast, and then the edges don't move; a large one is joined.
+    """
     steps = edges.select("from_id", "to_id")
     if not directed:
         steps = steps.unionAll(steps.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id")))
-    steps = steps.distinct()
     seen = durable(seeds.select("id").distinct().withColumn("hops", F.lit(0)))
-    frontier = seen
+    frontier, n = _sized(seen)
+    known, held = _sized(seen)
     for hop in range(1, depth + 1):
-        reached = frontier.join(steps, frontier.id == steps.from_id).select(F.col("to_id").alias("id")).distinct()
-        frontier = durable(reached.join(seen, "id", "left_anti").withColumn("hops", F.lit(hop)))
-        if frontier.isEmpty():
+        if not n:
             break
-        seen = seen.unionAll(frontier)
+        reached = steps.join(frontier.select("id"), steps.from_id == F.col("id"), "left_semi").select(F.col("to_id").alias("id")).filter("id is not null").distinct()
+        new = durable(reached.join(known.select("id"), "id", "left_anti").withColumn("hops", F.lit(hop)))
+        frontier, n = _sized(new)
+        seen, held = seen.unionAll(new), held + n
+        if hop % 16 == 0:
+            seen = durable(seen)
+        known = F.broadcast(seen) if held <= BROADCAST else seen
     return seen
 
 
@@ -91,7 +107,10 @@ def neighborhood(nodes: DataFrame, edges: DataFrame, center: str, depth: int, di
 def ranked(found: DataFrame, edges: DataFrame, top: int, base: int = 120, per_hop: int = 18) -> DataFrame:
     """The best ``top`` nodes of a neighborhood: score falls with hops, few links add to it; ties go by id."""
     # fixed values: 120 less 18 a hop; 20 for a degree up to 3, 10 up to 10
-    d = found.join(degrees(edges).select("id", "degree"), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    found = durable(found)
+    ids, _ = _sized(found.select("id"))
+    ends = edges.select(F.col("from_id").alias("id")).unionAll(edges.select("to_id")).join(ids, "id", "left_semi")
+    d = found.join(ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree")), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     bonus = F.when(F.col("degree") <= 3, 20).when(F.col("degree") <= 10, 10).otherwise(0)
     return d.withColumn("score", F.greatest(F.lit(0), F.lit(base) - per_hop * F.col("hops")) + bonus).orderBy(F.desc("score"), "id").limit(top)
 
@@ -124,13 +143,61 @@ def closure(edges: DataFrame, rounds: int = 32) -> DataFrame:
     return reach
 
 
+def _trimmed(left: DataFrame) -> DataFrame:
+    """The edges that can lie on cycles: those whose start is entered and whose end is left, again and again."""
+    n = left.count()
+    while n:
+        core = left.join(left.select(F.col("to_id").alias("from_id")).distinct(), "from_id", "left_semi").join(left.select(F.col("from_id").alias("to_id")).distinct(), "to_id", "left_semi")
+        core = durable(core.select("from_id", "to_id"))
+        m = core.count()
+        if m == n:
+            break
+        left, n = core, m
+    return left
+
+
+def _colored(left: DataFrame) -> DataFrame:
+    """id, c: the least node that reaches a node, or itself. One aggregation by node a round, partial sums before the shuffle."""
+    color = durable(left.select(F.col("from_id").alias("id")).union(left.select("to_id")).distinct().withColumn("c", F.col("id")))
+    while True:
+        come = left.join(color.select(F.col("id").alias("from_id"), "c"), "from_id").select(F.col("to_id").alias("id"), "c")
+        new = come.unionAll(color.select("id", "c")).groupBy("id").agg(F.min("c").alias("c"))
+        new = durable(new.join(color.select("id", F.col("c").alias("was")), "id"))
+        color = new.select("id", "c")
+        if new.filter("c <> was").isEmpty():
+            return color
+
+
+def component_members(edges: DataFrame) -> DataFrame:
+    """id, component (least member), of all nodes: the strongly connected components.
+
+    Nodes that lie on no cycle are trimmed. Then each node takes the least node that reaches it; what reaches that node
+    back over nodes of its own is its component; the components found go, and the rest is taken again. Every step is a join
+    of edges with nodes, so the work grows with edges times rounds, and no pairs of nodes are listed.
+    """
+    e = durable(edges.select("from_id", "to_id").filter("from_id is not null and to_id is not null").distinct())
+    ids = durable(e.select(F.col("from_id").alias("id")).union(e.select("to_id")).distinct())
+    found, left = None, _trimmed(durable(e.filter("from_id <> to_id")))
+    while not left.isEmpty():
+        color = _colored(left)
+        a, b = color.select(F.col("id").alias("from_id"), F.col("c").alias("ca")), color.select(F.col("id").alias("to_id"), F.col("c").alias("cb"))
+        own = durable(left.join(a, "from_id").join(b, "to_id").filter("ca = cb").select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id")))
+        back = walk(own, color.filter("id = c").select("id"), 1 << 20).select("id")
+        part = durable(color.join(back, "id", "left_semi").select("id", F.col("c").alias("component")))
+        found = part if found is None else found.unionAll(part)
+        gone = part.select("id")
+        rest = left.join(gone.withColumnRenamed("id", "from_id"), "from_id", "left_anti").join(gone.withColumnRenamed("id", "to_id"), "to_id", "left_anti")
+        left = _trimmed(durable(rest.select("from_id", "to_id")))
+    if found is None:
+        return ids.withColumn("component", F.col("id"))
+    return ids.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
 def strongly_connected(edges: DataFrame) -> DataFrame:
-    """component (least member), size, is_cycle (size above 1, or a self loop), of call edges as from_id, to_id."""
-    reach = closure(edges)
-    ids = edges.select(F.col("from_id").alias("id")).union(edges.select("to_id")).distinct()
-    both = reach.alias("x").join(reach.alias("y"), (F.col("x.a") == F.col("y.b")) & (F.col("x.b") == F.col("y.a"))).select(F.col("x.a").alias("id"), F.col("x.b").alias("peer"))
-    name = ids.join(both, "id", "left").groupBy("id").agg(F.least("id", F.min("peer")).alias("component"), F.max((F.col("peer") == F.col("id")).cast("int")).alias("loop"))
-    return name.groupBy("component").agg(F.count(F.lit(1)).alias("size"), (F.max(F.coalesce("loop", F.lit(0))) == 1).alias("is_cycle"))
+    """component (least member), size, is_cycle (size above 1, or a self loop), of call edges as from_id, to_id; by component_members."""
+    loops = edges.filter("from_id = to_id").select(F.col("from_id").alias("id"), F.lit(True).alias("loop")).distinct()
+    n = component_members(edges).join(loops, "id", "left").groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.max(F.coalesce("loop", F.lit(False))).alias("loop"))
+    return n.select("component", "size", (F.col("loop") | (F.col("size") > 1)).alias("is_cycle"))
 
 
 def dead_code(edges: DataFrame, entries: list[str]) -> DataFrame:
@@ -148,7 +215,8 @@ def dead_code(edges: DataFrame, entries: list[str]) -> DataFrame:
 def health(edges: DataFrame) -> DataFrame:
     """id, overall: the mean of connectivity, reachability, centrality and freedom from cycles, to 6 places; self loops are dropped.
 
-    For graphs of bounded node count, as ``closure``.
+    What a node reaches is counted exactly, which lists all reachable pairs (``closure``): for graphs whose reachable
+    pairs can be held.
     """
     e = edges.filter("from_id <> to_id").select("from_id", "to_id").distinct()
     reach, d = closure(e), durable(degrees(e))
@@ -186,11 +254,17 @@ def coupling(edges: DataFrame, module) -> DataFrame:
 
 
 def delta(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """key, change (insert, update, delete) between two projections; equal rows are left out. One shuffled join."""
-    o = old.select(key, F.xxhash64(*columns).alias("was"))
-    n = new.select(key, F.xxhash64(*columns).alias("is_now"))
+    """key, change (insert, update, delete) between two projections; equal rows are left out. One shuffled join.
+
+    Values are compared one by one, null equal to null alone. A null key meets none: it is an insert or a delete.
+    """
+    o = old.select(key, F.struct(*columns).alias("was"))
+    n = new.select(key, F.struct(*columns).alias("is_now"))
     j = o.join(n, key, "full")
-    change = F.when(F.col("was").isNull(), "insert").when(F.col("is_now").isNull(), "delete").when(F.col("was") != F.col("is_now"), "update")
+    same = F.lit(True)
+    for c in columns:
+        same = same & F.col(f"was.`{c}`").eqNullSafe(F.col(f"is_now.`{c}`"))
+    change = F.when(F.col("was").isNull(), "insert").when(F.col("is_now").isNull(), "delete").when(~same, "update")
     return j.select(key, change.alias("change")).filter("change is not null")
 
 

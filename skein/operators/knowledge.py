@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def concepts(text: Column, most: int = 8) -> Column:
-    """The first ``most`` distinct words of three or more ASCII letters and digits, sorted; none for a null text."""
+    """The first ``most`` distinct words of three or more ASCII letters and digits, sorted; none for a null text. Texts are chunks
+    (``search.chunks``): a long document has the concepts of each of its chunks."""
     words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[A-Za-z0-9]+"), F.lit(0))
     return F.slice(F.array_sort(F.array_distinct(F.transform(F.filter(words, lambda w: F.length(w) >= 3), F.lower))), 1, most)
 

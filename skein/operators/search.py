@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.functions.durable import durable
+
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits."""
@@ -26,6 +28,7 @@ def bm25(docs: DataFrame, query: str, top: int, id_col: str = "doc_id", text_col
 
     words = list(dict.fromkeys(re.findall(r"[^\W_]+", query.lower())))
     t = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t")).select("id", F.size("t").alias("size"), *[F.size(F.filter("t", _same(w))).alias(f"tf{k}") for k, w in enumerate(words)])
+    t = durable(t)  # narrow rows, so the texts are read once
     stats = t.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean"), *[F.sum((F.col(f"tf{k}") > 0).cast("long")).alias(f"df{k}") for k in range(len(words))]).first()
     if not words or not stats.n:
         return t.select("id", F.lit(0.0).alias("score")).limit(0)
@@ -56,8 +59,8 @@ def line_scores(lines: DataFrame, phrase: str) -> DataFrame:
     return best.select("doc_id", (-F.col("b.neg")).alias("score"), F.col("b.line_no").cast("long").alias("line_no"), F.when(F.col("b.neg") <= -60, "high").when(F.col("b.neg") <= -20, "medium").otherwise("low").alias("confidence"))
 
 
-def chunks(docs: DataFrame, size: int = 6000, overlap: int = 400) -> DataFrame:
-    """doc_id, ordinal, begin, n_chars of windows of ``size`` characters that overlap; blank ones are left out."""
+def chunks(docs: DataFrame, size: int = 6000, overlap: int = 400, with_text: bool = False) -> DataFrame:
+    """doc_id, ordinal, begin, n_chars (and text) of windows of ``size`` characters that overlap; blank ones are left out."""
     if overlap >= size:
         raise ValueError("overlap must be less than size")
     n = F.length("text")
@@ -65,7 +68,7 @@ def chunks(docs: DataFrame, size: int = 6000, overlap: int = 400) -> DataFrame:
     d = docs.filter("text is not null").select("doc_id", "text", F.explode(F.sequence(F.lit(0), last)).alias("ordinal"))
     begin = F.col("ordinal") * (size - overlap)
     part = F.trim(F.substring(F.col("text"), begin + 1, F.lit(size)))
-    return d.select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), begin.cast("long").alias("begin"), F.length(part).cast("long").alias("n_chars")).filter("n_chars > 0")
+    return d.select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), begin.cast("long").alias("begin"), F.length(part).cast("long").alias("n_chars"), *([part.alias("text")] if with_text else [])).filter("n_chars > 0")
 
 
 def token_estimate(text: Column) -> Column:
@@ -95,13 +98,23 @@ def innermost(points: DataFrame, spans: DataFrame, bucket: int = 64) -> DataFram
 
 
 def overlap_pairs(sets: DataFrame, least: float) -> DataFrame:
-    """a, b, jaccard of owners (owner, member) whose sets overlap by at least ``least``; meets are by shared member."""
-    s = sets.select("owner", "member").distinct()
-    n = s.groupBy("owner").agg(F.count(F.lit(1)).alias("n"))
-    x, y = s.alias("x"), s.alias("y")
-    both = x.join(y, (F.col("x.member") == F.col("y.member")) & (F.col("x.owner") < F.col("y.owner"))).groupBy(F.col("x.owner").alias("a"), F.col("y.owner").alias("b")).agg(F.count(F.lit(1)).alias("k"))
-    j = both.join(n.select(F.col("owner").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("owner").alias("b"), F.col("n").alias("nb")), "b")
-    return j.select("a", "b", (F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))).alias("jaccard")).filter(F.col("jaccard") >= least)
+    """a, b, jaccard of owners (owner, member) whose sets overlap by at least ``least``.
+
+    Owners meet by the rarest members of each set only: two sets of this similarity share one of the first n - least * n + 1
+    of both, rarest first, so a member that very many owners hold brings hardly any together. Those that meet are compared whole.
+    """
+    s = durable(sets.select("owner", "member").filter("owner is not null and member is not null").distinct())
+    rare = s.groupBy("member").agg(F.count(F.lit(1)).alias("held"))
+    by = Window.partitionBy("owner")
+    ranked = s.join(rare, "member").withColumn("place", F.row_number().over(by.orderBy("held", "member"))).withColumn("n", F.count(F.lit(1)).over(by))
+    first = durable(ranked.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(least) - F.lit(1e-9)) + 1).select("owner", "member", "n"))
+    x, y = first.alias("x"), first.alias("y")
+    alike = (F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * F.lit(least) - F.lit(1e-9)) & (F.col("x.owner") < F.col("y.owner"))
+    met = x.join(y, (F.col("x.member") == F.col("y.member")) & alike).select(F.col("x.owner").alias("a"), F.col("y.owner").alias("b")).distinct()
+    whole = s.groupBy("owner").agg(F.collect_list("member").alias("members"))
+    j = met.join(whole.select(F.col("owner").alias("a"), F.col("members").alias("ma")), "a").join(whole.select(F.col("owner").alias("b"), F.col("members").alias("mb")), "b")
+    k = F.size(F.array_intersect("ma", "mb"))
+    return j.select("a", "b", (k / (F.size("ma") + F.size("mb") - k)).alias("jaccard")).filter(F.col("jaccard") >= least)
 
 
 def streaks(rows: DataFrame, by: str, order: list[str], value: str) -> DataFrame:

@@ -138,11 +138,11 @@ def graph_shortest_paths(spark, d):
 _REACH = """, e AS (SELECT DISTINCT caller, callee FROM {0}), reach AS (SELECT caller AS a, callee AS b FROM e UNION SELECT a, callee FROM reach JOIN e ON b = caller)"""
 
 
-@query(_REACH.format("dag") + """, ids AS (SELECT caller AS id FROM e UNION SELECT callee FROM e),
+@query(_REACH.format("(SELECT * FROM dag UNION ALL SELECT * FROM calls)") + """, ids AS (SELECT caller AS id FROM e UNION SELECT callee FROM e),
 c AS (SELECT id, least(id, min(y.b)) AS component, max(CASE WHEN y.b = id THEN 1 ELSE 0 END) AS loop FROM ids LEFT JOIN (SELECT x.a, x.b FROM reach x JOIN reach z ON x.a = z.b AND x.b = z.a) y ON y.a = id GROUP BY id)
 SELECT component, count(*) AS size, max(loop) = 1 AS is_cycle FROM c GROUP BY component""", recursive=True)
 def graph_strongly_connected(spark, d):
-    return graph.strongly_connected(dag(spark, d).select(F.col("caller").alias("from_id"), F.col("callee").alias("to_id")))
+    return graph.strongly_connected(dag(spark, d).unionAll(calls(spark, d)).select(F.col("caller").alias("from_id"), F.col("callee").alias("to_id")))
 
 
 @query(_REACH.format("dag") + """, live AS (SELECT 'supplier:1' AS id UNION SELECT b FROM reach WHERE a = 'supplier:1'), ids AS (SELECT caller AS id FROM e UNION SELECT callee FROM e),
@@ -237,11 +237,11 @@ def join_innermost_span(spark, d):
     return search.innermost(p, s)
 
 
-@query(""", s AS (SELECT DISTINCT l_suppkey AS owner, l_partkey % 40 AS member FROM lineitem WHERE l_suppkey <= 40), n AS (SELECT owner, count(*) AS n FROM s GROUP BY owner),
+@query(""", s AS (SELECT DISTINCT l_orderkey AS owner, l_partkey AS member FROM lineitem), n AS (SELECT owner, count(*) AS n FROM s GROUP BY owner),
 k AS (SELECT x.owner AS a, y.owner AS b, count(*) AS k FROM s x JOIN s y ON x.member = y.member AND x.owner < y.owner GROUP BY ALL)
 SELECT a, b, k / (na.n + nb.n - k) AS jaccard FROM k JOIN n na ON na.owner = a JOIN n nb ON nb.owner = b WHERE k / (na.n + nb.n - k) >= 0.5""")
 def join_overlap_pairs(spark, d):
-    s = table(spark, d, "lineitem").filter("l_suppkey <= 40").select(F.col("l_suppkey").alias("owner"), (F.col("l_partkey") % 40).alias("member"))
+    s = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("owner"), F.col("l_partkey").alias("member"))
     return search.overlap_pairs(s, 0.5)
 
 
@@ -356,17 +356,23 @@ def graph_dependency_batches(spark, d):
     return graph.dependency_batches(dag(spark, d).select(F.col("caller").alias("from_id"), F.col("callee").alias("to_id")))
 
 
-_CONCEPTS = """, t AS (SELECT list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+'), lambda x: len(x) >= 3), lambda x: lower(x))))[1:8] AS t FROM documents)"""
+_CONCEPTS = """, x AS (SELECT doc_id, trim(substr(text, o * 500 + 1, 600)) AS text FROM (SELECT doc_id, text, unnest(generate_series(0, CAST(greatest(0, ceil((length(text) - 600) / 500.0)) AS BIGINT))) AS o FROM documents)),
+t AS (SELECT list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+'), lambda x: len(x) >= 3), lambda x: lower(x))))[1:8] AS t, doc_id FROM x WHERE length(text) > 0)"""
+
+
+def _chunked(spark, d):
+    """The chunks of all documents, with their texts."""
+    return search.chunks(table(spark, d, "documents"), 600, 100, with_text=True)
 
 
 @query(_CONCEPTS + " SELECT label, confidence, count(*) AS n FROM (SELECT unnest(t) AS label, CAST(0.5 AS DOUBLE) AS confidence FROM t UNION ALL SELECT 'text', 0.1 FROM t WHERE len(t) = 0) GROUP BY ALL")
 def kg_hash_entities(spark, d):
-    return knowledge.entities(table(spark, d, "documents")).groupBy("label", "confidence").agg(F.count(F.lit(1)).alias("n"))
+    return knowledge.entities(_chunked(spark, d)).groupBy("label", "confidence").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(_CONCEPTS + " SELECT t[k] AS from_label, t[k + 1] AS to_label, count(*) AS n FROM (SELECT t, unnest(range(1, len(t))) AS k FROM t) GROUP BY ALL")
 def kg_hash_relations(spark, d):
-    return knowledge.relations(table(spark, d, "documents")).groupBy("from_label", "to_label").agg(F.count(F.lit(1)).alias("n"))
+    return knowledge.relations(_chunked(spark, d)).groupBy("from_label", "to_label").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(", known AS (SELECT id FROM nodes WHERE kind <> 'region') SELECT DISTINCT * FROM (SELECT *, from_id AS missing FROM edges WHERE from_id NOT IN (FROM known) UNION ALL SELECT *, to_id FROM edges WHERE to_id NOT IN (FROM known))")
@@ -397,11 +403,10 @@ def digest_regressions(spark, d):
     return digest.regressions(_runs(spark, d))
 
 
-@query(""", e AS (SELECT DISTINCT regexp_extract(lower(text), '[\\p{L}\\p{N}]+') AS entity, doc_id FROM documents)
-SELECT entity, count(*) AS mentions, min(doc_id) AS first_doc FROM e WHERE entity <> '' GROUP BY entity""")
+@query(_CONCEPTS + ", e AS (SELECT unnest(t) AS entity, doc_id FROM t) SELECT entity, count(*) AS mentions, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS first_doc FROM e GROUP BY entity")
 def kg_entities(spark, d):
-    first = F.regexp_extract(F.lower("text"), r"[\p{L}\p{N}]+", 0)
-    return table(spark, d, "documents").select(first.alias("entity"), "doc_id").distinct().filter("entity <> ''").groupBy("entity").agg(F.count(F.lit(1)).alias("mentions"), F.min("doc_id").alias("first_doc"))
+    found = knowledge.entities(_chunked(spark, d)).filter("confidence > 0.1")
+    return found.groupBy(F.col("label").alias("entity")).agg(F.count(F.lit(1)).alias("mentions"), F.countDistinct("id").alias("n_docs"), F.min("id").alias("first_doc"))
 
 
 @query(" SELECT source, min(line_no) AS first_line, max(line_no) AS last_line, count(*) AS n_lines, count(DISTINCT doc_id) AS n_docs FROM lines JOIN documents USING (doc_id) GROUP BY source")
@@ -458,7 +463,7 @@ def search_overlap_rank(spark, d):
     return symbols.overlap_rank(_parts(spark, d), "small economy", 30, "line", "name")
 
 
-_CLAIMS = """, c AS (SELECT DISTINCT 's' || l_suppkey AS target, CASE l_partkey % 4 WHEN 0 THEN 'file' WHEN 1 THEN 'config' WHEN 2 THEN 'symbol' ELSE 'test' END AS surface, l_partkey % 40 AS member FROM lineitem WHERE l_suppkey <= 30 AND l_orderkey % 7 = 0),
+_CLAIMS = """, c AS (SELECT DISTINCT 's' || l_suppkey AS target, CASE l_partkey % 4 WHEN 0 THEN 'file' WHEN 1 THEN 'config' WHEN 2 THEN 'symbol' ELSE 'test' END AS surface, l_partkey AS member FROM lineitem),
 m AS (SELECT x.target AS a, y.target AS b, count(*) FILTER (x.surface = 'file') AS files, count(*) FILTER (x.surface = 'config') AS config, count(*) FILTER (x.surface = 'symbol') AS symbols, count(*) FILTER (x.surface = 'test') AS tests FROM c x JOIN c y ON x.surface = y.surface AND x.member = y.member AND x.target < y.target GROUP BY ALL),
 p AS (SELECT *, 100 * files + 100 * config + 40 * symbols + 10 * tests AS score, CASE WHEN files > 0 OR config > 0 THEN 'fail_closed' WHEN symbols > 0 THEN 'high' WHEN tests > 0 THEN 'medium' ELSE 'low' END AS risk FROM m)"""
 
@@ -466,8 +471,7 @@ p AS (SELECT *, 100 * files + 100 * config + 40 * symbols + 10 * tests AS score,
 def _claims(spark, d):
     part = F.col("l_partkey") % 4
     surface = F.when(part == 0, "file").when(part == 1, "config").when(part == 2, "symbol").otherwise("test")
-    l = table(spark, d, "lineitem").filter("l_suppkey <= 30 and l_orderkey % 7 = 0")
-    return l.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("target"), surface.alias("surface"), (F.col("l_partkey") % 40).alias("member"))
+    return table(spark, d, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("target"), surface.alias("surface"), F.col("l_partkey").alias("member"))
 
 
 @query(_CLAIMS + " SELECT * FROM p")

@@ -50,8 +50,8 @@ def calls(spark: SparkSession, d: str) -> DataFrame:
 
 def dag(spark: SparkSession, d: str) -> DataFrame:
     """caller, callee: suppliers to parts to brands, without cycles."""
-    li = table(spark, d, "lineitem").filter("l_suppkey < 20 and l_partkey < 200").select(_key("supplier", "l_suppkey").alias("caller"), _key("part", "l_partkey").alias("callee")).distinct()
-    p = table(spark, d, "part").filter("p_partkey < 200").select(_key("part", "p_partkey"), _key("brand", "p_brand"))
+    li = table(spark, d, "lineitem").select(_key("supplier", "l_suppkey").alias("caller"), _key("part", "l_partkey").alias("callee")).distinct()
+    p = table(spark, d, "part").select(_key("part", "p_partkey"), _key("brand", "p_brand"))
     return li.unionAll(p)
 
 
@@ -82,8 +82,8 @@ edges AS (
 ev AS (SELECT user_id, ts, event_id, event_type || '.' || hour(ts) AS caller FROM events),
 calls AS (SELECT caller, callee FROM (SELECT caller, lead(caller) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS callee FROM ev) WHERE callee IS NOT NULL),
 dag AS (
-  SELECT DISTINCT 'supplier:' || l_suppkey AS caller, 'part:' || l_partkey AS callee FROM lineitem WHERE l_suppkey < 20 AND l_partkey < 200
-  UNION ALL SELECT 'part:' || p_partkey, 'brand:' || p_brand FROM part WHERE p_partkey < 200),
+  SELECT DISTINCT 'supplier:' || l_suppkey AS caller, 'part:' || l_partkey AS callee FROM lineitem
+  UNION ALL SELECT 'part:' || p_partkey, 'brand:' || p_brand FROM part),
 lines AS (SELECT doc_id, unnest(range(len(s))) AS line_no, unnest(s) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)),
 memory AS (SELECT conv_id || ':' || turn AS id, conv_id AS session_id, text, conv_id * 60 + turn AS observed_at FROM conversations)
 """

@@ -32,10 +32,12 @@ class GraphStore:
         return self.spark.read.parquet(f"{self.path}/v{self.version()}/{table}")
 
     def replace(self, nodes: DataFrame, edges: DataFrame) -> int:
-        """Writes a projection as the next version; rows are unique by key. Returns the version."""
+        """Writes a projection as the next version; of rows with one key the one of the greatest columns stays. Returns the version."""
         n = self.version() + 1
         for table, rows in (("nodes", nodes), ("edges", edges)):
-            rows.dropDuplicates(KEYS[table]).write.mode("overwrite").parquet(f"{self.path}/v{n}/{table}")
+            rest = [c for c in rows.columns if c not in KEYS[table]]
+            one = rows.groupBy(*KEYS[table]).agg(F.max(F.struct(*rest)).alias("rest_")).select(*[c if c in KEYS[table] else F.col(f"rest_.`{c}`").alias(c) for c in rows.columns]) if rest else rows.distinct()
+            one.write.mode("overwrite").parquet(f"{self.path}/v{n}/{table}")
         return n
 
     def upsert(self, nodes: DataFrame, edges: DataFrame) -> int:

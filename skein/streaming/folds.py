@@ -15,7 +15,7 @@ def window_counts(events: DataFrame, width: str, late: str, time: str = "ts", ke
 
 def latest(rows: DataFrame, key: str, version: str) -> DataFrame:
     """The row of the greatest version of each key; of equal versions the greatest hash."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(version), F.xxhash64(*rows.columns)))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(version), F.desc(F.xxhash64(*rows.columns))))
     return rows.withColumn("place_", place).filter("place_ = 1").drop("place_")
 
 

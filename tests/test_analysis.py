@@ -188,3 +188,58 @@ def test_manifest(spark):
     assert got["D2"].supersedes == ["D1"] and got["D2"].line_no == 4
     assert {tuple(r) for r in manifest.faults(rows).collect()} == {("D2", "missing"), ("D3", "bad_date"), ("D3", "no_decision"), ("D3", "may_not_supersede"), ("D3", "target_not_superseded"), ("D4", "cycle")}
     assert manifest.faults(rows.filter("id = 'x'")).count() == 0
+
+
+def test_components_match_brute_force(spark):
+    import random
+
+    from skein.operators import graph
+
+    for seed in range(4):
+        rng = random.Random(seed)
+        nodes = [f"n{k:02d}" for k in range(30)]
+        edges = {(rng.choice(nodes), rng.choice(nodes)) for _ in range((15, 30, 45, 60)[seed])} | {("n00", "n00")}
+        reach = {a: {a} for a in nodes}
+        for _ in nodes:
+            for a, b in edges:
+                for s in reach.values():
+                    if a in s:
+                        s.add(b)
+        ids = {x for e in edges for x in e}
+        want = {a: min(b for b in ids if b in reach[a] and a in reach[b]) for a in ids}
+        rows = spark.createDataFrame([*edges, (None, "n01")], "from_id string, to_id string")
+        assert {r.id: r.component for r in graph.component_members(rows).collect()} == want
+    assert graph.strongly_connected(rows.limit(0)).count() == 0
+
+
+def test_delta_tells_nulls_apart(spark):
+    from skein.operators import graph
+
+    old = spark.createDataFrame([(1, None, "x"), (2, "a", None), (3, None, None), (4, "a", "b")], "id int, p string, q string")
+    new = spark.createDataFrame([(1, "x", None), (2, "a", None), (3, "y", None), (5, None, None)], "id int, p string, q string")
+    assert {r.id: r.change for r in graph.delta(old, new, "id", ["p", "q"]).collect()} == {1: "update", 3: "update", 4: "delete", 5: "insert"}
+
+
+def test_overlap_pairs_match_brute_force(spark):
+    import itertools
+    import random
+
+    from skein.operators import search
+
+    rng = random.Random(3)
+    sets = {k: {0} | {rng.randrange(12) for _ in range(rng.randrange(1, 9))} for k in range(40)}
+    rows = spark.createDataFrame([(k, m) for k, s in sets.items() for m in s] * 2 + [(None, 1), (1, None)], "owner int, member int")
+    for least in (0.3, 0.5, 0.8, 1.0):
+        want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in itertools.combinations(sets, 2)}
+        got = {(r.a, r.b): r.jaccard for r in search.overlap_pairs(rows, least).collect()}
+        assert got == {k: v for k, v in want.items() if v >= least}
+
+
+def test_latest_takes_the_greatest_hash(spark):
+    from pyspark.sql import functions as F
+
+    from skein.streaming import folds
+
+    rows = spark.createDataFrame([(1, 1, x) for x in "abcdef"], "k int, v int, x string")
+    want = rows.orderBy(F.xxhash64("k", "v", "x").desc()).first()
+    assert folds.latest(rows, "k", "v").collect() == [want]
