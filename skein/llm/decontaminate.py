@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.text import doc_of, hash_words, inside, mix, pair, slices, texts
+from skein.llm.text import doc_of, hash_words, inside, mix, pair, slices, small_batches, texts
 from skein.llm.toxicity import CLEAN, words_of
 
 #: Masks for items of ``STRETCH`` words and more, and for shorter ones.
@@ -150,6 +150,7 @@ def block_of(items: list[tuple[int | None, bytes]]) -> Block:
 def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES):
     """The benchmark in broadcast blocks of about ``block_bytes`` each; one block for all that fits in one. Items of equal words go to
     the same block."""
+    small_batches(benchmark.sparkSession)
     items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(size // block_bytes) + 1

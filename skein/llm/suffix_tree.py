@@ -45,8 +45,6 @@ PIECES = 4
 END = np.uint64(0x6A09E667F3BCC909)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BATCH = 4 << 20
-#: Rows of an Arrow batch at most.
-BATCH_ROWS = 1000
 #: Transitions know words by 48 bits of their hashes.
 _CODE = np.uint64(16)
 
@@ -498,7 +496,7 @@ def score_texts(docs: DataFrame, hold: tuple[int, int] = (7, 2), head: int = HEA
     An empty table gives no rows; other columns play no part.
     """
     spark = docs.sparkSession
-    small_batches(spark, BATCH_ROWS)
+    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     train = rows.filter(~held_out("doc_id", *hold)).select("text")
     tree, rest, n_rest = plant(train, head, depth, hot)

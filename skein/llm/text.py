@@ -28,7 +28,7 @@ def pair(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Lets the session's Arrow batches hold so many rows at most: whole texts and packed rows are wide, and Arrow's memory lies
     beside the heap, in every worker twice. A setting of the session, as its frames are run later."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

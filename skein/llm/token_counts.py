@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from skein.llm.text import pair, slices
+from skein.llm.text import pair, slices, small_batches
 
 #: The count table of a worker is emptied when it holds so many pieces; longer pieces are never kept.
 TABLE, LONGEST = 400_000, 40
@@ -90,4 +90,5 @@ def token_counts(docs: DataFrame, path: str | None = None, name: str = "byte_bpe
             size = [len(x) if x.isascii() else len(x.encode()) for x in rows]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int64()), pa.array(tokens), pa.array(tokens > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
+    small_batches(docs.sparkSession)
     return pair(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

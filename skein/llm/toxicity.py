@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from skein.llm.text import hash_words, held_out, inside, mix, pair, slices, texts
+from skein.llm.text import hash_words, held_out, inside, mix, pair, slices, small_batches, texts
 from skein.llm.training import labelled_texts
 
 ORDER, SHARED, DISCOUNT, RUN = 5, 2, 1.0, 2
 #: A worker's table of words is emptied when it holds so many.
-TABLE = 1_000_000
+TABLE = 300_000
 #: A-Z to lower case, other ASCII but digits to spaces, longer characters as they are.
 CLEAN = bytes(c + 32 if 65 <= c < 91 else c if c >= 128 or 97 <= c < 123 or 48 <= c < 58 else 32 for c in range(256))
 
@@ -221,6 +221,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, p
     are never inputs of a score.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     sample = labelled_texts(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")), labels, "toxic", per_class, hold)
     model = spark.sparkContext.broadcast(fit(sample))
 
@@ -237,6 +238,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, p
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, per_class: int = 1000, hold: tuple[int, int] = (3, 1), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, whole, whose score is below the threshold; scores and their cases are those of score_toxicity."""
+    small_batches(docs.sparkSession)
     sample = labelled_texts(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")), labels, "toxic", per_class, hold)
     model = docs.sparkSession.sparkContext.broadcast(fit(sample))
 
