@@ -36,7 +36,7 @@ DEPTH, CONTEXT, NEXT, DISCOUNT = 3, 5, 2, 0.5
 #: Cost of a transition in the divergence test, in nats of count times divergence.
 COST = 2.0
 #: Words whose root counts are broadcast, and entries of the tree, at most.
-HEAD, HOT = 500_000, 500_000
+HEAD, HOT = 500_000, 2_000_000
 #: Tokens, and entries of the tree, that a part gets on average. Parts follow the data alone: each part sends each other a row.
 PART_TOKENS, PART_ENTRIES = 2_000_000, 500_000
 #: A part's contexts are summed in so many ranges, one after the other.
@@ -45,8 +45,8 @@ PIECES = 4
 END = np.uint64(0x6A09E667F3BCC909)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BATCH = 4 << 20
-#: Transitions know words by 48 bits of their hashes.
-_CODE = np.uint64(16)
+#: Transitions know words by 48 bits of their hashes, look-ups of the written tables their keys.
+_CODE, _ASKED = np.uint64(16), np.uint64(0xFFFFFFFFFFFF0000)
 
 
 def tokens(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -257,7 +257,7 @@ class Tree:
             on = on[self.cold.may(key[on])]
             at.append(token[on])
             keys.append(key[on])
-        return known, root, more, np.concatenate(at), np.concatenate(keys)
+        return known, root, more, np.concatenate(at), np.concatenate(keys) & _ASKED
 
 
 def _states(c, above, whole, fan, code, n) -> list[np.ndarray] | None:
@@ -476,13 +476,13 @@ def plant(train: DataFrame, head: int = HEAD, depth: int = DEPTH, hot: int = HOT
         def entries(of, is_word: int):
             def deal(r: Reader) -> list[tuple[int, bytes]]:
                 key, value = of(r)
-                return _dealt(key, parts, b"E", value, np.full(len(key), is_word))
+                return _dealt(key & _ASKED, parts, b"E", value, np.full(len(key), is_word))
 
             return deal
 
         return _spread(counts, entries(rare, 1)).unionAll(_spread(table, entries(chilled, 0)))
 
-    tree = Tree(n, v, depth, Table(word[order]), count[order].view(np.int64), Table(key[by_key]), value[by_key].view(np.float64), _bitmap(table, every, size), _bitmap(table, lambda r: chilled(r)[0], size))
+    tree = Tree(n, v, depth, Table(word[order]), count[order].view(np.int64), Table(key[by_key]), value[by_key].view(np.float64).astype(np.float32), _bitmap(table, every, size), _bitmap(table, lambda r: chilled(r)[0], size))
     return tree, rest, v - len(word) + size - len(key)
 
 
@@ -492,7 +492,8 @@ def score_texts(docs: DataFrame, hold: tuple[int, int] = (7, 2), head: int = HEA
     Learns from all rows but those with crc32(id) mod hold[0] = hold[1]. base_score is the add-one score of single words,
     score the tree's log10 probability; both count the end of the text as a token. A null text is empty, and has its end
     alone. Repeated rows count and are scored each; a null id counts as the empty text in the hash. Without training rows
-    every token has probability 1 by the stated formula. Words are known by 64-bit hashes, in the tree by 48 bits of these.
+    every token has probability 1 by the stated formula. Words are known by 64-bit hashes, in the tree by 48 bits of these;
+    the values of frequent entries are single floats.
     An empty table gives no rows; other columns play no part.
     """
     spark = docs.sparkSession
