@@ -38,7 +38,7 @@ COST = 2.0
 #: Words whose root counts are broadcast, and entries of the tree, at most.
 HEAD, HOT = 500_000, 2_000_000
 #: Tokens, and entries of the tree, that a part gets on average. Parts follow the data alone: each part sends each other a row.
-PART_TOKENS, PART_ENTRIES = 2_000_000, 500_000
+PART_TOKENS, PART_ENTRIES = 2_000_000, 2_000_000
 #: A part's contexts are summed in so many ranges, one after the other.
 PIECES = 4
 #: The end token, a word that no text holds.
@@ -492,7 +492,8 @@ def score_texts(docs: DataFrame, hold: tuple[int, int] = (7, 2), head: int = HEA
     Learns from all rows but those with crc32(id) mod hold[0] = hold[1]. base_score is the add-one score of single words,
     score the tree's log10 probability; both count the end of the text as a token. A null text is empty, and has its end
     alone. Repeated rows count and are scored each; a null id counts as the empty text in the hash. Without training rows
-    every token has probability 1 by the stated formula. Words are known by 64-bit hashes, in the tree by 48 bits of these.
+    every token has probability 1 by the stated formula. Words are known by 64-bit hashes, in the tree by 48 bits of
+    these, rows by 64 bits of id and text.
     An empty table gives no rows; other columns play no part.
     """
     spark = docs.sparkSession
@@ -505,23 +506,23 @@ def score_texts(docs: DataFrame, hold: tuple[int, int] = (7, 2), head: int = HEA
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Look-ups as distinct keys, how often each is asked, and by which of the batch's documents; and all that is known here."""
-        for b in slices(batches, limit=_BATCH // 2):
+        for b in slices(batches, limit=_BATCH):
             h, starts = tokens(texts(b))
             known, root, more, token, key = shared.value.scores(h, starts)
             add = lambda x: np.add.reduceat(x, starts[:-1])  # noqa: E731, B023  every text has a token
-            ids, names, base = np.asarray(b.column("doc")).view(np.uint64), np.asarray(b.column("text_key")).view(np.uint64), add(root)
+            ids, names, base = np.asarray(b.column("doc")).view(np.uint64), np.asarray(b.column("row")).view(np.uint64), add(root)
             order = np.argsort(key)
             key, doc = key[order], np.searchsorted(starts, token[order], "right") - 1
             told = [(int(mix(names[:1])[0] % np.uint64(parts)), b"".join([b"D", pack(ids), pack(names), pack(np.asarray(b.column("unnamed"))), pack(np.diff(starts)), pack(add(known.astype(np.int64))), pack(base), pack(base + add(more))]))]
             for p, s, e in _edges(key, parts):
                 held, code = np.unique(doc[s:e], return_inverse=True)
                 cut = np.flatnonzero(np.concatenate([[True], key[s:e][1:] != key[s:e][:-1]]))
-                told.append((p, b"".join([b"A", pack_sorted(key[s:e][cut]), pack(np.diff(np.append(cut, e - s))), pack(code), pack(ids[held]), pack(names[held])])))
+                told.append((p, b"".join([b"A", pack_sorted(key[s:e][cut]), pack(np.diff(np.append(cut, e - s))), pack(code), pack(names[held])])))
             trim()
             yield _rows(told)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names_of = ["doc", "text_key", "unnamed", "times", "tokens", "known", "base", "full"]
+        names_of = ["row", "doc", "unnamed", "times", "tokens", "known", "base", "full"]
         parts_of: dict[int, dict[bytes, list[Reader]]] = {}
         for b in batches:
             for part, blob in zip(b.column("part").to_pylist(), b.column("blob").to_pylist(), strict=True):
@@ -531,22 +532,22 @@ def score_texts(docs: DataFrame, hold: tuple[int, int] = (7, 2), head: int = HEA
             order = np.argsort(keys)
             keys, values, words = Table(keys[order]), np.append(values[order], 0.0), np.append(words[order].astype(np.float64), 0.0)
             for r in kinds.get(b"A", []):
-                key, n, code, ids, names = r.take_sorted(), r.take().astype(np.int64), r.take().astype(np.int64), r.take(), r.take()
+                key, n, code, names = r.take_sorted(), r.counts(), r.counts(), r.take()
                 place, hit = keys.find(key)
                 place = np.repeat(np.where(hit, place, -1), n)
-                total = lambda w: np.bincount(code, w, len(ids))  # noqa: E731, B023
+                total = lambda w: np.bincount(code, w, len(names))  # noqa: E731, B023
                 value, word = values[place], words[place]
-                zero = np.zeros(len(ids), np.int64)
-                yield pa.RecordBatch.from_arrays([_signed(ids), _signed(names), pa.array(zero), pa.array(zero), pa.array(zero), pa.array(total(word)), pa.array(total(value * word)), pa.array(total(value))], names_of)
+                zero = np.zeros(len(names), np.int64)
+                yield pa.RecordBatch.from_arrays([_signed(names), pa.nulls(len(names), pa.int64()), pa.array(zero), pa.array(zero), pa.array(zero), pa.array(total(word)), pa.array(total(value * word)), pa.array(total(value))], names_of)
             for r in kinds.get(b"D", []):
                 ids, names, unnamed, size, known, base, full = (r.take() for _ in range(7))
-                yield pa.RecordBatch.from_arrays([_signed(ids), _signed(names), _signed(unnamed), pa.array(np.ones(len(ids), np.int64)), _signed(size), pa.array(known.astype(np.float64)), pa.array(base.view(np.float64)), pa.array(full.view(np.float64))], names_of)
+                yield pa.RecordBatch.from_arrays([_signed(names), _signed(ids), _signed(unnamed), pa.array(np.ones(len(ids), np.int64)), _signed(size), pa.array(known.astype(np.float64)), pa.array(base.view(np.float64)), pa.array(full.view(np.float64))], names_of)
 
-    keyed = rows.select(F.coalesce("doc_id", F.lit(0)).alias("doc"), F.col("doc_id").isNull().cast("long").alias("unnamed"), F.xxhash64("text", F.col("doc_id").isNull()).alias("text_key"), "text")
+    keyed = rows.select(F.coalesce("doc_id", F.lit(0)).alias("doc"), F.col("doc_id").isNull().cast("long").alias("unnamed"), F.xxhash64("text", "doc_id").alias("row"), "text")
     asked = keyed.mapInArrow(ask, _BLOB).unionAll(rest(parts))
-    sums = asked.repartitionById(parts, F.col("part")).mapInArrow(answer, "doc long, text_key long, unnamed long, times long, tokens long, known double, base double, full double")
+    sums = asked.repartitionById(parts, F.col("part")).mapInArrow(answer, "row long, doc long, unnamed long, times long, tokens long, known double, base double, full double")
     # rows repeated in id and text are told their common sums, one by one
-    each = sums.groupBy("doc", "text_key").agg(F.max("unnamed").alias("unnamed"), *[F.sum(x).alias(x) for x in ("times", "tokens", "known", "base", "full")])
+    each = sums.groupBy("row").agg(F.max("doc").alias("doc"), F.max("unnamed").alias("unnamed"), *[F.sum(x).alias(x) for x in ("times", "tokens", "known", "base", "full")])
     each = each.withColumn("doc_id", F.when(F.col("unnamed") == 0, F.col("doc"))).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
     whole = lambda x: F.round(F.col(x) / F.col("times")).cast("long")
     return each.select("doc_id", held_out("doc_id", *hold).alias("held_out"), whole("tokens").alias("n_tokens"), whole("known").alias("n_known"), F.lit(tree.n).cast("long").alias("train_tokens"), (F.col("base") / F.col("times")).alias("base_score"), (F.col("full") / F.col("times")).alias("score"))
