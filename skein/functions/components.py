@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.functions.durable import durable
+from skein.functions.durable import durable, sweep
 
 
 #: A node's edges are dealt over so many tasks; only as many rows a node meet in one task.
@@ -42,6 +42,7 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         if now == state:
             break
         state = now
+        sweep(e.sparkSession)  # a round's shuffles and the edges before it are used up
     roots = e.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     alone = given.filter("u = v").select(F.col("u").alias("node"), F.col("u").alias("component"))
     found = e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots)

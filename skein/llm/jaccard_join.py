@@ -9,7 +9,8 @@ candidates, and those nearly equal go no further, since whatever is linked with
 near copies ends there, and what is split on are sets that met by a common passage.
 
 Copies (equal sets) are one set throughout. In a bucket sets are compared by sketches of 64 one-byte minima, far
-below the threshold, only to drop sets that meet by a common passage; what is left are candidate groups. Every pair
+below the threshold, only to drop sets that meet by a common passage; what is left are candidate groups. Sets in buckets that
+are still too large after the last step meet by their rarest tokens, so many that none of their links is lost. Every pair
 within a group is then compared in full, groups of many sets in blocks, so links that the buckets missed within a group
 are found as well. Pairs are counted where they are compared and never listed.
 """
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.components import components
-from skein.functions.durable import durable
+from skein.functions.durable import durable, sweep
 from skein.llm.text import doc_of, grams, hash_words, inside, mix, slices, small_batches, texts
 
 #: Words of a shingle, least similarity, share of linked pairs that must meet.
@@ -39,9 +40,13 @@ LARGE, STEPS = 2048, 4
 #: Sketch minima, and how many of them must agree: 64 * 0.8 less five standard deviations. Sets of which so many agree with
 #: a leader's (similarity about 0.9) end at it: at 0.8 from them a set is at 0.7 or more from the leader.
 SKETCH, AGREE, NEAR = 64, 35, 58
+#: Sets, about, whose tokens are counted where buckets stay large, and tokens of known count that are broadcast, at most.
+SAMPLE, OFTEN = 20_000, 200_000
 #: Sets of a candidate group that are compared in one block, and ids that are broadcast at most.
 BLOCK, BROADCAST = 128, 400_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of texts that are split at a time.
+_BATCH = 1 << 20
 
 
 def runs_for(recall: float, similarity: float = SIMILARITY, steps: int = STEPS) -> int:
@@ -186,13 +191,66 @@ def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(b.column(x) for x in ("set_key", "sketch", "path", "lead")), pa.array((mine == lead).sum(1).astype(np.int32))], ["set_key", "sketch", "path", "lead", "agree"])
 
 
-def candidate_groups(sets: DataFrame, docs: DataFrame, words: int, runs: int, large: int = LARGE, steps: int = STEPS) -> DataFrame:
+def _prefix(val: np.ndarray, starts: np.ndarray, t: Fraction, often: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(set number, token) of the tokens by which sets of a similarity of ``t`` must meet: all but the last ceil(t * n) - 1 of a
+    set's n tokens, in one order for all sets. Such sets have ceil(t * n) tokens of the larger one in common, so the first common
+    token is among these, whatever the order; tokens that are often found come last."""
+    of, n = doc_of(starts), np.diff(starts)
+    place = np.minimum(np.searchsorted(often["token"], val), max(len(often["token"]) - 1, 0))
+    count = np.where(often["token"][place] == val, often["n"][place], 0) if len(often["token"]) else np.zeros(len(val), np.int64)
+    order = np.lexsort((mix(val), count, of))
+    rank = np.arange(len(val)) - np.repeat(starts[:-1], n)
+    on = order[rank < (n + (-t.numerator * n) // t.denominator + 1)[of]]
+    return of[on], val[on]
+
+
+def _by_prefix(keys: DataFrame, sets: DataFrame, docs: DataFrame, words: int, similarity: float, large: int) -> DataFrame:
+    """(path, block, set_key, sketch) rows, by which any two of these sets that may be linked meet for certain.
+
+    Sets meet by each token of their prefixes. How often tokens are found is counted in a sample, which decides their order alone.
+    What more than ``large`` sets have in their prefixes is compared in pairs of blocks, every pair of sets.
+    """
+    spark, t = docs.sparkSession, Fraction(str(similarity))
+    keys = durable(keys.join(sets.select("set_key", "sketch", F.col("first.doc_id").alias("rep_id"), F.col("first.text_key").alias("rep_text")), "set_key"))
+    n_keys = keys.count()
+    held = F.broadcast(keys) if n_keys <= BROADCAST // 4 else keys
+    spelt = docs.join(held, (F.col("text_key") == F.col("rep_text")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("set_key", "sketch", "text").dropDuplicates(["set_key"])
+    share = max(1, n_keys // SAMPLE)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, limit=_BATCH):
+            token, n = np.unique(shingles(texts(b), words)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n)], ["token", "n"])
+
+    sample = spelt.filter(F.pmod(F.xxhash64("set_key"), F.lit(share)) == 0)
+    found = sample.mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") > max(1, large // (4 * share)))
+    rows = found.orderBy(F.desc("n"), "token").limit(OFTEN).collect()
+    token, n = np.array([r.token for r in rows], np.int64).view(np.uint64), np.array([r.n for r in rows], np.int64)
+    order = np.argsort(token)
+    often = spark.sparkContext.broadcast({"token": token[order], "n": n[order]})
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, limit=1 << 18):  # each token goes with its set's sketch
+            own, token = _prefix(*shingles(texts(b), words), t, often.value)
+            own = pa.array(own)
+            yield pa.RecordBatch.from_arrays([b.column("set_key").take(own), b.column("sketch").take(own), pa.array(token.view(np.int64))], ["set_key", "sketch", "path"])
+
+    met = durable(spelt.mapInArrow(prefixes, "set_key long, sketch binary, path long"))
+    size = met.groupBy(F.col("path").alias("of")).agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    met = met.join(size, F.col("path") == F.col("of")).withColumn("nb", F.ceil(F.col("k") / large))
+    mine = F.pmod(F.xxhash64("set_key", "path"), F.col("nb"))
+    met = met.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
+    i, j = F.least("mine", "other"), F.greatest("mine", "other")
+    return met.select("path", F.shiftright(j * (j + 1), 1) + i, "set_key", "sketch").toDF("path", "block", "set_key", "sketch")
+
+
+def candidate_groups(sets: DataFrame, docs: DataFrame, words: int, runs: int, large: int = LARGE, steps: int = STEPS, similarity: float = SIMILARITY) -> DataFrame:
     """(node, component) of the sets that may be linked. ``sets``: set_key, paths, sketch, first (the row that spells the set)."""
     spark = docs.sparkSession
     level, parts, edges = sets.select("set_key", "sketch", F.explode("paths").alias("path")), [], []
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, limit=_BATCH):
             val, starts = shingles(texts(b), words)
             own, path = longer(val, starts, [np.array(x, np.int64).view(np.uint64) for x in b.column("paths").to_pylist()])
             if len(own):
@@ -205,24 +263,24 @@ def candidate_groups(sets: DataFrame, docs: DataFrame, words: int, runs: int, la
         big = durable(big.select(F.col("path").alias("large"), F.col("top.set_key").alias("lead"), F.col("top.sketch").alias("lead_sketch")))
         n_big = big.count()
         if not n_big:
-            parts.append(level.select("path", F.lit(0).alias("block"), "set_key", "sketch"))
+            parts.append(level.select("path", F.lit(0).cast("long").alias("block"), "set_key", "sketch"))
             break
         held = F.broadcast(big) if n_big <= BROADCAST // 4 else big
         told = level.join(held, F.col("path") == F.col("large"), "left")
-        parts.append(told.filter("large is null").select("path", F.lit(0).alias("block"), "set_key", "sketch"))
+        parts.append(told.filter("large is null").select("path", F.lit(0).cast("long").alias("block"), "set_key", "sketch"))
         led = told.filter("large is not null").select("set_key", "sketch", "path", "lead", "lead_sketch")
         led = durable(led.mapInArrow(_led, "set_key long, sketch binary, path long, lead long, agree int"))
         edges.append(led.filter((F.col("agree") >= AGREE) & (F.col("lead") != F.col("set_key"))).select(F.least("lead", "set_key").alias("u"), F.greatest("lead", "set_key").alias("v")))
         on = led.filter(F.col("agree") < NEAR)
-        if depth == steps:  # what the steps haven't told apart is compared in blocks
-            blocks = F.pmod(F.xxhash64("set_key", "path"), F.lit(64)).cast("int")
-            parts.append(on.select("path", blocks.alias("block"), "set_key", "sketch"))
+        if depth == steps:  # what the steps haven't told apart meets by its rarest tokens
+            parts.append(_by_prefix(on.select("set_key").distinct(), sets, docs, words, similarity, large))
             break
         on = on.groupBy("set_key").agg(F.collect_set("path").alias("paths"))
         on = durable(on.join(sets.select("set_key", "sketch", F.col("first.doc_id").alias("rep_id"), F.col("first.text_key").alias("rep_text")), "set_key"))
         on = F.broadcast(on) if on.count() <= BROADCAST // 4 else on
         spelt = docs.join(on, (F.col("text_key") == F.col("rep_text")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("set_key", "sketch", "paths", "text")
         level = durable(spelt.mapInArrow(whole, "set_key long, sketch binary, path long").dropDuplicates(["set_key", "path"]))
+        sweep(spark)
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionAll(p)
@@ -277,7 +335,7 @@ def linked_sets(docs: DataFrame, sets: DataFrame, groups: DataFrame, words: int,
     rows = docs.join(narrow, (F.col("text_key") == F.col("rep_text")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("set_key", "component", "nb", "copies", "text")
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, limit=_BATCH):
             val, starts = shingles(texts(b), words)
             raw = val.tobytes()
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("set_key", "component", "nb", "copies")), pa.array([raw[8 * s : 8 * e] for s, e in zip(starts[:-1], starts[1:], strict=True)], pa.binary())], ["set_key", "component", "nb", "copies", "tokens"])
@@ -325,7 +383,7 @@ def _classified(docs: DataFrame, words: int, similarity: float, recall: float, l
     rows = rows.withColumn("text_key", F.xxhash64("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, limit=_BATCH):
             val, starts = shingles(texts(b), words)
             own, path = paths(val, starts, runs)
             found = np.unique(np.stack([own.astype(np.int64), path.view(np.int64)], 1), axis=0)
@@ -338,8 +396,10 @@ def _classified(docs: DataFrame, words: int, similarity: float, recall: float, l
     full = scanned.filter("size > 0")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("first")
     sets = durable(full.groupBy("set_key").agg(first, F.count(F.lit(1)).alias("copies"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch")))
-    groups = durable(candidate_groups(sets, rows, words, runs, large, steps))
+    groups = durable(candidate_groups(sets, rows, words, runs, large, steps, similarity))
+    sweep(docs.sparkSession)
     found = durable(linked_sets(rows, sets, groups, words, similarity, block))
+    sweep(docs.sparkSession)
     links = found.groupBy(F.col("set_key").alias("linked")).agg(F.sum("links").alias("links"))
     classes = components(found.filter("links > 0").select(F.col("root").alias("u"), F.col("set_key").alias("v")))
     named = sets.select("set_key", "first", "copies").join(classes, F.col("set_key") == F.col("node"), "left").withColumn("component", F.coalesce("component", "set_key"))

@@ -218,6 +218,24 @@ def test_jaccard_recall_in_hot_buckets(spark, options):
     assert all(got[10_000 + k] == (10_000, 299) for k in range(300))
 
 
+@pytest.mark.parametrize("common", [60, 330])
+def test_jaccard_loses_no_link_in_buckets_that_stay_large(spark, common):
+    """All sets share so much that no step tells them apart; 60: their prefixes do, 330: even these are in blocks."""
+    from skein.llm.jaccard_join import RECALL, jaccard_classes
+
+    passage = [f"p{k}" for k in range(common)]
+    rows = []
+    for k in range(300):
+        own = [f"w{k}x{j}" for j in range(60)]
+        rows.append((2 * k, " ".join(passage + own)))
+        rows.append((2 * k + 1, " ".join(passage + own[:30] + [f"new{k}"] + own[31:] + [f"more{k}y{j}" for j in range(14 + (common - 60) // 5)])))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    assert 0.8 <= len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.85 and len(sets[0] & sets[2]) / len(sets[0] | sets[2]) < 0.8
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), large=20, steps=1).collect()}
+    met = sum(got[2 * k + 1] == (2 * k, 1) for k in range(300))
+    assert met >= RECALL * 300 - 3 * (RECALL * (1 - RECALL) * 300) ** 0.5
+
+
 def test_jaccard_keeps_one_of_each_class(docs, rows, empty):
     from skein.llm.jaccard_join import jaccard_classes, keep_first
 
