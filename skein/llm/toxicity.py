@@ -25,6 +25,8 @@ from skein.llm.training import labelled_texts
 ORDER, SHARED, DISCOUNT, RUN = 5, 2, 1.0, 2
 #: A worker's table of words is emptied when it holds so many.
 TABLE = 300_000
+#: Bytes of texts that are split into words at a time: every word is an object, every byte of a new word a row of numbers.
+_BATCH = 1 << 20
 #: A-Z to lower case, other ASCII but digits to spaces, longer characters as they are.
 CLEAN = bytes(c + 32 if 65 <= c < 91 else c if c >= 128 or 97 <= c < 123 or 48 <= c < 58 else 32 for c in range(256))
 
@@ -227,7 +229,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, p
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        for b in slices(batches):
+        for b in slices(batches, limit=_BATCH):
             rows = texts(b)
             score = m.score(rows) if m else np.zeros(len(rows))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
@@ -244,7 +246,7 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, per
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        for b in slices(batches, by=text_col):
+        for b in slices(batches, by=text_col, limit=_BATCH):
             yield b.filter(pa.array(m.score(texts(b, text_col)) < threshold)) if m else b
 
     return docs.mapInArrow(run, T.StructType(docs.schema.fields))

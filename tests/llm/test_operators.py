@@ -236,6 +236,18 @@ def test_jaccard_loses_no_link_in_buckets_that_stay_large(spark, common):
     assert met >= RECALL * 300 - 3 * (RECALL * (1 - RECALL) * 300) ** 0.5
 
 
+def test_keep_first_drops_copies_in_buckets_that_stay_large(spark):
+    from skein.llm.jaccard_join import RECALL, keep_first
+
+    rows = []
+    for k in range(300):
+        text = [f"p{j}" for j in range(60)] + [f"w{k}x{j}" for j in range(60)]
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(text[:90] + [f"new{k}"] + text[91:] + [f"more{k}y{j}" for j in range(14)]))]
+    kept = {r.doc_id for r in keep_first(spark.createDataFrame(rows, "doc_id long, text string"), large=20, steps=1).collect()}
+    assert all(2 * k in kept for k in range(300))
+    assert len(kept) - 300 <= 300 - RECALL * 300 + 3 * (RECALL * (1 - RECALL) * 300) ** 0.5
+
+
 def test_jaccard_keeps_one_of_each_class(docs, rows, empty):
     from skein.llm.jaccard_join import jaccard_classes, keep_first
 
