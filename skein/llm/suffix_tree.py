@@ -11,7 +11,7 @@ table of (key, value): a state's value is the log10 of what it leaves to its suf
 exceeds its suffix's, less the state's value. Since suffixes of kept states are kept, and a state's transitions are its
 suffix's too, a word's log10 probability is the root's plus the values of all entries found, so scores are sums of
 look-ups in any order. The most frequent entries are broadcast up to a stated number; the texts ask for all others in
-packed batches dealt by key, and get sums by document back.
+packed batches dealt by key, and get sums by document back, one row a batch and part.
 
 Bitmaps of fixed size spare look-ups that nothing can answer, and decide nothing: one that is full spares fewer. Every count
 covers the whole training corpus. Batches are counted before they move and go as one row a part (``packing``).
@@ -24,12 +24,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.durable import release, stored
 from skein.llm.packing import Bitmap, Reader, Table, bitmap, distinct, pack, pack_sorted, trim
-from skein.llm.text import hash_words, held_out, mix, slices, small_batches, texts
+from skein.llm.text import doc_of, hash_words, held_out, mix, slices, small_batches, texts
 
 #: Words of a context at most, occurrences that a context and a transition need, and the discount of each count.
 DEPTH, CONTEXT, NEXT, DISCOUNT = 3, 5, 2, 0.5
@@ -45,6 +47,8 @@ PIECES = 4
 END = np.uint64(0x6A09E667F3BCC909)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BATCH = 4 << 20
+#: Bytes of texts that are scored at a time: each token has several look-ups.
+_ASK = 2 << 20
 #: Transitions know words by 48 bits of their hashes, look-ups of the written tables their keys.
 _CODE, _ASKED = np.uint64(16), np.uint64(0xFFFFFFFFFFFF0000)
 
@@ -57,10 +61,6 @@ def tokens(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, starts + np.arange(len(starts))
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
-
-
 def _pairs(context: np.ndarray, code: np.ndarray) -> np.ndarray:
     return mix(context * _ODD + code)
 
@@ -493,7 +493,7 @@ def score_texts(docs: DataFrame, hold: tuple[int, int] = (7, 2), head: int = HEA
     score the tree's log10 probability; both count the end of the text as a token. A null text is empty, and has its end
     alone. Repeated rows count and are scored each; a null id counts as the empty text in the hash. Without training rows
     every token has probability 1 by the stated formula. Words are known by 64-bit hashes, in the tree by 48 bits of
-    these, rows by 64 bits of id and text.
+    these.
     An empty table gives no rows; other columns play no part.
     """
     spark = docs.sparkSession
@@ -504,50 +504,81 @@ def score_texts(docs: DataFrame, hold: tuple[int, int] = (7, 2), head: int = HEA
     shared = spark.sparkContext.broadcast(tree)
     parts = n_rest // PART_ENTRIES + tree.n // (4 * PART_TOKENS) + 1
 
+    homes = tree.n // PART_TOKENS + 1
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Look-ups as distinct keys, how often each is asked, and by which of the batch's documents; and all that is known here."""
-        for b in slices(batches, limit=_BATCH):
+        """Look-ups as distinct keys, how often each is asked, and by which of the batch's documents; and all that is known here.
+        A batch is known by its task and number, and by a hash of its words, should a task that runs again cut it otherwise."""
+        task = TaskContext.get().partitionId()
+        for k, b in enumerate(slices(batches, limit=_ASK)):
             h, starts = tokens(texts(b))
+            name = np.array([task << 32 | k, xxhash.xxh3_64_intdigest(h.tobytes()), b.num_rows], np.uint64)
+            home = int(mix(name[:1])[0] % np.uint64(homes))
             known, root, more, token, key = shared.value.scores(h, starts)
             add = lambda x: np.add.reduceat(x, starts[:-1])  # noqa: E731, B023  every text has a token
-            ids, names, base = np.asarray(b.column("doc")).view(np.uint64), np.asarray(b.column("row")).view(np.uint64), add(root)
+            base = add(root)
             order = np.argsort(key)
-            key, doc = key[order], np.searchsorted(starts, token[order], "right") - 1
-            told = [(int(mix(names[:1])[0] % np.uint64(parts)), b"".join([b"D", pack(ids), pack(names), pack(np.asarray(b.column("unnamed"))), pack(np.diff(starts)), pack(add(known.astype(np.int64))), pack(base), pack(base + add(more))]))]
-            for p, s, e in _edges(key, parts):
-                held, code = np.unique(doc[s:e], return_inverse=True)
+            key, doc = key[order], doc_of(starts)[token[order]]
+            edges = _edges(key, parts)
+            told = [(home % parts, b"".join([b"D", pack(np.array([home])), pack(name), pack(np.array([len(edges)])), *(pack(np.asarray(b.column(c)).view(np.uint64)) for c in ("doc", "unnamed")), pack(np.diff(starts)), pack(add(known.astype(np.int64))), pack(base), pack(base + add(more))]))]
+            for p, s, e in edges:
                 cut = np.flatnonzero(np.concatenate([[True], key[s:e][1:] != key[s:e][:-1]]))
-                told.append((p, b"".join([b"A", pack_sorted(key[s:e][cut]), pack(np.diff(np.append(cut, e - s))), pack(code), pack(names[held])])))
+                told.append((p, b"".join([b"A", pack_sorted(key[s:e][cut]), pack(np.diff(np.append(cut, e - s))), pack(doc[s:e]), pack(np.array([home])), pack(name)])))
+            del h, known, root, more, token, order, key, doc
             trim()
             yield _rows(told)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names_of = ["row", "doc", "unnamed", "times", "tokens", "known", "base", "full"]
+        """Per batch and part one row of the sums of its documents, to the batch's home."""
         parts_of: dict[int, dict[bytes, list[Reader]]] = {}
         for b in batches:
             for part, blob in zip(b.column("part").to_pylist(), b.column("blob").to_pylist(), strict=True):
                 parts_of.setdefault(part, {}).setdefault(blob[:1], []).append(Reader(blob[1:]))
-        for kinds in parts_of.values():
-            keys, values, words = _taken(kinds.get(b"E"), np.float64, np.int64)
+        while parts_of:
+            kinds = parts_of.popitem()[1]
+            keys, values, words = _taken(kinds.pop(b"E", None), np.float64, np.int64)
             order = np.argsort(keys)
             keys, values, words = Table(keys[order]), np.append(values[order], 0.0), np.append(words[order].astype(np.float64), 0.0)
-            for r in kinds.get(b"A", []):
-                key, n, code, names = r.take_sorted(), r.counts(), r.counts(), r.take()
+            out = [(int(r.take()[0]), b"D" + r.raw) for r in kinds.pop(b"D", [])]
+            for r in kinds.pop(b"A", []):
+                key, n, doc, home, name = r.take_sorted(), r.counts(), r.counts(), r.take(), r.take()
                 place, hit = keys.find(key)
                 place = np.repeat(np.where(hit, place, -1), n)
-                total = lambda w: np.bincount(code, w, len(names))  # noqa: E731, B023
+                told = np.flatnonzero(np.bincount(doc, place >= 0, int(name[2])))
                 value, word = values[place], words[place]
-                zero = np.zeros(len(names), np.int64)
-                yield pa.RecordBatch.from_arrays([_signed(names), pa.nulls(len(names), pa.int64()), pa.array(zero), pa.array(zero), pa.array(zero), pa.array(total(word)), pa.array(total(value * word)), pa.array(total(value))], names_of)
-            for r in kinds.get(b"D", []):
-                ids, names, unnamed, size, known, base, full = (r.take() for _ in range(7))
-                yield pa.RecordBatch.from_arrays([_signed(names), _signed(ids), _signed(unnamed), pa.array(np.ones(len(ids), np.int64)), _signed(size), pa.array(known.astype(np.float64)), pa.array(base.view(np.float64)), pa.array(full.view(np.float64))], names_of)
+                out.append((int(home[0]), b"".join([b"S", pack(name), pack(told), *(pack(np.bincount(doc, w, int(name[2]))[told]) for w in (word, value * word, value))])))
+            for k in range(0, len(out), 1000):
+                yield _rows(out[k : k + 1000])
 
-    keyed = rows.select(F.coalesce("doc_id", F.lit(0)).alias("doc"), F.col("doc_id").isNull().cast("long").alias("unnamed"), F.xxhash64("text", "doc_id").alias("row"), "text")
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked: dict[int, Reader] = {}
+        sums: dict[int, list] = {}
+        for b in batches:
+            for blob in b.column("blob").to_pylist():
+                r = Reader(blob[1:])
+                if blob[:1] == b"D":
+                    r.take()
+                name = r.take()
+                held = sums.setdefault(int(name[0]), [name, 0, np.zeros((3, int(name[2])))])
+                if (held[0] != name).any():
+                    raise RuntimeError("the texts came in another order when a lost task ran again")
+                if blob[:1] == b"D":
+                    asked[int(name[0])] = r
+                else:
+                    held[1] += 1
+                    at = r.take().view(np.int64)
+                    for row in held[2]:
+                        row[at] += r.floats()
+        for batch, r in asked.items():
+            _, n, (words, base, full) = sums[batch]
+            if n != r.counts()[0]:
+                raise RuntimeError("look-ups were lost: the texts came in another order when a lost task ran again")
+            ids, unnamed, size, known = (r.counts() for _ in range(4))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, unnamed, size, known + np.rint(words).astype(np.int64), r.floats() + base, r.floats() + full)], ["doc", "unnamed", "tokens", "known", "base", "full"])
+
+    keyed = rows.select(F.coalesce("doc_id", F.lit(0)).alias("doc"), F.col("doc_id").isNull().cast("long").alias("unnamed"), "text")
     asked = keyed.mapInArrow(ask, _BLOB).unionAll(rest(parts))
-    sums = asked.repartitionById(parts, F.col("part")).mapInArrow(answer, "row long, doc long, unnamed long, times long, tokens long, known double, base double, full double")
-    # rows repeated in id and text are told their common sums, one by one
-    each = sums.groupBy("row").agg(F.max("doc").alias("doc"), F.max("unnamed").alias("unnamed"), *[F.sum(x).alias(x) for x in ("times", "tokens", "known", "base", "full")])
-    each = each.withColumn("doc_id", F.when(F.col("unnamed") == 0, F.col("doc"))).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
-    whole = lambda x: F.round(F.col(x) / F.col("times")).cast("long")
-    return each.select("doc_id", held_out("doc_id", *hold).alias("held_out"), whole("tokens").alias("n_tokens"), whole("known").alias("n_known"), F.lit(tree.n).cast("long").alias("train_tokens"), (F.col("base") / F.col("times")).alias("base_score"), (F.col("full") / F.col("times")).alias("score"))
+    answered = asked.repartitionById(parts, F.col("part")).mapInArrow(answer, _BLOB)
+    each = answered.repartitionById(homes, F.col("part")).mapInArrow(finish, "doc long, unnamed long, tokens long, known long, base double, full double")
+    each = each.withColumn("doc_id", F.when(F.col("unnamed") == 0, F.col("doc")))
+    return each.select("doc_id", held_out("doc_id", *hold).alias("held_out"), F.col("tokens").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(tree.n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("full").alias("score"))

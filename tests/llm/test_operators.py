@@ -603,6 +603,14 @@ def test_lm_scores(docs, rows, empty):
     assert score_texts(empty).count() == 0
 
 
+def test_lm_sums_move_by_batch(docs):
+    """No row a document and part: the look-ups' sums go in packed rows, and nothing groups them by document."""
+    from skein.llm.suffix_tree import score_texts
+
+    plan = score_texts(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Aggregate" not in plan and "Generate" not in plan
+
+
 def test_lm_distributions_sum_to_one(spark, docs):
     import numpy as np
 
