@@ -34,7 +34,8 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def trim() -> None:
-    """Gives the worker's free memory back, which its allocator would keep for later; only where the C library can."""
+    """Gives the worker's free memory back, which its allocators would keep for later; the heap's only where the C library can."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):
@@ -42,10 +43,10 @@ def trim() -> None:
 
 
 class Reader:
-    """Reads one blob's arrays in the order in which they were joined."""
+    """Reads one blob's arrays in the order in which they were joined, from place ``at`` on."""
 
-    def __init__(self, raw: bytes):
-        self.raw, self.at = raw, 0
+    def __init__(self, raw: bytes, at: int = 0):
+        self.raw, self.at = raw, at
 
     def take(self) -> np.ndarray:
         n = int(np.frombuffer(self.raw, np.uint64, 1, self.at)[0])
@@ -113,13 +114,19 @@ def bitmap(frame: DataFrame, keys_of: Callable[[pa.RecordBatch], np.ndarray], n:
     return Bitmap(bits, out.view(np.uint64))
 
 
+#: Slots of a table that are filled at a time.
+_SLOTS = 1 << 16
+
+
 class Table:
     """Looks up sorted distinct 64-bit keys by their top bits: a slot's keys stand side by side, and there are few to a slot."""
 
     def __init__(self, keys: np.ndarray):
         self.keys, self.bits = keys, max(8, (2 * len(keys)).bit_length())
-        self.first = np.searchsorted(keys, np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)).astype(np.int32)
-        self.first = np.append(self.first, np.int32(len(keys)))
+        self.first = np.full((1 << self.bits) + 1, len(keys), np.int32)
+        step = min(1 << self.bits, _SLOTS)
+        for s in range(0, 1 << self.bits, step):
+            self.first[s : s + step] = np.searchsorted(keys, np.arange(s, s + step, dtype=np.uint64) << np.uint64(64 - self.bits))
 
     def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place of each key, and whether it is there."""

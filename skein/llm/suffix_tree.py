@@ -127,7 +127,7 @@ def _joined(sources: list[DataFrame], parts: int, merge: Callable[[dict[bytes, l
         held: dict[int, dict[bytes, list[Reader]]] = {}
         for b in batches:
             for part, blob in zip(b.column("part").to_pylist(), b.column("blob").to_pylist(), strict=True):
-                held.setdefault(part, {}).setdefault(blob[:1], []).append(Reader(blob[1:]))
+                held.setdefault(part, {}).setdefault(blob[:1], []).append(Reader(blob, 1))
         while held:
             out = merge(held.popitem()[1])
             trim()
@@ -138,9 +138,19 @@ def _joined(sources: list[DataFrame], parts: int, merge: Callable[[dict[bytes, l
 
 
 def _taken(readers: list[Reader] | None, *kinds: type) -> list[np.ndarray]:
-    """The arrays of all blobs of one tag, end to end; the first is the ascending keys, the others as numpy types."""
-    found = [(r.take_sorted(), *(r.take().view(k) for k in kinds)) for r in readers or ()]
-    return [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.empty(0, k) for k in (np.uint64, *kinds)]
+    """The arrays of all blobs of one tag, end to end; the first is the ascending keys, the others as numpy types. What is read is
+    given up: the readers one by one, then the pieces of each array."""
+    found: list[list[np.ndarray]] = [[np.empty(0, k)] for k in (np.uint64, *kinds)]
+    readers = readers or []
+    readers.reverse()
+    while readers:
+        r = readers.pop()
+        for x, a in zip(found, (r.take_sorted(), *(r.take().view(k) for k in kinds)), strict=True):
+            x.append(a)
+    out = []
+    while found:
+        out.append(np.concatenate(found.pop(0)))
+    return out
 
 
 def _rowcount(table: DataFrame) -> int:
@@ -226,7 +236,7 @@ class Tree:
 
     def asked(self, h: np.ndarray, starts: np.ndarray):
         """(tokens, keys) of all look-ups that an entry may answer, context by context."""
-        alive = np.arange(len(h))
+        alive = np.arange(len(h), dtype=np.int32)
         steps = contexts(h >> _CODE, starts, self.depth)
         next(steps)
         for c, key in steps:
@@ -248,7 +258,7 @@ class Tree:
         """Per token: whether it is in the head, log10 of its P at the root, the sum of the frequent entries' values; and (token, key)
         of the look-ups that only the written tables can answer: words outside the head, and cold entries."""
         known, root = self.root(h)
-        more, rest = np.zeros(len(h)), np.flatnonzero(~known)
+        more, rest = np.zeros(len(h)), np.flatnonzero(~known).astype(np.int32)
         at, keys = [rest], [mix(h[rest] ^ _ODD)]
         for token, key in self.asked(h, starts):
             place, hit = self.keys.find(key)
@@ -533,14 +543,18 @@ def score_texts(docs: DataFrame, hold: tuple[int, int] = (7, 2), head: int = HEA
         parts_of: dict[int, dict[bytes, list[Reader]]] = {}
         for b in batches:
             for part, blob in zip(b.column("part").to_pylist(), b.column("blob").to_pylist(), strict=True):
-                parts_of.setdefault(part, {}).setdefault(blob[:1], []).append(Reader(blob[1:]))
+                parts_of.setdefault(part, {}).setdefault(blob[:1], []).append(Reader(blob, 1))
         while parts_of:
             kinds = parts_of.popitem()[1]
             keys, values, words = _taken(kinds.pop(b"E", None), np.float64, np.int64)
             order = np.argsort(keys)
-            keys, values, words = Table(keys[order]), np.append(values[order], 0.0), np.append(words[order].astype(np.float64), 0.0)
-            out = [(int(r.take()[0]), b"D" + r.raw) for r in kinds.pop(b"D", [])]
-            for r in kinds.pop(b"A", []):
+            keys, values, words = Table(keys[order]), np.append(values[order], 0.0), np.append(words[order] > 0, False)
+            del order
+            trim()
+            out = [(int(r.take()[0]), r.raw) for r in kinds.pop(b"D", [])]
+            asks = kinds.pop(b"A", [])
+            while asks:  # each goes when it is answered
+                r = asks.pop()
                 key, n, doc, home, name = r.take_sorted(), r.counts(), r.counts(), r.take(), r.take()
                 place, hit = keys.find(key)
                 place = np.repeat(np.where(hit, place, -1), n)
@@ -555,7 +569,7 @@ def score_texts(docs: DataFrame, hold: tuple[int, int] = (7, 2), head: int = HEA
         sums: dict[int, list] = {}
         for b in batches:
             for blob in b.column("blob").to_pylist():
-                r = Reader(blob[1:])
+                r = Reader(blob, 1)
                 if blob[:1] == b"D":
                     r.take()
                 name = r.take()

@@ -28,13 +28,18 @@ def pair(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Lets the session's Arrow batches hold so many rows at most: whole texts and packed rows are wide, and Arrow's memory lies
-    beside the heap, in every worker twice. A setting of the session, as its frames are run later."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
+    """Lets the session's Arrow batches hold so many rows and, but for a longer row, about so many bytes at most: whole texts and
+    packed rows are wide, and Arrow's memory lies beside the heap, in every worker twice. Settings of the session, as its
+    frames are run later."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(name))
     if now <= 0 or now > rows:
         spark.conf.set(name, str(rows))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if now <= 0 or now > size:
+        spark.conf.set(name, str(size))
 
 
 def slices(batches: Iterator[pa.RecordBatch], by: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:

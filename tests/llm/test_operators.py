@@ -815,3 +815,44 @@ def test_pipeline_returns_the_masked_texts(spark):
     assert want[0][1] != texts[0] and {r.doc_id for r in got} == set(want)
     assert all((r.doc_id, r.text, r.lang, r.source, r.n_chars) == want[r.doc_id] for r in got)
     assert sum(r.serving == 2 for r in got) > 0
+
+
+def test_arrow_batches_are_bounded_in_bytes(spark):
+    """Packed rows are few and wide: a task's rows mustn't go to its worker as one batch."""
+    import pyarrow as pa
+
+    from skein.llm.text import small_batches
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+    names = [f"spark.sql.execution.arrow.max{x}PerBatch" for x in ("Records", "Bytes")]
+    before = [spark.conf.get(x) for x in names]
+    wide = spark.range(0, 60, 1, 1).selectExpr("cast(repeat('x', 500000) as binary) as blob")
+    try:
+        for now, most in ((str(64 << 20), 4 << 20), ("1m", 1 << 20)):  # a smaller limit stays
+            spark.conf.set(names[1], now)
+            small_batches(spark)
+            got = wide.mapInArrow(sizes, "n long, size long").collect()
+            assert sum(r.n for r in got) == 60 and max(r.size for r in got) <= most + 600_000
+    finally:
+        for x, y in zip(names, before, strict=True):
+            spark.conf.set(x, y)
+
+
+def test_lm_blobs_are_given_up_as_they_are_read():
+    import numpy as np
+
+    from skein.llm.packing import Reader, Table, pack, pack_sorted
+    from skein.llm.suffix_tree import _taken
+
+    keys = [np.sort(np.random.default_rng(k).integers(0, 1 << 63, 5000, np.uint64)) for k in range(3)]
+    readers = [Reader(b"E" + pack_sorted(k) + pack(np.arange(len(k))), 1) for k in keys]
+    found, n = _taken(readers, np.int64)
+    assert not readers and (found == np.concatenate(keys)).all() and (n == np.tile(np.arange(5000), 3)).all()
+    assert [len(x) for x in _taken(None, np.int64)] == [0, 0]
+    every = np.unique(found)
+    for some in (every, every[:1], every[:0], np.arange(300_000, dtype=np.uint64) << np.uint64(45)):
+        place, hit = Table(some).find(every)
+        assert (hit == np.isin(every, some)).all() and (some[place[hit]] == every[hit]).all()
