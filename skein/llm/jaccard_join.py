@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.components import components
 from skein.functions.durable import durable, sweep
+from skein.llm.packing import trim
 from skein.llm.text import doc_of, grams, hash_words, inside, mix, slices, small_batches, texts
 
 #: Words of a shingle, least similarity, share of linked pairs that must meet.
@@ -391,6 +392,7 @@ def _classified(docs: DataFrame, words: int, similarity: float, recall: float, l
             lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(np.ascontiguousarray(found[:, 1])))
             sketch = pa.array([x.tobytes() for x in sketches(val, starts)], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(_set_keys(val, starts)), pa.array(np.diff(starts)), lists, sketch], ["doc_id", "text_key", "set_key", "size", "paths", "sketch"])
+        trim()
 
     scanned = durable(rows.mapInArrow(scan, "doc_id long, text_key long, set_key long, size long, paths array<long>, sketch binary"))
     full = scanned.filter("size > 0")
@@ -398,7 +400,8 @@ def _classified(docs: DataFrame, words: int, similarity: float, recall: float, l
     sets = durable(full.groupBy("set_key").agg(first, F.count(F.lit(1)).alias("copies"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch")))
     groups = durable(candidate_groups(sets, rows, words, runs, large, steps, similarity))
     sweep(docs.sparkSession)
-    found = durable(linked_sets(rows, sets, groups, words, similarity, block))
+    # a file a task would be as many as there are partitions, and each starts two processes on a local file system
+    found = durable(linked_sets(rows, sets, groups, words, similarity, block).hint("rebalance"))
     sweep(docs.sparkSession)
     links = found.groupBy(F.col("set_key").alias("linked")).agg(F.sum("links").alias("links"))
     classes = components(found.filter("links > 0").select(F.col("root").alias("u"), F.col("set_key").alias("v")))

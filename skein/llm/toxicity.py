@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from skein.llm.packing import trim
 from skein.llm.text import hash_words, held_out, inside, mix, pair, slices, small_batches, texts
 from skein.llm.training import labelled_texts
 
@@ -233,6 +234,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, p
             rows = texts(b)
             score = m.score(rows) if m else np.zeros(len(rows))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+        trim()
 
     rows = pair(docs, id_col, text_col)
     return rows.withColumn("held_out", held_out("doc_id", *hold)).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
@@ -248,5 +250,6 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, per
         m = model.value
         for b in slices(batches, by=text_col, limit=_BATCH):
             yield b.filter(pa.array(m.score(texts(b, text_col)) < threshold)) if m else b
+        trim()
 
     return docs.mapInArrow(run, T.StructType(docs.schema.fields))

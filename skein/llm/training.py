@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label_col: str, per_class
     spark, label = docs.sparkSession, {r.doc_id: r.label for r in ids}
 
     def rows(chosen: list[int]) -> DataFrame:
-        wanted = spark.createDataFrame([(i,) for i in chosen], "doc_id long")
+        wanted = spark.createDataFrame(pa.table({"doc_id": pa.array(chosen, pa.int64())}))  # lists of rows would start workers of their own
         return pair(docs, "doc_id", "text").join(F.broadcast(wanted), "doc_id").filter(F.octet_length("text") <= max_bytes)
 
     first = rows([*label]).groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), F.octet_length("text").alias("size"))).alias("one"))
@@ -39,6 +40,6 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label_col: str, per_class
             chosen.append(r.doc_id)
     if not chosen:
         return []
-    one = spark.createDataFrame([(i, sizes[i][0]) for i in chosen], "one_id long, one_hash long")
+    one = spark.createDataFrame(pa.table({"one_id": pa.array(chosen, pa.int64()), "one_hash": pa.array([sizes[i][0] for i in chosen], pa.int64())}))
     found = rows(chosen).join(F.broadcast(one), (F.col("doc_id") == F.col("one_id")) & (F.xxhash64("text") == F.col("one_hash"))).groupBy("doc_id").agg(F.min("text").alias("text"))
     return sorted((r.doc_id, r.text.encode(), label[r.doc_id]) for r in found.collect())

@@ -856,3 +856,37 @@ def test_lm_blobs_are_given_up_as_they_are_read():
     for some in (every, every[:1], every[:0], np.arange(300_000, dtype=np.uint64) << np.uint64(45)):
         place, hit = Table(some).find(every)
         assert (hit == np.isin(every, some)).all() and (some[place[hit]] == every[hit]).all()
+
+
+def test_pipeline_stages_start_no_extra_workers_and_write_few_files(spark, tmp_path, monkeypatch):
+    """Ids chosen for training reach the executors without Python workers of their own, and small tables aren't a file a partition."""
+    from pathlib import Path
+
+    from skein.functions.durable import shared_folder
+    from skein.llm.jaccard_join import keep_first
+    from skein.llm.training import labelled_texts
+
+    made = spark.createDataFrame([(k, " ".join(f"w{k % 20}x{j}" for j in range(30))) for k in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id long, toxic int")
+    plain, plans = type(spark).createDataFrame, []
+
+    def noted(self, *args, **kwargs):
+        out = plain(self, *args, **kwargs)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    with monkeypatch.context() as m:
+        m.setattr(type(spark), "createDataFrame", noted)
+        assert len(labelled_texts(made, labels, "toxic", 10)) == 20
+    assert plans and all("LocalTableScan" in p for p in plans)
+
+    made.write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before, parts = {*folder.rglob("part-*")}, spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        assert sorted(r.doc_id for r in keep_first(docs).collect()) == [*range(20)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert len({*folder.rglob("part-*")} - before) < 64
