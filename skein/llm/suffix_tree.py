@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.durable import release, stored
-from skein.llm.packing import Bitmap, Reader, Table, bitmap, distinct, pack, pack_sorted, trim
+from skein.functions.durable import release, stored, sweep
+from skein.llm.packing import Bitmap, Reader, Table, ascending, bitmaps, distinct, pack, pack_small, pack_sorted, take_small, trim
 from skein.llm.text import doc_of, hash_words, held_out, mix, slices, small_batches, texts
 
 #: Words of a context at most, occurrences that a context and a transition need, and the discount of each count.
@@ -40,17 +41,17 @@ COST = 2.0
 #: Words whose root counts are broadcast, and entries of the tree, at most.
 HEAD, HOT = 500_000, 2_000_000
 #: Tokens, and entries of the tree, that a part gets on average. Parts follow the data alone: each part sends each other a row.
-PART_TOKENS, PART_ENTRIES = 2_000_000, 2_000_000
+PART_TOKENS, PART_ENTRIES = 4_000_000, 2_000_000
 #: A part's contexts are summed in so many ranges, one after the other.
-PIECES = 4
+PIECES = 8
 #: The end token, a word that no text holds.
 END = np.uint64(0x6A09E667F3BCC909)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BATCH = 4 << 20
 #: Bytes of texts that are scored at a time: each token has several look-ups.
 _ASK = 2 << 20
-#: Transitions know words by 48 bits of their hashes, look-ups of the written tables their keys.
-_CODE, _ASKED = np.uint64(16), np.uint64(0xFFFFFFFFFFFF0000)
+#: Transitions know words by 48 bits of their hashes, look-ups of the written tables their keys by 56.
+_CODE, _CODED, _ASKED = np.uint64(16), np.uint64(0xFFFFFFFFFFFF0000), np.uint64(0xFFFFFFFFFFFFFF00)
 
 
 def tokens(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -78,6 +79,19 @@ def contexts(code: np.ndarray, starts: np.ndarray, depth: int) -> Iterator[tuple
         yield context, key
 
 
+def _followed(c: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of tokens after contexts: one place of each distinct pair, its count, and where each context starts, by one sort. Contexts
+    ascend by the top half of their hashes; the few contexts, or words after one, that share halves may come more than once."""
+    low = np.uint64(0xFFFFFFFF)
+    order = np.argsort(c & ~low | (_pairs(c, code) & low))
+    c, code = c[order], code[order]
+    start = np.concatenate([np.ones(min(1, len(c)), bool), c[1:] != c[:-1]])
+    new = start.copy()
+    new[1:] |= code[1:] != code[:-1]
+    cut = np.flatnonzero(new)
+    return order[cut], np.diff(np.append(cut, len(order))), np.flatnonzero(start[cut])
+
+
 def _part(keys: np.ndarray, parts: int) -> np.ndarray:
     """Parts of equal ranges of 64-bit keys, ascending with them."""
     return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
@@ -117,8 +131,9 @@ def _spread(frame: DataFrame, deal: Callable[[Reader], list[tuple[int, bytes]]])
     return frame.select("blob").mapInArrow(run, _BLOB)
 
 
-def _joined(sources: list[DataFrame], parts: int, merge: Callable[[dict[bytes, list[Reader]]], list[np.ndarray] | None], name: str) -> DataFrame:
-    """A table of one blob a part (n, blob), of the arrays that ``merge`` makes of a part's blobs, listed by their tags."""
+def _joined(sources: list[DataFrame], parts: int, merge: Callable[[dict[bytes, list[Reader]]], list[np.ndarray] | None], name: str, first: int | None = None) -> DataFrame:
+    """A table of one blob a part (n, blob), of the arrays that ``merge`` makes of a part's blobs, listed by their tags. The first
+    ``first`` arrays, if told, are a table of their own (v, words) beside it."""
     every = sources[0]
     for x in sources[1:]:
         every = every.unionAll(x)
@@ -132,9 +147,10 @@ def _joined(sources: list[DataFrame], parts: int, merge: Callable[[dict[bytes, l
             out = merge(held.popitem()[1])
             trim()
             if out is not None and len(out[0]):
-                yield pa.RecordBatch.from_arrays([pa.array([len(out[0])]), pa.array([b"".join(map(pack, out))], pa.binary())], ["n", "blob"])
+                tables = [out[first:], out[:first]] if first else [out]
+                yield pa.RecordBatch.from_arrays([c for x in tables for c in (pa.array([len(x[0])]), pa.array([b"".join(map(pack, x))], pa.binary()))], ["n", "blob", "v", "words"][: 2 * len(tables)])
 
-    return stored(every.repartitionById(parts, F.col("part")).mapInArrow(run, "n long, blob binary"), name)
+    return stored(every.repartitionById(parts, F.col("part")).mapInArrow(run, "n long, blob binary" + (", v long, words binary" if first else "")), name)
 
 
 def _taken(readers: list[Reader] | None, *kinds: type) -> list[np.ndarray]:
@@ -157,20 +173,34 @@ def _rowcount(table: DataFrame) -> int:
     return table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
-def _bitmap(table: DataFrame, keys_of: Callable[[Reader], np.ndarray], n: int) -> Bitmap:
-    return bitmap(table.select("blob"), lambda b: np.concatenate([np.empty(0, np.uint64), *(keys_of(Reader(x)) for x in b.column("blob").to_pylist())]), n)
+def _bitmaps(table: DataFrame, keys_of: Callable[[Reader], list[np.ndarray]], n: int, sets: int = 1) -> list[Bitmap]:
+    def keys(b: pa.RecordBatch) -> list[np.ndarray]:
+        found = [keys_of(Reader(x)) for x in b.column("blob").to_pylist()]
+        return [np.concatenate(x) for x in zip(*found, strict=True)]
+
+    return bitmaps(table.select("blob"), keys, n, sets)
+
+
+def _fixed(x: np.ndarray) -> np.ndarray:
+    """Doubles to 2 ** -36, which have five bytes or six instead of eight; the sign goes last."""
+    x = np.rint(x * 2.0**36).astype(np.int64)
+    return ((x << 1) ^ (x >> 63)).view(np.uint64)
+
+
+def _unfixed(x: np.ndarray) -> np.ndarray:
+    return ((x >> np.uint64(1)).view(np.int64) ^ -(x & np.uint64(1)).view(np.int64)) * 2.0**-36
 
 
 def _above(table: DataFrame, at: int, names: int, most: int) -> tuple[int, list[np.ndarray]]:
-    """Of a table's first ``names`` arrays, the elements whose count (array ``at``) is at least a power of two that at most ``most``
-    have; and this power."""
+    """Of a table's first ``names`` arrays, the elements whose count (array ``at``) is at least one that at most ``most`` have; and this
+    least count, an eighth of a power of two."""
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for blob in b.column("blob").to_pylist():
                 r = Reader(blob)
-                n = [r.take() for _ in range(names)][at].astype(np.float64)
-                size, k = np.unique(np.floor(np.log2(n)).astype(np.int32), return_counts=True)
+                n = [r.take() for _ in range(at + 1)][at].astype(np.float64)
+                size, k = np.unique(np.floor(8 * np.log2(n)).astype(np.int32), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(size), pa.array(k)], ["size", "k"])
 
     found = {r.size: r.k for r in table.select("blob").mapInArrow(sizes, "size int, k long").groupBy("size").agg(F.sum("k").alias("k")).collect()}
@@ -179,7 +209,7 @@ def _above(table: DataFrame, at: int, names: int, most: int) -> tuple[int, list[
         held += found[size]
         if held > most:
             break
-        least = 1 << size
+        least = int(np.ceil(2 ** (size / 8) * (1 - 1e-12)))
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -194,23 +224,6 @@ def _above(table: DataFrame, at: int, names: int, most: int) -> tuple[int, list[
     return least, [np.concatenate([np.empty(0, np.uint64), *x]) for x in zip(*parts, strict=True)] if parts else [np.empty(0, np.uint64)] * names
 
 
-def word_counts(train: DataFrame) -> DataFrame:
-    """A table of word and n by ranges of words; words of one 48-bit code, the first ones, lie in one part."""
-    parts = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, limit=_BATCH):
-            found, n = np.unique(tokens(texts(b))[0], return_counts=True)
-            yield _rows(_dealt(found, parts, b"W", n))
-
-    def merge(kinds: dict[bytes, list[Reader]]) -> list[np.ndarray]:
-        word, n = _taken(kinds[b"W"], np.int64)
-        order, cut = distinct(word)
-        return [word[order][cut], np.add.reduceat(n[order], cut)]
-
-    return _joined([train.mapInArrow(count, _BLOB)], parts, merge, "words")
-
-
 def _codes(r: Reader) -> tuple[np.ndarray, np.ndarray]:
     """Of a part of the word counts: each code as a context of one word, and its count."""
     word, n = r.take(), r.counts()
@@ -221,243 +234,391 @@ def _codes(r: Reader) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Tree:
-    """head: frequent words, with their counts; keys of the frequent entries, with their values; bitmaps of all entries' keys, and
-    of those that aren't here (cold)."""
+    """head: frequent words, with log10 of their P at the root and what they leave to the next token as a state, NaN where the
+    written tables may hold that (both with a last row for all other words); keys of the frequent entries, with their values as a transition to a token and as a
+    state of the next one; a
+    bitmap of the keys of all entries that aren't here (cold)."""
 
     n: int
     v: int
     depth: int
     head: Table
-    counts: np.ndarray
+    roots: np.ndarray
+    singles: np.ndarray
     keys: Table
     values: np.ndarray
-    bits: Bitmap
+    backs: np.ndarray
     cold: Bitmap
 
-    def asked(self, h: np.ndarray, starts: np.ndarray):
-        """(tokens, keys) of all look-ups that an entry may answer, context by context."""
-        alive = np.arange(len(h), dtype=np.int32)
-        steps = contexts(h >> _CODE, starts, self.depth)
-        next(steps)
-        for c, key in steps:
-            state = c[alive] ^ _ODD
-            on = (state != _ODD) & self.bits.may(state)
-            alive = alive[on]  # a kept state's suffixes are kept, so no longer context can be where this one isn't
-            yield alive, state[on]
-            arc = key[alive]
-            on = self.bits.may(arc)
-            yield alive[on], arc[on]
-
-    def root(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each token is in the head, and log10 of its P at the root (of count 0 outside the head)."""
+    @staticmethod
+    def of(n: int, v: int, depth: int, head: Table, counts: np.ndarray, keys: Table, values: np.ndarray, backs: np.ndarray, cold: Bitmap) -> Tree:
+        key = _pairs(np.zeros(len(counts), np.uint64), head.keys >> _CODE)
+        place, hit = keys.find(key)
+        singles = np.full(len(counts) + 1, np.nan)
+        singles[:-1][hit] = backs[place[hit]]
+        singles[:-1][~hit & ~cold.may(key)] = 0
+        return Tree(n, v, depth, head, np.log10((np.append(counts, 0) + 1) / (n + v + 1)), singles, keys, values, backs, cold)
+
+    def __reduce__(self):
+        return _tree, (self.n, self.v, self.depth, self.head, self.roots, self.singles, self.keys, pack(_fixed(self.values)), pack(_fixed(self.backs)), self.cold)
+
+    def asked(self, h: np.ndarray, starts: np.ndarray, known: np.ndarray | None = None):
+        """(tokens, keys) of the look-ups that the frequent entries answer, their places, and (tokens, keys) of those that others
+        may answer, context by context: a token with so many words before it is a transition, and a state of the next token.
+        Tokens that are ``known`` as states aren't asked alone."""
+        there = np.ones(len(h), bool) if known is None else ~known
+        for d, (c, key) in enumerate(contexts(h >> _CODE, starts, self.depth)):
+            on = there if d == 0 else c != 0
+            if d > 1:  # a transition's suffix is one too, and a state's: where the shorter one isn't, this one isn't
+                on &= there
+            if d == self.depth > 1:  # transitions alone, and only of states
+                on[1:] &= there[:-1]
+            on = np.flatnonzero(on).astype(np.int32)
+            key = key[on]
+            place, hit = self.keys.find(key)
+            rest = np.flatnonzero(~hit)
+            rest = rest[self.cold.may(key[rest])]
+            here, rest, key = on[hit], on[rest], key[rest]
+            there = np.zeros(len(h), bool)
+            there[here] = there[rest] = True
+            yield here, place[hit], rest, key
+
+    def root(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether each token is in the head, log10 of its P at the root (of count 0 outside the head), and what it is as a state (NaN
+        where that isn't known here)."""
         place, known = self.head.find(h)
-        count = np.where(known, self.counts[place] if len(self.counts) else 0, 0)
-        return known, np.log10((count + 1) / (self.n + self.v + 1))
+        place = np.where(known, place, len(self.head.keys))
+        return known, self.roots.take(place), self.singles.take(place)
 
     def scores(self, h: np.ndarray, starts: np.ndarray):
         """Per token: whether it is in the head, log10 of its P at the root, the sum of the frequent entries' values; and (token, key)
         of the look-ups that only the written tables can answer: words outside the head, and cold entries."""
-        known, root = self.root(h)
+        known, root, single = self.root(h)
+        first = np.zeros(len(h) + 1, bool)
+        first[starts] = True
+        sure = single == single
         more, rest = np.zeros(len(h)), np.flatnonzero(~known).astype(np.int32)
+        more[1:] = np.where(sure & ~first[1:], single, 0)[:-1]
         at, keys = [rest], [mix(h[rest] ^ _ODD)]
-        for token, key in self.asked(h, starts):
-            place, hit = self.keys.find(key)
-            more[token[hit]] += self.values[place[hit]]  # a token asks once a step
-            on = np.flatnonzero(~hit)
-            on = on[self.cold.may(key[on])]
-            at.append(token[on])
-            keys.append(key[on])
+        for here, found, token, key in self.asked(h, starts, sure):
+            more[here] += self.values[found]  # a token asks once a step
+            on = ~first[here + 1]
+            more[here[on] + 1] += self.backs[found[on]]
+            at.append(token)
+            keys.append(key)
         return known, root, more, np.concatenate(at), np.concatenate(keys) & _ASKED
 
 
-def _states(c, above, whole, fan, code, n) -> list[np.ndarray] | None:
-    """Of contexts with their counts in several batches, and of what follows them: context, above, whole, back, fan; key, suffix, n, ends."""
-    if not len(code):
-        return None
+def _tree(n, v, depth, head, roots, singles, keys, values, backs, cold) -> Tree:
+    return Tree(n, v, depth, head, roots, singles, keys, *(_unfixed(Reader(x).take()) for x in (values, backs)), cold)
+
+
+def _back(whole: np.ndarray, held: np.ndarray, fan: np.ndarray) -> np.ndarray:
+    """What a state leaves to its suffix, of its occurrences, those of its transitions and their number."""
+    return np.maximum(1e-12, 1 - (held - DISCOUNT * fan) / whole)
+
+
+def _states(c, above, whole, fan, code, n) -> list[np.ndarray]:
+    """Of contexts with their counts in several batches, and of what follows them: context, above, whole, held, fan; key, suffix, n, ends."""
     at, over = np.repeat(c, fan), np.repeat(above, fan)
     order, cut = distinct(c)
     names, total = c[order][cut], np.add.reduceat(whole[order], cut)
     order, cut = distinct(_pairs(at, code))
-    count, one = np.add.reduceat(n[order], cut), order[cut]
+    count, one = (np.add.reduceat(n[order], cut), order[cut]) if len(n) else (n, order)
     keep = count >= NEXT
     count, one = count[keep], one[keep]
     state = np.searchsorted(names, at[one])
     keep = total[state] >= CONTEXT
     count, one, state = count[keep], one[keep], state[keep]
-    if not len(one):
-        return None
     order, cut = distinct(state)
     count, one, state = count[order], one[order], state[order]
     fans, who = np.diff(np.append(cut, len(state))), state[cut]
-    back = np.maximum(1e-12, 1 - (np.add.reduceat(count, cut) - DISCOUNT * fans) / total[who])
-    return [names[who], over[one[cut]], total[who], back, fans, _pairs(at[one], code[one]), _pairs(over[one], code[one]), count, code[one] == END >> _CODE]
+    held = np.add.reduceat(count, cut) if len(count) else count
+    return [names[who], over[one[cut]], total[who], held, fans, _pairs(at[one], code[one]), _pairs(over[one], code[one]), count, code[one] == END >> _CODE]
+
+
+def _pieces(held: list[tuple[np.ndarray, ...]], each: Callable) -> list[np.ndarray]:
+    """What ``each`` makes of a part's contexts and what follows them, range by range of the top
+    halves of their hashes, by which they ascend. A blob's arrays are by context, the numbers of followers last, and two by follower."""
+    half = [x[0] >> np.uint64(32) for x in held]
+    low, high = min(int(x[0]) for x in half), max(int(x[-1]) for x in half)
+    cuts = [low + (high - low) * k // PIECES for k in range(1, PIECES)]
+    edges = [np.array([0, *np.searchsorted(x, np.array(cuts, np.uint64)), len(x)]) for x in half]
+    moves = [np.concatenate([[0], np.cumsum(x[-3])]) for x in held]
+    out = []
+    for k in range(PIECES):
+        spans = [(int(e[k]), int(e[k + 1])) for e in edges]
+        some = [[a[s:e] for a in x[:-2]] + [a[m[s] : m[e]] for a in x[-2:]] for x, m, (s, e) in zip(held, moves, spans, strict=True)]
+        found = [np.concatenate(x) for x in zip(*some, strict=True)]
+        if len(found[0]):
+            out.append(each(*found))
+    return [np.concatenate(x) for x in zip(*out, strict=True)]
+
 
+def _words(train: DataFrame, parts: int) -> DataFrame:
+    """A table by ranges of words: each word with its count (v, words), and the contexts of one word with what follows them, as
+    ``_gathered`` has them (n, blob). Every word but the end is followed once each time it occurs, so contexts tell the counts. Words
+    of one 48-bit code, the first ones, lie in one part and piece."""
 
-def _gathered(train: DataFrame, d: int, parts: int, frequent: Bitmap, words: Bitmap, shorter: Bitmap | None) -> DataFrame:
-    """A table by ranges of contexts: the contexts of ``d`` words that occur ``CONTEXT`` times (context, above: its suffix, whole, back,
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, limit=_BATCH):
+            h, starts = tokens(texts(b))
+            inner = np.ones(len(h), bool)
+            inner[starts[:-1]] = False
+            at = np.flatnonzero(inner)
+            some, n, cut = _followed(h[at - 1], h[at] >> _CODE)
+            at = at[some]
+            name, whole, fan = h[at[cut] - 1], np.add.reduceat(n, cut) if len(n) else n, np.diff(np.append(cut, len(at)))
+            end = np.searchsorted(name >> np.uint64(32), END >> np.uint64(32))
+            name, whole, fan = np.insert(name, end, END), np.insert(whole, end, b.num_rows), np.insert(fan, end, 0)
+            ends, code = np.concatenate([[0], np.cumsum(fan)]), h[at] >> _CODE
+            del some, inner, h, at
+            trim()
+            yield _rows([(p, b"".join([b"C", pack_sorted(name[s:e]), pack(whole[s:e]), pack(fan[s:e]), pack(code[ends[s] : ends[e]]), pack(n[ends[s] : ends[e]])])) for p, s, e in _edges(name, parts)])
+
+    def each(word, whole, fan, code, n) -> list[np.ndarray]:
+        order, cut = distinct(word)
+        found = _states(_pairs(np.zeros(len(word), np.uint64), word >> _CODE), np.zeros(len(word), np.uint64), whole, fan, code, n)
+        return [word[order][cut], np.add.reduceat(whole[order], cut), *found]
+
+    def merge(kinds: dict[bytes, list[Reader]]) -> list[np.ndarray]:
+        return _pieces([(r.take_sorted(), r.counts(), r.counts(), r.take(), r.counts()) for r in kinds.pop(b"C")], each)
+
+    return _joined([train.mapInArrow(count, _BLOB)], parts, merge, "words", 2)
+
+
+@dataclass
+class Names:
+    """Frequent words by their rank, from 1: most ranks have a byte or two, where codes have six."""
+
+    table: Table
+    rank: np.ndarray
+    codes: np.ndarray
+
+    @staticmethod
+    def of(word: np.ndarray, count: np.ndarray) -> Names:
+        key, first = np.unique(word & _CODED, return_index=True)
+        order = np.argsort(count[first])[::-1]
+        rank = np.empty(len(key), np.uint32)
+        rank[order] = np.arange(1, len(key) + 1)
+        return Names(Table(key), rank, np.concatenate([np.zeros(1, np.uint64), key[order] >> _CODE]))
+
+    def ranks(self, h: np.ndarray) -> np.ndarray:
+        """0 for a word that has none."""
+        place, hit = self.table.find(h & _CODED)
+        return np.where(hit, self.rank[place], 0) if len(self.rank) else np.zeros(len(h), np.uint32)
+
+    @staticmethod
+    def packed(rank: np.ndarray, code: np.ndarray) -> bytes:
+        return pack(rank) + pack(code[rank == 0])
+
+    def take(self, r: Reader) -> np.ndarray:
+        rank, code = r.counts(), r.take()
+        out = self.codes[rank]
+        out[rank == 0] = code
+        return out
+
+
+def _gathered(train: DataFrame, d: int, parts: int, frequent: Bitmap, words: Bitmap, shorter: Bitmap, names: Names) -> DataFrame:
+    """A table by ranges of contexts: the contexts of ``d`` words that occur ``CONTEXT`` times (context, above: its suffix, whole, held,
     fan), and the words that follow ``NEXT`` times (key, suffix, n, whether it is the end). What follows a context so often follows
-    its suffix so often, so the bitmaps lose none."""
+    its suffix so often, so the bitmaps lose none. Blobs name a context's suffix by its words."""
     broadcast = train.sparkSession.sparkContext.broadcast
-    frequent, words, shorter = broadcast(frequent), broadcast(words), broadcast(shorter)
+    shared = [broadcast(x) for x in (frequent, words, shorter, names)]
+    frequent, words, shorter, names = shared
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, limit=_BATCH):
             h, starts = tokens(texts(b))
             code, last = h >> _CODE, None
             for step in contexts(code, starts, d):
-                (above, suffix), last = last or step, step
-            c, key = last
+                (_, suffix), last = last or step, step
+            c, _ = last
             on = np.flatnonzero(c != 0)
             on = on[frequent.value.may(c[on])]
             if not len(on):
                 continue
-            order, cut = distinct(key[on])
-            at, n = on[order][cut], np.diff(np.append(cut, len(on)))
-            order, cut = distinct(c[at])
-            at, n = at[order], n[order]
+            at, n, cut = _followed(c[on], code[on])
+            at = on[at]
             whole = np.add.reduceat(n, cut)
             keep = words.value.may(h[at])
-            if shorter.value is not None:
-                keep &= shorter.value.may(suffix[at])
+            keep[keep] = shorter.value.may(suffix[at[keep]])
             fan = np.add.reduceat(keep.astype(np.int64), cut)
             ends = np.concatenate([[0], np.cumsum(fan)])
-            del order, on, suffix, key, last, h
-            name, over, followed, held = c[at][cut], above[at][cut], code[at][keep], n[keep]
+            del on, suffix, last
+            first, followed, held = at[cut], at[keep], n[keep]
+            name, over = c[first], [first - k for k in range(1, d)]
+            over, followed = [(names.value.ranks(h[x]), code[x]) for x in over], (names.value.ranks(h[followed]), code[followed])
+            del h, code, c, at
             trim()
-            yield _rows([(p, b"".join([b"C", pack_sorted(name[s:e]), pack(over[s:e]), pack(whole[s:e]), pack(fan[s:e]), pack(followed[ends[s] : ends[e]]), pack(held[ends[s] : ends[e]])])) for p, s, e in _edges(name, parts)])
+            some = lambda x, s, e: Names.packed(x[0][s:e], x[1][s:e])
+            yield _rows([(p, b"".join([b"C", pack_sorted(name[s:e]), *(some(x, s, e) for x in over), pack(whole[s:e]), pack(fan[s:e]), some(followed, ends[s], ends[e]), pack(held[ends[s] : ends[e]])])) for p, s, e in _edges(name, parts)])
 
-    def merge(kinds: dict[bytes, list[Reader]]) -> list[np.ndarray] | None:
-        held = [(r.take_sorted(), r.take(), r.counts(), r.counts(), r.take(), r.counts()) for r in kinds.pop(b"C")]
-        low, high = min(int(x[0][0]) for x in held), max(int(x[0][-1]) for x in held)
-        cuts = [low + (high - low) * k // PIECES for k in range(1, PIECES)]
-        edges = [np.array([0, *np.searchsorted(x[0], np.array(cuts, np.uint64)), len(x[0])]) for x in held]
-        moves = [np.concatenate([[0], np.cumsum(x[3])]) for x in held]
-        out = []
-        for k in range(PIECES):
-            spans = [(int(e[k]), int(e[k + 1])) for e in edges]
-            some = [[a[s:e] for a in x[:4]] + [a[m[s] : m[e]] for a in x[4:]] for x, m, (s, e) in zip(held, moves, spans, strict=True)]
-            found = _states(*(np.concatenate(x) for x in zip(*some, strict=True)))
-            if found:
-                out.append(found)
-        return [np.concatenate(x) for x in zip(*out, strict=True)] if out else None
+    def blob(r: Reader) -> tuple[np.ndarray, ...]:
+        name = r.take_sorted()
+        above = np.zeros(len(name), np.uint64)
+        for code in [names.value.take(r) for _ in range(1, d)][::-1]:
+            above = _pairs(above, code)
+        return name, above, r.counts(), r.counts(), names.value.take(r), r.counts()
+
+    def merge(kinds: dict[bytes, list[Reader]]) -> list[np.ndarray]:
+        return _pieces([blob(r) for r in kinds.pop(b"C")], _states)
 
     out = _joined([train.mapInArrow(count, _BLOB)], parts, merge, f"contexts-{d}")
-    for x in (frequent, words, shorter):
+    for x in shared:
         x.destroy()
     return out
 
 
 def _level(raw: DataFrame, lower: DataFrame, parts: int, d: int) -> DataFrame:
-    """A table of context, key, n, ends, p, gain, value of the transitions: each meets its suffix's P, dealt by that one's key."""
+    """A table of context, key, n, ends, whole, held, fan, under of the transitions: each meets its suffix's P, dealt by that one's key."""
 
     def ask(r: Reader) -> list[tuple[int, bytes]]:
-        name, _, whole, back, fan, key, suffix, n, ends = r.take(), r.take(), r.counts(), r.floats(), r.counts(), r.take(), r.take(), r.counts(), r.take()
-        return _dealt(suffix, parts, b"Q", key, np.repeat(name, fan), n, ends, np.repeat(whole, fan), np.repeat(back, fan))
+        name, _, whole, held, fan, key, suffix, n, ends = r.take(), r.take(), r.counts(), r.counts(), r.counts(), r.take(), r.take(), r.counts(), r.take()
+        return _dealt(suffix, parts, b"Q", key, *(np.repeat(x, fan) for x in (name, whole, held, fan)), n, ends)
 
     def merge(kinds: dict[bytes, list[Reader]]) -> list[np.ndarray]:
-        suffix, key, context, n, ends, whole, back = _taken(kinds.get(b"Q"), np.uint64, np.uint64, np.int64, np.uint64, np.int64, np.float64)
+        suffix, key, context, whole, held, fan, n, ends = _taken(kinds.get(b"Q"), np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int64, np.uint64)
         keys, ps = _taken(kinds.get(b"P"), np.float64)
         order = np.argsort(keys)
         place, hit = Table(keys[order]).find(suffix)
-        suffix, key, context, n, ends, whole, back = (x[hit] for x in (suffix, key, context, n, ends, whole, back))
         under = ps[order][place[hit]] if len(ps) else np.empty(0)
-        p = (n - DISCOUNT) / whole + back * under
-        return [context, key, n, ends, p, n * np.log(n / whole / under), np.log10(p / under) - np.log10(back)]
+        return [*(x[hit] for x in (context, key, n, ends, whole, held, fan)), under]
 
     return _joined([_spread(raw, ask), lower], parts, merge, f"level-{d}")
 
 
+@dataclass
+class Moves:
+    """A level's blob, and what follows from it."""
+
+    context: np.ndarray
+    key: np.ndarray
+    n: np.ndarray
+    ends: np.ndarray
+    whole: np.ndarray
+    back: np.ndarray
+    under: np.ndarray
+
+    @staticmethod
+    def of(r: Reader) -> Moves:
+        context, key, n, ends, whole, held, fan = r.take(), r.take(), r.counts(), r.take(), r.counts(), r.counts(), r.counts()
+        return Moves(context, key, n, ends, whole, _back(whole, held, fan), r.floats())
+
+    def p(self) -> np.ndarray:
+        return (self.n - DISCOUNT) / self.whole + self.back * self.under
+
+    def gain(self) -> np.ndarray:
+        return self.n * np.log(self.n / self.whole / self.under)
+
+    def value(self) -> np.ndarray:
+        return np.log10(self.p() / self.under) - np.log10(self.back)
+
+
 def _nodes(raw: DataFrame, level: DataFrame, parts: int, d: int) -> DataFrame:
-    """A table of context, above, whole, back, passes."""
+    """A table of context, above, whole, held, fan, passes."""
 
     def gains(r: Reader) -> list[tuple[int, bytes]]:
-        context, _, _, _, _, gain = r.take(), r.take(), r.take(), r.take(), r.take(), r.floats()
-        order, cut = distinct(context)
-        return _dealt(context[order][cut], parts, b"G", np.add.reduceat(gain[order], cut), np.diff(np.append(cut, len(order)))) if len(order) else []
+        moves = Moves.of(r)
+        order, cut = distinct(moves.context)
+        return _dealt(moves.context[order][cut], parts, b"G", np.add.reduceat(moves.gain()[order], cut), np.diff(np.append(cut, len(order)))) if len(order) else []
 
     def merge(kinds: dict[bytes, list[Reader]]) -> list[np.ndarray]:
-        names, above, whole, back = _taken(kinds.get(b"N"), np.uint64, np.int64, np.float64)
+        names, above, whole, held, fan = _taken(kinds.get(b"N"), np.uint64, np.int64, np.int64, np.int64)
         context, gain, n = _taken(kinds.get(b"G"), np.float64, np.int64)
+        order = np.argsort(names)
+        names, above, whole, held, fan = (x[order] for x in (names, above, whole, held, fan))
         place, _ = Table(names).find(context)
         passes = np.bincount(place, gain, len(names)) > COST * np.bincount(place, n, len(names))
-        return [names, above, whole, back, passes]
+        return [names, above, whole, held, fan, passes]
 
-    return _joined([_spread(level, gains), _spread(raw, lambda r: _dealt(r.take(), parts, b"N", r.take(), r.take(), r.floats()))], parts, merge, f"nodes-{d}")
+    return _joined([_spread(level, gains), _spread(raw, lambda r: _dealt(r.take(), parts, b"N", *(r.take() for _ in range(4))))], parts, merge, f"nodes-{d}")
 
 
 def _needed(nodes: DataFrame, longer: DataFrame | None, parts: int, d: int) -> DataFrame:
-    """A table of context, above, whole, back of the nodes that pass or are the suffix of one in ``longer``."""
+    """A table of context, above, whole, held, fan of the nodes that pass or are the suffix of one in ``longer``."""
 
     def merge(kinds: dict[bytes, list[Reader]]) -> list[np.ndarray] | None:
-        names, above, whole, back, passes = _taken(kinds.get(b"N"), np.uint64, np.int64, np.float64, np.uint64)
+        names, above, whole, held, fan, passes = _taken(kinds.get(b"N"), *[np.uint64] * 5)
         keep = passes > 0
-        keep[np.searchsorted(names, np.unique(_taken(kinds.get(b"S"))[0]))] = True
-        return [x[keep] for x in (names, above, whole, back)]
+        keep[np.searchsorted(names, ascending(_taken(kinds.get(b"S"))[0]))] = True
+        return [x[keep] for x in (names, above, whole, held, fan)]
 
-    sources = [_spread(nodes, lambda r: _dealt(r.take(), parts, b"N", r.take(), r.take(), r.floats(), r.take()))]
+    sources = [_spread(nodes, lambda r: _dealt(r.take(), parts, b"N", *(r.take() for _ in range(5))))]
     if longer is not None:
-        sources.append(_spread(longer, lambda r: (r.take(), _dealt(np.unique(r.take()), parts, b"S"))[1]))
+        sources.append(_spread(longer, lambda r: (r.take(), _dealt(ascending(r.take()), parts, b"S"))[1]))
     return _joined(sources, parts, merge, f"kept-{d}")
 
 
-def grow(train: DataFrame, counts: DataFrame, n: int, v: int, depth: int) -> DataFrame:
-    """The tree: a table of key, n, value of its states and transitions."""
+def _branch(level: DataFrame, kept: DataFrame, parts: int, d: int) -> DataFrame:
+    """The kept states and their transitions as a table of key, n, value, whether it is a state."""
+
+    def arcs(r: Reader) -> list[tuple[int, bytes]]:
+        moves = Moves.of(r)
+        return _dealt(moves.context, parts, b"M", moves.key, moves.n, _fixed(moves.value()))
+
+    def states(r: Reader) -> list[tuple[int, bytes]]:
+        name, _, whole, held, fan = r.take(), r.take(), r.counts(), r.counts(), r.counts()
+        return _dealt(name, parts, b"K", whole, _fixed(np.log10(_back(whole, held, fan))))
+
+    def merge(kinds: dict[bytes, list[Reader]]) -> list[np.ndarray]:
+        names, whole, back = _taken(kinds.get(b"K"), np.int64, np.uint64)
+        context, key, k, value = _taken(kinds.get(b"M"), np.uint64, np.int64, np.uint64)
+        order = np.argsort(names)
+        _, on = Table(names[order]).find(context)
+        return [np.concatenate(x) for x in ([names, key[on]], [whole, k[on]], [back, value[on]], [np.ones(len(names), bool), np.zeros(on.sum(), bool)])]
+
+    return _joined([_spread(level, arcs), _spread(kept, states)], parts, merge, f"suffix-tree-{d}")
+
+
+def grow(train: DataFrame, raw: DataFrame, counts: DataFrame, names: Names, n: int, v: int, depth: int) -> DataFrame:
+    """The tree, of the contexts of one word and the word counts: a table of key, n, value of its states and transitions, and
+    whether it is a state. A state's key is that of the transition that its last word is, and both have one count: every word of a
+    context is followed by a token."""
     parts = n // PART_TOKENS + 1
-    end = _pairs(np.zeros(1, np.uint64), np.array([END >> _CODE]))
 
     def roots(r: Reader) -> list[tuple[int, bytes]]:
         key, whole = _codes(r)
         on = whole >= NEXT
         return _dealt(key[on], parts, b"P", (whole[on] + 1) / float(n + v + 1))
 
-    def often(r: Reader, least: int) -> np.ndarray:
-        key, whole = _codes(r)
-        return key[(whole >= least) & (key != end)]
-
-    def moves(r: Reader) -> tuple[np.ndarray, ...]:
-        return r.take(), r.take(), r.counts(), r.take(), r.floats(), r.floats(), r.floats()
+    def follow(r: Reader) -> list[np.ndarray]:
+        _, key, k, ends = r.take(), r.take(), r.counts(), r.take()
+        return [key[(k >= CONTEXT) & (ends == 0)], key]
 
-    def follow(r: Reader) -> np.ndarray:
-        _, key, k, ends, *_ = moves(r)
-        return key[(k >= CONTEXT) & (ends == 0)]
-
-    def spell(r: Reader) -> np.ndarray:
+    def spell(r: Reader) -> list[np.ndarray]:
         word, k = r.take(), r.counts()
-        return word[k >= NEXT]
+        return [word[k >= NEXT]]
+
+    def passed(r: Reader) -> list[tuple[int, bytes]]:
+        moves = Moves.of(r)
+        return _dealt(moves.key, parts, b"P", moves.p())
 
-    words, frequent, shorter = _bitmap(counts, spell, v), _bitmap(counts, lambda r: often(r, CONTEXT), v), None
+    words = _bitmaps(counts, spell, v)[0]
     lower, nodes, levels = _spread(counts, roots), [], []
     for d in range(1, depth + 1):
-        raw = _gathered(train, d, parts, frequent, words, shorter)
-        level = _level(raw, lower, parts, d)
-        nodes.append(_nodes(raw, level, parts, d))
+        if d > 1:
+            frequent, shorter = _bitmaps(levels[-1], follow, _rowcount(levels[-1]), 2)
+            raw = _gathered(train, d, parts, frequent, words, shorter, names)
+        levels.append(_level(raw, lower, parts, d))
+        nodes.append(_nodes(raw, levels[-1], parts, d))
         release(raw)
-        levels.append(level)
-        lower = _spread(level, lambda r: (lambda m: _dealt(m[1], parts, b"P", m[4]))(moves(r)))
-        if d < depth:
-            size = _rowcount(level)
-            frequent, shorter = _bitmap(level, follow, size), _bitmap(level, lambda r: moves(r)[1], size)
-    kept = [None] * depth
+        lower = _spread(levels[-1], passed)
+    kept, branches = None, []
     for d in range(depth, 0, -1):
-        kept[d - 1] = _needed(nodes[d - 1], kept[d] if d < depth else None, parts, d)
-
-    def merge(kinds: dict[bytes, list[Reader]]) -> list[np.ndarray]:
-        names, whole, back = _taken(kinds.get(b"K"), np.int64, np.float64)
-        context, key, k, value = _taken(kinds.get(b"M"), np.uint64, np.int64, np.float64)
-        on = np.isin(context, names)
-        return [np.concatenate([names ^ _ODD, key[on]]), np.concatenate([whole, k[on]]), np.concatenate([np.log10(back), value[on]])]
-
-    arcs = [_spread(x, lambda r: (lambda m: _dealt(m[0], parts, b"M", m[1], m[2], m[6]))(moves(r))) for x in levels]
-    states = [_spread(x, lambda r: (lambda name, _, whole, back: _dealt(name, parts, b"K", whole, back))(r.take(), r.take(), r.take(), r.floats())) for x in kept]
-    tree = _joined(arcs + states, parts, merge, "suffix-tree")
-    release(*kept, *nodes, *levels)
-    return tree
+        longer, kept = kept, _needed(nodes[d - 1], kept, parts, d)
+        release(nodes[d - 1], *[longer] * (longer is not None))
+        branches.append(_branch(levels[d - 1], kept, parts, d))
+        release(levels[d - 1])
+    release(kept)
+    return reduce(DataFrame.unionAll, branches)
 
 
 def plant(train: DataFrame, head: int = HEAD, depth: int = DEPTH, hot: int = HOT) -> tuple[Tree, Callable[[int], DataFrame], int]:
     """The tree's frequent part; all that the written tables hold beside it (words outside the head, cold entries), as blobs of key,
     value, word (1 or 0) dealt over a number of parts; and the number of these entries."""
-    counts = word_counts(train)
+    raw = _words(train, int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    counts = stored(raw.select(F.col("v").alias("n"), F.col("words").alias("blob")), "counts")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -467,20 +628,25 @@ def plant(train: DataFrame, head: int = HEAD, depth: int = DEPTH, hot: int = HOT
     v, n = _rowcount(counts), counts.select("blob").mapInArrow(sums, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     least, (word, count) = _above(counts, 1, 2, head)
     order = np.argsort(word)
-    table = grow(train, counts, n, v, depth)
-    often, (key, _, value) = _above(table, 1, 3, hot)
-    by_key, size = np.argsort(key), _rowcount(table)
-
-    def every(r: Reader) -> np.ndarray:
-        return r.take()
+    table = grow(train, raw, counts, Names.of(word, count), n, v, depth)
+    often, (key, _, value, state) = _above(table, 1, 4, hot)
+    n_rest, size = v - len(word) + _rowcount(table) - len(key), _rowcount(table)
+    order_of, cut = distinct(key)
+    key, of = key[order_of][cut], np.repeat(np.arange(len(cut)), np.diff(np.append(cut, len(key))))
+    value, state = _unfixed(value[order_of]), state[order_of] > 0
+    values, backs = (np.bincount(of[on], value[on], len(key)) for on in (~state, state))
+
+    def spared(r: Reader) -> list[np.ndarray]:
+        key, n = r.take(), r.counts()
+        return [key[n < often]]
 
     def chilled(r: Reader) -> tuple[np.ndarray, np.ndarray]:
-        key, n, value = r.take(), r.counts(), r.floats()
+        key, n, value = r.take(), r.counts(), r.take()
         return key[n < often], value[n < often]
 
     def rare(r: Reader) -> tuple[np.ndarray, np.ndarray]:
         word, n = r.take(), r.counts()
-        return mix(word[n < least] ^ _ODD), np.log10(n[n < least] + 1.0)
+        return mix(word[n < least] ^ _ODD), _fixed(np.log10(n[n < least] + 1.0))
 
     def rest(parts: int) -> DataFrame:
         def entries(of, is_word: int):
@@ -492,18 +658,19 @@ def plant(train: DataFrame, head: int = HEAD, depth: int = DEPTH, hot: int = HOT
 
         return _spread(counts, entries(rare, 1)).unionAll(_spread(table, entries(chilled, 0)))
 
-    tree = Tree(n, v, depth, Table(word[order]), count[order].view(np.int64), Table(key[by_key]), value[by_key].view(np.float64), _bitmap(table, every, size), _bitmap(table, lambda r: chilled(r)[0], size))
-    return tree, rest, v - len(word) + size - len(key)
+    tree = Tree.of(n, v, depth, Table(word[order]), count[order].view(np.int64), Table(key), values, backs, *_bitmaps(table, spared, size))
+    return tree, rest, n_rest
 
 
-def score_texts(docs: DataFrame, hold: tuple[int, int] = (7, 2), head: int = HEAD, depth: int = DEPTH, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, hold: tuple[int, int] = (7, 2), head: int = HEAD, depth: int = DEPTH, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", rounds: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     Learns from all rows but those with crc32(id) mod hold[0] = hold[1]. base_score is the add-one score of single words,
     score the tree's log10 probability; both count the end of the text as a token. A null text is empty, and has its end
     alone. Repeated rows count and are scored each; a null id counts as the empty text in the hash. Without training rows
     every token has probability 1 by the stated formula. Words are known by 64-bit hashes, in the tree by 48 bits of
-    these.
+    these. Texts are scored in ``rounds`` by their ids' hashes (2 where entries fill several parts), so that the look-ups of
+    one round are gone before the next.
     An empty table gives no rows; other columns play no part.
     """
     spark = docs.sparkSession
@@ -512,8 +679,8 @@ def score_texts(docs: DataFrame, hold: tuple[int, int] = (7, 2), head: int = HEA
     train = rows.filter(~held_out("doc_id", *hold)).select("text")
     tree, rest, n_rest = plant(train, head, depth, hot)
     shared = spark.sparkContext.broadcast(tree)
-    parts = n_rest // PART_ENTRIES + tree.n // (4 * PART_TOKENS) + 1
-
+    rounds = rounds or (1 if n_rest < PART_ENTRIES else 2)
+    parts = n_rest // PART_ENTRIES + tree.n // (2 * rounds * PART_TOKENS) + 1
     homes = tree.n // PART_TOKENS + 1
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -533,7 +700,7 @@ def score_texts(docs: DataFrame, hold: tuple[int, int] = (7, 2), head: int = HEA
             told = [(home % parts, b"".join([b"D", pack(np.array([home])), pack(name), pack(np.array([len(edges)])), *(pack(np.asarray(b.column(c)).view(np.uint64)) for c in ("doc", "unnamed")), pack(np.diff(starts)), pack(add(known.astype(np.int64))), pack(base), pack(base + add(more))]))]
             for p, s, e in edges:
                 cut = np.flatnonzero(np.concatenate([[True], key[s:e][1:] != key[s:e][:-1]]))
-                told.append((p, b"".join([b"A", pack_sorted(key[s:e][cut]), pack(np.diff(np.append(cut, e - s))), pack(doc[s:e]), pack(np.array([home])), pack(name)])))
+                told.append((p, b"".join([b"A", pack_sorted(key[s:e][cut]), pack(np.diff(np.append(cut, e - s))), pack_small(doc[s:e]), pack(np.array([home])), pack(name)])))
             del h, known, root, more, token, order, key, doc
             trim()
             yield _rows(told)
@@ -546,21 +713,23 @@ def score_texts(docs: DataFrame, hold: tuple[int, int] = (7, 2), head: int = HEA
                 parts_of.setdefault(part, {}).setdefault(blob[:1], []).append(Reader(blob, 1))
         while parts_of:
             kinds = parts_of.popitem()[1]
-            keys, values, words = _taken(kinds.pop(b"E", None), np.float64, np.int64)
-            order = np.argsort(keys)
-            keys, values, words = Table(keys[order]), np.append(values[order], 0.0), np.append(words[order] > 0, False)
-            del order
+            keys, values, words = _taken(kinds.pop(b"E", None), np.uint64, np.int64)
+            values = _unfixed(values)
+            order, cut = distinct(keys)  # a state and a transition have one key
+            keys, values, words = Table(keys[order][cut]), np.add.reduceat(values[order], cut) if len(cut) else values, words[order][cut] > 0
+            del order, cut
             trim()
             out = [(int(r.take()[0]), r.raw) for r in kinds.pop(b"D", [])]
             asks = kinds.pop(b"A", [])
             while asks:  # each goes when it is answered
                 r = asks.pop()
-                key, n, doc, home, name = r.take_sorted(), r.counts(), r.counts(), r.take(), r.take()
+                key, n, doc, home, name = r.take_sorted(), r.counts(), take_small(r), r.take(), r.take()
                 place, hit = keys.find(key)
-                place = np.repeat(np.where(hit, place, -1), n)
-                told = np.flatnonzero(np.bincount(doc, place >= 0, int(name[2])))
-                value, word = values[place], words[place]
-                out.append((int(home[0]), b"".join([b"S", pack(name), pack(told), *(pack(np.bincount(doc, w, int(name[2]))[told]) for w in (word, value * word, value))])))
+                place, hit = np.repeat(place, n), np.repeat(hit, n)
+                place, doc = place[hit], doc[hit]
+                told, value, word = np.flatnonzero(np.bincount(doc, minlength=int(name[2]))), values[place], words[place]
+                known, base, full = np.bincount(doc[word], minlength=int(name[2])), np.bincount(doc[word], value[word], int(name[2])), np.bincount(doc, value, int(name[2]))
+                out.append((int(home[0]), b"".join([b"S", pack(name), pack(told), *(pack(x[told].astype(np.float64)) for x in (known, base, full))])))
             for k in range(0, len(out), 1000):
                 yield _rows(out[k : k + 1000])
 
@@ -591,8 +760,13 @@ def score_texts(docs: DataFrame, hold: tuple[int, int] = (7, 2), head: int = HEA
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, unnamed, size, known + np.rint(words).astype(np.int64), r.floats() + base, r.floats() + full)], ["doc", "unnamed", "tokens", "known", "base", "full"])
 
     keyed = rows.select(F.coalesce("doc_id", F.lit(0)).alias("doc"), F.col("doc_id").isNull().cast("long").alias("unnamed"), "text")
-    asked = keyed.mapInArrow(ask, _BLOB).unionAll(rest(parts))
-    answered = asked.repartitionById(parts, F.col("part")).mapInArrow(answer, _BLOB)
-    each = answered.repartitionById(homes, F.col("part")).mapInArrow(finish, "doc long, unnamed long, tokens long, known long, base double, full double")
+    def scored(k: int) -> DataFrame:
+        some = keyed if rounds == 1 else keyed.filter(F.pmod(F.xxhash64("doc"), F.lit(rounds)) == k)
+        asked = some.mapInArrow(ask, _BLOB).unionAll(rest(parts))
+        answered = asked.repartitionById(parts, F.col("part")).mapInArrow(answer, _BLOB)
+        return answered.repartitionById(homes, F.col("part")).mapInArrow(finish, "doc long, unnamed long, tokens long, known long, base double, full double")
+
+    sweep(spark)
+    each = reduce(DataFrame.unionAll, [*(stored(scored(k), f"scores-{k}") for k in range(rounds - 1)), scored(rounds - 1)])
     each = each.withColumn("doc_id", F.when(F.col("unnamed") == 0, F.col("doc")))
     return each.select("doc_id", held_out("doc_id", *hold).alias("held_out"), F.col("tokens").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(tree.n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("full").alias("score"))

@@ -64,13 +64,15 @@ def texts(batch: pa.RecordBatch, by: str = "text") -> list[bytes]:
 
 #: Words are hashed in pieces of so many bytes, cut at spaces.
 PIECE = 1 << 17
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
-_LOWER = np.array([c + 32 if 65 <= c < 91 else c for c in range(256)], np.uint8)
+_LOWER = bytes(c + 32 if 65 <= c < 91 else c for c in range(256))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
+def _spaces(part: np.ndarray) -> np.ndarray:
+    return (part == 32) | (part - np.uint8(9) < 5)
+
+
 class _Powers:
     """The powers of the base and of its inverse, as many as the longest piece needed."""
 
@@ -88,7 +90,8 @@ def hash_words(rows: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.n
 
     A word's hash is mixed from its bytes' polynomial, so whole pieces of text are hashed at once from running sums.
     """
-    flat = np.frombuffer(b" ".join(rows) + b" ", np.uint8)
+    flat = b" ".join([*rows, b""])
+    flat = np.frombuffer(flat.translate(_LOWER) if lower else flat, np.uint8)
     ends = np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows)) + 1)
     hashes, at, s = [], [], 0
     while s < len(flat):
@@ -96,15 +99,18 @@ def hash_words(rows: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.n
         while last < 0:  # again only if a word is longer than a piece
             size += PIECE
             part = flat[s : s + size]
-            space = _SPACE[part]
+            space = _spaces(part)
             last = len(part) - 1 - int(space[::-1].argmax()) if space.any() else -1
-        part = _LOWER[part[: last + 1]] if lower else part[: last + 1]
-        edge = np.flatnonzero(np.diff(space[: last + 1], prepend=True))
+        part, space = part[: last + 1], space[: last + 1]
+        edge = np.flatnonzero(np.concatenate([[not space[0]], space[1:] != space[:-1]]))
         begin, end = edge[0::2], edge[1::2]
         if len(begin):
             up, down = _Powers.to(len(part) + 1)
             total = np.zeros(len(part) + 1, np.uint64)
-            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=total[1:])
+            digit = part.astype(np.uint64)
+            digit += np.uint64(1)
+            digit *= up[: len(part)]
+            np.cumsum(digit, out=total[1:])
             hashes.append(mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64)))
             at.append(begin + s)
         s += last + 1

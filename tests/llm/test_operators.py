@@ -858,6 +858,38 @@ def test_lm_blobs_are_given_up_as_they_are_read():
         assert (hit == np.isin(every, some)).all() and (some[place[hit]] == every[hit]).all()
 
 
+def test_lm_entries_are_told_apart_and_look_ups_go_in_rounds(spark):
+    """A state and the transition that its last word is are one look-up, however many entries are held, in any number of rounds."""
+    import pickle
+
+    import numpy as np
+
+    from skein.llm.packing import Reader, pack_small, take_small
+    from skein.llm.suffix_tree import _followed, _pairs, plant, score_texts, tokens
+
+    texts = [" ".join(f"w{(k * j * j + j) % 17}" for j in range(1 + k % 40)) for k in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = [{r.doc_id: tuple(r) for r in score_texts(docs, head=head, hot=hot, rounds=rounds).collect()} for head, hot, rounds in ((500, 1 << 40, 1), (500, 60, 1), (9, 60, 3), (9, 0, 2))]
+    for got in found[1:]:
+        assert len(got) == 300 and all(got[k][:5] == x[:5] and got[k][5:] == pytest.approx(x[5:], abs=1e-8) for k, x in found[0].items())
+    tree, _, n_rest = plant(docs.select("text"), hot=1 << 40)
+    assert n_rest == 0 and len(tree.keys.keys) == len(np.unique(tree.keys.keys)) and (tree.backs < 0).any() and ((tree.values != 0) & (tree.backs < 0)).any()
+    h, starts = tokens([x.encode() for x in texts])
+    for x, y in zip(tree.scores(h, starts), pickle.loads(pickle.dumps(tree)).scores(h, starts), strict=True):
+        assert np.array_equal(x, y)
+    # words after one context whose pairs share the half by which they are sorted are told apart
+    code = np.arange(300_000, dtype=np.uint64)
+    half = _pairs(np.full(len(code), 1 << 40, np.uint64), code) & np.uint64(0xFFFFFFFF)
+    order = np.argsort(half)
+    same = np.flatnonzero(half[order][1:] == half[order][:-1])[0]
+    twins = np.tile(code[order[same : same + 2]], 50)
+    at, n, cut = _followed(np.full(100, 1 << 40, np.uint64), twins)
+    assert len(np.unique(twins)) == 2 and [n[twins[at] == x].sum() for x in np.unique(twins)] == [50, 50] and cut.tolist() == [0]
+    for some in (np.arange(700), np.arange(9), np.arange(0), np.array([256, 1023, 5, 70_000])):
+        r = Reader(pack_small(some) + b"x")
+        assert (take_small(r) == some).all() and r.raw[r.at :] == b"x"
+
+
 def test_pipeline_stages_start_no_extra_workers_and_write_few_files(spark, tmp_path, monkeypatch):
     """Ids chosen for training reach the executors without Python workers of their own, and small tables aren't a file a partition."""
     from pathlib import Path
