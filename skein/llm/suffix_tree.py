@@ -191,7 +191,7 @@ def _unfixed(x: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(1)).view(np.int64) ^ -(x & np.uint64(1)).view(np.int64)) * 2.0**-36
 
 
-def _above(table: DataFrame, at: int, names: int, most: int) -> tuple[int, list[np.ndarray]]:
+def _above(table: DataFrame, at: int, names: int, most: int, steps: bool = False) -> tuple[int, list[np.ndarray]]:
     """Of a table's first ``names`` arrays, the elements whose count (array ``at``) is at least one that at most ``most`` have; and this
     least count, an eighth of a power of two."""
 
@@ -215,7 +215,7 @@ def _above(table: DataFrame, at: int, names: int, most: int) -> tuple[int, list[
         for b in batches:
             for blob in b.column("blob").to_pylist():
                 r = Reader(blob)
-                held = [r.take() for _ in range(names)]
+                held = [r.take_sorted() if steps and not k else r.take() for k in range(names)]
                 on = held[at] >= least
                 yield pa.RecordBatch.from_arrays([pa.array([b"".join(pack(x[on]) for x in held)], pa.binary())], ["blob"])
 
@@ -319,7 +319,7 @@ def _back(whole: np.ndarray, held: np.ndarray, fan: np.ndarray) -> np.ndarray:
 
 
 def _states(c, above, whole, fan, code, n) -> list[np.ndarray]:
-    """Of contexts with their counts in several batches, and of what follows them: context, above, whole, held, fan; key, suffix, n, ends."""
+    """Of contexts with their counts in several batches, and of what follows them: context, above, whole, held, fan; code, n."""
     at, over = np.repeat(c, fan), np.repeat(above, fan)
     order, cut = distinct(c)
     names, total = c[order][cut], np.add.reduceat(whole[order], cut)
@@ -334,7 +334,7 @@ def _states(c, above, whole, fan, code, n) -> list[np.ndarray]:
     count, one, state = count[order], one[order], state[order]
     fans, who = np.diff(np.append(cut, len(state))), state[cut]
     held = np.add.reduceat(count, cut) if len(count) else count
-    return [names[who], over[one[cut]], total[who], held, fans, _pairs(at[one], code[one]), _pairs(over[one], code[one]), count, code[one] == END >> _CODE]
+    return [names[who], over[one[cut]], total[who], held, fans, code[one], count]
 
 
 def _pieces(held: list[tuple[np.ndarray, ...]], each: Callable) -> list[np.ndarray]:
@@ -421,7 +421,7 @@ class Names:
 
 def _gathered(train: DataFrame, d: int, parts: int, frequent: Bitmap, words: Bitmap, shorter: Bitmap, names: Names) -> DataFrame:
     """A table by ranges of contexts: the contexts of ``d`` words that occur ``CONTEXT`` times (context, above: its suffix, whole, held,
-    fan), and the words that follow ``NEXT`` times (key, suffix, n, whether it is the end). What follows a context so often follows
+    fan), and the words that follow ``NEXT`` times (code, n). What follows a context so often follows
     its suffix so often, so the bitmaps lose none. Blobs name a context's suffix by its words."""
     broadcast = train.sparkSession.sparkContext.broadcast
     shared = [broadcast(x) for x in (frequent, words, shorter, names)]
@@ -474,8 +474,9 @@ def _level(raw: DataFrame, lower: DataFrame, parts: int, d: int) -> DataFrame:
     """A table of context, key, n, ends, whole, held, fan, under of the transitions: each meets its suffix's P, dealt by that one's key."""
 
     def ask(r: Reader) -> list[tuple[int, bytes]]:
-        name, _, whole, held, fan, key, suffix, n, ends = r.take(), r.take(), r.counts(), r.counts(), r.counts(), r.take(), r.take(), r.counts(), r.take()
-        return _dealt(suffix, parts, b"Q", key, *(np.repeat(x, fan) for x in (name, whole, held, fan)), n, ends)
+        name, above, whole, held, fan, code, n = r.take(), r.take(), r.counts(), r.counts(), r.counts(), r.take(), r.counts()
+        name, above, whole, held, fan = (np.repeat(x, fan) for x in (name, above, whole, held, fan))
+        return _dealt(_pairs(above, code), parts, b"Q", _pairs(name, code), name, whole, held, fan, n, code == END >> _CODE)
 
     def merge(kinds: dict[bytes, list[Reader]]) -> list[np.ndarray]:
         suffix, key, context, whole, held, fan, n, ends = _taken(kinds.get(b"Q"), np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int64, np.uint64)
@@ -551,7 +552,7 @@ def _needed(nodes: DataFrame, longer: DataFrame | None, parts: int, d: int) -> D
 
 
 def _branch(level: DataFrame, kept: DataFrame, parts: int, d: int) -> DataFrame:
-    """The kept states and their transitions as a table of key, n, value, whether it is a state."""
+    """The kept states and their transitions as a table of key (ascending, by steps), n, value, whether it is a state."""
 
     def arcs(r: Reader) -> list[tuple[int, bytes]]:
         moves = Moves.of(r)
@@ -566,7 +567,10 @@ def _branch(level: DataFrame, kept: DataFrame, parts: int, d: int) -> DataFrame:
         context, key, k, value = _taken(kinds.get(b"M"), np.uint64, np.int64, np.uint64)
         order = np.argsort(names)
         _, on = Table(names[order]).find(context)
-        return [np.concatenate(x) for x in ([names, key[on]], [whole, k[on]], [back, value[on]], [np.ones(len(names), bool), np.zeros(on.sum(), bool)])]
+        out = [np.concatenate(x) for x in ([names, key[on]], [whole, k[on]], [back, value[on]], [np.ones(len(names), bool), np.zeros(on.sum(), bool)])]
+        order = np.argsort(out[0])
+        key, *others = (x[order] for x in out)
+        return [np.diff(key, prepend=np.uint64(0)), *others]
 
     return _joined([_spread(level, arcs), _spread(kept, states)], parts, merge, f"suffix-tree-{d}")
 
@@ -629,7 +633,7 @@ def plant(train: DataFrame, head: int = HEAD, depth: int = DEPTH, hot: int = HOT
     least, (word, count) = _above(counts, 1, 2, head)
     order = np.argsort(word)
     table = grow(train, raw, counts, Names.of(word, count), n, v, depth)
-    often, (key, _, value, state) = _above(table, 1, 4, hot)
+    often, (key, _, value, state) = _above(table, 1, 4, hot, steps=True)
     n_rest, size = v - len(word) + _rowcount(table) - len(key), _rowcount(table)
     order_of, cut = distinct(key)
     key, of = key[order_of][cut], np.repeat(np.arange(len(cut)), np.diff(np.append(cut, len(key))))
@@ -637,11 +641,11 @@ def plant(train: DataFrame, head: int = HEAD, depth: int = DEPTH, hot: int = HOT
     values, backs = (np.bincount(of[on], value[on], len(key)) for on in (~state, state))
 
     def spared(r: Reader) -> list[np.ndarray]:
-        key, n = r.take(), r.counts()
+        key, n = r.take_sorted(), r.counts()
         return [key[n < often]]
 
     def chilled(r: Reader) -> tuple[np.ndarray, np.ndarray]:
-        key, n, value = r.take(), r.counts(), r.take()
+        key, n, value = r.take_sorted(), r.counts(), r.take()
         return key[n < often], value[n < often]
 
     def rare(r: Reader) -> tuple[np.ndarray, np.ndarray]:
