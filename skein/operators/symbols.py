@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 import re
+from itertools import accumulate
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.durable import durable
 
+#: Targets whose codes are broadcast at most; more are joined.
+CODED = 1_000_000
+#: Ordered pairs of one task.
+PAIRS = 4_000_000
+
 
 def tags(name: Column) -> Column:
     """The distinct lower-cased words of a name, split at other characters and where a capital follows a small letter or digit."""
@@ -94,21 +101,56 @@ def impact(tests: DataFrame, changed: DataFrame, symbols: DataFrame, calls: Data
     return out.limit(limit) if limit else out
 
 
+def _coded(targets: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
+    """(target, code) of distinct targets with codes from 0 in the given order, to be broadcast if they are few, and their number."""
+    t = durable(targets.orderBy(*order).select("target", F.monotonically_increasing_id().alias("at")))
+    part = F.shiftright("at", 33)  # the rows of a partition are numbered from its own number times 2 ** 33
+    sizes = sorted(tuple(r) for r in t.groupBy(part.cast("int")).count().collect())
+    begins = list(accumulate((n for _, n in sizes), initial=0))
+    n = begins.pop()
+    kind = "int" if n < 1 << 31 else "bigint"
+    rows = [(p, b) for (p, _), b in zip(sizes, begins, strict=True)]
+    begin = targets.sparkSession.createDataFrame(rows, "part int, begin long")
+    code = (F.col("begin") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).cast(kind)
+    codes = durable(t.withColumn("part", part.cast("int")).join(F.broadcast(begin), "part").select("target", code.alias("code")))
+    return (F.broadcast(codes) if n <= CODED else codes), n
+
+
+def _claimants(claims: DataFrame, codes: DataFrame) -> DataFrame:
+    """surface, held of the members that two targets or more claim: the claimants' codes in order."""
+    c = claims.filter("member is not null and surface is not null").join(codes, "target")
+    held = c.select("surface", "member", "code").groupBy("surface", "member").agg(F.array_sort(F.collect_set("code")).alias("held"))
+    return durable(held.filter(F.size("held") > 1).select("surface", "held"))
+
+
+def _tasks(lists: DataFrame) -> int:
+    """So many tasks that one has about PAIRS of the ordered pairs that the lists make."""
+    n = F.size("held").cast("double")
+    made = lists.agg(F.sum(n * (n - 1))).first()[0] or 0
+    return max(int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(made / PAIRS))
+
+
 def conflicts(claims: DataFrame) -> DataFrame:
     """a, b, files, config, symbols, tests, score, risk of the pairs of targets that claim a member of the same surface.
 
     ``claims`` (target, surface, member), surface one of file, config, symbol and test. Pairs without a shared member have
-    risk low and score 0 and aren't listed: targets meet by member, never all with all.
+    risk low and score 0 and aren't listed: targets meet by member, never all with all. Each claimant is sent the codes of
+    those after it as one array, and pairs are made and counted where they arrive, so pairs themselves aren't shuffled.
     """
-    c = claims.select("target", "surface", "member").filter("member is not null").distinct()
-    x, y = c.alias("x"), c.alias("y")
-    met = x.join(y, (F.col("x.surface") == F.col("y.surface")) & (F.col("x.member") == F.col("y.member")) & (F.col("x.target") < F.col("y.target")))
-    n = lambda s: F.sum((F.col("x.surface") == s).cast("long"))
-    p = met.groupBy(F.col("x.target").alias("a"), F.col("y.target").alias("b")).agg(n("file").alias("files"), n("config").alias("config"), n("symbol").alias("symbols"), n("test").alias("tests"))
+    c = claims.select("target", "surface", "member")
+    codes, _ = _coded(c.filter("target is not null").select("target").distinct(), ["target"])
+    lists = _claimants(c, codes)
+    surface = F.when(F.col("surface") == "file", 0).when(F.col("surface") == "config", 1).when(F.col("surface") == "symbol", 2).when(F.col("surface") == "test", 3).otherwise(4)
+    sent = lists.select(surface.cast("byte").alias("s"), "held", F.posexplode("held").alias("i", "x")).filter(F.col("i") < F.size("held") - 1)
+    sent = sent.select("x", "s", F.slice("held", F.col("i") + 2, F.size("held")).alias("rest")).repartition(_tasks(lists), "x")
+    n = lambda s: F.sum((F.col("s") == s).cast("long"))
+    p = sent.select("x", "s", F.explode("rest").alias("y")).groupBy("x", "y").agg(n(0).alias("files"), n(1).alias("config"), n(2).alias("symbols"), n(3).alias("tests"))
+    for k, end in (("x", "a"), ("y", "b")):
+        p = p.join(codes.select(F.col("code").alias(k), F.col("target").alias(end)), k)
     # fixed values: 100 a file, 100 a config file, 40 a symbol, 10 a test
     score = 100 * F.col("files") + 100 * F.col("config") + 40 * F.col("symbols") + 10 * F.col("tests")
     risk = F.when((F.col("files") > 0) | (F.col("config") > 0), "fail_closed").when(F.col("symbols") > 0, "high").when(F.col("tests") > 0, "medium").otherwise("low")
-    return p.withColumn("score", score).withColumn("risk", risk)
+    return p.select("a", "b", "files", "config", "symbols", "tests", score.alias("score"), risk.alias("risk"))
 
 
 def schedule(targets: DataFrame, pairs: DataFrame) -> DataFrame:

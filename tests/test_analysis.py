@@ -243,3 +243,40 @@ def test_latest_takes_the_greatest_hash(spark):
     rows = spark.createDataFrame([(1, 1, x) for x in "abcdef"], "k int, v int, x string")
     want = rows.orderBy(F.xxhash64("k", "v", "x").desc()).first()
     assert folds.latest(rows, "k", "v").collect() == [want]
+
+
+def _shuffled(df):
+    """The rows that each shuffle of a query wrote when it ran."""
+    df.collect()
+    found, left = [], [df._jdf.queryExecution().executedPlan()]
+    while left:
+        p = left.pop()
+        kind = p.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            left.append(p.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            left.append(p.plan())
+        if kind == "ShuffleExchangeExec":
+            found.append(p.metrics().get("shuffleRecordsWritten").get().value())
+        left += [p.children().apply(k) for k in range(p.children().size())]
+    return found
+
+
+CLAIMED = [(f"t{t}", s, m) for s, k in (("file", 40), ("config", 3), ("symbol", 30), ("test", 50), ("other", 2)) for m in range(9) for t in range(60) if (t * 7 + m * 11 + k) % 61 < k] + [("t1", "file", None), (None, "file", 1), ("t2", None, 1)]
+
+
+def test_conflicts_shuffle_no_pairs(spark):
+    import itertools
+
+    got = symbols.conflicts(spark.createDataFrame(CLAIMED * 2, "target string, surface string, member int"))
+    by = {}
+    for t, s, m in CLAIMED:
+        if t and s and m is not None:
+            by.setdefault(t, set()).add((s, m))
+    want = {}
+    for a, b in itertools.combinations(sorted(by), 2):
+        n = [sum(s == k for s, _ in by[a] & by[b]) for k in ("file", "config", "symbol", "test")]
+        if by[a] & by[b]:
+            want[a, b] = (*n, 100 * n[0] + 100 * n[1] + 40 * n[2] + 10 * n[3], "fail_closed" if n[0] or n[1] else "high" if n[2] else "medium" if n[3] else "low")
+    assert {(r.a, r.b): tuple(r)[2:] for r in got.collect()} == want
+    assert max(_shuffled(got)) <= 2 * len(CLAIMED)
