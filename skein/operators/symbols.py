@@ -153,21 +153,23 @@ def conflicts(claims: DataFrame) -> DataFrame:
     return p.select("a", "b", "files", "config", "symbols", "tests", score.alias("score"), risk.alias("risk"))
 
 
-def schedule(targets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """target, blocks, blocked_by (sorted ids), parallel_safe of ``targets`` (target, rank) under conflicts of high risk or more.
+def schedule(targets: DataFrame, claims: DataFrame) -> DataFrame:
+    """target, blocks, blocked_by (sorted ids), parallel_safe of distinct ``targets`` (target, rank) under the conflicts of
+    ``claims`` (target, surface, member) of high risk or more.
 
-    Of a pair the target of the lower rank blocks, of equal ranks the one listed first.
+    Of a pair the target of the lower rank blocks, of equal ranks the one listed first: codes follow rank and target, so the
+    lower code blocks. Each claimant of a file, config file or symbol is sent the codes of all of them, and pairs are made,
+    told apart and listed where they arrive, so pairs themselves aren't shuffled.
     """
-    serial = pairs.filter(F.col("risk").isin("fail_closed", "high"))
-    rank = lambda k: targets.select(F.col("target").alias(k), F.col("rank").alias(f"rank_{k}"))
-    p = serial.join(rank("a"), "a").join(rank("b"), "b")
-    first = F.col("rank_a") <= F.col("rank_b")
-    p = p.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("by"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("of"))
-    blocks = p.groupBy(F.col("by").alias("target")).agg(F.array_sort(F.collect_set("of")).alias("blocks"))
-    blocked = p.groupBy(F.col("of").alias("target")).agg(F.array_sort(F.collect_set("by")).alias("blocked_by"))
-    none = F.array().cast("array<string>")
-    out = targets.select("target").join(blocks, "target", "left").join(blocked, "target", "left")
-    out = out.select("target", F.coalesce("blocks", none).alias("blocks"), F.coalesce("blocked_by", none).alias("blocked_by"))
+    codes, _ = _coded(targets, ["rank", "target"])
+    lists = _claimants(claims.filter(F.col("surface").isin("file", "config", "symbol")), codes)
+    alone = codes.select(F.col("code").alias("x"), F.array("code").alias("held"))  # so that each target has a row
+    sent = lists.select(F.explode("held").alias("x"), "held").unionAll(alone).repartition(_tasks(lists), "x")
+    p = sent.select("x", F.explode("held").alias("y")).distinct()
+    p = p.join(codes.select(F.col("code").alias("y"), F.col("target").alias("other")), "y")
+    ends = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("other"))))
+    p = p.groupBy("x").agg(ends(F.col("y") > F.col("x")).alias("blocks"), ends(F.col("y") < F.col("x")).alias("blocked_by"))
+    out = p.join(codes.select(F.col("code").alias("x"), "target"), "x").select("target", "blocks", "blocked_by")
     return out.withColumn("parallel_safe", (F.size("blocks") == 0) & (F.size("blocked_by") == 0))
 
 

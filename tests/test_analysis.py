@@ -280,3 +280,22 @@ def test_conflicts_shuffle_no_pairs(spark):
             want[a, b] = (*n, 100 * n[0] + 100 * n[1] + 40 * n[2] + 10 * n[3], "fail_closed" if n[0] or n[1] else "high" if n[2] else "medium" if n[3] else "low")
     assert {(r.a, r.b): tuple(r)[2:] for r in got.collect()} == want
     assert max(_shuffled(got)) <= 2 * len(CLAIMED)
+
+
+@pytest.mark.parametrize("coded", [1_000_000, 1])
+def test_schedule_shuffles_no_pairs(spark, monkeypatch, coded):
+    monkeypatch.setattr(symbols, "CODED", coded)
+    claims = spark.createDataFrame(CLAIMED, "target string, surface string, member int")
+    ranks = {f"t{t}": t % 5 for t in range(70)}
+    out = symbols.schedule(spark.createDataFrame([*ranks.items()], "target string, rank int"), claims)
+    by = {}
+    for t, s, m in CLAIMED:
+        if t and s in ("file", "config", "symbol") and m is not None:
+            by.setdefault(t, set()).add((s, m))
+    met = {(a, b) for a in by for b in by if a != b and by[a] & by[b]}
+    first = lambda a, b: (ranks[a], a) < (ranks[b], b)
+    want = {t: (sorted(b for a, b in met if a == t and first(a, b)), sorted(b for a, b in met if a == t and first(b, a))) for t in ranks}
+    assert {r.target: (r.blocks, r.blocked_by) for r in out.collect()} == want
+    assert all(r.parallel_safe == (want[r.target] == ([], [])) for r in out.collect())
+    if coded > 1:
+        assert max(_shuffled(out)) <= 2 * len(CLAIMED)
