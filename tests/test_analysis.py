@@ -299,3 +299,19 @@ def test_schedule_shuffles_no_pairs(spark, monkeypatch, coded):
     assert all(r.parallel_safe == (want[r.target] == ([], [])) for r in out.collect())
     if coded > 1:
         assert max(_shuffled(out)) <= 2 * len(CLAIMED)
+
+
+@pytest.mark.parametrize("hot", [200_000, 0])
+def test_overlap_pairs_drop_chance_meetings_before_a_shuffle(spark, monkeypatch, hot):
+    import itertools
+
+    from skein.operators import search
+
+    monkeypatch.setattr(search, "HOT", hot)
+    rng = random.Random(5)
+    sets = {k: {rng.randrange(40) for _ in range(6)} for k in range(400)} | {500: {0}, 501: {0}, 502: {0, 1}, 503: set(range(90)), 504: set(range(9, 94))}
+    rows = spark.createDataFrame([(k, m) for k, s in sets.items() for m in sorted(s)], "owner int, member int")
+    got = search.overlap_pairs(rows, 0.5)
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in itertools.combinations(sets, 2)}
+    assert {(r.a, r.b): r.jaccard for r in got.collect()} == {k: v for k, v in want.items() if v >= 0.5}
+    assert max(_shuffled(got)) <= 2 * rows.count()
