@@ -130,16 +130,23 @@ def shortest_paths(edges: DataFrame, start: str, depth: int) -> DataFrame:
 
 
 def closure(edges: DataFrame, rounds: int = 32) -> DataFrame:
-    """(a, b): b can be reached from a by one edge or more. Paths double each round. For graphs of bounded node count."""
-    reach = durable(edges.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")).distinct())
-    n = reach.count()
+    """(a, b): b can be reached from a by one edge or more. Edges with a null end are left out. For graphs of bounded node count.
+
+    Paths double each round: only the pairs that the last round found are joined with all pairs, and what that gives is
+    compared with the known pairs of the same ends, so the pairs known before don't move for it.
+    """
+    reach = durable(edges.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")).filter("a is not null and b is not null").distinct())
+    new = reach
     for _ in range(rounds):
-        more = reach.alias("x").join(reach.alias("y"), F.col("x.b") == F.col("y.a")).select("x.a", "y.b")
-        reach = durable(reach.unionAll(more).distinct())
-        m = reach.count()
-        if m == n:
+        step = reach.select(F.col("a").alias("b"), F.col("b").alias("c"))
+        more = durable(new.join(step, "b").select("a", F.col("c").alias("b")).distinct())
+        ends, n = _sized(more.select("b").distinct())
+        if not n:
+            break
+        new = durable(more.join(reach.join(ends, "b", "left_semi"), ["a", "b"], "left_anti"))
+        if new.isEmpty():
             break
-        n = m
+        reach = reach.unionAll(new)
     return reach
 
 
@@ -218,9 +225,15 @@ def health(edges: DataFrame) -> DataFrame:
     What a node reaches is counted exactly, which lists all reachable pairs (``closure``): for graphs whose reachable
     pairs can be held.
     """
-    e = edges.filter("from_id <> to_id").select("from_id", "to_id").distinct()
+    given = edges.filter("from_id <> to_id").select("from_id", "to_id")
+    ids = durable(given.select(F.col("from_id").alias("name")).union(given.select("to_id")).distinct().withColumn("id", F.xxhash64("name")))
+    n, keys = ids.agg(F.count(F.lit(1)), F.countDistinct("id")).first()
+    if n == keys:  # pairs are of 64-bit keys, unless two ids have the same
+        e = durable(given.select(F.xxhash64("from_id").alias("from_id"), F.xxhash64("to_id").alias("to_id")).distinct())
+    else:
+        e, ids = durable(given.distinct()), ids.select("name", F.col("name").alias("id"))
     reach, d = closure(e), durable(degrees(e))
-    n, m = d.agg(F.count(F.lit(1)), F.coalesce(F.sum("out_degree"), F.lit(0))).first()
+    m = e.count()
     ahead = reach.groupBy(F.col("a").alias("id")).agg(F.sum((F.col("a") != F.col("b")).cast("int")).alias("f"), F.max((F.col("a") == F.col("b")).cast("int")).alias("risk"))
     back = reach.filter("a <> b").groupBy(F.col("b").alias("id")).agg(F.count(F.lit(1)).alias("g"))
     f, g, risk = (F.coalesce(c, F.lit(0)) for c in ("f", "g", "risk"))
@@ -228,7 +241,7 @@ def health(edges: DataFrame) -> DataFrame:
     reachability = (f + g) / F.lit(2.0 * max(n - 1, 1))
     centrality = (f + g + 2) / F.lit(2.0 * n) if n > 1 else F.lit(1.0)
     overall = (connectivity + reachability + centrality + 1 - risk) / 4
-    return d.join(ahead, "id", "left").join(back, "id", "left").select("id", F.round(overall, 6).alias("overall"))
+    return ids.join(d, "id").join(ahead, "id", "left").join(back, "id", "left").select(F.col("name").alias("id"), F.round(overall, 6).alias("overall"))
 
 
 def dependency_batches(edges: DataFrame) -> DataFrame:

@@ -315,3 +315,37 @@ def test_overlap_pairs_drop_chance_meetings_before_a_shuffle(spark, monkeypatch,
     want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in itertools.combinations(sets, 2)}
     assert {(r.a, r.b): r.jaccard for r in got.collect()} == {k: v for k, v in want.items() if v >= 0.5}
     assert max(_shuffled(got)) <= 2 * rows.count()
+
+
+def test_closure_writes_known_pairs_once(spark, monkeypatch):
+    from skein.operators import graph
+
+    written, durable = [], graph.durable
+
+    def counted(df):
+        out = durable(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "durable", counted)
+    edges = [(f"s{a}", f"p{b}") for a in range(20) for b in range(20)] + [(f"p{b}", f"b{b % 3}") for b in range(20)]
+    got = graph.closure(spark.createDataFrame([*edges, (None, "s1")], "from_id string, to_id string"))
+    want = set(edges) | {(f"s{a}", f"b{b}") for a in range(20) for b in range(3)}
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert sum(written) < 1.5 * len(want)
+    rng = random.Random(1)
+    cyclic = [(rng.randrange(25), rng.randrange(25)) for _ in range(35)] + [(100 + k, 101 + k) for k in range(20)]
+    want = set(cyclic)
+    while more := {(a, d) for a, b in want for c, d in want if b == c} - want:
+        want |= more
+    assert sorted(map(tuple, graph.closure(spark.createDataFrame(cyclic, "from_id int, to_id int")).collect())) == sorted(want)
+
+
+def test_health_with_equal_keys(spark, monkeypatch):
+    from skein.operators import graph
+
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "b"), ("a", "a"), ("d", "c"), (None, "a")], "from_id string, to_id string")
+    want = sorted(map(tuple, graph.health(edges).collect()))
+    assert len(want) == 4
+    monkeypatch.setattr(F, "xxhash64", lambda c: F.length(c).cast("long"))
+    assert sorted(map(tuple, graph.health(edges).collect())) == want
