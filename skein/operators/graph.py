@@ -13,6 +13,8 @@ from skein.functions.durable import durable
 
 #: Rows of a frontier or an id set that are broadcast at most.
 BROADCAST = 200_000
+#: Ends of edges in one task of a join.
+TASK = 500_000
 
 
 def _sized(rows: DataFrame) -> tuple[DataFrame, int]:
@@ -108,8 +110,13 @@ def ranked(found: DataFrame, edges: DataFrame, top: int, base: int = 120, per_ho
     """The best ``top`` nodes of a neighborhood: score falls with hops, few links add to it; ties go by id."""
     # fixed values: 120 less 18 a hop; 20 for a degree up to 3, 10 up to 10
     found = durable(found)
-    ids, _ = _sized(found.select("id"))
-    ends = edges.select(F.col("from_id").alias("id")).unionAll(edges.select("to_id")).join(ids, "id", "left_semi")
+    ids, n = _sized(found.select("id"))
+    ends = edges.select(F.col("from_id").alias("id")).unionAll(edges.select("to_id"))
+    if n <= BROADCAST:
+        ends = ends.join(ids, "id", "left_semi")
+    else:  # a semi join would be done for each kind of edge by itself, in one task, and tasks are cut by compressed bytes
+        parts = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-ends.count() // TASK))
+        ends = ends.repartition(parts, "id").join(ids.distinct().repartition(parts, "id"), "id")
     d = found.join(ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree")), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     bonus = F.when(F.col("degree") <= 3, 20).when(F.col("degree") <= 10, 10).otherwise(0)
     return d.withColumn("score", F.greatest(F.lit(0), F.lit(base) - per_hop * F.col("hops")) + bonus).orderBy(F.desc("score"), "id").limit(top)

@@ -349,3 +349,18 @@ def test_health_with_equal_keys(spark, monkeypatch):
     assert len(want) == 4
     monkeypatch.setattr(F, "xxhash64", lambda c: F.length(c).cast("long"))
     assert sorted(map(tuple, graph.health(edges).collect())) == want
+
+
+def test_ranked_joins_many_nodes_in_one_join(spark, monkeypatch):
+    from skein.operators import graph
+
+    monkeypatch.setattr(graph, "BROADCAST", 3)
+    monkeypatch.setattr(graph, "TASK", 10)
+    one = spark.createDataFrame([(f"n{k}", f"n{k * k % 40}") for k in range(40)], "from_id string, to_id string")
+    edges = one.unionAll(one.select(F.concat(F.lit("x"), "from_id"), "to_id"))
+    found = spark.createDataFrame([(f"n{k}", "k", "l", k % 3) for k in range(30)] + [("alone", "k", "l", 0)], "id string, kind string, label string, hops int")
+    want = {r.id: r.d for r in edges.select(F.col("from_id").alias("id")).unionAll(edges.select("to_id")).groupBy("id").agg(F.count("id").alias("d")).collect()}
+    out = graph.ranked(found, edges, 31)
+    assert {r.id: r.degree for r in out.collect()} == {r.id: want.get(r.id, 0) for r in found.collect()}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[0].count("LeftSemi") == 0 and "REPARTITION_BY_NUM" in plan
