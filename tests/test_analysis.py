@@ -364,3 +364,19 @@ def test_ranked_joins_many_nodes_in_one_join(spark, monkeypatch):
     assert {r.id: r.degree for r in out.collect()} == {r.id: want.get(r.id, 0) for r in found.collect()}
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.split("Initial Plan")[0].count("LeftSemi") == 0 and "REPARTITION_BY_NUM" in plan
+
+
+def test_vocabulary_shuffles_counts_only(spark):
+    from skein.operators import search
+
+    words = ["one", "Two", "three", "été", "x1"]
+    texts = [(k, " ".join(words[(k + j) % 5 if k % 3 else 0] for j in range(k % 7))) for k in range(300)]
+    for rows in (texts, texts + [(7, "one, TWO-one"), (None, "one"), (None, "one two"), (5, None), (900, None)]):
+        want = {}
+        for k, text in rows:
+            for w in (text or "").lower().replace(",", " ").replace("-", " ").split():
+                want.setdefault(w, []).append(k)
+        got = search.vocabulary(spark.createDataFrame(rows, "doc_id int, text string").coalesce(2))
+        assert {tuple(r) for r in got.select("token", "n_docs", "n").collect()} == {(w, len(set(x)), len(x)) for w, x in want.items()}
+        if rows is texts:
+            assert max(_shuffled(got)) <= 2 * len(words)
